@@ -108,6 +108,21 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
+def kept(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that fail none of the policy's rules; rejected rows go."""
+    import pyarrow as pa
+
+    bit = {r.name: r for r in RULES}
+    tests = [compile(bit[n].fails, n, "eval") for n in policy.rules]
+
+    @F.arrow_udf("boolean")
+    def fine(texts: pa.Array) -> pa.Array:
+        rows = (dict(zip(MEASURES, measure(x.as_py()))) for x in texts)
+        return pa.array([not any(eval(t, {}, m) for t in tests) for m in rows], pa.bool_())
+
+    return docs.where(fine(F.col(text)))
+
+
 def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
     out = F.lit(0).cast("long")
     for r in rules:

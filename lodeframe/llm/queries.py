@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import decontaminate, quality, simhash
+from lodeframe.llm import decontaminate, lm, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from lodeframe.session import table
+from lodeframe.storage import shared_dir
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on every node; operators take such paths as parameters."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +93,73 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN a USING (rid)"""
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled as of good quality and not toxic, the background every document."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return lm.score(docs, *lm.fit(docs, good), "doc_id")
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lodeframe/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return tokenfile.read_token_files(spark, path)
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), "page_id")
+
+
+ORACLE["op4_url_filters"] = r"""
+WITH a AS (SELECT page_id, position('://' IN coalesce(url, '')) AS p, coalesce(url, '') AS u FROM pages),
+r AS (SELECT page_id, CASE WHEN p > 0 THEN regexp_extract(substr(u, p + 3), '^[^?#]*') ELSE '' END AS rest FROM a),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM r),
+k AS (SELECT page_id, host, path, '.' || host AS dotted FROM h),
+v AS (SELECT *, CASE
+    WHEN dotted LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN dotted LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN dotted LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN dotted LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN dotted LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM k)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN (path = '' OR path LIKE '/%') AND regexp_matches(dotted, 'spam.*\.') THEN 'block'
+    WHEN path LIKE '/%' AND regexp_matches(dotted, '(casino|cheap-|-pills|free-..).*\.') THEN 'block'
+    WHEN regexp_matches(path, '/login[^/]*$') OR path LIKE '%.exe' THEN 'block'
+    WHEN path = '' AND dotted LIKE '%.exe' THEN 'block'
+    ELSE 'allow' END AS verdict FROM v"""
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, "doc_id")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), "doc_id", ids=False)
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.page_derivatives(table(spark, sf_dir, "pages"), "page_id")
+    return made.withColumn("record_crc32", F.crc32("record")).drop("record")
