@@ -8,8 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.storage import cut
+
 #: A word is a run of other characters than these; A-Z are lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before lower-casing, and what may stand between words.
+_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW = 10
 #: More different windows than this (about 400 MB) are not broadcast but joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
@@ -115,3 +120,33 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) ->
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def remove_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs``, with all their columns, without those that hold a benchmark window.
+
+    Hit documents are told by id and digest, so repeated and null ids do no harm. That list is narrow; Spark broadcasts
+    it where it is small and else shuffles.
+    """
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    own = docs.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
+    found = scan(own, items, "id", "digest", **how).where(F.size("hits") > 0)
+    hit = cut(found.select(F.col("id").alias("__hit_id"), F.col("digest").alias("__hit_digest")).distinct(), "hit")
+    same = F.col(doc_id).eqNullSafe(F.col("__hit_id")) & (digest == F.col("__hit_digest"))
+    return docs.join(hit, same, "left_anti")
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, *keep: str, text: str = "text", **how) -> DataFrame:
+    """The columns ``keep`` of each row and ``clean_text``: its text without the words inside hits.
+
+    What stands between words is kept, but for what follows a removed word. A null text stays null.
+    """
+    own = docs.select(*keep, F.col(text).alias("__raw"))
+    found = scan(own, items, *keep, "__raw", text="__raw", **how)
+    gone = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
+    parts = F.regexp_extract_all("__raw", F.lit(f"{_CASED}{_GAP}"), F.lit(0))
+    lead = F.regexp_extract("__raw", f"^{_GAP}", 0)
+    staged = found.withColumn("__gone", gone).withColumn("__parts", parts)
+    left = F.filter("__parts", lambda p, i: ~F.array_contains("__gone", i + 1))
+    clean = F.when(F.size("hits") == 0, F.col("__raw")).otherwise(F.concat(lead, F.array_join(left, "")))
+    return staged.select(*keep, clean.alias("clean_text"))
