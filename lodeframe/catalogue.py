@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from lodeframe.plans import lineage_queries, recognition_queries  # noqa: F401
+from lodeframe.plans.base import ORACLE, QUERIES  # noqa: F401
