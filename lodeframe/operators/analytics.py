@@ -106,7 +106,9 @@ def greedy_accept(candidates: DataFrame, group: str | None = None) -> DataFrame:
             out.append((r.src, r.dst, fine))
         return pd.DataFrame(out, columns=["src", "dst", "accepted"])
 
-    return candidates.groupBy(F.lit(0) if group is None else group).applyInPandas(run, "src string, dst string, accepted boolean")
+    if group is None:
+        candidates, group = candidates.withColumn("__all", F.lit(0)), "__all"
+    return candidates.groupBy(group).applyInPandas(run, "src string, dst string, accepted boolean")
 
 
 def stitch_rows(a: list[str | None], b: list[str | None], name: float = 3.0, miss: float = -1.5, gap: float = -1.0) -> int | None:
