@@ -127,3 +127,37 @@ def numbering(df: DataFrame, day: str, order: str) -> DataFrame:
 
 def holders(family: DataFrame, skill: str, own: str = "own") -> DataFrame:
     return family.where(ok(F.col(own), 1)).groupBy(skill).agg(F.count("*").alias("holders"))
+
+
+def visible(parents: DataFrame, in_set: Column | None, origin: Column, owners: list | None = None, owner: Column | None = None) -> DataFrame:
+    """Parents of the current set, or without one all that did not come from an exam; of the chosen owners."""
+    shown = parents.where(in_set if in_set is not None else ~origin.eqNullSafe(F.lit("exam")))
+    return shown.where(owner.isin(owners)) if owners else shown
+
+
+def six_columns(family: DataFrame, pid: str, a: int, b: int, skill: str, roles: list[str]) -> DataFrame:
+    """(skill, a_own, a_g1, ..., b_g2): two selected records' members side by side."""
+    side = lambda p, n: family.where(F.col(pid) == p).select(skill, *(F.col(r).alias(f"{n}_{r}") for r in roles))
+    return side(a, "a").join(side(b, "b"), skill, "full")
+
+
+def pair_detail(family: DataFrame, pid: str, a: int, b: int, skill: str, roles: list[str], threshold: int) -> DataFrame:
+    """(covered, missing, stars, unknown) of a pair: what either family satisfies, what neither does, known stars, unknown ones."""
+    six = six_columns(family, pid, a, b, skill, roles)
+    cols = [F.col(f"{n}_{r}") for n in "ab" for r in roles]
+    met = ok(cols[0], threshold)
+    for c in cols[1:]:
+        met |= ok(c, threshold)
+    known = sum((F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in cols[1:]), F.greatest(F.coalesce(cols[0], F.lit(0)), F.lit(0)))
+    unknown = sum((F.coalesce(c < 0, F.lit(False)).cast("int") for c in cols[1:]), F.coalesce(cols[0] < 0, F.lit(False)).cast("int"))
+    return six.agg(F.count_if(met).alias("covered"), F.count_if(~met).alias("missing"), F.sum(known).alias("stars"), F.sum(unknown).alias("unknown"))
+
+
+def page_of(df: DataFrame, order: list, first: int, last: int, extra: int = 4) -> DataFrame:
+    """``place`` and the rows from ``extra`` before the first shown row to ``extra`` after the last.
+
+    Only the first ``last + extra`` rows of the order are kept by each task before they are numbered.
+    """
+    top = df.orderBy(*order).limit(last + extra + 1)
+    numbered = top.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
+    return numbered.where(F.col("place").between(max(0, first - extra), last + extra))

@@ -543,3 +543,38 @@ def catalog_abbreviations(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
     short = p.where("id % 7 <> 0").select((F.col("id") + 3).alias("id"), F.substring("p_name", 1, 8).alias("abbr"))
     return catalog.abbreviations(p.select("id"), short, "id", 7)
+
+
+@query("""SELECT c_custkey AS pid FROM customer WHERE (CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'exam' ELSE 'race' END) IS DISTINCT FROM 'exam' AND c_nationkey IN (1, 2, 3)""")
+def visible_parents_filter(spark, d):
+    """What did not come from an exam - also what has no origin - of three owners."""
+    p = parents(spark, d)
+    origin = F.when(F.col("pid") % 4 == 0, F.lit(None)).when(F.col("pid") % 4 == 1, "exam").otherwise("race")
+    return lineage.visible(p, None, origin, [1, 2, 3], F.col("c_nationkey")).select("pid")
+
+
+@query(f"""WITH {FAMILY} SELECT skill, a.own AS a_own, a.g1 AS a_g1, a.g2 AS a_g2, b.own AS b_own, b.g1 AS b_g1, b.g2 AS b_g2
+FROM (SELECT * FROM family WHERE pid = 4) a FULL JOIN (SELECT * FROM family WHERE pid = 5) b USING (skill)""")
+def six_member_columns(spark, d):
+    return lineage.six_columns(family(spark, d), "pid", 4, 5, "skill", ROLES)
+
+
+@query(f"""WITH {FAMILY}, s AS (SELECT skill, unnest([own, g1, g2]) AS star FROM family WHERE pid IN (4, 5)), k AS (SELECT skill, bool_or({ok_sql('star', 2)}) AS met FROM s GROUP BY skill)
+SELECT (SELECT count(*) FROM k WHERE met) AS covered, (SELECT count(*) FROM k WHERE NOT met) AS missing, (SELECT sum(greatest(star, 0))::BIGINT FROM s) AS stars, (SELECT count(*) FROM s WHERE star < 0) AS unknown""")
+def pair_detail(spark, d):
+    return lineage.pair_detail(family(spark, d), "pid", 4, 5, "skill", ROLES, 2)
+
+
+@query(f"""WITH {STARS}, h AS (SELECT skill, count(*) AS holders FROM stars WHERE {ok_sql('star', 2)} GROUP BY skill), n AS (SELECT *, (row_number() OVER (ORDER BY holders DESC, skill) - 1)::INT AS place FROM h)
+SELECT skill, holders, place FROM n WHERE place BETWEEN 4 AND 16""")
+def viewport_rows(spark, d):
+    """Rows 8 to 12 of the skills by number of holders, with four more on either side."""
+    h = stars(spark, d).where(S.ok(F.col("star"), 2)).groupBy("skill").agg(F.count("*").alias("holders"))
+    return lineage.page_of(h, [F.desc("holders"), "skill"], 8, 12)
+
+
+@query("SELECT DISTINCT p_brand AS skill FROM part WHERE p_type <> 'PROMO' AND p_size % 7 = 0")
+def default_list_union(spark, d):
+    """The union of all lists but those from exams."""
+    p = table(spark, d, "part").where("p_size % 7 = 0")
+    return p.where(store.in_default_list(F.when(F.col("p_type") == "PROMO", "exam"))).select(F.col("p_brand").alias("skill")).distinct()
