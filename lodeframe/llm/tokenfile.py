@@ -8,9 +8,11 @@ do and a lost task writes only its own files anew.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,31 +137,79 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+def _byte_marks() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids by the tokenizers library; a chunk between two cuts is encoded once for as long as it is remembered."""
+    """Ids by the tokenizers library; a chunk between two cuts is encoded once for as long as it is remembered.
+
+    Chunks live in two generations of ``remember`` entries: what is met again moves to the young one, and when that is
+    full the old one goes. The tokenizer's pattern makes one word of a space and letters, and one of the marks behind
+    them, so such chunks are put together from these two; all others go through the whole tokenizer.
+    """
+
+    #: Marks that may follow letters; an apostrophe may not, for the pattern knows contractions.
+    MARKS = '.,;:!?)("-*#$%&|<>=+/'
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.remember = remember
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.remember, self.marks = remember, _byte_marks()
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one word of the pattern."""
+        if word.isascii():  # letters and marks stand for themselves
+            shown = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.marks)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        young, old, whole = self.young, self.old, []
+
+        def part(word: str) -> bytes:
+            got = young.get(word)
+            if got is None:
+                got = young[word] = old.get(word) or self._word(word)
+            return got
+
+        for c in new:
+            head = c.rstrip(self.MARKS)
+            if head.isalpha() or head[:1] == " " and head[1:].isalpha():
+                young[c] = part(head) + part(c[len(head) :]) if len(head) < len(c) else part(c)
+            else:
+                whole.append(c)
+        for i in range(0, len(whole), 20_000):
+            some = whole[i : i + 20_000]
+            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            young.update(zip(some, (array("I", e.ids).tobytes() for e in got)))
 
     def encode(self, texts: list[str]) -> list:
         """For each text its ids and END, as unsigned 32-bit integers."""
         import numpy as np
 
         split = [_CHUNK.findall(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in got)))
-        get, end = self.known.__getitem__, struct.pack("<I", END)
+        if len(self.young) > self.remember:
+            self.old, self.young = self.young, {}
+        missing = set().union(*split).difference(self.young)
+        old, young, new = self.old, self.young, []
+        for c in missing:
+            ids = old.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                young[c] = ids
+        self._learn(new)
+        get, end = young.__getitem__, struct.pack("<I", END)
         return [np.frombuffer(b"".join([*map(get, chunks), end]), "<u4") for chunks in split]
 
 
