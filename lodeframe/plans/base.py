@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 #: (pid, skill, star): a customer's brands; the star is the number of purchases, 3 at most, unknown for some.
 STARS = """stars AS (SELECT o_custkey AS pid, p_brand AS skill,
-    CASE WHEN sum(l_linenumber) % 7 = 0 THEN -1 ELSE least(3, count(*)) END AS star
+    (CASE WHEN sum(l_linenumber) % 7 = 0 THEN -1 ELSE least(3, count(*)) END)::INT AS star
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey, p_brand)"""
 
 #: (pid, skill, own, g1, g2): with the linked customers behind a customer's key by 1 and by 7.

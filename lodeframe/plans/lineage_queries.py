@@ -127,7 +127,7 @@ def red_rollup(spark, d):
 
 
 @query("""SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) > 1
-  THEN row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) END AS no FROM orders""")
+  THEN row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey)::INT END AS no FROM orders""")
 def code_numbering(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.concat_ws("/", "o_custkey", F.to_date("o_orderdate")).alias("day"))
     return lineage.numbering(o, "day", "o_orderkey").select("o_orderkey", "no")

@@ -468,7 +468,7 @@ def day_numbers(spark, d):
     return table(spark, d, "events").select("event_id", S.days_since(ts, now).alias("days"), S.zone_day(ts).alias("day"), S.fresh(ts, now, 10).alias("fresh"))
 
 
-@query("""SELECT doc_id, length(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS n FROM documents""")
+@query("""SELECT doc_id, length(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'))::INT AS n FROM documents""")
 def html_escape_length(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(X.html_escape(F.col("text"))).alias("n"))
 
