@@ -1,10 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, scanned against every window of every text.
 
-Only DataFrame functions: one scan, one explode and one hash join in one stage, then a small group by document.
+Only DataFrame functions: one scan, one explode and one hash join in one generated stage, then a group by document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +18,25 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW = 10
-#: More different windows than this (about 400 MB) are not broadcast but joined by shuffling.
+#: Up to so many different windows (some 400 MB) are broadcast at a time.
 BROADCAST_WINDOWS = 1_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; the fast ``lower`` where no other letter would change."""
+    plain = (F.octet_length(text) == F.length(text)) | ~F.rlike(text, F.lit(r"[\p{Lu}\p{Lt}\p{IsUppercase}&&[^A-Z]]"))
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null and empty texts have none."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.filter(F.split(low, BETWEEN), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """One row per different window: ``size``, ``gram`` (words joined by a space) and ``items``, the ids that hold it.
+    """One row per different window: ``gram`` (its words joined by a space), ``size`` and ``items``, the ids that hold it.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Ids are
     taken as strings, a null id as the empty string; repeated items fall together.
@@ -38,56 +45,61 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, item_id: str = "it
     w = w.where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(window)))
     at = w.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
     gram = F.array_join(F.slice("w", F.col("i"), F.col("size")), " ")
-    return at.select("item", "size", gram.alias("gram")).groupBy("size", "gram").agg(F.collect_set("item").alias("items"))
+    return at.select("item", "size", gram.alias("gram")).groupBy("gram", "size").agg(F.collect_set("item").alias("items"))
 
 
-def _hashed(grams: Column) -> Column:
-    """The hash of a window from the hashes of its words."""
-    return F.xxhash64(grams)
+def hash_set(grams: DataFrame) -> DataFrame:
+    """The windows as a hash table: filed under the hash of their longest word (``key``) at place ``offset``, with the
+    hash ``h`` of the whole n-gram."""
+    w = F.split("gram", " ")
+    longest = F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return grams.select(
+        F.xxhash64(longest).alias("key"), F.array_position(w, longest).cast("int").alias("offset"), "size",
+        F.xxhash64(w).alias("h"), "gram", "items",
+    )
+
+
+def _met(base: DataFrame, table: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The matches of one broadcast table, and one row for each document.
+
+    Every token probes the table; where it is the longest word of a window, the n-gram around it is hashed and compared
+    with the window's, and equal hashes are verified word by word. All of this happens in the stage that scans the
+    texts, where the document's words are at hand and are not copied.
+    """
+    spread = base.select(*keep, "rid", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word"))
+    d, g = spread.alias("d"), F.broadcast(table).alias("g")
+    first = F.col("d.at") - F.col("g.offset") + 1
+    inside = (first >= 1) & (first + F.col("g.size") - 1 <= F.size("d.w"))
+    gram = F.slice("d.w", F.greatest(first, F.lit(1)), F.col("g.size"))
+    hit = inside & (F.xxhash64(gram) == F.col("g.h")) & (F.array_join(gram, " ") == F.col("g.gram"))
+    head = F.col("d.at") == 0
+    met = d.join(g, F.xxhash64("d.word") == F.col("g.key"), "left").where(head | (F.col("g.key").isNotNull() & hit))
+    found = F.when(~head, F.struct(first.alias("at"), F.col("g.size").alias("size")))
+    return met.select(
+        "d.rid", *(F.when(head, F.col(f"d.{k}")).alias(k) for k in keep),
+        F.when(head, F.size("d.w")).alias("n_words"), found.alias("hit"), F.when(~head, F.col("g.items")).alias("items"),
+    )
 
 
 def scan(docs: DataFrame, items: DataFrame, *keep: str, text: str = "text", window: int = WINDOW, limit: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: the columns ``keep``, ``n_words``, ``hits`` and ``items``.
 
     ``hits`` lists (at, size) of every window of the document that is a window of an item, ``items`` the ids of those
-    items, sorted as strings. The benchmark's windows are counted first; up to ``limit`` they are broadcast as a hash
-    set, beyond it the same join shuffles both sides. Hash matches are verified word by word inside the join's stage.
-    Texts are read once; only matches and one row per document are shuffled, so neither a passage found in a third of
-    all documents nor a document full of hits meets in one task beyond its own rows. Repeated rows stay repeated.
+    items, sorted as strings. The benchmark's windows are counted first: up to ``limit`` they are broadcast; more are
+    broadcast in blocks of that many, each scanning the texts once. Only matches and one row per document are shuffled,
+    so neither a passage found in a third of all documents nor a document full of hits meets in one task beyond its own
+    rows. Repeated rows stay repeated; without documents or without items the result has no rows or no hits.
     """
-    grams = benchmark_windows(items, window).withColumn("h", _hashed(F.transform(F.split("gram", " "), lambda w: F.xxhash64(w))))
-    found = grams.groupBy("size").count().orderBy("size").collect()  # one row per window size, `window` at most
-    sizes = [r["size"] for r in found] or [window]
-    if sum(r["count"] for r in found) <= limit:
-        grams = F.broadcast(grams)
-
-    base = docs.select(*keep, words_of(F.col(text)).alias("w")).withColumn("rid", F.monotonically_increasing_id())
-    base = base.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
-
-    def of_size(k: int) -> Column:
-        last = F.size("wh") - (k - 1)
-        each = F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.struct(i.alias("at"), F.lit(k).alias("size"), _hashed(F.slice("wh", i, k)).alias("h")),
-        )
-        return F.when(last >= 1, each)
-
-    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("h")))
-    spots = F.concat(none, *(F.coalesce(of_size(k), F.array().cast("array<struct<at:int,size:int,h:bigint>>")) for k in sizes))
-    spread = base.select(*keep, "rid", "w", F.explode(spots).alias("s"))
-    d, g = spread.alias("d"), grams.alias("g")
-    same = F.array_join(F.slice("d.w", F.col("d.s.at"), F.col("d.s.size")), " ") == F.col("g.gram")
-    met = d.join(g, (F.col("d.s.h") == F.col("g.h")) & (F.col("d.s.size") == F.col("g.size")), "left")
-    met = met.where((F.col("d.s.at") == 0) | (F.col("g.gram").isNotNull() & same))
+    table = hash_set(benchmark_windows(items, window))
+    blocks = max(1, -(-table.count() // limit))
+    base = docs.select(*keep, F.col(text).alias("__text")).withColumn("rid", F.monotonically_increasing_id())
+    if blocks > 1:
+        base = cut(base, "numbered")  # every block must see the same numbers
+    base = base.select(*keep, "rid", words_of(F.col("__text")).alias("w"))
+    parts = [table.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [table]
+    met = reduce(DataFrame.union, (_met(base, p, keep) for p in parts))
     return (
-        met.select(
-            "d.rid",
-            *(F.when(F.col("d.s.at") == 0, F.col(f"d.{k}")).alias(k) for k in keep),
-            F.when(F.col("d.s.at") == 0, F.size("d.w")).alias("n_words"),
-            F.when(F.col("d.s.at") > 0, F.struct(F.col("d.s.at").alias("at"), F.col("d.s.size").alias("size"))).alias("hit"),
-            "g.items",
-        )
-        .groupBy("rid")
+        met.groupBy("rid")
         .agg(
             *(F.max(k).alias(k) for k in keep),
             F.max("n_words").cast("long").alias("n_words"),
