@@ -100,7 +100,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what is labelled as of good quality and not toxic, the background every document."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
-    return lm.score(docs, *lm.fit(docs, good), "doc_id")
+    return lm.score_exact(docs, good)
 
 
 @query
