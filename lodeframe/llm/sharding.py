@@ -59,16 +59,27 @@ def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, count: int
 
 
 def pack_into(sizes: list[tuple[int, int]], count: int):
-    """The packing into at most ``count`` bins of the smallest capacity at which best-fit-decreasing succeeds.
+    """The packing into at most ``count`` bins: groups above the mean alone, the others as evenly as they go.
 
-    The capacity is found by bisection between the mean (or the largest group) and a bound at which any order fits.
+    From the largest on, a group above the mean of what is left over the bins left gets a bin of its own. For the others
+    the smallest capacity at which best-fit-decreasing fills the bins left is found by bisection, between their mean (or
+    their largest group) and a bound at which any order fits.
     """
-    sizes = [(s, n) for s, n in sizes if n]
+    sizes = sorted(((s, n) for s, n in sizes if n), reverse=True)
+    alone = []
+    total, used = sum(s * n for s, n in sizes), 0
+    while sizes and used + 1 < count and sizes[0][0] * (count - used) > total:
+        s, n = sizes[0]
+        # Taking a group of size s away lowers the mean, so the test stays true for all of that size.
+        k = min(n, count - 1 - used)
+        alone += [(s, used + i, 1) for i in range(k)]
+        used, total = used + k, total - s * k
+        sizes = [(s, n - k)] * (n > k) + sizes[1:]
     if not sizes:
-        return []
-    total = sum(s * n for s, n in sizes)
-    low = max(-(-total // count), max(s for s, _ in sizes))
-    high = low + max(s for s, _ in sizes)
+        return alone
+    count -= used
+    low = max(-(-total // count), sizes[0][0])
+    high = low + sizes[0][0]
     best = best_fit_decreasing(sizes, high, count)
     while best is None:
         high *= 2
@@ -80,7 +91,7 @@ def pack_into(sizes: list[tuple[int, int]], count: int):
             low = mid + 1
         else:
             high, best = mid, got
-    return best
+    return alone + [(s, b + used, k) for s, b, k in best]
 
 
 def size_class(size: Column) -> Column:
@@ -116,7 +127,8 @@ def shard(rows: DataFrame, key: str = "group", size: str = "size", count: int =
     Rows with equal ``key`` form one group, and a group goes to one shard whole. Groups are summed (combined before the
     shuffle), counted by size class, and the classes - at most 2**EXACT * (64 - EXACT) rows, however large the input -
     are packed on the driver by best-fit-decreasing; groups of one class are interchangeable, so each takes the place of
-    its number within the class. A group larger than the mean fills a shard of its own. ``key`` and ``size`` must not be
+    its number within the class. A group larger than the mean of the shards left has a shard of its own, and the others are
+    spread evenly over the rest. ``key`` and ``size`` must not be
     null; ``order`` makes the numbering repeatable. An empty table gives an empty result.
     """
     spark = rows.sparkSession
