@@ -1,8 +1,8 @@
 """SentencePiece BPE with seeded merge-dropout, and lossless decoding.
 
 Of a text's candidate merges the best-scored, then leftmost, is taken from the agenda; a keyed hash decides whether it is
-skipped. Skips depend on the seed, the variant (from the document's key and the word's number), the place in the word and
-the merged piece alone, so every run, on any cluster, gives the same ids; with dropout 0 they are the library's own.
+skipped. Skips depend on the seed, the document's key, the word's number in it, the place in the word and the merged piece
+alone, so every occurrence of a word is cut by itself, and every run, on any cluster, gives the same ids; with dropout 0 they are the library's own.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 DROPOUT = 0.1
 SEED = 20240229
-#: How many ways one word may be cut, at most, over all its places.
-VARIANTS = 4
 #: Words longer than this run through the agenda one by one, shorter ones side by side.
 SIDE_BY_SIDE = 24
 
@@ -28,13 +26,13 @@ _NONE = 1 << 30
 class Segmenter:
     """A SentencePiece BPE model: its pieces, merges and scores."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remember: int = 600_000):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, remember: int = 600_000):
         import numpy as np
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.vocab_size()
-        self.dropout, self.seed, self.variants, self.remember = dropout, seed, variants, remember
+        self.dropout, self.seed, self.remember = dropout, seed, remember
         names = [m.id_to_piece(i) for i in range(size)]
         special = [m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in range(size)]
         byte = [m.is_byte(i) for i in range(size)]
@@ -68,14 +66,21 @@ class Segmenter:
                 self.chars[ord(s)] = i
         self.chars[ord(_SPACE)] = -1  # in a text it is no space
         self.chars[ord(" ")] = self.symbol.get(_SPACE, -1)
-        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.known: dict[str, int] = {}
+        self.uncut: list[bytes] = []  # the ids of each known word without skips
+        self.ends = np.zeros(1, np.int64)  # where each known word's candidates end in the two tables below
+        self.places, self.taken = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     # One hash for both ways through the agenda.
     def _skipped(self, variant, place, piece):
         import numpy as np
 
-        if not self.dropout:
+        if variant is None or not self.dropout:
             return np.zeros(np.shape(piece), bool)
         u = np.uint64
         with np.errstate(over="ignore"):
@@ -95,8 +100,11 @@ class Segmenter:
         ok = self.pair[at] == key
         return np.where(ok, self.pair_rank[at], _NONE), np.where(ok, self.pair_piece[at], 0)
 
-    def _together(self, words: list[str], variants) -> list[bytes]:
-        """The ids of words of one length, every word's agenda moving on by one candidate in each step."""
+    def _together(self, words: list[str], variants, trace: list | None = None) -> list[bytes]:
+        """The ids of words of one length, every word's agenda moving on by one candidate in each step.
+
+        Without ``variants`` nothing is skipped. Each step adds (words' numbers, places, pieces) to ``trace``.
+        """
         import numpy as np
 
         n, width = len(words), len(words[0])
@@ -107,7 +115,7 @@ class Segmenter:
         pad = np.full((n, 1), _NONE)
         rank, piece = self._look(sym[:, :-1], sym[:, 1:])
         rank, piece = np.hstack([rank, pad]), np.hstack([piece, pad])  # the last symbol has no right neighbour
-        variants = np.asarray(variants)
+        variants = None if variants is None else np.asarray(variants)
         while len(row):
             best = rank.argmin(1)
             at = np.arange(len(row))
@@ -122,11 +130,14 @@ class Segmenter:
                     else:
                         out[r] = self._ids([(int(s), words[r][int(p)]) for s, p in zip(end[i, :n_left], where[i, :n_left])])
                 on = ~over
-                sym, place, rank, piece, row, left, best, variants = (x[on] for x in (sym, place, rank, piece, row, left, best, variants))
+                sym, place, rank, piece, row, left, best = (x[on] for x in (sym, place, rank, piece, row, left, best))
+                variants = None if variants is None else variants[on]
                 at = np.arange(len(row))
                 if not len(row):
                     break
             new = piece[at, best]
+            if trace is not None:
+                trace.append((row, place[at, best], new))
             skip = self._skipped(variants, place[at, best], new)
             rank[at[skip], best[skip]] = _NONE
             go = np.flatnonzero(~skip)
@@ -150,7 +161,7 @@ class Segmenter:
                 rank[end, side[(side >= 0) & ~ok]] = _NONE
         return out
 
-    def _alone(self, word: str, variant: int) -> bytes:
+    def _alone(self, word: str, variant: int | None, trace: list | None = None) -> bytes:
         """The ids of one word, by an agenda in a heap."""
         import heapq
 
@@ -168,7 +179,11 @@ class Segmenter:
             offer(i)
         while heap:
             _, i, j, a, b, piece = heapq.heappop(heap)
-            if sym[i] != a or nxt[i] != j or sym[j] != b or self._skipped(variant, i, piece):
+            if sym[i] != a or nxt[i] != j or sym[j] != b:
+                continue
+            if trace is not None:
+                trace.append((i, piece))
+            if variant is not None and self._skipped(variant, i, piece):
                 continue
             sym[i], sym[j] = piece, -2
             nxt[i] = nxt[j]
@@ -189,53 +204,82 @@ class Segmenter:
                 out += (self.bytes[x] for x in (_SPACE if c == " " else c).encode())
         return np.array(out, "<u4").tobytes()
 
-    def _learn(self, new: list[list[str]]) -> None:
-        """Cuts the new words of each variant, those of one length side by side."""
-        by: dict[int, tuple[list[str], list[int]]] = {}
-        for v, words in enumerate(new):
-            for w in words:
-                group = by.setdefault(len(w), ([], []))
-                group[0].append(w)
-                group[1].append(v)
-        for size, (words, variants) in by.items():
+    def _learn(self, new: list[str]) -> None:
+        """Notes the new words' ids without skips, and the candidates that are met on the way."""
+        import numpy as np
+
+        by: dict[int, list[str]] = {}
+        for w in new:
+            by.setdefault(len(w), []).append(w)
+        sizes, places, taken = [], [self.places], [self.taken]
+        for size, words in by.items():
             if size > SIDE_BY_SIDE or len(words) < 4:
-                got = map(self._alone, words, variants)
+                got, n = [], []
+                for w in words:
+                    trace: list = []
+                    got.append(self._alone(w, None, trace))
+                    n.append(len(trace))
+                    steps = np.array(trace, np.int64).reshape(-1, 2)
+                    places.append(steps[:, 0])
+                    taken.append(steps[:, 1])
             else:
-                got = self._together(words, variants)
-            for v, w, ids in zip(variants, words, got):
-                self.young[v][w] = ids
+                trace = []
+                got = self._together(words, None, trace)
+                rows, at, piece = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*trace) if trace else ((), (), ())))
+                order = np.argsort(rows, kind="stable")
+                n = np.bincount(rows, minlength=len(words)).tolist()
+                places.append(at[order])
+                taken.append(piece[order])
+            for w, ids in zip(words, got):
+                self.known[w] = len(self.uncut)
+                self.uncut.append(ids)
+            sizes += n
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.array(sizes, np.int64))))
+        self.places, self.taken = np.concatenate(places), np.concatenate(taken)
 
     def encode(self, texts: list[str], keys: list[int]) -> list:
-        """For each text its ids; ``keys`` choose the variants. An empty text has none.
+        """For each text its ids; ``keys`` are the documents' own. An empty text has none.
 
-        Cut words are remembered in two generations: what is met again moves to the young one, and when that is full
-        the old one goes.
+        Only a word's result without skips is remembered, with its candidates. If the hash of an occurrence skips none of
+        these, that result is the occurrence's; otherwise the occurrence runs through the agenda by itself.
         """
         import numpy as np
 
-        n = self.variants
         split = [_WORD.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.young)) > self.remember:
-            self.old, self.young = self.young, [{} for _ in range(n)]
-        new = []
-        for v, (young, old) in enumerate(zip(self.young, self.old)):
-            missing = set().union(*(words[(v - key) % n :: n] for words, key in zip(split, keys))).difference(young)
-            new.append([])
-            for w in missing:
-                ids = old.get(w)
-                if ids is None:
-                    new[-1].append(w)
+        if len(self.known) > self.remember:
+            self._forget()
+        words = [w for ws in split for w in ws]
+        self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        out = [self.uncut[i] for i in which.tolist()]
+        if self.dropout and words:
+            n = np.fromiter(map(len, split), np.int64, len(split))
+            number = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                own = np.repeat(np.array([k % 2**64 for k in keys], np.uint64), n) * np.uint64(0xFF51AFD7ED558CCD)
+                own = (own ^ own >> np.uint64(33)) + number.astype(np.uint64)
+                own = (own ^ own >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+                own = own ^ own >> np.uint64(29)
+            start, size = self.ends[which], np.diff(self.ends)[which]
+            of = np.repeat(np.arange(len(words)), size)
+            at = np.arange(len(of)) + np.repeat(start - (np.cumsum(size) - size), size)
+            cut = np.unique(of[self._skipped(own[of], self.places[at], self.taken[at])])
+            by: dict[int, list[int]] = {}
+            for i in cut.tolist():
+                by.setdefault(len(words[i]), []).append(i)
+            for width, places in by.items():
+                group, variants = [words[i] for i in places], own[places]
+                if width > SIDE_BY_SIDE or len(group) < 4:
+                    got = list(map(self._alone, group, variants))
                 else:
-                    young[w] = ids
-        self._learn(new)
-        out = []
-        for words, key in zip(split, keys):
-            parts: list = [b""] * len(words)
-            for v, young in enumerate(self.young):
-                at = (v - key) % n
-                parts[at::n] = map(young.__getitem__, words[at::n])
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
-        return out
+                    got = self._together(group, variants)
+                for i, ids in zip(places, got):
+                    out[i] = ids
+        done, at = [], 0
+        for ws in split:
+            done.append(np.frombuffer(b"".join(out[at : at + len(ws)]), "<u4"))
+            at += len(ws)
+        return done
 
     def decode(self, ids) -> str:
         """The text of ``ids``: whatever was skipped, exactly the text that was encoded."""
@@ -254,10 +298,10 @@ def _segmenter(*how) -> Segmenter:
 
 
 def _key(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 20)).cast("int")
+    return F.xxhash64(doc_id.cast("string"))
 
 
-def encode(docs: DataFrame, model: str, *keep: str, doc_id: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, *keep: str, doc_id: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, ids: bool = True) -> DataFrame:
     """The columns ``keep`` of each row, ``n_tokens``, ``ids`` (if asked for), ``ids_crc32``, ``text_crc32`` and ``lossless``.
 
     ``text_crc32`` is that of the text decoded from the ids, and ``lossless`` tells whether that is the text itself.
@@ -272,7 +316,7 @@ def encode(docs: DataFrame, model: str, *keep: str, doc_id: str = "doc_id", text
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(n, t, False) for n, t in more])
 
     def run(batches):
-        m = _segmenter(model, dropout, seed, variants)
+        m = _segmenter(model, dropout, seed)
         for whole in batches:
             sizes = [len(x) if x is not None else 0 for x in (s.as_py() for s in whole.column(len(keep)))]
             for i, j in _pieces(sizes):
