@@ -70,8 +70,7 @@ def features(text: str | None, lexicon: _Memo) -> list[float]:
     words = _WORD.findall(low)
     n = len(words)
     if not n:
-        marks = sum(not c.isspace() for c in text[:1000])
-        return [0.0] * 8 + [float(bool(marks))] + [0.0] * 4
+        return [0.0] * 8 + [float(bool(text.strip()))] + [0.0] * 4
     scores = list(map(lexicon.__getitem__, words))
     hits = [i for i, s in enumerate(scores) if s] if any(scores) else []
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
