@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; any other session raises, since its executors would
+    not see each other's files.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodeframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -26,16 +33,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lodeframe_path = path
-    return out
+    return holding(spark.read.schema(df.schema).parquet(path), path)
+
+
+def holding(df: DataFrame, *tables: DataFrame | str | None) -> DataFrame:
+    """``df``, noting the tables (or paths) that it reads and that nothing else needs; ``release(df)`` deletes them."""
+    held = list(getattr(df, "_lodeframe_paths", []))
+    for t in tables:
+        held += [t] if isinstance(t, str) else getattr(t, "_lodeframe_paths", [])
+    df._lodeframe_paths = held
+    return df
 
 
 def release(*tables: DataFrame | None) -> None:
-    """Deletes tables made by ``cut`` that nothing reads any more."""
+    """Deletes what ``cut`` wrote for these tables; nothing may read them any more."""
     for t in tables:
-        path = getattr(t, "_lodeframe_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+        for path in getattr(t, "_lodeframe_paths", []):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
