@@ -12,12 +12,14 @@ import os
 import re
 import struct
 import zlib
-from array import array
+from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeframe.llm.batch import coded_words, joined, slices, word_of, worker_cache
+
 BLOCK = 2048
 #: A file is closed at this many ids; documents are never cut, so a longer one makes a longer file of its own.
 FILE_IDS = 1 << 18
@@ -119,6 +121,12 @@ class TokenFile:
             self._last = k, unpack_block(self.raw, self.at + int(self.blocks[k]))
         return self._last[1]
 
+    def all(self):
+        """The ids of all documents, one after another."""
+        import numpy as np
+
+        return np.concatenate([np.zeros(0, np.uint32), *(unpack_block(self.raw, self.at + int(k)) for k in self.blocks)])
+
     def ids(self, i: int):
         import numpy as np
 
@@ -144,93 +152,125 @@ def _byte_marks() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: What Arrow may not split: white space after a space, other white space than spaces and line breaks, runs of line breaks
+#: that are one chunk.
+_ODD = " [\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]| $|\n\n[\n ]|\n\n$|" + (
+    "[\\t\\x0b-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+)
+#: Letters of which every version of Unicode says that they are letters.
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 class Encoder:
     """Ids by the tokenizers library; a chunk between two cuts is encoded once for as long as it is remembered.
 
-    Chunks live in two generations of ``remember`` entries: what is met again moves to the young one, and when that is
-    full the old one goes. The tokenizer's pattern makes one word of a space and letters, and one of the marks behind
-    them, so such chunks are put together from these two; all others go through the whole tokenizer.
+    Texts are cut, and their chunks numbered, by Arrow for a whole batch; the ids of all chunks stand in one array, from
+    which those of the texts are gathered. The tokenizer's pattern makes one word of a space and letters, and one of the
+    marks behind them, so such chunks are put together from these two; all others go through the whole tokenizer. Texts
+    that hold a special token go through it whole, unless ``plain_specials`` takes these for ordinary text.
     """
 
     #: Marks that may follow letters; an apostrophe may not, for the pattern knows contractions.
     MARKS = '.,;:!?)("-*#$%&|<>=+/'
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 700_000, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.remember, self.marks = remember, _byte_marks()
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one word of the pattern."""
-        if word.isascii():  # letters and marks stand for themselves
-            shown = "\u0120" + word[1:] if word[0] == " " else word
-        else:
-            shown = word.encode().decode("latin-1").translate(self.marks)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        young, old, whole = self.young, self.old, []
-
-        def part(word: str) -> bytes:
-            got = young.get(word)
-            if got is None:
-                got = young[word] = old.get(word) or self._word(word)
-            return got
-
-        for c in new:
-            head = c.rstrip(self.MARKS)
-            if head.isalpha() or head[:1] == " " and head[1:].isalpha():
-                young[c] = part(head) + part(c[len(head) :]) if len(head) < len(c) else part(c)
-            else:
-                whole.append(c)
-        for i in range(0, len(whole), 20_000):
-            some = whole[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            young.update(zip(some, (array("I", e.ids).tobytes() for e in got)))
+        self.tokenizer.encode_special_tokens = plain_specials
+        known = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if plain_specials else [t.content for t in known]
+        self.remember, self.shown = remember, _byte_marks()
+        self._forget()
 
-    def encode(self, texts: list[str]) -> list:
-        """For each text its ids and END, as unsigned 32-bit integers."""
+    def _forget(self) -> None:
         import numpy as np
 
-        split = [_CHUNK.findall(t) for t in texts]
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {}
-        missing = set().union(*split).difference(self.young)
-        old, young, new = self.old, self.young, []
-        for c in missing:
-            ids = old.get(c)
-            if ids is None:
-                new.append(c)
-            else:
-                young[c] = ids
-        self._learn(new)
-        get, end = young.__getitem__, struct.pack("<I", END)
-        return [np.frombuffer(b"".join([*map(get, chunks), end]), "<u4") for chunks in split]
-
-
-_encoders: dict[str, Encoder] = {}
+        self.place: dict[str, int] = {}  # key of a chunk -> its row in ``where``
+        self.tails: dict[str, list[int]] = {}
+        self.where = np.zeros((1 << 16, 2), np.int64)  # where a chunk's ids start in ``flat``, how many
+        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
 
+    def _marks(self, tail: str) -> list[int]:
+        if tail not in self.tails:
+            self.tails[tail] = [t.id for t in self.tokenizer.model.tokenize(tail)]
+        return self.tails[tail]
 
-def _encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept for its next tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
+    def _learn(self, new: list[str]) -> None:
+        """Notes the ids of the chunks of some keys, none of which is known."""
+        import numpy as np
 
-def _grouped(texts: list[str], limit: int = 1 << 20):
-    """Slices of a list that hold about ``limit`` characters each."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit or i + 1 == len(texts):
-            yield at, i + 1
-            at, size = i + 1, 0
+        ids: list[int] = []
+        ends, whole, tokenize, marks = [], [], self.tokenizer.model.tokenize, self.MARKS
+        for i, c in enumerate(new):
+            if c.isascii() and c.isalpha():  # letters and marks stand for themselves
+                ids += [t.id for t in tokenize("\u0120" + c)]
+            else:
+                word = word_of(c)
+                head = word.rstrip(marks)
+                if head and _LETTERS.fullmatch(head):
+                    shown = head.replace(" ", "\u0120") if head.isascii() else head.encode().decode("latin-1").translate(self.shown)
+                    ids += [t.id for t in tokenize(shown)]
+                    if len(head) < len(word):
+                        ids += self._marks(word[len(head) :])
+                else:
+                    whole.append(i)
+            ends.append(len(ids))
+        ends = np.array(ends, np.int64)
+        size = np.diff(ends, prepend=0)
+        start = ends - size
+        for i in range(0, len(whole), 20_000):
+            some = whole[i : i + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([word_of(new[k]) for k in some], add_special_tokens=False)):
+                start[k], size[k] = len(ids), len(e.ids)
+                ids += e.ids
+        flat = np.array(ids, np.uint32)
+        n, m = len(self.place), len(new)
+        while n + m > len(self.where):
+            self.where = np.concatenate([self.where, np.zeros_like(self.where)])
+        while self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.where[n : n + m, 0], self.where[n : n + m, 1] = self.filled + start, size
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        self.filled += len(flat)
+        self.place.update(zip(new, range(n, n + m)))
+
+    def encode(self, texts) -> list:
+        """For each text (of a list or an Arrow array) its ids and END, as unsigned 32-bit integers."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        marked = pa.array([False] * len(texts))
+        for content in self.special:
+            marked = pc.or_(marked, pc.match_substring(texts, content))
+        regular = pc.invert(pc.or_(marked, pc.match_substring_regex(texts, _ODD)))
+        keys, which, sizes = coded_words(pc.if_else(marked, "", texts), regular, _CHUNK.findall, False, True)
+        if len(self.place) > self.remember:
+            self._forget()
+        row = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        used = np.zeros(len(keys), bool)
+        used[which] = True
+        new = np.flatnonzero((row < 0) & used)
+        row[new] = np.arange(len(self.place), len(self.place) + len(new))
+        self._learn([keys[i] for i in new.tolist()])
+        at = self.where[row[which]]
+        flat, ends = joined(self.flat, at[:, 0], at[:, 1])
+        cuts = np.concatenate([[0], ends])[np.cumsum(sizes)]
+        lengths = np.diff(cuts, prepend=0)
+        out = np.full(len(flat) + len(lengths), END, np.uint32)
+        ends = np.cumsum(lengths + 1)
+        keep = np.ones(len(out), bool)
+        keep[ends - 1] = False
+        out[keep] = flat
+        done = np.split(out, ends[:-1])
+        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            done[i] = np.array([*self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, END], np.uint32)
+        return done
 
 
 FILE_SCHEMA = T.StructType([
@@ -251,7 +291,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     from pyspark import TaskContext
 
     def run(batches):
-        enc, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = worker_cache(("tokens", tokenizer), lambda: Encoder(tokenizer)), TaskContext.get().partitionId()
         held, size, seq, start = [], 0, 0, 0
 
         def close():
@@ -262,8 +302,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=FILE_SCHEMA.names)
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in _grouped(texts):
+            ids, texts = b.column(0).to_pylist(), b.column(1).fill_null("")
+            for i, j in slices(texts):
                 for d, tokens in zip(ids[i:j], enc.encode(texts[i:j])):
                     held.append((d, tokens))
                     size += len(tokens)
@@ -273,7 +313,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
             yield close()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows with a null id would all meet in one range; there they are told apart by their texts.
+    rows = rows.repartitionByRange("doc_id", F.when(F.col("doc_id").isNull(), F.substring("text", 1, 64)))
+    rows = rows.sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -297,7 +339,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for part, start, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 f = TokenFile(raw.as_py())
                 n = len(f.docs)
-                crc = [zlib.crc32(f.ids(i).astype("<u4").tobytes()) for i in range(n)]
+                flat = memoryview(f.all().astype("<u4")).cast("B")
+                crc = [zlib.crc32(flat[4 * i : 4 * j]) for i, j in zip(f.starts, f.starts[1:])]
                 at = [base.value[part] + start + s for s in f.starts[:-1]]
                 size = [f.starts[i + 1] - f.starts[i] for i in range(n)]
                 cols = [pa.array(c, pa.int64()) for c in (f.docs, at, size, crc)]
