@@ -1,103 +1,33 @@
 """Cross-entropy difference between matched target and background bigram models.
 
 Both models have one shared vocabulary, the same order and smoothing, and differ only in the documents they count; a
-document's score is the mean over its tokens of target loss minus background loss. ``score_exact``, which the query runs,
-counts every n-gram by itself in tables that grow with the corpus. ``fit`` and ``score`` keep models of a fixed number of
-hashed slots, for callers that need a model to hold in memory; there, colliding n-grams share their counts.
+document's score is the mean over its tokens of target loss minus background loss. Every n-gram is counted by itself, in
+tables that grow with the corpus, and every document is scored by models that did not count it: its own counts are taken
+away first, so a target document is no likelier for being one. Each model's estimates of the words of the vocabulary sum
+to one after every history.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.storage import cut
+from lodeframe.llm.batch import worker_cache
+from lodeframe.storage import cut, holding
 
-#: Slots of the shared vocabulary and of the bigram table, as powers of two.
-VOCABULARY_BITS, BIGRAM_BITS = 18, 20
-#: The weight of the bigram estimate against the unigram one, and the count added to every vocabulary slot.
+#: The weight of the bigram estimate against the unigram one, and the count added to every word of the vocabulary.
 MIX, ADD = 0.7, 0.5
 #: Up to so many target ids (some 50 MB) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
-#: The history of a document's first token.
-BEGIN = 1 << VOCABULARY_BITS
 #: Bytes of text whose n-grams are combined before they are shuffled, and bytes of text for each range of n-gram hashes.
 BATCH, RANGE = 4 << 20, 8 << 20
 #: The 64-bit hash that stands for the history of a first token in exact counts.
 FIRST = 0x5851F42D4C957F2D
 
 
-def slots(text: str | None):
-    """(unigram slots, bigram slots) of a text's words: runs of other bytes than ASCII white space, A-Z lower-cased."""
-    import numpy as np
-
-    words = text.encode().lower().split() if text else []
-    h = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
-    uni = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
-    last = np.concatenate(([BEGIN], uni[:-1])) if len(uni) else uni
-    mixed = (last.astype(np.uint64) << np.uint64(32) | uni.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    bi = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BIGRAM_BITS)
-    return uni, last, bi.astype(np.int64)
-
-
-@dataclass
-class Counts:
-    """One model: counts of words by slot, of histories by slot (and BEGIN), of bigrams by slot."""
-
-    words: object
-    histories: object
-    pairs: object
-
-    def loss(self, uni, last, bi):
-        """-log2 P of each token, with P mixed of the bigram and the smoothed unigram estimate."""
-        import numpy as np
-
-        size = 1 << VOCABULARY_BITS
-        single = (self.words[uni] + ADD) / (self.total + ADD * size)
-        seen = self.histories[last]
-        pair = np.minimum(self.pairs[bi], seen) / np.maximum(seen, 1)
-        return -np.log2(np.where(seen > 0, MIX * pair + (1 - MIX) * single, single))
-
-    @property
-    def total(self) -> float:
-        return float(self.words.sum())
-
-
-def count(docs: DataFrame, in_target: str) -> DataFrame:
-    """(slot, background, target): the counts of all documents, and of those where ``in_target`` holds.
-
-    Every task adds up its own tables and emits their non-zero slots; these are summed by slot. Slots of words come
-    first, then of histories, then of bigrams.
-    """
-    import pyarrow as pa
-
-    sizes = (1 << VOCABULARY_BITS, BEGIN + 1, 1 << BIGRAM_BITS)
-
-    def run(batches):
-        import numpy as np
-
-        sums = np.zeros((2, sum(sizes)), dtype=np.int64)
-        for b in batches:
-            for text, own in zip(b.column(0), b.column(1).to_pylist()):
-                uni, last, bi = slots(text.as_py())
-                at = np.concatenate((uni, last + sizes[0], bi + sizes[0] + sizes[1]))
-                np.add.at(sums[0], at, 1)
-                if own:
-                    np.add.at(sums[1], at, 1)
-        full = np.flatnonzero(sums[0])
-        for i in range(0, len(full), 100_000):
-            k = full[i : i + 100_000]
-            cols = [pa.array(k.astype(np.int32)), pa.array(sums[0, k]), pa.array(sums[1, k])]
-            yield pa.RecordBatch.from_arrays(cols, names=["slot", "background", "target"])
-
-    got = docs.select("text", in_target).mapInArrow(run, "slot int, background long, target long")
-    return got.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
 def _marked(docs: DataFrame, target_ids: DataFrame, limit: int) -> DataFrame:
     """doc_id, text and whether the id is listed (``__in``)."""
     ids = target_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().withColumn("__in", F.lit(True))
@@ -107,56 +37,6 @@ def _marked(docs: DataFrame, target_ids: DataFrame, limit: int) -> DataFrame:
     return found.select("doc_id", "text", F.coalesce("__in", F.lit(False)).alias("__in"))
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_IDS) -> tuple[Counts, Counts]:
-    """(target, background) models. The background counts all documents, the target those whose doc_id is listed.
-
-    Null texts have no tokens, null ids are never in the target, repeated ids in the list count once.
-    """
-    import numpy as np
-
-    got = count(_marked(docs, target_ids, limit).select("text", "__in"), "__in").toArrow()
-    size = (1 << VOCABULARY_BITS) + BEGIN + 1 + (1 << BIGRAM_BITS)
-    out = []
-    for name in ("target", "background"):
-        full = np.zeros(size, dtype=np.float32)
-        full[got["slot"].to_numpy()] = got[name].to_numpy()
-        out.append(Counts(*np.split(full, [1 << VOCABULARY_BITS, (1 << VOCABULARY_BITS) + BEGIN + 1])))
-    return out[0], out[1]
-
-
-def score(docs: DataFrame, target: Counts, background: Counts, *keep: str, text: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row, n_tokens, loss_target, loss_background (bits a token) and their difference.
-
-    ``difference`` is the mean of the per-token differences: the lower, the closer to the target. Texts without a token
-    have zeros. One pass without a shuffle; a text is scored whole. An empty table gives an empty result.
-    """
-    import pyarrow as pa
-
-    names = ["n_tokens", "loss_target", "loss_background", "difference"]
-    types = [T.LongType(), *[T.DoubleType()] * 3]
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(n, t, False) for n, t in zip(names, types)])
-    held = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def run(batches):
-        import numpy as np
-
-        t, b = held.value
-        for batch in batches:
-            rows = []
-            for x in batch.column(len(keep)):
-                at = slots(x.as_py())
-                n = len(at[0])
-                if n:
-                    lt, lb = t.loss(*at), b.loss(*at)
-                    rows.append((n, float(lt.mean()), float(lb.mean()), float(np.mean(lt - lb))))
-                else:
-                    rows.append((0, 0.0, 0.0, 0.0))
-            cols = [pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.float64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=schema.names)
-
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
-
-
 def _grams(texts: list[str | None]):
     """Of the tokens of some texts: text number, place of word and history in ``kinds``, these, place of bigram, bigrams.
 
@@ -196,13 +76,19 @@ def _unpack(raw: bytes, rows: int):
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").reshape(rows, -1)
 
 
-def score_exact(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background and difference, as of ``score``, by exact counts of all n-grams.
+def score(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background (bits a token) and their difference, for every row of ``docs``.
+
+    The background counts all documents, the target those whose doc_id is listed in ``target_ids``. The lower the
+    difference, the closer to the target. Words and bigrams are told by 64-bit hashes, and the vocabulary is the number of
+    different words. Documents are put together in batches of BATCH bytes; each batch sends every different n-gram with
+    its counts once to the range of its hash, where they are added up, and gets the sums back in the same order. Ranges
+    grow in number with the texts, so none grows with them, and a common n-gram is one entry a batch. Only three totals
+    reach the driver.
 
-    Words and bigrams are told by 64-bit hashes, and the vocabulary is the number of different words. Documents are put
-    together in batches of BATCH bytes; each batch sends every different n-gram with its counts once to the range of its
-    hash, where they are added up, and gets the sums back in the same order. Ranges grow in number with the texts, so none
-    grows with them, and a common n-gram is one entry a batch. Only three totals reach the driver.
+    Null and empty texts have no tokens and zeros; a null id is never in the target; repeated ids in the list count once;
+    repeated rows stay repeated and count each other; a text is scored whole, however long; other columns are ignored; an
+    empty table gives an empty result.
     """
     import pyarrow as pa
 
@@ -215,6 +101,8 @@ def score_exact(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_I
     def gather(batches):
         import os
 
+        worker_cache(None)
+
         def row(rows, size):
             one = [[int.from_bytes(os.urandom(8), "big") >> 1], [size], *([list(x)] for x in zip(*rows))]
             kinds = [pa.int64(), pa.int64(), pa.list_(ids), pa.list_(pa.string()), pa.list_(pa.bool_())]
@@ -238,6 +126,7 @@ def score_exact(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_I
     def send(batches):
         import numpy as np
 
+        worker_cache(None)
         bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
         for b in batches:
             for batch, texts, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
@@ -281,6 +170,14 @@ def score_exact(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_I
         import numpy as np
 
         doc, word, history, kinds, which, pairs = _grams(left["texts"][0].as_py())
+        member = np.array(left["own"][0].as_py(), bool)[doc]
+
+        def own(at, n):
+            """How often each token's document holds what stands at ``at``."""
+            _, place, times = np.unique(doc * n + at, return_inverse=True, return_counts=True)
+            return times[place]
+
+        own_word, own_history, own_pair = own(word, len(kinds)), own(history, len(kinds)), own(which, len(pairs))
         got = sorted(zip(right["bigrams"].to_pylist(), right["range"].to_pylist(), right["n"].to_pylist()), key=lambda r: r[:2])
         single = np.hstack([_unpack(x, 4) for bigrams, _, x in got if not bigrams])
         double = np.hstack([np.zeros((2, 0), np.int64), *(_unpack(x, 2) for bigrams, _, x in got if bigrams)])
@@ -288,12 +185,14 @@ def score_exact(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_I
         n = np.bincount(doc, minlength=len(ids))
         loss = []
         for k in (1, 0):
-            one = (single[k][word] + ADD) / (tokens[k] + ADD * size)
-            seen = single[2 + k][history]
-            p = np.where(seen > 0, MIX * (double[k][which] / np.maximum(seen, 1)) + (1 - MIX) * one, one)
-            loss.append(-np.log2(p))
+            mine = member if k else 1
+            one = (single[k][word] - mine * own_word + ADD) / (tokens[k] - mine * n[doc] + ADD * size)
+            seen = single[2 + k][history] - mine * own_history
+            pair = (double[k][which] - mine * own_pair) / np.maximum(seen, 1)
+            loss.append(-np.log2(np.where(seen > 0, MIX * pair + (1 - MIX) * one, one)))
         cols = [np.bincount(doc, weights=x, minlength=len(ids)) / np.maximum(n, 1) for x in (*loss, loss[0] - loss[1])]
         return pa.table([ids, pa.array(n.astype(np.int64)), *map(pa.array, cols)], names=schema.names)
 
-    kept = packed.select("batch", "ids", "texts").groupBy("batch")
-    return kept.cogroup(added.select("batch", "bigrams", "range", "n").groupBy("batch")).applyInArrow(finish, schema)
+    kept = packed.select("batch", "ids", "texts", "own").groupBy("batch")
+    sums = added.select("batch", "bigrams", "range", "n").groupBy("batch")
+    return holding(kept.cogroup(sums).applyInArrow(finish, schema), packed, added)

@@ -9,24 +9,31 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.batch import coded_words, joined, slices, word_of, worker_cache
+
 DROPOUT = 0.1
 SEED = 20240229
-#: Words longer than this run through the agenda one by one, shorter ones side by side.
+#: Words longer than this run through an agenda in a heap, shorter ones side by side.
 SIDE_BY_SIDE = 24
+#: Words that a Python worker remembers (some 0.6 kB each), and bytes of text that it cuts at a time.
+REMEMBER, SLICE = 200_000, 2 << 20
 
 _SPACE = "▁"
-_WORD = re.compile(" *[^ ]+| +")
+#: What no piece crosses: spaces stand only at the beginning of a piece, line breaks in none.
+_WORD = re.compile(" *[^ \n]+| +|\n")
 _NONE = 1 << 30
+_MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 class Segmenter:
     """A SentencePiece BPE model: its pieces, merges and scores."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, remember: int = 600_000):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, remember: int = REMEMBER):
         import numpy as np
         import sentencepiece
 
@@ -56,11 +63,8 @@ class Segmenter:
                 if a is not None and b is not None:
                     merges[a << 32 | b] = place[m.get_score(i)], i
         self.merges = merges
-        keys = sorted(merges)
-        self.pair = np.array(keys, dtype=np.int64)
-        self.pair_rank = np.array([merges[k][0] for k in keys], dtype=np.int64)
-        self.pair_piece = np.array([merges[k][1] for k in keys], dtype=np.int64)
-        self.chars = np.full(0x110000, -1, dtype=np.int64)
+        self._tabulate(merges)
+        self.chars = np.full(0x110000, -1, dtype=np.int32)
         for s, i in self.symbol.items():
             if len(s) == 1:
                 self.chars[ord(s)] = i
@@ -68,13 +72,29 @@ class Segmenter:
         self.chars[ord(" ")] = self.symbol.get(_SPACE, -1)
         self._forget()
 
+    def _tabulate(self, merges: dict) -> None:
+        """The merges as an open-addressed hash table of at most a quarter's load."""
+        import numpy as np
+
+        self.bits = max(12, (4 * len(merges)).bit_length())
+        size = 1 << self.bits
+        self.slot_key = np.full(size, -1, np.int64)
+        self.slot_rank, self.slot_piece = np.full(size, _NONE, np.int32), np.zeros(size, np.int32)
+        for key, (rank, piece) in merges.items():
+            at = ((key * _MULTIPLIER) % 2**64) >> (64 - self.bits)
+            while self.slot_key[at] >= 0:
+                at = (at + 1) % size
+            self.slot_key[at], self.slot_rank[at], self.slot_piece[at] = key, rank, piece
+
     def _forget(self) -> None:
         import numpy as np
 
-        self.known: dict[str, int] = {}
-        self.uncut: list[bytes] = []  # the ids of each known word without skips
-        self.ends = np.zeros(1, np.int64)  # where each known word's candidates end in the two tables below
-        self.places, self.taken = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}  # key of a word -> the node of its first candidate
+        # Nodes: a candidate's place and piece and the nodes after it is taken or skipped, -1 while unknown. The end of
+        # an agenda is a node of piece -1 that holds where its ids start in ``flat`` and how many they are.
+        self.nodes = np.zeros((1 << 16, 4), np.int32)
+        self.used = 0
+        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
 
     # One hash for both ways through the agenda.
     def _skipped(self, variant, place, piece):
@@ -95,74 +115,93 @@ class Segmenter:
         """(rank, piece) of the merges of symbols a and b; rank _NONE where there is none."""
         import numpy as np
 
-        key = np.where((a < 0) | (b < 0), -1, a << 32 | np.maximum(b, 0))
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        ok = self.pair[at] == key
-        return np.where(ok, self.pair_rank[at], _NONE), np.where(ok, self.pair_piece[at], 0)
-
-    def _together(self, words: list[str], variants, trace: list | None = None) -> list[bytes]:
-        """The ids of words of one length, every word's agenda moving on by one candidate in each step.
-
-        Without ``variants`` nothing is skipped. Each step adds (words' numbers, places, pieces) to ``trace``.
+        key = a.astype(np.int64) << 32 | b
+        at = ((key.astype(np.uint64) * np.uint64(_MULTIPLIER)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.slot_key[at]
+        wrong = (got != key) & (got >= 0)
+        while wrong.any():
+            at[wrong] = (at[wrong] + 1) & (len(self.slot_key) - 1)
+            got[wrong] = self.slot_key[at[wrong]]
+            wrong &= (got != key) & (got >= 0)
+        return np.where(got == key, self.slot_rank[at], _NONE).astype(np.int32), self.slot_piece[at]
+
+    def _together(self, words: list[str], variants):
+        """(ids of all words, where each word's start, how many, steps) of words of one length.
+
+        Every word's agenda moves on by one candidate in each step; ``steps`` lists (words' numbers, places, pieces,
+        skipped) of each. Without ``variants`` nothing is skipped.
         """
         import numpy as np
 
         n, width = len(words), len(words[0])
         sym = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")].reshape(n, width)
-        place = np.tile(np.arange(width), (n, 1))
-        out: list = [None] * n
-        row, left = np.arange(n), np.full(n, width)
-        pad = np.full((n, 1), _NONE)
-        rank, piece = self._look(sym[:, :-1], sym[:, 1:])
-        rank, piece = np.hstack([rank, pad]), np.hstack([piece, pad])  # the last symbol has no right neighbour
+        place = np.tile(np.arange(width, dtype=np.int16), (n, 1))
+        start, size, made, filled = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+        row, left, k = np.arange(n), np.full(n, width), np.arange(width)
+        rank, piece = np.full((n, width), _NONE, np.int32), np.zeros((n, width), np.int32)
+        rank[:, :-1], piece[:, :-1] = self._look(sym[:, :-1], sym[:, 1:])  # the last symbol has no right neighbour
         variants = None if variants is None else np.asarray(variants)
+        steps = []
         while len(row):
             best = rank.argmin(1)
             at = np.arange(len(row))
             over = rank[at, best] == _NONE
             if over.any():
-                end, size = sym[over], left[over]
-                known = ((end >= 0) & (end < self.size) | (np.arange(width) >= size[:, None])).all(1).tolist()
-                raw, where = end.astype("<u4").tobytes(), place[over]
-                for i, (r, n_left, plain) in enumerate(zip(row[over].tolist(), size.tolist(), known)):
-                    if plain:
-                        out[r] = raw[4 * width * i : 4 * (width * i + n_left)]
-                    else:
-                        out[r] = self._ids([(int(s), words[r][int(p)]) for s, p in zip(end[i, :n_left], where[i, :n_left])])
+                end, r, inside = sym[over], row[over], k < left[over][:, None]
+                plain = ((end >= 0) & (end < self.size) | ~inside).all(1)
+                for ids, of, lengths in (
+                    (end[plain][inside[plain]], r[plain], left[over][plain]),
+                    *self._bytewise(end[~plain], place[over][~plain], left[over][~plain], r[~plain], words),
+                ):
+                    made.append(ids.astype(np.uint32))
+                    size[of] = lengths
+                    start[of] = filled + np.cumsum(lengths) - lengths
+                    filled += len(ids)
                 on = ~over
                 sym, place, rank, piece, row, left, best = (x[on] for x in (sym, place, rank, piece, row, left, best))
                 variants = None if variants is None else variants[on]
-                at = np.arange(len(row))
                 if not len(row):
                     break
-            new = piece[at, best]
-            if trace is not None:
-                trace.append((row, place[at, best], new))
-            skip = self._skipped(variants, place[at, best], new)
+                at = np.arange(len(row))
+            new, where = piece[at, best], place[at, best]
+            skip = self._skipped(variants, where, new)
+            steps.append((row, where, new, skip))
             rank[at[skip], best[skip]] = _NONE
             go = np.flatnonzero(~skip)
             if not len(go):
                 continue
-            b, k = best[go], np.arange(width)
+            b = best[go]
             sym[go, b] = new[go]
-            take = np.minimum(k + (k > b[:, None]), width - 1)
-            sym[go] = np.take_along_axis(sym[go], take, 1)
-            place[go] = np.take_along_axis(place[go], take, 1)
             left[go] -= 1
-            # Pair k stands between symbols k and k + 1: the merged pair goes, its two neighbours are new.
-            take = np.minimum(k + (k >= b[:, None]), width - 1)
-            rank[go], piece[go] = np.take_along_axis(rank[go], take, 1), np.take_along_axis(piece[go], take, 1)
+            # The symbol after the merged one goes. Pair k stands between symbols k and k + 1: the merged pair goes, and
+            # its two neighbours are new.
+            pair = np.where(skip, width, best)[:, None]
+            low = int(b.min())
+            moves, behind = k[low : width - 1] >= pair, k[low : width - 1] > pair
+            for table, gone in ((sym, behind), (place, behind), (rank, moves), (piece, moves)):
+                table[:, low : width - 1] = np.where(gone, table[:, low + 1 :], table[:, low : width - 1])
             rank[go, width - 1] = _NONE
             for side in (b - 1, b):
                 ok = (side >= 0) & (side + 1 < left[go])
                 g, s = go[ok], side[ok]
                 rank[g, s], piece[g, s] = self._look(sym[g, s], sym[g, s + 1])
-                end = go[(side >= 0) & ~ok]
-                rank[end, side[(side >= 0) & ~ok]] = _NONE
-        return out
+                out = (side >= 0) & ~ok
+                rank[go[out], side[out]] = _NONE
+            if (most := int(left.max())) < width:
+                width, k = most, k[:most]
+                sym, place, rank, piece = (x[:, :most] for x in (sym, place, rank, piece))
+        return np.concatenate([np.zeros(0, np.uint32), *made]), start, size, steps
+
+    def _bytewise(self, symbols, places, left, rows, words):
+        """(ids, row, how many) of each word that holds characters without a piece, as bytes."""
+        import numpy as np
+
+        for s, p, n, r in zip(symbols, places, left.tolist(), rows.tolist()):
+            ids = self._ids([(int(x), words[r][int(y)]) for x, y in zip(s[:n], p[:n])])
+            yield np.frombuffer(ids, "<u4"), np.array([r]), np.array([len(ids) // 4])
 
     def _alone(self, word: str, variant: int | None, trace: list | None = None) -> bytes:
-        """The ids of one word, by an agenda in a heap."""
+        """The ids of one word, by an agenda in a heap; (place, piece, skipped) of each candidate go to ``trace``."""
         import heapq
 
         n = len(word)
@@ -181,9 +220,10 @@ class Segmenter:
             _, i, j, a, b, piece = heapq.heappop(heap)
             if sym[i] != a or nxt[i] != j or sym[j] != b:
                 continue
+            skip = variant is not None and bool(self._skipped(variant, i, piece))
             if trace is not None:
-                trace.append((i, piece))
-            if variant is not None and self._skipped(variant, i, piece):
+                trace.append((i, piece, skip))
+            if skip:
                 continue
             sym[i], sym[j] = piece, -2
             nxt[i] = nxt[j]
@@ -204,82 +244,114 @@ class Segmenter:
                 out += (self.bytes[x] for x in (_SPACE if c == " " else c).encode())
         return np.array(out, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Notes the new words' ids without skips, and the candidates that are met on the way."""
+    def _grow(self, words: list[str], variants, depth: int):
+        """The nodes that the agendas of ``words`` reach at ``depth``; they and all that follow are added."""
         import numpy as np
 
-        by: dict[int, list[str]] = {}
-        for w in new:
-            by.setdefault(len(w), []).append(w)
-        sizes, places, taken = [], [self.places], [self.taken]
-        for size, words in by.items():
-            if size > SIDE_BY_SIDE or len(words) < 4:
-                got, n = [], []
-                for w in words:
-                    trace: list = []
-                    got.append(self._alone(w, None, trace))
-                    n.append(len(trace))
-                    steps = np.array(trace, np.int64).reshape(-1, 2)
-                    places.append(steps[:, 0])
-                    taken.append(steps[:, 1])
+        first = np.zeros(len(words), np.int64)
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w), []).append(i)
+        for width, at in by.items():
+            group, own = [words[i] for i in at], variants[at]
+            if width > SIDE_BY_SIDE or len(group) < 4:
+                traces: list = [[] for _ in group]
+                done = [np.frombuffer(self._alone(w, v, t), "<u4") for w, v, t in zip(group, own, traces)]
+                ids, size = np.concatenate(done), np.array([len(x) for x in done])
+                start = np.cumsum(size) - size
+                n = np.array([len(t) for t in traces])
+                place, piece, skip = np.array([x for t in traces for x in t], np.int64).reshape(-1, 3).T
+                rows, at_step = np.repeat(np.arange(len(group)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                late = at_step >= depth
+                steps = [(rows[late], place[late], piece[late], skip[late].astype(bool), at_step[late] - depth)]
             else:
-                trace = []
-                got = self._together(words, None, trace)
-                rows, at, piece = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*trace) if trace else ((), (), ())))
-                order = np.argsort(rows, kind="stable")
-                n = np.bincount(rows, minlength=len(words)).tolist()
-                places.append(at[order])
-                taken.append(piece[order])
-            for w, ids in zip(words, got):
-                self.known[w] = len(self.uncut)
-                self.uncut.append(ids)
-            sizes += n
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.array(sizes, np.int64))))
-        self.places, self.taken = np.concatenate(places), np.concatenate(taken)
-
-    def encode(self, texts: list[str], keys: list[int]) -> list:
-        """For each text its ids; ``keys`` are the documents' own. An empty text has none.
-
-        Only a word's result without skips is remembered, with its candidates. If the hash of an occurrence skips none of
-        these, that result is the occurrence's; otherwise the occurrence runs through the agenda by itself.
-        """
+                ids, start, size, steps = self._together(group, own)
+                n = np.zeros(len(group), np.int64)
+                for rows, *_ in steps:
+                    n[rows] += 1
+                steps = [(*step, k) for k, step in enumerate(steps[depth:])]
+            # Each word's nodes stand in a row, the end of its agenda last.
+            n = n - depth + 1
+            last = np.cumsum(n) - 1
+            total = int(n.sum())
+            self._room(total, len(ids))
+            head = self.used + last - n + 1
+            for rows, place, piece, skip, k in steps:
+                node = head[rows] + k
+                self.nodes[node, 0], self.nodes[node, 1] = place, piece
+                self.nodes[node, 2], self.nodes[node, 3] = np.where(skip, -1, node + 1), np.where(skip, node + 1, -1)
+            last += self.used
+            self.nodes[last, 1], self.nodes[last, 2], self.nodes[last, 3] = -1, self.filled + start, size
+            first[at] = head
+            self.flat[self.filled : self.filled + len(ids)] = ids
+            self.used, self.filled = self.used + total, self.filled + len(ids)
+        return first
+
+    def _room(self, nodes: int, ids: int) -> None:
         import numpy as np
 
-        split = [_WORD.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > self.remember:
+        if self.used + nodes > len(self.nodes):
+            self.nodes = np.concatenate([self.nodes, np.zeros((max(nodes, len(self.nodes) // 4), 4), np.int32)])
+        if self.filled + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(ids, len(self.flat) // 4), np.uint32)])
+
+    def encode(self, texts, keys) -> list:
+        """For each text (a list or an Arrow array of strings) its ids; ``keys`` are the documents' own.
+
+        An empty text has none. What an agenda does is remembered as a tree by word: at each candidate the hash of the
+        occurrence decides whether it is taken or skipped, and only ways that no occurrence went before are run anew. So
+        every occurrence goes its own way, at the price of its candidates' hashes.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        regular = pc.and_(pc.invert(odd), pc.greater(pc.binary_length(texts), 0))
+        keyed, which, sizes = coded_words(texts, regular, lambda t: _WORD.findall(" " + t) if t else [], True)
+        if len(self.known) > self.remember or self.used > 10 * self.remember:
             self._forget()
-        words = [w for ws in split for w in ws]
-        self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        out = [self.uncut[i] for i in which.tolist()]
-        if self.dropout and words:
-            n = np.fromiter(map(len, split), np.int64, len(split))
-            number = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-            with np.errstate(over="ignore"):
-                own = np.repeat(np.array([k % 2**64 for k in keys], np.uint64), n) * np.uint64(0xFF51AFD7ED558CCD)
-                own = (own ^ own >> np.uint64(33)) + number.astype(np.uint64)
-                own = (own ^ own >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
-                own = own ^ own >> np.uint64(29)
-            start, size = self.ends[which], np.diff(self.ends)[which]
-            of = np.repeat(np.arange(len(words)), size)
-            at = np.arange(len(of)) + np.repeat(start - (np.cumsum(size) - size), size)
-            cut = np.unique(of[self._skipped(own[of], self.places[at], self.taken[at])])
-            by: dict[int, list[int]] = {}
-            for i in cut.tolist():
-                by.setdefault(len(words[i]), []).append(i)
-            for width, places in by.items():
-                group, variants = [words[i] for i in places], own[places]
-                if width > SIDE_BY_SIDE or len(group) < 4:
-                    got = list(map(self._alone, group, variants))
-                else:
-                    got = self._together(group, variants)
-                for i, ids in zip(places, got):
-                    out[i] = ids
-        done, at = [], 0
-        for ws in split:
-            done.append(np.frombuffer(b"".join(out[at : at + len(ws)]), "<u4"))
-            at += len(ws)
-        return done
+        number = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        with np.errstate(over="ignore"):
+            own = np.repeat(np.array([k % 2**64 for k in keys], np.uint64), sizes) * np.uint64(0xFF51AFD7ED558CCD)
+            own = (own ^ own >> np.uint64(33)) + number.astype(np.uint64)
+            own = (own ^ own >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+            own = own ^ own >> np.uint64(29)
+        node = np.fromiter(map(self.known.get, keyed, repeat(-1)), np.int64, len(keyed))
+        used = np.full(len(keyed), -1)
+        used[which[::-1]] = np.arange(len(which))[::-1]  # the first occurrence of each word
+        new = np.flatnonzero((node < 0) & (used >= 0))
+        if len(new):
+            fresh = [keyed[i] for i in new.tolist()]
+            node[new] = self._grow([word_of(w) for w in fresh], own[used[new]], 0)
+            self.known.update(zip(fresh, node[new].tolist()))
+        at = node[which]
+        on, depth = np.arange(len(at)), 0
+        while True:
+            c = at[on]
+            t = self.nodes[c]
+            live = t[:, 1] >= 0
+            on, c, t = on[live], c[live], t[live]
+            if not len(on):
+                break
+            depth += 1
+            skip = self._skipped(own[on], t[:, 0], t[:, 1])
+            to = np.where(skip, t[:, 3], t[:, 2]).astype(np.int64)
+            lost = np.flatnonzero(to < 0)
+            if len(lost):
+                way, rep, back = np.unique(c[lost] * 2 + skip[lost], return_index=True, return_inverse=True)
+                rep = on[lost[rep]]
+                made = self._grow([word_of(keyed[i]) for i in which[rep].tolist()], own[rep], depth)
+                self.nodes[way >> 1, 2 + (way & 1)] = made
+                to[lost] = made[back]
+            at[on] = to
+        start, size = self.nodes[at, 2].astype(np.int64), self.nodes[at, 3].astype(np.int64)
+        flat, ends = joined(self.flat, start, size)
+        cuts = np.concatenate([[0], ends])[np.cumsum(sizes)]
+        return np.split(flat, cuts[:-1])
 
     def decode(self, ids) -> str:
         """The text of ``ids``: whatever was skipped, exactly the text that was encoded."""
@@ -287,26 +359,17 @@ class Segmenter:
         return raw.removeprefix(b" ").decode(errors="replace")
 
 
-_segmenters: dict[tuple, Segmenter] = {}
-
-
-def _segmenter(*how) -> Segmenter:
-    """One model a Python worker, kept for its next tasks."""
-    if how not in _segmenters:
-        _segmenters[how] = Segmenter(*how)
-    return _segmenters[how]
-
-
 def _key(doc_id: Column) -> Column:
     return F.xxhash64(doc_id.cast("string"))
 
 
-def encode(docs: DataFrame, model: str, *keep: str, doc_id: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, *keep: str, doc_id: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, ids: bool = True, remember: int = REMEMBER, slice_bytes: int = SLICE) -> DataFrame:
     """The columns ``keep`` of each row, ``n_tokens``, ``ids`` (if asked for), ``ids_crc32``, ``text_crc32`` and ``lossless``.
 
     ``text_crc32`` is that of the text decoded from the ids, and ``lossless`` tells whether that is the text itself.
     Null and empty texts have no ids. A literal U+2581, which the library would turn into a space, is written as bytes.
-    No shuffle; texts pass in bounded pieces. Repeated rows give equal ids; an empty table gives an empty result.
+    No shuffle; texts pass in pieces of ``slice_bytes``, and workers remember ``remember`` words: both are paid in memory and
+    only change the time it takes. Repeated rows give equal ids; an empty table gives an empty result.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -316,13 +379,12 @@ def encode(docs: DataFrame, model: str, *keep: str, doc_id: str = "doc_id", text
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(n, t, False) for n, t in more])
 
     def run(batches):
-        m = _segmenter(model, dropout, seed)
+        m = worker_cache(("pieces", model, dropout, seed, remember), lambda: Segmenter(model, dropout, seed, remember))
         for whole in batches:
-            sizes = [len(x) if x is not None else 0 for x in (s.as_py() for s in whole.column(len(keep)))]
-            for i, j in _pieces(sizes):
+            for i, j in slices(whole.column(len(keep)), slice_bytes):
                 b = whole.slice(i, j - i)
-                texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-                got = m.encode(texts, b.column(len(keep) + 1).to_pylist())
+                raw = b.column(len(keep)).fill_null("")
+                got, texts = m.encode(raw, b.column(len(keep) + 1).to_pylist()), raw.to_pylist()
                 back = [m.decode(g) for g in got]
                 cols = [pa.array([len(g) for g in got], pa.int64())]
                 if ids:
@@ -343,12 +405,3 @@ def _lists(got: list):
 
     ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, np.zeros(0, np.uint32)]).astype(np.int32)))
-
-
-def _pieces(sizes: list[int], limit: int = 1 << 20):
-    at = size = 0
-    for i, s in enumerate(sizes):
-        size += s
-        if size >= limit or i + 1 == len(sizes):
-            yield at, i + 1
-            at, size = i + 1, 0

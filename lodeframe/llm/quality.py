@@ -7,6 +7,7 @@ what a rule alone removes (``ablation``), never reads a text again.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 from operator import eq
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeframe.llm.batch import worker_cache
+
 #: The measurements of a text, all long.
 MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_lower n_bangs n_stutter".split()
 
@@ -54,6 +57,10 @@ class Policy:
     version: int
     rules: tuple[str, ...]
 
+    @property
+    def label(self) -> str:
+        return f"{self.name}/{self.version}"
+
     def mask(self, rules: tuple[Rule, ...] = RULES) -> int:
         bits = {r.name: r.bit for r in rules}
         return sum(1 << bits[n] for n in dict.fromkeys(self.rules))
@@ -109,24 +116,34 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def kept(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that fail none of the policy's rules; rejected rows go."""
-    bit = {r.name: r for r in RULES}
-    tests = [compile(bit[n].fails, n, "eval") for n in policy.rules]
+def failure_bits(rules: tuple[Rule, ...] = RULES, inside: str = "") -> Column:
+    """The bits of the rules that fail, from columns named as the measurements or fields of the struct ``inside``."""
+    out = F.lit(0).cast("long")
+    for r in rules:
+        fails = re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"`{inside}`.\1", r.fails) if inside else r.fails
+        out = out.bitwiseOR(F.when(F.expr(fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return out
+
 
-    @F.arrow_udf("boolean")
-    def fine(texts: pa.Array) -> pa.Array:
-        rows = (dict(zip(MEASURES, measure(x.as_py()))) for x in texts)
-        return pa.array([not any(eval(t, {}, m) for t in tests) for m in rows], pa.bool_())
+def kept(docs: DataFrame, policy: Policy, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that fail none of the policy's rules; rejected rows go.
 
-    return docs.where(fine(F.col(text)))
+    The rows' ledger entries are made on the way and the policy is applied to their bits. Null, empty and white-space
+    texts measure zero, a long text is measured whole, repeated rows stay or go together, an empty table stays empty, and
+    columns may have any names.
+    """
+    entry = "entry"
+    while entry in docs.columns:
+        entry += "_"
 
+    @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
+    def measured(texts: pa.Array) -> pa.Array:
+        worker_cache(None)
+        rows = [measure(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))], MEASURES)
 
-def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
-    out = F.lit(0).cast("long")
-    for r in rules:
-        out = out.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return out
+    bits = failure_bits(rules, entry)
+    return docs.withColumn(entry, measured(F.col(text))).where(bits.bitwiseAND(F.lit(policy.mask(rules))) == 0).drop(entry)
 
 
 def ledger(docs: DataFrame, *keep: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,6 +155,7 @@ def ledger(docs: DataFrame, *keep: str, text: str = "text", rules: tuple[Rule, .
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(m, T.LongType(), False) for m in MEASURES])
 
     def run(batches):
+        worker_cache(None)
         for b in batches:
             rows = [measure(x.as_py()) for x in b.column(len(keep))]
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
@@ -146,8 +164,10 @@ def ledger(docs: DataFrame, *keep: str, text: str = "text", rules: tuple[Rule, .
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumn("fail_bits", failure_bits(rules))
 
 
-def apply_policy(entries: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:
-    """Adds ``column``: whether the row fails none of the policy's rules."""
+def apply_policy(entries: DataFrame, policy: Policy, column: str = "kept", label: str | None = None) -> DataFrame:
+    """Adds ``column``: whether the row fails none of the policy's rules; and ``label``, if given: the policy's name and version."""
+    if label:
+        entries = entries.withColumn(label, F.lit(policy.label))
     return entries.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(policy.mask())) == 0)
 
 

@@ -33,10 +33,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ledger entry, with the verdicts of the base and the strict policy."""
     entries = quality.ledger(table(spark, sf_dir, "documents"), "doc_id")
-    both = quality.apply_policy(quality.apply_policy(entries, quality.BASE, "base_kept"), quality.STRICT, "kept")
+    both = quality.apply_policy(quality.apply_policy(entries, quality.BASE, "base_kept"), quality.STRICT, "kept", "policy")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rest = [m for m in quality.MEASURES if m not in first]
-    return both.select(*first, (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits", *rest)
+    return both.select(*first, (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits", *rest, "policy")
 
 
 def _op1_sql() -> str:
@@ -61,7 +61,7 @@ m AS (SELECT w.rid, doc_id, len(ws) AS n_words, length(regexp_replace(t, '{space
 b AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   fail_bits & {quality.BASE.mask()} <> 0 AS base_failed, fail_bits & {quality.STRICT.mask()} = 0 AS kept,
-  fail_bits, n_lines, n_upper, n_lower, n_bangs, n_stutter FROM b"""
+  fail_bits, n_lines, n_upper, n_lower, n_bangs, n_stutter, '{quality.STRICT.label}' AS policy FROM b"""
 
 
 ORACLE["op1_quality_rules"] = _op1_sql()
@@ -100,7 +100,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what is labelled as of good quality and not toxic, the background every document."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
-    return lm.score_exact(docs, good)
+    return lm.score(docs, good)
 
 
 @query
@@ -147,7 +147,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), "doc_id", ids=False)
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), "doc_id", ids=False, remember=800_000, slice_bytes=6 << 20)
 
 
 @query

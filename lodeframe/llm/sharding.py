@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.storage import cut
+from lodeframe.storage import cut, holding, release
 
 #: Group sizes below 2**EXACT are packed exactly, larger ones as rounded up to EXACT significant bits; so there are at
 #: most 2**EXACT * (64 - EXACT) size classes whatever the input, and only these come to the driver.
@@ -17,12 +15,73 @@ EXACT = 12
 RUN = 50_000
 
 
+class Tree:
+    """A treap of (remaining, bin): ordered by key, heap-ordered by a hash of the bin, so its depth is logarithmic."""
+
+    def __init__(self):
+        self.root = None
+
+    @staticmethod
+    def _rank(key: tuple[int, int]) -> int:
+        return key[1] * 0x9E3779B97F4A7C15 % (1 << 64) ^ key[1] >> 7
+
+    def add(self, key: tuple[int, int]) -> None:
+        def split(t, k):
+            if t is None:
+                return None, None
+            if t[0] < k:
+                t[2], right = split(t[2], k)
+                return t, right
+            left, t[1] = split(t[1], k)
+            return left, t
+
+        rank = self._rank(key)
+        over, t, right = None, self.root, False
+        while t is not None and t[3] > rank:
+            over, right = t, t[0] < key
+            t = t[2] if right else t[1]
+        left, rest = split(t, key)
+        node = [key, left, rest, rank]  # key, left, right, rank
+        if over is None:
+            self.root = node
+        else:
+            over[2 if right else 1] = node
+
+    def pop_least(self, key: tuple[int, int]) -> tuple[int, int] | None:
+        """Takes out the smallest entry that is not below ``key``."""
+        best, over, t, parent = None, None, self.root, None
+        while t is not None:
+            if t[0] < key:
+                parent, t = t, t[2]
+            else:
+                best, over = t, parent
+                parent, t = t, t[1]
+        if best is None:
+            return None
+
+        def merge(a, b):
+            if a is None or b is None:
+                return a if b is None else b
+            if a[3] > b[3]:
+                a[2] = merge(a[2], b)
+                return a
+            b[1] = merge(a, b[1])
+            return b
+
+        rest = merge(best[1], best[2])
+        if over is None:
+            self.root = rest
+        else:
+            over[1 if over[1] is best else 2] = rest
+        return best[0]
+
+
 class Bins:
-    """Open bins in a balanced order by remaining capacity; the tightest that still takes a size is found by bisection."""
+    """Open bins in a balanced tree by remaining capacity, in which the tightest that still takes a size is found."""
 
     def __init__(self, capacity: int, count: int | None = None):
         self.capacity, self.count, self.opened = capacity, count, 0
-        self.tree: list[tuple[int, int]] = []  # (remaining, bin)
+        self.tree = Tree()
 
     def put(self, size: int, n: int) -> list[tuple[int, int]] | None:
         """Places ``n`` groups of one size; [(bin, how many)] or None if a fixed number of bins doesn't suffice.
@@ -32,9 +91,9 @@ class Bins:
         """
         out = []
         while n:
-            i = bisect_left(self.tree, (size, -1))
-            if i < len(self.tree):
-                left, b = self.tree.pop(i)
+            found = self.tree.pop_least((size, -1))
+            if found:
+                left, b = found
             elif size <= self.capacity and (self.count is None or self.opened < self.count):
                 left, b = self.capacity, self.opened
                 self.opened += 1
@@ -42,7 +101,7 @@ class Bins:
                 return None
             k = min(n, left // size)
             out.append((b, k))
-            insort(self.tree, (left - k * size, b))
+            self.tree.add((left - k * size, b))
             n -= k
         return out
 
@@ -62,8 +121,9 @@ def pack_into(sizes: list[tuple[int, int]], count: int):
     """The packing into at most ``count`` bins: groups above the mean alone, the others as evenly as they go.
 
     From the largest on, a group above the mean of what is left over the bins left gets a bin of its own. For the others
-    the smallest capacity at which best-fit-decreasing fills the bins left is found by bisection, between their mean (or
-    their largest group) and a bound at which any order fits.
+    a small capacity at which best-fit-decreasing fills the bins left is found by bisection, between their mean (or
+    their largest group) and a bound at which any order fits. (A larger capacity may, rarely, need more bins, so a still
+    smaller one can exist.)
     """
     sizes = sorted(((s, n) for s, n in sizes if n), reverse=True)
     alone = []
@@ -121,16 +181,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     )
 
 
-def shard(rows: DataFrame, key: str = "group", size: str = "size", count: int = 24, order: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``shard`` (0 to ``count`` - 1) and ``slot`` (gapless from 0 in each shard).
-
-    Rows with equal ``key`` form one group, and a group goes to one shard whole. Groups are summed (combined before the
-    shuffle), counted by size class, and the classes - at most 2**EXACT * (64 - EXACT) rows, however large the input -
-    are packed on the driver by best-fit-decreasing; groups of one class are interchangeable, so each takes the place of
-    its number within the class. A group larger than the mean of the shards left has a shard of its own, and the others are
-    spread evenly over the rest. ``key`` and ``size`` must not be
-    null; ``order`` makes the numbering repeatable. An empty table gives an empty result.
-    """
+def _placed(rows: DataFrame, key: str, size: str, pack) -> DataFrame:
+    """``rows`` with the shard that ``pack``, from [(class, groups)] to [(class, shard, groups)], gives their group."""
     spark = rows.sparkSession
     groups = cut(
         rows.groupBy(key).agg(F.sum(size).alias("bytes")).select(F.col(key).alias("__key"), size_class(F.col("bytes")).alias("__class")),
@@ -139,17 +191,48 @@ def shard(rows: DataFrame, key: str = "group", size: str = "size", count: int =
     classes = [(r[0], r[1]) for r in groups.groupBy("__class").count().collect()]
     at: dict[int, int] = {}
     ranges = []
-    for s, b, k in pack_into(classes, count):
+    for s, b, k in pack(classes):
         lo = at.get(s, 0)
         ranges.append((s, lo, lo + k, b))
         at[s] = lo + k
-    schema = "__class long, __lo long, __hi long, shard int"
-    places = spark.createDataFrame(ranges, schema)
+    places = spark.createDataFrame(ranges, "__class long, __lo long, __hi long, shard int")
     rank = numbered(groups, ["__class"], ["__key"], "__rank")
     inside = (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))
     placed = rank.join(F.broadcast(places), "__class").where(inside).select(F.col("__key").alias(key), "shard")
     out = cut(rows.join(placed, key), "placed")
-    return numbered(out, ["shard"], list(order) or [key], "slot")
+    release(groups)
+    return out
+
+
+def shard(rows: DataFrame, key: str = "group", size: str = "size", count: int = 24, order: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``shard`` (0 to ``count`` - 1) and ``slot`` (gapless from 0 in each shard).
+
+    Rows with equal ``key`` form one group, and a group goes to one shard whole. Groups are summed (combined before the
+    shuffle), counted by size class, and the classes - at most 2**EXACT * (64 - EXACT) rows, however large the input -
+    are packed on the driver by best-fit-decreasing; groups of one class are interchangeable, so each takes the place of
+    its number within the class. From 2**EXACT bytes on a group counts as up to 1/2048 larger than it is. A group larger
+    than the mean of the shards left has a shard of its own, and the others are spread evenly over the rest. ``key`` and
+    ``size`` must not be null; ``order`` makes the numbering repeatable. An empty table gives an empty result.
+    """
+    out = _placed(rows, key, size, lambda classes: pack_into(classes, count))
+    return holding(numbered(out, ["shard"], list(order) or [key], "slot"), out)
+
+
+def shard_to_capacity(rows: DataFrame, capacity: int, key: str = "group", size: str = "size", order: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``, in as few shards of ``capacity`` bytes as best-fit-decreasing finds.
+
+    As ``shard``, but the capacity is fixed and the number of shards follows. No shard exceeds the capacity; a group that
+    does raises ValueError.
+    """
+
+    def pack(classes):
+        got = best_fit_decreasing(classes, capacity)
+        if got is None:
+            raise ValueError(f"a group is larger than {capacity} bytes")
+        return got
+
+    out = _placed(rows, key, size, pack)
+    return holding(numbered(out, ["shard"], list(order) or [key], "slot"), out)
 
 
 def shard_documents(docs: DataFrame, count: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,4 +249,6 @@ def shard_documents(docs: DataFrame, count: int = 24, doc_id: str = "doc_id", te
         F.unhex(F.sha2(raw, 256)).alias("group"),
     )
     rows = cut(rows, "rows")
-    return shard(rows, "group", "size", count, ("doc_id", "group"))
+    placed = shard(rows, "group", "size", count, ("doc_id", "group"))
+    release(rows)
+    return placed

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeframe.llm.batch import worker_cache
 from lodeframe.llm.graph import connected_components
-from lodeframe.storage import cut, release
+from lodeframe.storage import cut, holding, release
 
 #: The seed of the first 64 bits; each further word of a wider fingerprint uses the next seed.
 SEED = 42
@@ -58,6 +59,7 @@ def fingerprints(docs: DataFrame, *keep: str, text: str = "text", shingle: int =
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(n, T.LongType(), False) for n in names])
 
     def run(batches):
+        worker_cache(None)
         for b in batches:
             got = [fingerprint_words(x.as_py(), shingle, words, distinct) for x in b.column(len(keep))]
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(words)]
@@ -91,7 +93,7 @@ def _distance(names: list[str], a: str, b: str) -> Column:
 
 def _table(nodes: DataFrame, names: list[str], segs: list[tuple[int, int]], *more: str) -> DataFrame:
     """A row per node and segment: its bucket key holds the segment's number and value."""
-    keys = F.array(*(F.lit(i << 33).bitwiseOR(_segment(names, *s)) for i, s in enumerate(segs)))
+    keys = F.array(*(F.lit(i << 54).bitwiseOR(_segment(names, *s)) for i, s in enumerate(segs)))
     return nodes.select(F.explode(keys).alias("key"), "nid", *more, *names)
 
 
@@ -192,35 +194,249 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     return rows.join(known, names)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 2, count: int = 13) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest doc_id stays, with all its columns.
+#: Near copies: the words a shingle, the least Jaccard similarity, and the least recall of the segments at it.
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.92
+#: A segment has at least MIN_WIDTH bits, and at least ROOM more than the logarithm of the number of texts.
+MIN_WIDTH, ROOM = 24, 6
+#: The search radius lies this many standard deviations above the bits at which pairs of the least similarity differ;
+#: the second figure is that of the first 64 bits, which are compared while keys are joined.
+SPREAD, SPREAD_FIRST = 2.3, 3.5
+#: Up to so many ids are broadcast to fetch their texts; more are joined by shuffling.
+BROADCAST_IDS = 200_000
+#: Rows of texts that stand in memory at a time.
+BATCH_ROWS = 1000
+#: Pairs that share their second text are dealt into runs of this many.
+RUN = 256
+
+
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE):
+    """The different shingles of a text as sorted 64-bit hashes; tokens as in ``fingerprint_words``."""
+    import numpy as np
+    import xxhash
+
+    toks = text.lower().split() if text else []
+    h = np.fromiter(map(xxhash.xxh64_intdigest, toks), np.uint64, len(toks))
+    if not len(h):
+        return h
+    size = min(shingle, len(h))
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : len(h) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def wide_fingerprint(hashes, words: int) -> list[int]:
+    """``words`` signed 64-bit integers: a bit is 1 if it is set in over half of the hashes, each mixed anew for a word."""
+    import numpy as np
+
+    ones = np.zeros(64 * words, np.int64)
+    salt = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :]
+    for i in range(0, len(hashes), 4080):  # 16 runs of 255, whose sums fit in a byte
+        h = hashes[i : i + 4080, None] ^ salt
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def _summaries(docs: DataFrame, words: int, shingle: int) -> DataFrame:
+    """doc_id, digest, size (different shingles) and fingerprint words of ``docs`` (doc_id, digest, text)."""
+    import pyarrow as pa
 
-    Two documents are near copies if the fingerprints of their different five-word shingles agree in at least
-    ``similarity`` of ``64 * words`` bits; groups are the components of these links. With 13 segments no pair within the
-    25 bits of the defaults is missed. Fingerprints stand in for the shingle sets, whose Jaccard similarity isn't checked. Documents without a word are
-    copies of each other only. Rows with a null id come after all others; of equal rows one stays.
-    """
     names = [f"fp{i}" for i in range(words)]
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "") == ""
-    src = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), plain.alias("blank"), "text")
-    rows = cut(fingerprints(src, "doc_id", "digest", "blank", shingle=shingle, words=words, distinct=True), "fingerprints")
-    nodes = cut(
-        rows.where("not blank").groupBy(*names).agg(F.lit(1).alias("one")).withColumn("nid", F.monotonically_increasing_id()),
-        "nodes",
+    fields = [docs.schema["doc_id"], docs.schema["digest"]] + [T.StructField(n, T.LongType(), False) for n in ("size", *names)]
+
+    def run(batches):
+        worker_cache(None)
+        for b in batches:
+            rows = []
+            for x in b.column(2):
+                h = shingle_hashes(x.as_py(), shingle)
+                rows.append([len(h), *wide_fingerprint(h, words)])
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(words + 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "digest", "size", *names])
+        worker_cache(None)
+
+    return docs.select("doc_id", "digest", F.col("text").cast("binary")).mapInArrow(run, T.StructType(fields))
+
+
+def differing(similarity: float) -> float:
+    """The share of bits at which sets of equal size and this Jaccard similarity differ."""
+    from math import acos, pi
+
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def radius_of(similarity: float, bits: int, spread: float = SPREAD) -> int:
+    """The bits at which sets of equal size and this Jaccard similarity differ, and ``spread`` standard deviations."""
+    p = differing(similarity)
+    return int(bits * p + spread * (bits * p * (1 - p)) ** 0.5)
+
+
+def segments_for(texts: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(number, width) of the segments for so many texts.
+
+    The width follows the logarithm of their number, so that a text meets as many strangers in a bucket at any size; the
+    number is the least at which a pair of that similarity meets within one bit in some segment with a chance of RECALL.
+    """
+    from math import ceil, log, log2
+
+    width = max(MIN_WIDTH, ceil(log2(max(texts, 2))) + ROOM)
+    p = differing(similarity)
+    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return ceil(log(1 - RECALL) / log(1 - one)), width
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, names: list[str], radius: int, similarity: float) -> DataFrame:
+    """The different (a, b) of ``pairs`` whose sizes allow the similarity and whose complete distance is in the radius."""
+    x = nodes.select(F.col("nid").alias("a"), F.col("size").alias("x_size"), F.struct(*names).alias("x"))
+    y = nodes.select(F.col("nid").alias("b"), F.col("size").alias("y_size"), F.struct(*names).alias("y"))
+    met = pairs.distinct().join(x, "a").join(y, "b")
+    alike = F.least("x_size", "y_size") >= F.lit(similarity) * F.greatest("x_size", "y_size")
+    return met.where(alike & (_distance(names, "x", "y") <= radius)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Those of the different ``pairs`` (a, b) whose sets of shingles have the Jaccard similarity.
+
+    Texts are fetched for the nodes in pairs only. Pairs with the same b are dealt into runs of RUN, each with its own
+    copy of that text, so that a text near very many others meets them in many tasks.
+    """
+    import pyarrow as pa
+
+    pairs = cut(pairs, "pairs")
+    runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
+    ids = cut(wanted.join(nodes.select("nid", "doc_id", "digest"), "nid"), "wanted")
+    few = F.broadcast(ids) if ids.count() <= limit else ids
+    same = F.col("i.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("i.digest") == F.col("t.digest"))
+    found = cut(texts.alias("t").join(few.alias("i"), same).select("nid", "text").dropDuplicates(["nid"]), "texts")
+    dealt = pairs.join(runs, "b").withColumn("run", F.pmod(F.xxhash64("a"), F.col("runs")))
+    left = dealt.join(found.select(F.col("nid").alias("a"), F.col("text").alias("x")), "a")
+    right = found.join(runs.withColumnRenamed("b", "nid"), "nid").select(
+        F.col("nid").alias("b"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("text").alias("y")
     )
-    linked = link(nodes.select("nid", *names), words, int((1 - similarity) * 64 * words + 1e-9), count)
-    grouped = rows.where("not blank").join(linked.select("root", *names), names).select("root", "doc_id", "digest").union(
-        rows.where("blank").select(F.lit(-1).cast("long").alias("root"), "doc_id", "digest")
+    both = left.withColumn("run", F.col("run").cast("int")).join(right, ["b", "run"]).select("a", "b", "x", "y")
+
+    def run(batches):
+        import numpy as np
+
+        worker_cache(None)
+        last: tuple = (None, None)
+        for batch in batches:
+            keep = []
+            for i, (b, x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+                if last[0] != b:
+                    last = b, shingle_hashes(y.as_py(), shingle)
+                h = shingle_hashes(x.as_py(), shingle)
+                shared = len(np.intersect1d(h, last[1], assume_unique=True))
+                if shared >= similarity * (len(h) + len(last[1]) - shared):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        worker_cache(None)
+
+    own = both.select("a", "b", F.col("x").cast("binary").alias("x"), F.col("y").cast("binary").alias("y"))
+    out = cut(own.mapInArrow(run, "a long, b long"), "links", BATCH_ROWS)
+    release(pairs, ids, found)
+    return out
+
+
+def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, width: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) for each node that is not the smallest of its component, links being pairs of that similarity.
+
+    ``nodes`` holds nid (unique), doc_id and digest of a text in ``texts``, size and the words of *different*
+    fingerprints. Multi-index hashing, as in ``link``, over ``count`` segments of ``width`` bits; a pair found is held
+    against the complete distance and then, exactly, against the sets of shingles. Pairs of the least similarity differ
+    in 15 % of the bits, so a segment brings them together with a chance of a tenth; of all segments, 0.92 do (0.99 from
+    similarity 0.85 on). First each node is held against one node of each bucket, that which meets the most others in its
+    buckets and so lies in the middle of its group, which joins large groups; then all pairs that meet and lie in
+    different components are verified. The first 64 bits and the sizes are compared while keys are joined.
+    """
+    names = [f"fp{i}" for i in range(words)]
+    segs = [(i * width, width) for i in range(count)]
+    radius, first_radius = radius_of(similarity, 64 * words), radius_of(similarity, 64, SPREAD_FIRST)
+
+    table = _table(nodes, names, segs).select("key", "nid")
+    met = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(table.join(met, "key"), "shared")
+    weight = shared.groupBy("nid").agg(F.sum("n").alias("weight"))
+    weighed = shared.select("key", "nid").join(weight, "nid")
+    lead = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("nid")).alias("low"))).alias("l"))
+    star = shared.join(lead.select("key", (-F.col("l.low")).alias("b")), "key").where("nid <> b").select(F.col("nid").alias("a"), "b")
+    links = _verified(_close(star, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
+    first = connected_components(links)
+    noted = cut(
+        nodes.select("nid", "size", *names).join(first.withColumnRenamed("node", "nid"), "nid", "left")
+        .select("nid", F.coalesce("root", "nid").alias("comp"), F.col("size").cast("int").alias("size"), *names),
+        "noted",
     )
-    keep = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")).alias("k"))
-    keep = cut(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest")), "keep")
+
+    carried = ["nid", "comp", "size", "fp0"]
+    table = _table(noted, names, segs, "comp", "size").select("key", *carried)
+    # A key from the ball has a negative nid: such pairs are found once, those of equal keys twice.
+    probe = table.union(_ball(table, segs).select("key", (-F.col("nid") - 1).alias("nid"), "comp", "size", "fp0"))
+    fresh = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.nid") < F.col("y.nid"))
+    fresh &= F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size")
+    fresh &= F.bit_count(F.col("x.fp0").bitwiseXOR(F.col("y.fp0"))) <= first_radius
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        a = F.when(F.col("x.nid") < 0, -F.col("x.nid") - 1).otherwise(F.col("x.nid"))
+        met = x.alias("x").join(y.alias("y"), fresh)
+        return met.select(F.greatest(a, "y.nid").alias("a"), F.least(a, "y.nid").alias("b"))
+
+    dense = cut(table.groupBy("key", "comp").count().where(F.col("count") > DENSE).select("key", "comp"), "dense")
+    if dense.isEmpty():
+        more = pairs(probe, table)
+    else:
+        on = ["key", "comp"]
+        crowd = table.join(dense, on, "left_semi")
+        several = dense.groupBy("key").count().where(F.col("count") > 1).select("key")
+        more = (
+            pairs(probe, table.join(dense, on, "left_anti"))
+            .union(pairs(probe.join(dense, on, "left_anti"), crowd))
+            .union(pairs(probe.join(dense, on, "left_semi").join(several, "key", "left_semi"), crowd))
+        )
+    late = _verified(_close(more, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
+    out = connected_components(links.union(late))
+    release(shared, first, noted, dense, links, late)
+    return out
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` without near copies: of each group the row with the smallest doc_id stays, with all its columns.
+
+    Two documents are near copies if their sets of five-word shingles have a Jaccard similarity of at least
+    ``similarity``; groups are the components of these links. Links are searched by ``link_similar``, whose recall is
+    that of its segments, and each is verified on the sets. Documents without a word are copies of each other only. Rows
+    with a null id come after all others; of equal rows one stays. ``docs`` needs doc_id and text; other columns may have
+    any names. An empty table gives an empty result.
+    """
+    count, width = segments_for(docs.count(), similarity)
+    words = -(-count * width // 64)
+    names = [f"fp{i}" for i in range(words)]
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    kept = docs.withColumn("__digest", digest).join(
-        keep.withColumnRenamed("__digest", "__kept"),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")),
-        "left_semi",
+    src = docs.select("doc_id", digest.alias("digest"), "text")
+    rows = cut(_summaries(src, words, shingle), "summaries", BATCH_ROWS)
+    late = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")
+    nodes = rows.where("size > 0").groupBy("size", *names).agg(F.min(late).alias("k"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("nid"), "k.doc_id", "k.digest", "size", *names), "nodes")
+    linked = link_similar(nodes, src, words, count, width, shingle, similarity)
+    # Of the groups' first rows only the smallest stays; a row that is not its node's first went before.
+    firsts = nodes.join(linked.withColumnRenamed("node", "nid"), "nid", "left").select(F.coalesce("root", "nid").alias("root"), "doc_id", "digest")
+    firsts = firsts.union(rows.where("size = 0").select(F.lit(-1).cast("long").alias("root"), "doc_id", "digest"))
+    keep = firsts.groupBy("root").agg(F.min(late).alias("k")).select("k.doc_id", "k.digest")
+    keep = cut(keep, "keep")
+    twice = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    release(rows, nodes, linked)
+    mark = "digest"
+    while mark in docs.columns:
+        mark += "_"
+    kept = docs.withColumn(mark, digest).alias("d").join(
+        keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.digest")), "left_semi"
     )
-    twice = rows.groupBy("doc_id", "digest").count().where("count > 1")
-    if not twice.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__digest"])
-    return kept.drop("__digest")
+    kept = kept.dropDuplicates(["doc_id", mark]) if twice else kept
+    return holding(kept.drop(mark), keep)

@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.batch import worker_cache
+
 #: The bound on the labelled rows that a model is fitted on.
 MAX_ROWS = 20_000
-#: The bounds on the stems that are counted, and on the lexicon.
-MAX_STEMS, MAX_ENTRIES = 40_000, 4_000
+#: A stem is counted from so many toxic training texts on; each text has fewer stems than four times its words.
+LEAST = 3
+#: Rows a leaf of a tree must have.
+LEAF = 8
 FOLDS = 4
 THRESHOLD = 0.7
 #: A word is looked up whole and by its stems of these lengths.
@@ -34,6 +39,8 @@ FEATURES = (
 
 _WORD = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|.\-]+[^\W\d_]+)+")
+#: What every match of _MIXED holds.
+_HINT = re.compile(r"[0-9@$*!|.\-][^\W\d_]")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", ".": "", "-": ""})
 
 
@@ -62,18 +69,22 @@ class _Memo(dict):
 
 
 def features(text: str | None, lexicon: _Memo) -> list[float]:
-    """The FEATURES of one text; null and empty texts give zeros."""
+    """The FEATURES of one text, read whole; null and empty texts give zeros.
+
+    Letters, capitals and marks are those of Unicode: a character is looked up in a table of all code points.
+    """
+    import numpy as np
     from math import log1p
 
     text = text or ""
-    low = text.lower()
-    words = _WORD.findall(low)
+    words = _WORD.findall(text)
     n = len(words)
     if not n:
         return [0.0] * 8 + [float(bool(text.strip()))] + [0.0] * 4
-    scores = list(map(lexicon.__getitem__, words))
+    lows = list(map(str.lower, words))
+    scores = list(map(lexicon.__getitem__, lows))
     hits = [i for i, s in enumerate(scores) if s] if any(scores) else []
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    you = [i for i, w in enumerate(lows) if w in SECOND_PERSON]
     close = 0
     if hits and you:
         from bisect import bisect_left
@@ -81,29 +92,37 @@ def features(text: str | None, lexicon: _Memo) -> list[float]:
         for h in hits:
             k = bisect_left(you, h - NEAR)
             close += k < len(you) and you[k] <= h + NEAR
-    raw = text.encode()
-    upper = len(raw) - len(raw.translate(None, _UP))
-    letters = upper + len(raw) - len(raw.translate(None, _LOW))
-    marks = len(raw) - len(raw.translate(None, _MARKS))
-    shout = len(_CAPS.findall(text)) if upper > n else 0
-    mixed = _MIXED.findall(low)
-    hidden = sum(1 for m in mixed if lexicon[m.translate(_PLAIN)]) if mixed else 0
+    if text.isascii():
+        kinds = _kinds()[np.frombuffer(text.encode(), np.uint8)]
+    else:
+        kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    _, lower, upper, marks = np.bincount(kinds, minlength=4).tolist()
+    shout = sum(1 for w in filter(str.isupper, words) if len(w) > 1)
+    mixed = _MIXED.findall(text) if _HINT.search(text) else ()
+    hidden = sum(1 for m in mixed if lexicon[m.lower().translate(_PLAIN)])
     return [
         len(hits) / n, log1p(len(hits)), max(scores), sum(scores) / n, close / n, len(you) / n,
-        upper / max(letters, 1), shout / n, marks / len(raw), (raw.count(b"!") + raw.count(b"?")) / n,
+        upper / max(lower + upper, 1), shout / n, marks / len(text), (text.count("!") + text.count("?")) / n,
         len(mixed) / n, hidden / n, log1p(n),
     ]
 
 
-_UP, _LOW = (bytes(range(a, a + 26)) for a in b"Aa")
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_CAPS = re.compile(r"\b[A-Z]{2,}\b")
+@lru_cache(maxsize=1)
+def _kinds():
+    """For every code point: 1 a letter that is no capital, 2 a capital, 3 a mark or symbol, 0 all else."""
+    import unicodedata
+
+    import numpy as np
+
+    code = {"Lu": 2, "Lt": 2} | dict.fromkeys(("Ll", "Lm", "Lo"), 1)
+    code |= dict.fromkeys(("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So"), 3)
+    return np.array([code.get(unicodedata.category(chr(c)), 0) for c in range(0x110000)], np.uint8)
 
 
 class Trees:
     """Gradient-boosted regression trees on the logistic loss, over quantile bins of each feature."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, leaf: int = 8, ridge: float = 1.0):
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, leaf: int = LEAF, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.leaf, self.ridge = rounds, depth, rate, bins, leaf, ridge
 
     def fit(self, x, y) -> Trees:
@@ -215,20 +234,25 @@ def _counted(rows: DataFrame, wanted: list[str] | None) -> DataFrame:
     return got.groupBy("stem", "fold", "toxic").agg(F.sum("n").alias("n"))
 
 
+def _least(totals: dict, without: int | None) -> float:
+    """In how many toxic texts of the folds in use a stem must stand: four in a thousand, and LEAST."""
+    return max(LEAST, 0.004 * sum(n for (f, y), n in totals.items() if y == 1 and f != without))
+
+
 def _lexicon(counts: dict, totals: dict, without: int | None) -> dict[str, float]:
     """Stems found at least 12 times as often in toxic texts, by the logarithm of that ratio; a fold may be left out."""
     from math import log
 
-    use = [f for f in range(FOLDS) if f != without]
+    use, least = [f for f in range(FOLDS) if f != without], _least(totals, without)
     t1, t0 = (max(1, sum(totals.get((f, y), 0) for f in use)) for y in (1, 0))
     out = []
     for s, c in counts.items():
         a, b = (sum(c.get((f, y), 0) for f in use) for y in (1, 0))
-        if a >= max(3, 0.004 * t1):
+        if a >= least:
             ratio = (a / t1) / ((b + 0.5) / t0)
             if ratio >= 12:
                 out.append((log(ratio), a, s))
-    return {s: w for w, _, s in sorted(out, key=lambda e: (-e[1], e[2]))[:MAX_ENTRIES]}
+    return {s: w for w, _, s in sorted(out, key=lambda e: (-e[1], e[2]))}
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -260,10 +284,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if min(sum(n for (_, y), n in totals.items() if y == v) for v in (0, 1)) < 4:
         release(rows)
         return Model()
-    stem = _counted(rows.where("toxic = 1"), None).groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 3")
-    wanted = [r[0] for r in stem.orderBy(F.desc("n"), "stem").limit(MAX_STEMS).collect()]
+    least = min(_least(totals, f) for f in range(FOLDS))
+    stem = _counted(rows.where("toxic = 1"), None).groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    wanted = [r[0] for r in stem.collect()]  # at most 250 times the stems of a mean toxic text
     counts: dict[str, dict] = {}
-    for s, f, y, n in _counted(rows, wanted).collect():  # at most MAX_STEMS * FOLDS * 2 rows
+    for s, f, y, n in _counted(rows, wanted).collect():  # at most FOLDS * 2 rows a stem
         counts.setdefault(s, {})[f, y] = n
     lexicons = rows.sparkSession.sparkContext.broadcast([_lexicon(counts, totals, f) for f in range(FOLDS)])
 
@@ -281,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     grow = np.array([r["part"] < 7 for r in got])
     if len(set(y[grow])) < 2 or len(set(y[~grow])) < 2:
         grow[:] = True
-    trees = Trees(leaf=4 if len(y) < 2000 else 12).fit(x[grow], y[grow])
+    trees = Trees().fit(x[grow], y[grow])
     rest = ~grow if not grow.all() else grow
     points, values = isotonic(trees.raw(x[rest]), y[rest])
     return Model(_lexicon(counts, totals, None), trees, points, values)
@@ -301,6 +326,7 @@ def score(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
     def run(batches):
         import numpy as np
 
+        worker_cache(None)
         m = held.value
         memo = _Memo(m.lexicon)
         for b in batches:
@@ -319,6 +345,7 @@ def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(texts: pa.Array) -> pa.Array:
         import numpy as np
 
+        worker_cache(None)
         m = held.value
         memo = _Memo(m.lexicon)
         x = np.array([features(t.as_py(), memo) for t in texts]).reshape(-1, len(FEATURES))

@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.llm.batch import worker_cache
+
 VERSION = "WARC/1.1"
 #: The date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
 #: Ids are name-based in this space, so that a task that runs twice makes the same records.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lodeframe:warc")
-#: HTTP headers that metadata records carry over from the source.
-CARRIED = ("content-type", "content-language", "content-encoding", "last-modified", "etag", "server")
-
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
 _RAW = frozenset("script style template noscript iframe textarea".split())
 _TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>?)")
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_CLOSE = {name: re.compile(f"</{name}", re.I) for name in _RAW}
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
+#: Bytes of compressed input that are read at a time.
+_STEP = 1 << 20
 _GAPS = re.compile(r"[ \t\r\f\v\xa0]*\n\s*")
 
 
@@ -43,27 +46,82 @@ def build(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-cased names, block) of each record in ``data``, plain or of gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-
-
-def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """(status line, headers with lower-cased names, body) of an HTTP response."""
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of the gzip members of ``data``, one in memory at a time; ``data`` itself if it isn't gzip."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = memoryview(data)
+    while len(rest):
+        d = zlib.decompressobj(31)
+        out = [d.decompress(rest[:_STEP])]
+        at = _STEP
+        while not d.eof and at < len(rest):
+            out.append(d.decompress(rest[at : at + _STEP]))
+            at += _STEP
+        if not d.eof:
+            raise ValueError("a gzip member is cut off")
+        yield b"".join(out)
+        rest = rest[min(at, len(rest)) - len(d.unused_data) :]
+
+
+def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """([(header, value)] in their order, block) of each record in ``data``, plain or of gzip members."""
+    for part in members(data):
+        at = 0
+        while at < len(part):
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0 or not part.startswith(b"WARC/", at):
+                raise ValueError(f"no WARC record at byte {at}")
+            headers = _headers(part[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+            size = int(named(headers)["content-length"])
+            yield headers, part[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
+
+
+def _headers(lines: list[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines; a line that begins with white space goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for x in lines:
+        if x[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {x.strip()}"
+        else:
+            k, _, v = x.partition(":")
+            out.append((k.strip(), v.strip()))
+    return out
+
+
+def named(headers: list[tuple[str, str]]) -> dict[str, str]:
+    """The first value of each header, by lower-cased name."""
+    return {k.lower(): v for k, v in reversed(headers)}
+
+
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """(status line, all headers in their order, body as it was sent) of an HTTP response."""
     head, _, body = block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
-    return lines[0], {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
+    return lines[0], _headers(lines[1:]), body
+
+
+def decoded(body: bytes, headers: dict[str, str]) -> bytes:
+    """The body without chunks and without compression by gzip or deflate; what cannot be decoded stays as it is."""
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while m := _CHUNK.match(body, at):
+            size = int(m[1], 16)
+            out.append(body[m.end() : m.end() + size])
+            at = m.end() + size + 2
+            if not size:
+                break
+        body = b"".join(out) if out else body
+    for coding in reversed(headers.get("content-encoding", "").lower().split(",")):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip(), ()):
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    return body
 
 
 def extract(page: str) -> tuple[str, str, list[str]]:
@@ -76,7 +134,7 @@ def extract(page: str) -> tuple[str, str, list[str]]:
     out: list[str] = []
     title: list[str] = []
     links: list[str] = []
-    at, in_title, low = 0, False, page.lower()
+    at, in_title = 0, False
     while m := _TAG.search(page, at):
         (title if in_title else out).append(page[at : m.start()])
         at = m.end()
@@ -89,8 +147,8 @@ def extract(page: str) -> tuple[str, str, list[str]]:
         if name == "title":
             in_title = not m[1]
         elif name in _RAW and not m[1]:
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            end = _CLOSE[name].search(page, at)
+            at = end.start() if end else len(page)
         elif name == "a" and not m[1] and (h := _HREF.search(m[0])):
             links.append(html.unescape(h[1] or h[2] or h[3] or ""))
         if name in _BLOCKS:
@@ -101,25 +159,28 @@ def extract(page: str) -> tuple[str, str, list[str]]:
     return " ".join(clean(title).split()), "\n".join(x for x in lines if x), links
 
 
-def derive(source: dict[str, str], block: bytes) -> list[dict]:
+def derive(given: list[tuple[str, str]], block: bytes) -> list[dict]:
     """The metadata and the conversion record of one response, given its WARC headers and its block.
 
     Both refer to the response by its id and carry its target and date. The metadata record lists the source's status
-    line, HTTP headers and digests, the page's title and its links; the conversion record holds the plain text, its own
-    digests, and the metadata record's id as concurrent.
+    line, all its HTTP headers in their order, repeated ones each, its digests, the page's title and its links; the
+    conversion record holds the plain text, its own digests, and the metadata record's id as concurrent.
     """
+    source = named(given)
     rid, uri, date = source.get("warc-record-id"), source.get("warc-target-uri"), source.get("warc-date", NO_DATE)
-    status, http, body = http_parts(block)
+    status, sent, raw = http_parts(block)
+    http = named(sent)
+    body = decoded(raw, http)
     charset = re.search(r"charset=[\"']?([\w.-]+)", http.get("content-type", ""), re.I)
     try:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
     title, text, links = extract(page)
-    payload = source.get("warc-payload-digest") or digest(body)
+    payload = source.get("warc-payload-digest") or digest(raw)
     fields = [
         ("source-status", status),
-        *((f"source-header-{k}", http[k]) for k in CARRIED if k in http),
+        *((f"source-header-{k.lower()}", v) for k, v in sent),
         ("source-content-length", str(len(block))),
         ("source-block-digest", source.get("warc-block-digest") or digest(block)),
         ("source-payload-digest", payload),
@@ -166,14 +227,18 @@ def response(page_id: object, url: str | None, page: str | None) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record) of every record in the WARC files at ``path``, plain or gzip; a file is one task's work."""
+    """(path, record) of every record in the WARC files at ``path``, plain or gzip.
+
+    A file is one task's work: it is held as it is stored (Spark's limit for a value is 2 GB), its gzip members are
+    opened one after the other, and its records leave one by one.
+    """
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 for headers, block in parse(content.as_py()):
-                    whole = build([(k, v) for k, v in headers.items() if k != "content-length"], block)
+                    whole = build([(k, v) for k, v in headers if k.lower() != "content-length"], block)
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([whole], pa.binary())], names=["path", "record"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
@@ -202,6 +267,7 @@ def _run(rows: DataFrame, keep: tuple[str, ...], source) -> DataFrame:
     schema = T.StructType([rows.schema[k] for k in keep] + list(made))
 
     def run(batches):
+        worker_cache(None)
         for b in batches:
             held: list[dict] = []
             back: list[int] = []
@@ -216,7 +282,7 @@ def _run(rows: DataFrame, keep: tuple[str, ...], source) -> DataFrame:
             for i in range(b.num_rows):
                 raw = source([c[i].as_py() for c in b.columns])
                 for headers, block in parse(raw) if raw else ():
-                    if headers.get("warc-type") == "response":
+                    if named(headers).get("warc-type") == "response":
                         got = derive(headers, block)
                         held += got
                         back += [i] * len(got)

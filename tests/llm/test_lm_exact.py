@@ -1,6 +1,7 @@
 """The registered LM scores against plain counts of every word and bigram."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -23,11 +24,13 @@ def plain_scores(rows, listed):
     for d, w in split:
         loss = []
         for k in (1, 0):
-            total, s = sum(words[k].values()) + lm.ADD * len(words[0]), 0.0
+            mine = k == 0 or d in listed  # a document's own counts are taken away
+            own = [Counter(w), Counter([None, *w][: len(w)]), Counter(zip([None, *w], w))] if mine else [Counter()] * 3
+            total, s = sum(words[k].values()) - mine * len(w) + lm.ADD * len(words[0]), 0.0
             for a, b in zip([None, *w], w):
-                one = (words[k][b] + lm.ADD) / total
-                seen = histories[k][a]
-                s -= math.log2(lm.MIX * pairs[k][a, b] / seen + (1 - lm.MIX) * one if seen else one)
+                one = (words[k][b] - own[0][b] + lm.ADD) / total
+                seen = histories[k][a] - own[1][a]
+                s -= math.log2(lm.MIX * (pairs[k][a, b] - own[2][a, b]) / seen + (1 - lm.MIX) * one if seen else one)
             loss.append(s / max(len(w), 1))
         out.append((str(d), len(w), *loss, loss[0] - loss[1]))
     return sorted(out)
@@ -48,8 +51,24 @@ def test_query_counts_every_bigram(spark, sf_dir, monkeypatch):
     same(op2_lm_scoring(spark, sf_dir).collect(), plain_scores(rows, good))
 
 
+def test_estimates_sum_to_one():
+    """The formula, over the vocabulary, after a history: counted words, smoothed words and unseen ones."""
+    words, after = Counter("a b a c".split()), Counter({"b": 1, "c": 1})  # after a
+    total = sum(words.values()) + lm.ADD * len(words)
+    assert math.isclose(sum(lm.MIX * after[w] / 2 + (1 - lm.MIX) * (words[w] + lm.ADD) / total for w in words), 1)
+
+
+def test_copies_score_apart(spark):
+    """A document that occurs twice is likelier under the background than one that occurs once."""
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[1]])), "doc_id long, text string")
+    got = {r["doc_id"]: r["difference"] for r in lm.score(df, df.where("doc_id between 20 and 39").select("doc_id")).collect()}
+    assert min(got[i] for i in (0, 1, 40, 41)) > max(got[i] for i in range(2, 40))
+
+
 def test_exact_awkward(spark):
     df = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, score int, digest string")
     listed = spark.createDataFrame([(1,), (1,), (None,), (6,)], "doc_id long")
-    same(lm.score_exact(df, listed).collect(), plain_scores([r[:2] for r in AWKWARD], {1, 6}))
-    assert lm.score_exact(df.limit(0), listed).count() == 0
+    same(lm.score(df, listed).collect(), plain_scores([r[:2] for r in AWKWARD], {1, 6}))
+    assert lm.score(df.limit(0), listed).count() == 0

@@ -1,25 +1,116 @@
-"""The pipeline's near-dedup misses no pair within its radius."""
+"""Near-dedup links exactly the pairs of Jaccard 0.8, and finds nearly all of them."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from lodeframe.llm import simhash
+from lodeframe.session import table
+from tests.llm.test_text_ops import plain_components  # noqa: F401
 
 
-def test_pairs_at_the_radius_are_linked(spark, monkeypatch):
-    """25 bits dealt so that nine segments would each hold two or more of them."""
-    rnd = random.Random(4)
-    fps = []
-    for _ in range(12):
-        segs = simhash.segments(128, 9)
-        bits = {b for at, width in segs for b in rnd.sample(range(at, at + width), 2)}
-        bits |= set(rnd.sample(sorted(set(range(128)) - bits), 7))
-        x = rnd.getrandbits(128)
-        fps += [x, x ^ sum(1 << b for b in bits)]
-    signed = [[w - 2**64 if w >= 2**63 else w for w in (x % 2**64, x >> 64)] for x in fps]
-    given = spark.createDataFrame([(i, *w) for i, w in enumerate(signed)], "doc_id long, fp0 long, fp1 long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda src, *keep, **_: src.select(*keep).join(given, "doc_id").select(*keep, "fp0", "fp1"))
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(len(fps))], "doc_id long, text string")
-    got = {r["doc_id"] for r in simhash.near_duplicates(docs).select(F.col("doc_id")).collect()}
-    assert got == set(range(0, len(fps), 2))
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_groups(rows):
+    """{doc_id: smallest doc_id of its group} by comparing all pairs that share a shingle."""
+    sets = {d: shingles(t) for d, t in rows}
+    holders, shared, root = {}, {}, {d: d for d in sets}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    for v in holders.values():
+        for i, a in enumerate(v):
+            for b in v[:i]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    blank = [d for d, s in sets.items() if not s]
+    for d in blank:
+        root[d] = min(blank)
+    return {d: find(d) for d in sets}
+
+
+def changed(rnd, words, share):
+    out = list(words)
+    for i in rnd.sample(range(len(out)), round(share * len(out))):
+        out[i] = f"z{rnd.randrange(10**6)}"
+    return out
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of Jaccard 0.8 to 0.86 only: over nine tenths are linked; pairs of 0.7 to 0.8 never are."""
+    rnd = random.Random(3)
+    rows, near, far = [], set(), set()
+    while len(near) < 300 or len(far) < 100:
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(80, 400))]
+        other = changed(rnd, base, rnd.uniform(0.015, 0.04))
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        j = len(a & b) / len(a | b)
+        if not 0.7 <= j < 0.86 or len(near if j >= 0.8 else far) >= 300:
+            continue
+        (near if j >= 0.8 else far).add(len(rows) + 1)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    left = {r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert far <= left and {i for i in range(0, len(rows), 2)} <= left
+    assert len(near - left) >= 0.9 * len(near)
+
+
+def test_like_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text")
+    groups = plain_groups([tuple(r) for r in docs.collect()])
+    left = {r["doc_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(left ^ set(groups.values())) <= 3 and len(left) < docs.count()
+
+
+def test_a_large_group_and_its_margin(spark, monkeypatch):
+    """A star of hundreds of near copies, crowded buckets and texts paired with very many others."""
+    monkeypatch.setattr(simhash, "DENSE", 4)
+    monkeypatch.setattr(simhash, "RUN", 8)
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows = [(i, " ".join(changed(rnd, base, rnd.choice((0.004, 0.02, 0.03))))) for i in range(250)]
+    rows += [(1000 + i, " ".join(f"v{rnd.randrange(5000)}" for _ in range(100))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.near_duplicates(df).collect()}
+    assert left == set(plain_groups(rows).values())
+
+
+def candidates(spark, docs):
+    """Candidate pairs a node that are held against the complete distance."""
+    seen = []
+    plain = simhash._close
+
+    def spy(pairs, nodes, *how):
+        seen.append(pairs.distinct().count() / max(nodes.count(), 1))
+        return plain(pairs, nodes, *how)
+
+    simhash._close = spy
+    try:
+        simhash.near_duplicates(docs).count()
+    finally:
+        simhash._close = plain
+    return sum(seen)
+
+
+def test_candidates_do_not_grow(spark, sf_dir):
+    small = candidates(spark, table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents"))
+    large = candidates(spark, table(spark, sf_dir.replace("sf0.001", "sf0.1"), "documents"))
+    assert large < 2 * small + 1 < 10
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, None, "z")], "doc_id long, text string, digest string")
+    got = simhash.near_duplicates(df.withColumn("digest_", F.lit(3)).withColumn("size", F.lit(4)).withColumn("nid", F.lit(5)))
+    assert got.columns == ["doc_id", "text", "digest", "digest_", "size", "nid"]
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "None"]

@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 import __spark_entry__
-from lodeframe.llm import quality, simhash
+from lodeframe.llm import quality
 from lodeframe.session import table
-from tests.llm.test_text_ops import plain_components, plain_hits
+from tests.llm.test_near_complete import plain_groups
+from tests.llm.test_text_ops import plain_hits
 
 
 def test_stages_follow_each_other(spark, sf_dir):
@@ -21,11 +22,7 @@ def test_stages_follow_each_other(spark, sf_dir):
     assert two.columns == docs.columns and ids <= kept and len(ids) > 0.8 * len(kept)
 
     three = corpus_pipeline.near_dedup(spark, two, sf_dir).cache()
-    fps = {}
-    for d in ids:
-        a, b = simhash.fingerprint_words(rows[d].encode(), 5, 2, True)
-        fps[d] = (a % 2**64) << 64 | b % 2**64
-    groups = plain_components(fps, 25)
+    groups = plain_groups([(d, rows[d]) for d in ids])
     got = {r["doc_id"] for r in three.collect()}
     assert three.columns == docs.columns and got == set(groups.values())
 

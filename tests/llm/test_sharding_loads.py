@@ -46,3 +46,39 @@ def test_a_third_in_equal_texts(spark):
         load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
     big, *rest = sorted(load.values(), reverse=True)
     assert len(load) == 24 and abs(big - third) < 64 and max(rest) <= 1.02 * min(rest)
+
+
+def test_tree_is_a_sorted_list():
+    from bisect import bisect_left, insort
+
+    rnd, tree, plain = random.Random(1), sharding.Tree(), []
+    for i in range(5000):
+        if rnd.random() < 0.6:
+            key = rnd.randrange(300), i
+            tree.add(key)
+            insort(plain, key)
+        else:
+            key = rnd.randrange(320), -1
+            at = bisect_left(plain, key)
+            assert tree.pop_least(key) == (plain.pop(at) if at < len(plain) else None)
+
+
+def test_fixed_capacity(spark):
+    import pytest
+    from collections import Counter
+
+    from tests.llm.test_text_ops import plain_best_fit
+
+    rnd = random.Random(6)
+    rows = [(f"g{i}", rnd.randint(1, 900), k) for i in range(200) for k in range(rnd.randint(1, 3))]
+    df = spark.createDataFrame(rows, "group string, size long, k int")
+    got = sharding.shard_to_capacity(df, 4000, order=("group", "k")).collect()
+    sizes, shards, load = Counter(), {}, Counter()
+    for r in got:
+        sizes[r["group"]] += r["size"]
+        shards.setdefault(r["group"], set()).add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and all(len(x) == 1 for x in shards.values()) and max(load.values()) <= 4000
+    assert sorted(4000 - x for x in load.values()) == plain_best_fit(sizes.values(), 4000)
+    with pytest.raises(ValueError):
+        sharding.shard_to_capacity(df, 100)
