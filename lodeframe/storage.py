@@ -24,15 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", batch_rows: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns the table read back.
 
     One pass over the plan, replicated by the file system, and later readers neither recompute it nor depend on the
-    executors that made it. ``release`` deletes it.
+    executors that made it. ``release`` deletes it. While it is written, Arrow batches hold ``batch_rows`` rows, if given.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(key, before)
     return holding(spark.read.schema(df.schema).parquet(path), path)
 
 
