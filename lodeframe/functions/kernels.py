@@ -27,12 +27,19 @@ def laplacian_variance(g: np.ndarray) -> float:
     return float((lap**2).mean() - lap.mean() ** 2)
 
 
-def color_masks(rgba: np.ndarray) -> dict[str, np.ndarray]:
-    """Masks of plainly green, blue, gold and dark pixels."""
-    r, g, b = (rgba[..., i].astype(np.int32) for i in range(3))
+def color_masks(rgba: np.ndarray, dark: int = 80) -> dict[str, np.ndarray]:
+    """Masks of green and blue (by hue, among clear and bright pixels), gold and dark pixels."""
+    r, g, b = (rgba[..., i].astype(np.float64) for i in range(3))
+    most, spread = np.maximum(np.maximum(r, g), b), np.ptp(rgba[..., :3].astype(np.float64), axis=-1)
+    some = np.where(spread > 0, spread, 1)
+    clear = (spread > 0) & (most >= 90) & (spread / np.maximum(most, 1) >= 0.35)
+    # Degrees on the colour circle, of pixels in which green or blue is strongest.
+    around_green, around_blue = 60 * (2 + (b - r) / some), 60 * (4 + (r - g) / some)
+    # The ranges of hue and the levels of gold decide what is found.
     return {
-        "green": (g > r + 20) & (g > b + 20) & (g > 90), "blue": (b > r + 30) & (b > g) & (b > 110),
-        "gold": (r > 180) & (g > 120) & (b < 110) & (r >= g), "dark": (r < 80) & (g < 80) & (b < 80),
+        "green": clear & (most == g) & (around_green >= 65) & (around_green <= 170),
+        "blue": clear & (most == b) & (around_blue >= 180) & (around_blue <= 250),
+        "gold": (r > 200) & (g > 140) & (r - b > 60), "dark": gray(rgba) < dark,
     }
 
 
@@ -51,20 +58,22 @@ def integral(g: np.ndarray) -> np.ndarray:
 
 
 def adaptive_threshold(g: np.ndarray, block: int = 31, c: float = 12) -> np.ndarray:
-    """1 where a pixel is darker than its neighbourhood's mean by more than ``c``; windows are cut at the edges."""
+    """1 where a pixel is darker than its neighbourhood's mean by ``c`` or more; windows are cut at the edges."""
     h, w = g.shape
     s, r = integral(g), block // 2
     y0, y1 = np.maximum(np.arange(h) - r, 0), np.minimum(np.arange(h) + r + 1, h)
     x0, x1 = np.maximum(np.arange(w) - r, 0), np.minimum(np.arange(w) + r + 1, w)
     total = s[y1][:, x1] - s[y0][:, x1] - s[y1][:, x0] + s[y0][:, x0]
-    return (g < total / ((y1 - y0)[:, None] * (x1 - x0)) - c).astype(np.uint8)
+    return (g <= total / ((y1 - y0)[:, None] * (x1 - x0)) - c).astype(np.uint8)
 
 
-def stretch(g: np.ndarray, low: float = 0.05, high: float = 0.95) -> np.ndarray:
-    """Contrast between two percentiles spread over 0 to 255."""
-    s = np.sort(g.ravel())
-    a, b = (float(s[int(p * (len(s) - 1))]) for p in (low, high))
-    return np.clip((g - a) * 255 / max(b - a, 1), 0, 255).astype(np.uint8)
+def stretch(g: np.ndarray, low: float = 0.02, high: float = 0.98) -> np.ndarray:
+    """The levels between two percentiles spread over 0 to 255, rounded; a plane without any between them stays as it is."""
+    if not g.size:
+        return g
+    filled = np.bincount(g.ravel(), minlength=256).cumsum()
+    a, b = (int(np.argmax(filled >= p * g.size)) for p in (low, high))
+    return np.rint(np.clip((g.astype(np.float64) - a) * 255 / (b - a), 0, 255)).astype(np.uint8) if b > a else g
 
 
 def close(mask: np.ndarray, r: int = 1) -> np.ndarray:
@@ -113,24 +122,32 @@ def ink_height(mask: np.ndarray) -> int:
     return int(rows[-1] - rows[0] + 1) if len(rows) else 0
 
 
-def seam(a: np.ndarray, b: np.ndarray, least: int = 4, ink: float = 0.05, differ: int = 24) -> tuple[int, float, float] | None:
-    """(overlap, mismatch rate, rival rate) of stacking plane ``b`` below ``a``: the overlap of least mismatch over all that
-    hold enough ink; None if there is none."""
+#: Fixed values of the seam search: the difference of levels that counts, the least rows that overlap, the level from
+#: which a pixel is blank, the least share of others, and how far a rival must lie.
+DIFFERENT, OVERLAP, BLANK, INK, GUARD = 24, 60, 240, 0.05, 40
+
+
+def seam(a: np.ndarray, b: np.ndarray, overlap: int = OVERLAP, guard: int = GUARD) -> tuple[int, float, float] | None:
+    """(shift, share, rival's share): by how many rows plane ``b`` is scrolled on from ``a``, both of one size.
+
+    The share is that of pixels that differ, over all that overlap; shifts at which less than INK of the pixels are inked
+    in either plane tell nothing. Of equals the smallest shift; the rival is the best one more than ``guard`` away, or
+    infinite. None if no shift tells anything.
+    """
     found = []
-    for n in range(least, min(len(a), len(b)) + 1):
-        x, y = a[-n:].astype(np.int32), b[:n].astype(np.int32)
-        marked = (np.abs(x - np.median(x)) > differ) | (np.abs(y - np.median(y)) > differ)
-        if marked.mean() >= ink:
-            found.append((float((np.abs(x - y) > differ)[marked].mean()), n))
+    for d in range(1, len(a) - overlap + 1):
+        x, y = a[d:].astype(np.int32), b[: len(a) - d].astype(np.int32)
+        if ((x < BLANK) | (y < BLANK)).mean() >= INK:
+            found.append((float((np.abs(x - y) > DIFFERENT).mean()), d))
     if not found:
         return None
-    rate, n = min(found)
-    rivals = [r for r, m in found if abs(m - n) > 2]
-    return n, rate, min(rivals, default=1.0)
+    share, shift = min(found)
+    return shift, share, min((r for r, d in found if abs(d - shift) > guard), default=float("inf"))
 
 
 def confident(best: tuple[int, float, float] | None) -> bool:
-    return best is not None and best[1] < 0.03 and best[2] >= 2 * max(best[1], 1e-9)
+    """Under 0.03 of the pixels differ, and at least twice as many at the rival's shift."""
+    return best is not None and best[1] < 0.03 and best[2] >= 2 * best[1]
 
 
 def best_order(cost: list[list[float]], most: int = 7) -> list[int]:

@@ -67,6 +67,7 @@ def close_map(extra: Mapping[str, str], homoglyphs: Mapping[str, str]) -> dict[s
 
 def allowed_distance(length: Column) -> Column:
     """The edit distance that still counts as a match for a name of that length: 0, 1, 2, at most 3."""
+    # Results depend on them.
     return F.when(length <= 2, 0).when(length <= 5, 1).when(length <= 9, 2).otherwise(3)
 
 
@@ -115,9 +116,10 @@ OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructFie
 
 
 def align(a: str, b: str) -> list[tuple[str, str, str]]:
-    """The edits that turn ``a`` into ``b``, in order: ``sub``, ``ins`` (b only), ``del`` (a only); equal pairs are left out.
+    """The edits between a read ``a`` and its truth ``b``, in order; equal pairs are left out.
 
-    Of several shortest alignments the one found from the end by preferring a substitution, then an insertion.
+    ``sub``: (a's, b's); ``ins``: the read has a character too many (a's, empty); ``del``: it lacks one (empty, b's). Of
+    several shortest alignments the one found from the end by preferring a substitution, then an insertion.
     """
     n, m = len(a), len(b)
     cost = [list(range(m + 1))]
@@ -133,12 +135,12 @@ def align(a: str, b: str) -> list[tuple[str, str, str]]:
             i, j = i - 1, j - 1
             if a[i] != b[j]:
                 out.append(("sub", a[i], b[j]))
-        elif j and here == cost[i][j - 1] + 1:
-            j -= 1
-            out.append(("ins", "", b[j]))
-        else:
+        elif i and here == cost[i - 1][j] + 1:
             i -= 1
-            out.append(("del", a[i], ""))
+            out.append(("ins", a[i], ""))
+        else:
+            j -= 1
+            out.append(("del", "", b[j]))
     return out[::-1]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.functions.text import edit_ops
+from lodeframe.functions.text import close_map, edit_ops
 
 
 def confusion_tally(pairs: DataFrame, read: str, truth: str, key: str, condition: str | None = None) -> DataFrame:
@@ -92,23 +92,42 @@ def merge_reports(reports: DataFrame, by: list[str], count: str, least: int) ->
     return reports.groupBy(*by).agg(F.max(count).alias(count)).where(F.col(count) >= least)
 
 
-def greedy_accept(candidates: DataFrame, group: str | None = None) -> DataFrame:
-    """(src, dst, accepted): candidates in order of tier and count; one whose source is taken, or whose target is itself
-    an accepted source, is refused. A fold over one ranking."""
+#: The tier of candidates that are refused.
+REFUSED = 3
+
+
+def greedy_accept(candidates: DataFrame, names: list[str], by: tuple[str, ...] = ("n",), homoglyphs: Mapping[str, str] | None = None) -> DataFrame:
+    """(src, dst, tier): candidate confusions with the tier they end in; REFUSED ones are not to be used.
+
+    ``candidates``: src, dst, tier and the columns ``by``, of which more is better; equals go by src and dst. First, of the
+    candidates for one source, only the best outside REFUSED keeps its tier. Then the first tier's are added to one map
+    in that order, then the second's on top, and one that makes two of the different ``names`` the same under the map is
+    refused. ``names`` is the dictionary that the map is for, and there are no more candidates than pairs of its
+    characters; the fold over one ranking is one task's work.
+    """
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        taken: dict = {}
-        out = []
-        for r in t.sort_values(["tier", "n", "src", "dst"], ascending=[True, False, True, True]).itertuples():
-            fine = r.src not in taken and r.dst not in taken
-            if fine:
-                taken[r.src] = r.dst
-            out.append((r.src, r.dst, fine))
-        return pd.DataFrame(out, columns=["src", "dst", "accepted"])
-
-    if group is None:
-        candidates, group = candidates.withColumn("__all", F.lit(0)), "__all"
-    return candidates.groupBy(group).applyInPandas(run, "src string, dst string, accepted boolean")
+        order = ["tier", *by, "src", "dst"]
+        t = t.sort_values(order, ascending=[True, *[False] * len(by), True, True]).reset_index(drop=True)
+        tier = t["tier"].tolist()
+        best: set = set()
+        for i, src in enumerate(t["src"]):
+            if tier[i] != REFUSED:
+                tier[i] = REFUSED if src in best else tier[i]
+                best.add(src)
+        held: dict = {}
+        for level in (1, 2):
+            for i, (src, dst) in enumerate(zip(t["src"], t["dst"])):
+                if tier[i] == level:
+                    table = str.maketrans(close_map({**held, src: dst}, homoglyphs or {}))
+                    if len({n.translate(table) for n in names}) < len(names):
+                        tier[i] = REFUSED
+                    else:
+                        held[src] = dst
+        return pd.DataFrame({"src": t["src"], "dst": t["dst"], "tier": tier})
+
+    names = sorted(set(names))
+    return candidates.groupBy(F.lit(0).alias("__all")).applyInPandas(run, "src string, dst string, tier int")
 
 
 def stitch_rows(a: list[str | None], b: list[str | None], name: float = 3.0, miss: float = -1.5, gap: float = -1.0) -> int | None:

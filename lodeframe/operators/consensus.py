@@ -100,11 +100,12 @@ def accuracy(df: DataFrame, by: str, auto: str, correct: str) -> DataFrame:
 def consensus_box(boxes: DataFrame, by: str, key: str, tolerance: int = 2, share: float = 0.6) -> DataFrame:
     """(by, x, y, w, h, n, total, ok): the upper medians of the largest set of boxes within ``tolerance`` of one of them.
 
-    The first box in order of ``key`` wins among equals; ``ok`` if the set holds at least ``share`` of all. Boxes are
-    compared within ``by`` and within one or two steps of a coarse grid on x, not with all others.
+    The first box in order of ``key`` wins among equals; ``ok`` if the set holds at least ``share`` of all. Coordinates are
+    whole numbers. Equal boxes are counted first and compared as one, within ``by`` and within one or two steps of a
+    coarse grid on x; medians come from the counts at each offset from a box, so no list of boxes is gathered.
     """
     fields = ("x", "y", "w", "h")
-    a = boxes.select(by, F.col(key).alias("k"), *fields)
+    a = boxes.groupBy(by, *fields).agg(F.min(key).alias("k"), F.count("*").alias("c"))
     grid = F.floor(F.col("x") / (tolerance + 1))
     left = a.withColumn("g", grid)
     right = a.withColumn("g", F.explode(F.array(grid - 1, grid, grid + 1)))
@@ -112,13 +113,16 @@ def consensus_box(boxes: DataFrame, by: str, key: str, tolerance: int = 2, share
     on = (F.col(f"l.{by}") == F.col(f"r.{by}")) & (F.col("l.g") == F.col("r.g"))
     for n in near:
         on &= n
-    sets = left.alias("l").join(right.alias("r"), on).groupBy(F.col(f"l.{by}").alias(by), F.col("l.k").alias("k")).agg(
-        F.count("*").alias("n"), *(F.sort_array(F.collect_list(f"r.{c}")).alias(c) for c in fields)
+    steps = range(-tolerance, tolerance + 1)
+    at = lambda c, o: F.sum(F.when(F.col(f"r.{c}") <= F.col(f"l.{c}") + o, F.col("r.c")).otherwise(0)).alias(f"{c}_{o + tolerance}")
+    sets = left.alias("l").join(right.alias("r"), on).groupBy(F.col(f"l.{by}").alias(by), F.col("l.k").alias("k"), *(F.col(f"l.{c}").alias(c) for c in fields)).agg(
+        F.sum("r.c").alias("n"), *(at(c, o) for c in fields for o in steps)
     )
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "k"))
     sets = sets.withColumn("__k", best).where("__k = 1")
     total = boxes.groupBy(by).agg(F.count("*").alias("total"))
-    mid = [F.get(c, F.floor(F.size(c) / 2).cast("int")).alias(c) for c in fields]
+    half = F.floor(F.col("n") / 2)
+    mid = [F.coalesce(*(F.when(F.col(f"{c}_{o + tolerance}") > half, F.col(c) + o) for o in steps)).cast(boxes.schema[c].dataType).alias(c) for c in fields]
     return sets.join(total, by).select(by, *mid, "n", "total", (F.col("n") >= share * F.col("total")).alias("ok"))
 
 

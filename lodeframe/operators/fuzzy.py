@@ -20,7 +20,7 @@ def dictionary(names: DataFrame, name: str = "name", norm: str = "norm", order:
     return names.where(F.trim(F.col(name)) != "").where(F.col(norm) != "").withColumn("__k", first).where("__k = 1").drop("__k")
 
 
-def _pieces(text: Column, length: Column, parts: int) -> Column:
+def _pieces(text: Column, length: Column, parts: Column) -> Column:
     """``parts`` pieces that make up the text, as (number, start, piece)."""
     size = F.floor(length / parts).cast("int")
 
@@ -29,34 +29,36 @@ def _pieces(text: Column, length: Column, parts: int) -> Column:
         end = F.when(i == parts - 1, length).otherwise(begin + size)
         return F.struct(i.alias("no"), begin.alias("at"), F.substring(text, begin + 1, end - begin).alias("piece"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), piece)
+    return F.transform(F.sequence(F.lit(0), parts - 1), piece)
 
 
 def near(reads: DataFrame, entries: DataFrame, read: str = "norm", entry: str = "norm", limit=allowed_distance) -> DataFrame:
     """(every column of both, prefixed r_ and e_, and ``distance``) for reads within the entry's allowed distance.
 
     Distance at most k leaves one of k + 1 pieces of the entry untouched, at most k places away; so pieces are joined on
-    equality instead of all pairs, and only candidates that share a piece and nearly the length are measured.
+    equality instead of all pairs, and only candidates that share a piece and nearly the length are measured. ``limit``
+    may be any function of the length.
     """
     r = reads.select(*(F.col(c).alias(f"r_{c}") for c in reads.columns))
     e = entries.select(*(F.col(c).alias(f"e_{c}") for c in entries.columns))
     rn, en = F.col(f"r_{read}"), F.col(f"e_{entry}")
     size = F.length(en)
     e = e.withColumn("__limit", limit(size).cast("int"))
-    cut = F.when(F.col("__limit") == 0, _pieces(en, size, 1))
-    for k in range(1, MOST):
-        cut = cut.when(F.col("__limit") == k, _pieces(en, size, k + 1))
-    e = e.withColumn("__p", F.explode(cut.otherwise(_pieces(en, size, MOST + 1))))
-    e = e.withColumn("__size", F.length("__p.piece")).where("__size > 0")
-    lengths = e.select("__size").distinct()
     words = r.select(rn.alias("__word")).distinct()
+    # An entry no longer than its limit has no piece that must be left; it is held against all words short enough.
+    short = e.where(size <= F.col("__limit")).withColumn("__n", F.explode(F.sequence(F.lit(0), size + F.col("__limit"))))
+    brief = words.join(short, F.length("__word") == F.col("__n"))
+    e = e.where(size > F.col("__limit")).withColumn("__p", F.explode(_pieces(en, size, F.col("__limit") + 1)))
+    e = e.withColumn("__size", F.length("__p.piece"))
+    lengths = e.select("__size").distinct()
     spots = words.join(F.broadcast(lengths), F.length("__word") >= F.col("__size")).withColumn(
         "__at", F.explode(F.sequence(F.lit(0), F.length("__word") - F.col("__size")))
     )
     spots = spots.withColumn("__piece", F.expr("substring(__word, __at + 1, __size)"))
     hit = (F.col("__piece") == F.col("__p.piece")) & (F.abs(F.col("__at") - F.col("__p.at")) <= F.col("__limit"))
     hit &= F.abs(F.length("__word") - size) <= F.col("__limit")
-    pairs = spots.join(e, hit).select("__word", "__limit", *(c for c in e.columns if c.startswith("e_"))).distinct()
+    kept = ["__word", "__limit", *(c for c in e.columns if c.startswith("e_"))]
+    pairs = spots.join(e, hit).select(*kept).union(brief.select(*kept)).distinct()
     pairs = pairs.withColumn("distance", F.levenshtein(F.col("__word"), en)).where("distance <= __limit").drop("__limit")
     return r.join(pairs, rn == F.col("__word")).drop("__word")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.functions.stars import family_sum, ok
+from lodeframe.functions.stars import ok, triple
 
 
 def members(parents: DataFrame, skills: DataFrame, pid: str, links: dict[str, str], skill: str, star: str) -> DataFrame:
@@ -53,10 +53,13 @@ def _ones(a: str, b: str) -> Column:
 def best_pairs(maps: DataFrame, pid: str, score: str, k: int = 10) -> DataFrame:
     """The ``k`` pairs a < b that cover most, then have the largest sum of ``score``, then come first.
 
-    A theta self join of bitmaps, one row per record; records that no pair could reach the k-th best with are dropped
-    first: what all records reach with the widest one is a lower bound for that, and the widest bitmap an upper bound
-    for any partner's share. Only k rows are kept per task.
+    Of records with one bitmap only the k + 1 of the largest score, then the first, can be in an answer, so pairs are made
+    of those. Records that no pair could reach the k-th best with are dropped too: what all records reach with the
+    widest one is a lower bound for that, and the widest bitmap an upper bound for any partner's share. Only k rows are
+    kept per task.
     """
+    best = Window.partitionBy("bits").orderBy(F.desc(score), pid)
+    maps = maps.withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= k + 1).drop("__k")
     m = maps.withColumn("ones", F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x)))
     top = m.orderBy(F.desc("ones"), pid).limit(1).select(F.col(pid).alias("t"), F.col("bits").alias("tbits"), F.col("ones").alias("tones"))
     reach = m.join(F.broadcast(top), F.col(pid) != F.col("t")).select(_ones("bits", "tbits").alias("n")).orderBy(F.desc("n")).limit(k)
@@ -70,17 +73,21 @@ def best_pairs(maps: DataFrame, pid: str, score: str, k: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("n"), F.desc("score"), "a", "b").limit(k)
 
 
-def recommend(family: DataFrame, first: DataFrame, pid: str, skill: str, roles: list[str], threshold: int = 1) -> DataFrame:
+def recommend(family: DataFrame, first: DataFrame, pid: str, skill: str, roles: list[str], threshold: int = 1, gene: DataFrame | None = None) -> DataFrame:
     """For each other record: how many of the skills that ``first`` lacks it fills, and with how many stars.
 
-    ``first``: (skill) wanted, with ``covered``. Stars are family sums.
+    ``first``: (skill) wanted, with ``covered``. Stars are the known stars of the family for the skills it fills; an
+    unknown star may fill a skill and counts nothing. ``gene``: (pid, gene), the third thing to order by; records
+    without have 0.
     """
     lack = first.where(~F.col("covered")).select(skill)
     got = family.join(F.broadcast(lack), skill)
     met = ok(F.col(roles[0]), threshold)
     for r in roles[1:]:
         met |= ok(F.col(r), threshold)
-    return got.groupBy(pid).agg(F.count_if(met).alias("fill"), F.sum(family_sum(threshold, *map(F.col, roles))).alias("stars"))
+    stars = F.when(met, triple(threshold, *map(F.col, roles))).otherwise(0)
+    out = got.groupBy(pid).agg(F.count_if(met).alias("fill"), F.sum(stars).alias("stars"))
+    return out if gene is None else out.join(gene, pid, "left").fillna(0, ["gene"])
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-USER_PATH = r"(?:/Users/|/home/|[A-Za-z]:\\Users\\)[A-Za-z0-9._-]+"
-DRIVE = r"(?:^|[^A-Za-z])[A-Za-z]:\\[^\\\s]"
+#: An address: a local part of word characters and . % + -, then labels that end with a dot, then a domain of letters.
+EMAIL = r"([\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+#: A folder of users, with either kind of slash, and the name below it.
+USER_PATH = r"((?:/Users/|/home/|\\Users\\)[\w.-]*)"
+#: A drive letter that no word character precedes.
+DRIVE = r"(?:^|[^A-Za-z0-9_])([A-Za-z]:\\)"
 
 
 def longest_first(weights: list[tuple[float, int]], shards: int) -> dict[int, int]:
@@ -50,8 +53,18 @@ def timing_shares(df: DataFrame, title: str, seconds: str, k: int = 20) -> DataF
 def personal_data(df: DataFrame, key: str, text: str, exempt: list[str] = ()) -> DataFrame:
     """(key, kind, found): user paths, drive letters and e-mail addresses, without exempt ones."""
     t = F.col(text)
-    every = lambda kind, p: F.transform(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
-    hits = df.select(key, F.explode(F.concat(every("email", EMAIL), every("path", USER_PATH), every("drive", DRIVE))).alias("h"))
+    none = F.array().cast("array<struct<kind:string,found:string>>")
+
+    def every(kind: str, pattern: str, *needs: str) -> Column:
+        """All matches; the pattern is tried only on texts that hold one of ``needs``."""
+        may = F.contains(t, F.lit(needs[0]))
+        for n in needs[1:]:
+            may |= F.contains(t, F.lit(n))
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+        return F.when(may, found).otherwise(none)
+
+    paths = every("path", USER_PATH, "/Users/", "/home/", "\\Users\\")
+    hits = df.select(key, F.explode(F.concat(every("email", EMAIL, "@"), paths, every("drive", DRIVE, ":\\"))).alias("h"))
     out = hits.select(key, "h.*").distinct()
     return out.where(~F.col("found").isin(list(exempt))) if exempt else out
 

@@ -10,26 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.functions.stars import percent_cost
-from lodeframe.storage import cut, release
+from lodeframe.storage import cut, holding, release
 
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(child, parent, depth): every direct and indirect prerequisite, with the shortest way to it.
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, parent, depth): every direct and indirect prerequisite, with the shortest way to it, however long.
 
-    New pairs only are followed, each pair once, so diamonds do not multiply and cycles end; a node is no prerequisite
-    of itself. Each round is one join, written to the shared folder.
+    Ways are doubled: after round r all ways of up to 2**r steps are known, so rounds grow with the logarithm of the
+    longest. A way longer than before is put together from one of exactly the longest length known and any known one.
+    Diamonds do not multiply, cycles end, and a node is no prerequisite of itself. Each round is one join and one
+    grouped minimum, written to the shared folder; the table before goes.
     """
-    step = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c <> p").distinct(), "steps")
-    all_ = cut(step.withColumn("depth", F.lit(1)), "closure")
-    front = all_
-    for depth in range(2, most + 1):
-        ahead = front.select("c", F.col("p").alias("m")).join(step.select(F.col("c").alias("m"), "p"), "m").select("c", "p")
-        fresh = cut(ahead.where("c <> p").distinct().join(all_, ["c", "p"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if fresh.isEmpty():
-            release(fresh)
+    known = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c <> p").distinct().withColumn("depth", F.lit(1)), "closure")
+    reach, n = 1, known.count()
+    while n:
+        far = known.where(F.col("depth") == reach).select("c", F.col("p").alias("m"), F.col("depth").alias("d1"))
+        ahead = far.join(known.select(F.col("c").alias("m"), "p", F.col("depth").alias("d2")), "m").where("c <> p")
+        both = known.unionByName(ahead.select("c", "p", (F.col("d1") + F.col("d2")).alias("depth")))
+        more = cut(both.groupBy("c", "p").agg(F.min("depth").alias("depth")), "closure")
+        release(known)
+        known, before, n = more, n, more.count()
+        if n == before:
             break
-        all_, front = all_.unionByName(fresh), fresh
-    return all_.select(F.col("c").alias(child), F.col("p").alias(parent), "depth")
+        reach *= 2
+    return holding(known.select(F.col("c").alias(child), F.col("p").alias(parent), "depth"), known)
 
 
 def roster_cost(wanted: DataFrame, owned: DataFrame, chain: DataFrame, prices: DataFrame, hint: Column, status: Column) -> DataFrame:
@@ -84,17 +88,32 @@ def event_skills(events: DataFrame, roster: DataFrame) -> DataFrame:
 def best_two(options: DataFrame, group: str, key: str, bits: str, ssr: str) -> DataFrame:
     """The best one or two options of different groups: most bits, then fewer cards, more SSR, smallest ids.
 
-    ``options`` is one problem's candidate list, which its builder bounds; (a, b, n, cards, ssr), b null for one.
+    Of options of one group with the same bits only the one with most SSR, then the smallest id, can be in an answer, so
+    pairs are made of those; (a, b, n, cards, ssr), b null for one.
     """
+    best = Window.partitionBy(group, bits).orderBy(F.desc(ssr), key)
+    options = options.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
     one = options.select(F.col(key).alias("a"), F.col(group).alias("ag"), F.col(bits).alias("ab"), F.col(ssr).alias("as"))
     two = options.select(F.col(key).alias("b"), F.col(group).alias("bg"), F.col(bits).alias("bb"), F.col(ssr).alias("bs"))
-    pairs = one.join(F.broadcast(two), (F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg"))).select(
+    pairs = one.join(two, (F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg"))).select(
         "a", "b", F.bit_count(F.col("ab").bitwiseOR(F.col("bb"))).alias("n"), F.lit(2).alias("cards"), (F.col("as") + F.col("bs")).alias("ssr")
     )
     single = one.select("a", F.lit(None).cast(options.schema[key].dataType).alias("b"), F.bit_count("ab").alias("n"), F.lit(1).alias("cards"), F.col("as").alias("ssr"))
     return single.unionByName(pairs).orderBy(F.desc("n"), "cards", F.desc("ssr"), "a", "b").limit(1)
 
 
+def prune(options: list[tuple]) -> list[tuple]:
+    """A group's options (card, ssr, bits, type) without those that another of the same type makes needless.
+
+    An option goes if another covers all its bits with more SSR, or as much and a smaller card.
+    """
+    kept: list[tuple] = []
+    for o in sorted(options, key=lambda o: (-o[2].bit_count(), -o[1], o[0])):
+        if not any(k[3] == o[3] and k[2] | o[2] == k[2] and (k[1] > o[1] or k[1] == o[1] and k[0] < o[0]) for k in kept):
+            kept.append(o)
+    return kept
+
+
 def solve_cover(groups: dict, k: int, type_min: dict | None = None, friend: object = None, friend_max: int = 1, seconds: float | None = None) -> dict:
     """Exact maximum coverage: at most ``k`` groups, one option each, as many bits as possible.
 
@@ -104,6 +123,7 @@ def solve_cover(groups: dict, k: int, type_min: dict | None = None, friend: obje
     and is what is left of it at a deadline: {cards, n, feasible, complete}.
     """
     need = {t: n for t, n in (type_min or {}).items() if n}
+    groups = {g: prune(options) for g, options in groups.items()}
     names = sorted(groups, key=lambda g: (-max((o[2].bit_count() for o in groups[g]), default=0), str(g)))
     rest = [0] * (len(names) + 1)
     for i in range(len(names) - 1, -1, -1):

@@ -72,25 +72,29 @@ def brand_number():
 
 
 #: A read of a part's name with a deterministic misspelling, and the dictionary of all different names.
-READS = """reads AS (SELECT p_partkey AS id, p_name AS truth, CASE p_partkey % 5
+#: The dictionary also has the red names with one of two letters behind, between which some reads lie.
+READS = """reads AS (SELECT p_partkey AS id, p_name AS truth, CASE p_partkey % 7
     WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'i', 'l') WHEN 2 THEN p_name || 'x' WHEN 3 THEN substr(p_name, 2)
-    ELSE replace(replace(p_name, 'o', '0'), 'e', 'c') END AS norm FROM part),
-  dict AS (SELECT DISTINCT p_name AS name FROM part),
+    WHEN 4 THEN replace(replace(p_name, 'o', '0'), 'e', 'c') WHEN 5 THEN p_name || ' c' ELSE reverse(p_name) END AS norm FROM part),
+  dict AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT p_name || s FROM part, (VALUES (' a'), (' b')) t(s) WHERE p_name LIKE 'red%'),
   limits AS (SELECT name, CASE WHEN length(name) <= 2 THEN 0 WHEN length(name) <= 5 THEN 1 WHEN length(name) <= 9 THEN 2 ELSE 3 END AS lim FROM dict)"""
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
     p, n = table(spark, d, "part"), F.col("p_name")
-    k = F.col("p_partkey") % 5
+    k = F.col("p_partkey") % 7
     text = (
         F.when(k == 0, n).when(k == 1, F.replace(n, F.lit("i"), F.lit("l"))).when(k == 2, F.concat(n, F.lit("x")))
-        .when(k == 3, F.expr("substring(p_name, 2)")).otherwise(F.translate(n, "oe", "0c"))
+        .when(k == 3, F.expr("substring(p_name, 2)"))
+        .when(k == 4, F.translate(n, "oe", "0c")).when(k == 5, F.concat(n, F.lit(" c"))).otherwise(F.reverse(n))
     )
     return p.select(F.col("p_partkey").alias("id"), n.alias("truth"), text.alias("norm"))
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("norm", F.col("name"))
+    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    more = n.where("name LIKE 'red%'").select(F.explode(F.array(*(F.concat("name", F.lit(x)) for x in (" a", " b")))).alias("name"))
+    return n.union(more).withColumn("norm", F.col("name"))
 
 
 #: Frames of a user's events in order of time, the value as a position signal.

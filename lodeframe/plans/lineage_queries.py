@@ -14,17 +14,15 @@ ROLES = ["own", "g1", "g2"]
 
 
 @query(f"""WITH {FAMILY},
-  vis AS (SELECT c_custkey AS pid FROM customer WHERE c_mktsegment = 'BUILDING'),
-  bits AS (SELECT pid, bit_or(1::BIGINT << regexp_extract(skill, '([0-9]+)$', 1)::INT) AS b FROM family JOIN vis USING (pid)
+  bits AS (SELECT pid, bit_or(1::BIGINT << regexp_extract(skill, '([0-9]+)$', 1)::INT) AS b FROM family
     WHERE {ok_sql('own', 3)} OR {ok_sql('g1', 3)} OR {ok_sql('g2', 3)} GROUP BY pid),
   gene AS (SELECT pid, sum(star)::BIGINT AS score FROM stars WHERE star > 0 GROUP BY pid)
 SELECT x.pid AS a, y.pid AS b, bit_count(x.b | y.b)::INT AS n, (gx.score + gy.score) AS score
 FROM bits x JOIN bits y ON x.pid < y.pid JOIN gene gx ON gx.pid = x.pid JOIN gene gy ON gy.pid = y.pid
 ORDER BY n DESC, score DESC, a, b LIMIT 10""")
 def lineage_pair_topk(spark, d):
-    """The ten pairs of one segment's customers whose families cover most brands at three stars."""
-    shown = parents(spark, d).where("c_mktsegment = 'BUILDING'").select("pid")
-    cover = lineage.coverage(family(spark, d).join(shown, "pid"), "pid", "skill", ROLES, 3).withColumn("no", brand_number())
+    """The ten pairs of customers whose families cover most brands at three stars."""
+    cover = lineage.coverage(family(spark, d), "pid", "skill", ROLES, 3).withColumn("no", brand_number())
     gene = stars(spark, d).where("star > 0").groupBy("pid").agg(F.sum("star").alias("score"))
     return lineage.best_pairs(lineage.bitmaps(cover, "pid", "no", 1).join(gene, "pid"), "pid", "score", 10)
 
@@ -62,16 +60,22 @@ def coverage_pivot(spark, d):
 
 
 @query(f"""WITH {FAMILY}, all_skills AS (SELECT DISTINCT skill FROM stars),
-  mine AS (SELECT skill FROM family WHERE pid = 4 AND ({ok_sql('own', 3)} OR {ok_sql('g1', 3)} OR {ok_sql('g2', 3)})),
-  lack AS (SELECT skill FROM all_skills EXCEPT SELECT skill FROM mine)
-SELECT pid, count(*) FILTER ({ok_sql('own', 3)} OR {ok_sql('g1', 3)} OR {ok_sql('g2', 3)}) AS fill, sum({'+'.join(counted_sql(r, 3) for r in ROLES)})::BIGINT AS stars
-FROM family JOIN lack USING (skill) WHERE pid <> 4 GROUP BY pid ORDER BY fill DESC, stars DESC, pid LIMIT 20""")
+  me AS (SELECT pid FROM family GROUP BY pid ORDER BY count(*) FILTER ({ok_sql('own', 1)} OR {ok_sql('g1', 1)} OR {ok_sql('g2', 1)}), pid LIMIT 1),
+  mine AS (SELECT skill FROM family WHERE pid IN (SELECT pid FROM me) AND ({ok_sql('own', 1)} OR {ok_sql('g1', 1)} OR {ok_sql('g2', 1)})),
+  lack AS (SELECT skill FROM all_skills EXCEPT SELECT skill FROM mine), gene AS (SELECT pid, sum(star)::BIGINT AS gene FROM stars WHERE star > 0 GROUP BY pid),
+  f AS (SELECT *, {ok_sql('own', 1)} OR {ok_sql('g1', 1)} OR {ok_sql('g2', 1)} AS met, greatest(coalesce(own, 0), 0) + greatest(coalesce(g1, 0), 0) + greatest(coalesce(g2, 0), 0) AS known FROM family JOIN lack USING (skill) WHERE pid NOT IN (SELECT pid FROM me))
+SELECT pid, count(*) FILTER (met) AS fill, coalesce(sum(known) FILTER (met), 0)::BIGINT AS stars, coalesce(any_value(gene), 0) AS gene
+FROM f LEFT JOIN gene USING (pid) GROUP BY pid ORDER BY fill DESC, stars DESC, gene DESC, pid LIMIT 20""")
 def recommend_partner(spark, d):
-    """The twenty best partners for one customer: most lacking skills filled, most stars, smallest id."""
+    """The twenty best partners of the customer whose family covers least: most lacking skills filled, most known stars, most genes."""
     f = family(spark, d)
-    mine = lineage.coverage(f.where("pid = 4"), "pid", "skill", ROLES, 3).select("skill").withColumn("covered", F.lit(True))
+    met = S.family_has(1, *map(F.col, ROLES))
+    me = F.broadcast(f.groupBy("pid").agg(F.count_if(met).alias("n")).orderBy("n", "pid").limit(1).select("pid"))
+    mine = lineage.coverage(f.join(me, "pid", "left_semi"), "pid", "skill", ROLES, 1).select("skill").withColumn("covered", F.lit(True))
+    gene = stars(spark, d).where("star > 0").groupBy("pid").agg(F.sum("star").alias("gene"))
     first = stars(spark, d).select("skill").distinct().join(mine, "skill", "left").fillna(False, ["covered"])
-    return lineage.recommend(f.where("pid <> 4"), first, "pid", "skill", ROLES, 3).orderBy(F.desc("fill"), F.desc("stars"), "pid").limit(20)
+    got = lineage.recommend(f.join(me, "pid", "left_anti"), first, "pid", "skill", ROLES, 1, gene)
+    return got.orderBy(F.desc("fill"), F.desc("stars"), F.desc("gene"), "pid").limit(20)
 
 
 @query(f"""WITH {FAMILY}, pop AS (SELECT DISTINCT skill FROM stars), c AS (SELECT c_custkey AS pid FROM customer)
@@ -109,13 +113,13 @@ def plan_match_class(spark, d):
     return p.select("pid", lineage.plan_match(p).alias("m"))
 
 
-@query("""WITH b AS (SELECT c_nationkey AS side, bit_or(1::BIGINT << (c_custkey % 40)::INT) AS bits FROM customer WHERE c_nationkey < 8 GROUP BY c_custkey % 17, c_nationkey),
-  l AS (SELECT bits FROM b WHERE side < 4 UNION ALL SELECT 0), r AS (SELECT bits FROM b WHERE side >= 4 UNION ALL SELECT 0)
+@query("""WITH b AS (SELECT c_nationkey AS side, bit_or(1::BIGINT << (c_custkey % 40)::INT) AS bits FROM customer GROUP BY c_custkey % 17, c_nationkey),
+  l AS (SELECT bits FROM b WHERE side < 12 UNION ALL SELECT 0), r AS (SELECT bits FROM b WHERE side >= 12 UNION ALL SELECT 0)
 SELECT max(bit_count(l.bits | r.bits))::INT AS best FROM l, r""")
 def plan_cover(spark, d):
-    c = table(spark, d, "customer").where("c_nationkey < 8").withColumn("no", (F.col("c_custkey") % 40).cast("int")).withColumn("g", F.concat_ws("-", F.col("c_custkey") % 17, "c_nationkey"))
+    c = table(spark, d, "customer").withColumn("no", (F.col("c_custkey") % 40).cast("int")).withColumn("g", F.concat_ws("-", F.col("c_custkey") % 17, "c_nationkey"))
     b = lineage.bitmaps(c, "g", "no", 1).join(c.groupBy("g").agg(F.first("c_nationkey").alias("side")), "g")
-    return lineage.plan_cover(b.where("side < 4"), b.where("side >= 4"), 1)
+    return lineage.plan_cover(b.where("side < 12"), b.where("side >= 12"), 1)
 
 
 @query("SELECT r_name AS kind, sum(greatest(0, c_custkey % 5 - 1))::BIGINT AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -375,25 +379,25 @@ def pt_discount_cost(spark, d):
     return planning.roster_cost(wanted, owned, chain.select("skill", "prev"), prices, F.lit(30), F.lit(10))
 
 
-@query(f"""WITH {STARS}, req AS (SELECT DISTINCT p_brand AS skill, 'Brand#' || (1 + p_size % 25) AS required FROM part WHERE p_partkey % 100 = 0)
+@query(f"""WITH {STARS}, req AS (SELECT DISTINCT p_brand AS skill, 'Brand#' || (1 + regexp_extract(p_brand, '([0-9]+)$', 1)::INT * 7 % 25) AS required FROM part)
 SELECT pid AS owner, skill FROM stars s WHERE NOT EXISTS (SELECT 1 FROM req r WHERE r.skill = s.skill AND NOT EXISTS (SELECT 1 FROM stars h WHERE h.pid = s.pid AND h.skill = r.required))""")
 def required_skills(spark, d):
     held = stars(spark, d).select(F.col("pid").alias("owner"), "skill")
-    req = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_brand").alias("skill"), F.concat(F.lit("Brand#"), 1 + F.col("p_size") % 25).alias("required")).distinct()
+    req = table(spark, d, "part").select(F.col("p_brand").alias("skill")).distinct().withColumn("required", F.concat(F.lit("Brand#"), 1 + brand_number() * 7 % 25))
     return planning.usable(held, req, held)
 
 
 @query("""WITH o AS (SELECT c_custkey AS owner, p_partkey % 3 AS slot, p_partkey AS target, p_size AS low, p_size + p_partkey % 11 AS high,
     CASE WHEN p_size % 3 = 0 THEN 'must' WHEN p_size % 3 = 1 THEN 'may' ELSE 'no' END AS verdict, p_partkey % 4 = 0 AS styled, c_nationkey % 2 = 0 AS known
-  FROM customer JOIN part ON p_partkey % 50 = c_custkey % 50 WHERE p_partkey < 200)
+  FROM customer JOIN part ON p_partkey % 1000 = c_custkey % 1000)
 SELECT owner, slot, target FROM o WHERE verdict = 'must' AND (NOT styled OR known) QUALIFY row_number() OVER (PARTITION BY owner, slot ORDER BY high - low, target) = 1""")
 def evolution_default_choice(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("owner"), (F.col("c_nationkey") % 2 == 0).alias("known"), (F.col("c_custkey") % 50).alias("m"))
-    p = table(spark, d, "part").where("p_partkey < 200").select(
-        (F.col("p_partkey") % 50).alias("m"), (F.col("p_partkey") % 3).alias("slot"), F.col("p_partkey").alias("target"), F.col("p_size").alias("low"), (F.col("p_size") + F.col("p_partkey") % 11).alias("high"),
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("owner"), (F.col("c_nationkey") % 2 == 0).alias("known"), (F.col("c_custkey") % 1000).alias("m"))
+    p = table(spark, d, "part").select(
+        (F.col("p_partkey") % 1000).alias("m"), (F.col("p_partkey") % 3).alias("slot"), F.col("p_partkey").alias("target"), F.col("p_size").alias("low"), (F.col("p_size") + F.col("p_partkey") % 11).alias("high"),
         F.when(F.col("p_size") % 3 == 0, "must").when(F.col("p_size") % 3 == 1, "may").otherwise("no").alias("verdict"), (F.col("p_partkey") % 4 == 0).alias("styled"),
     )
-    return planning.evolution_defaults(c.join(F.broadcast(p), "m"), F.col("styled"), F.col("known"))
+    return planning.evolution_defaults(c.join(p, "m"), F.col("styled"), F.col("known"))
 
 
 @query("""SELECT o_custkey AS owner, o_orderkey AS id, count(*) OVER (PARTITION BY o_custkey) > 2 AS flagged FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2""")
@@ -413,15 +417,18 @@ def event_choice_expand(spark, d):
     return planning.event_skills(e, table(spark, d, "nation").select(F.col("n_nationkey").alias("id")))
 
 
-_COVER = """o AS (SELECT s_suppkey AS id, s_nationkey AS grp, (s_suppkey % 2)::INT AS ssr, bit_or(1::BIGINT << regexp_extract(p_brand, '([0-9]+)$', 1)::INT) AS bits
-  FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 AND p_size % 4 = 0 GROUP BY ALL)"""
+#: A supplier covers a brand if what it sold of it, in units, is a multiple of 13.
+_COVER = """t AS (SELECT s_suppkey AS id, s_nationkey AS grp, (s_suppkey % 2)::INT AS ssr, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS no, sum(l_quantity::BIGINT) % 13 = 0 AS met
+  FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+  o AS (SELECT id, grp, ssr, bit_or(CASE WHEN met THEN 1::BIGINT << no ELSE 0 END) AS bits FROM t GROUP BY ALL)"""
 
 
 def _cover(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 49").select("l_suppkey", "l_partkey")
-    p = table(spark, d, "part").where("p_size % 4 = 0").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("no"))
-    j = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("no")))
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("q"))
+    p = table(spark, d, "part").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("no"))
+    sold = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "no").agg((F.sum("q") % 13 == 0).alias("met"))
+    j = sold.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bits = F.bit_or(F.when(F.col("met"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("no"))).otherwise(F.lit(0).cast("long")))
     return j.groupBy(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("grp"), (F.col("s_suppkey") % 2).cast("int").alias("ssr")).agg(bits.alias("bits"))
 
 
@@ -573,8 +580,8 @@ def viewport_rows(spark, d):
     return lineage.page_of(h, [F.desc("holders"), "skill"], 8, 12)
 
 
-@query("SELECT DISTINCT p_brand AS skill FROM part WHERE p_type <> 'PROMO' AND p_size % 7 = 0")
+@query("SELECT DISTINCT p_brand || '/' || p_size AS skill FROM part WHERE p_type <> 'PROMO'")
 def default_list_union(spark, d):
     """The union of all lists but those from exams."""
-    p = table(spark, d, "part").where("p_size % 7 = 0")
-    return p.where(store.in_default_list(F.when(F.col("p_type") == "PROMO", "exam"))).select(F.col("p_brand").alias("skill")).distinct()
+    p = table(spark, d, "part")
+    return p.where(store.in_default_list(F.when(F.col("p_type") == "PROMO", "exam"))).select(F.concat_ws("/", "p_brand", "p_size").alias("skill")).distinct()

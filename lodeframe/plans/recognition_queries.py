@@ -67,27 +67,40 @@ SELECT id, e.wrong IS NOT NULL AS consumed, dict.name AS corrected FROM reads LE
 def fuzzy_errata(spark, d):
     """Listed misreadings; those whose target is no entry are consumed all the same."""
     n = names(spark, d)
-    e = n.where("name LIKE '%i%'").select(F.replace("name", F.lit("i"), F.lit("l")).alias("wrong"), F.when(F.col("name").like("red%"), "gone").otherwise(F.col("name")).alias("right"))
+    e = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().where("name LIKE '%i%'").select(F.replace("name", F.lit("i"), F.lit("l")).alias("wrong"), F.when(F.col("name").like("red%"), "gone").otherwise(F.col("name")).alias("right"))
     return fuzzy.by_errata(reads(spark, d), e, n).select("id", "consumed", "corrected")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT min(levenshtein(x.a, y.a)) AS m FROM n x JOIN n y ON x.a < y.a)
+@query(f"""WITH {READS}, n AS (SELECT name AS a FROM dict), p AS (SELECT min(levenshtein(x.a, y.a)) AS m FROM n x JOIN n y ON x.a < y.a)
 SELECT least(coalesce(m, 4), 4)::INT AS least, least(1, least(coalesce(m, 4), 4) // 2)::INT AS "limit" FROM p""")
 def catalog_min_distance_limit(spark, d):
     return fuzzy.catalog_limit(names(spark, d))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name, translate(replace(p_name, ' ', ''), 'iol', '10l') AS before, translate(translate(replace(p_name, ' ', ''), 'iol', '10l'), '1eau', 'lccc') AS norm FROM part)
-SELECT norm, count(DISTINCT name) AS n FROM n GROUP BY norm HAVING count(DISTINCT name) > 1""")
+#: The letters in their full-width form, which NFKC takes for the plain ones.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _LETTERS)
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p_name AS a FROM part), n AS (SELECT a AS name, a FROM p UNION SELECT translate(a, '{_LETTERS}', '{_WIDE}'), a FROM p WHERE a LIKE '%g%'
+  UNION SELECT replace(a, ' ', chr(12288)), a FROM p WHERE a LIKE 'h%')
+SELECT translate(translate(replace(a, ' ', ''), 'io', '10'), '1eau', 'lccc') AS norm, count(DISTINCT name) AS n FROM n GROUP BY 1 HAVING count(DISTINCT name) > 1""")
 def norm_translate_collisions(spark, d):
-    norm = X.normalise(F.col("name"), {"i": "1", "o": "0"}, {"1": "l", "e": "c", "a": "c", "u": "c"}, compose=False)
-    return catalog.collisions(names(spark, d), "name", norm)
+    """Names, some also in full-width letters or with an ideographic space, that are one under NFKC and two maps."""
+    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    wide = n.where("name LIKE '%g%'").select(F.translate("name", _LETTERS, _WIDE).alias("name"))
+    spaced = n.where("name LIKE 'h%'").select(F.translate("name", " ", "\u3000").alias("name"))
+    norm = X.normalise(F.col("name"), {"i": "1", "o": "0"}, {"1": "l", "e": "c", "a": "c", "u": "c"})
+    return catalog.collisions(n.union(wide).union(spaced), "name", norm)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name, p_name AS before, translate(p_name, 'bcdfgr', 'bbbbbb') AS norm FROM part)
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, replace(p_name, ' ', '') AS before, translate(replace(p_name, ' ', ''), 'hotnewldr', 'ooooooooo') AS norm FROM part)
 SELECT norm, count(DISTINCT name) AS n FROM n GROUP BY norm HAVING count(DISTINCT before) > 1""")
 def collision_introduced_by_map(spark, d):
-    return catalog.collisions(names(spark, d), "name", F.translate("name", "bcdfgr", "bbbbbb"), F.col("name"))
+    """Names that differ without their spaces and are the same under one more map."""
+    plain = F.replace("name", F.lit(" "), F.lit(""))
+    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return catalog.collisions(n, "name", F.translate(plain, "hotnewldr", "ooooooooo"), plain)
 
 
 @query("SELECT n_name AS name FROM nation WHERE contains(n_name, '_1') EXCEPT SELECT n_name FROM nation WHERE ends_with(n_name, '_1')")
@@ -177,13 +190,20 @@ def drop_settled_candidates(spark, d):
     return consensus.drop_settled(o, table(spark, d, "nation"), "k", "c", "n_nationkey").select("k")
 
 
-@query("""WITH b AS (SELECT l_suppkey % 50 AS s, l_orderkey * 10 + l_linenumber AS k, floor(l_quantity / 10)::INT AS x, (l_discount * 100)::INT AS y, (l_tax * 100)::INT AS w, 10 + l_linenumber % 2 AS h FROM lineitem WHERE l_partkey % 20 = 0),
-  p AS (SELECT a.s, a.k, c.x, c.y, c.w, c.h FROM b a JOIN b c ON a.s = c.s AND abs(a.x - c.x) <= 2 AND abs(a.y - c.y) <= 2 AND abs(a.w - c.w) <= 2 AND abs(a.h - c.h) <= 2),
-  g AS (SELECT s, k, count(*) AS n, list_sort(list(x))[count(*) // 2 + 1] AS x, list_sort(list(y))[count(*) // 2 + 1] AS y, list_sort(list(w))[count(*) // 2 + 1] AS w, list_sort(list(h))[count(*) // 2 + 1] AS h FROM p GROUP BY s, k),
+def _weighted_median(field: str) -> str:
+    """The upper median of a field over boxes of weight c.c that are at most 2 from a's."""
+    cases = " ".join(f"WHEN coalesce(sum(c.c) FILTER (c.{field} <= a.{field} + ({o})), 0) > sum(c.c) // 2 THEN a.{field} + ({o})" for o in range(-2, 3))
+    return f"(CASE {cases} END)::INT AS {field}"
+
+
+@query(f"""WITH b AS (SELECT l_suppkey % 50 AS s, l_orderkey * 10 + l_linenumber AS k, floor(l_quantity / 10)::INT AS x, (l_discount * 100)::INT AS y, (l_tax * 100)::INT AS w, 10 + l_linenumber % 2 AS h FROM lineitem),
+  u AS (SELECT s, x, y, w, h, min(k) AS k, count(*) AS c FROM b GROUP BY ALL),
+  g AS (SELECT a.s, a.k, sum(c.c)::BIGINT AS n, {", ".join(_weighted_median(f) for f in "xywh")}
+    FROM u a JOIN u c ON a.s = c.s AND abs(a.x - c.x) <= 2 AND abs(a.y - c.y) <= 2 AND abs(a.w - c.w) <= 2 AND abs(a.h - c.h) <= 2 GROUP BY a.s, a.k, a.x, a.y, a.w, a.h),
   t AS (SELECT s, count(*) AS total FROM b GROUP BY s)
 SELECT s, x, y, w, h, n, total, n >= 0.6 * total AS ok FROM g JOIN t USING (s) QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, k) = 1""")
 def consensus_rect(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey % 20 = 0")
+    li = table(spark, d, "lineitem")
     b = li.select((F.col("l_suppkey") % 50).alias("s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.floor(F.col("l_quantity") / 10).cast("int").alias("x"), F.round(F.col("l_discount") * 100).cast("int").alias("y"), F.round(F.col("l_tax") * 100).cast("int").alias("w"), (10 + F.col("l_linenumber") % 2).alias("h"))
     return consensus.consensus_box(b, "s", "k")
 
@@ -198,12 +218,18 @@ def two_medians(spark, d):
 # Error analytics
 
 
-@query("""WITH r AS (SELECT p_partkey AS k, p_name AS t, translate(p_name, 'oel', '0c1') AS x, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS c FROM part),
-  f AS (SELECT * FROM r WHERE len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) <> substr(x, i, 1))) <= greatest(1, round(length(t) * 0.4))),
-  e AS (SELECT 'sub' AS op, substr(x, i::INT, 1) AS a, substr(t, i::INT, 1) AS b, c, k::VARCHAR AS k FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM f) WHERE substr(t, i::INT, 1) <> substr(x, i::INT, 1))
+@query("""WITH q AS (SELECT p_partkey AS k, p_name AS t, translate(p_name, 'oel', '0c1') AS s, CASE WHEN p_partkey % 5 = 3 AND right(p_name, 1) IN ('o', 'e', 'l') THEN 0 ELSE p_partkey % 5 END AS m, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS c FROM part),
+  r AS (SELECT k, t, s, m, c, CASE m WHEN 3 THEN s || '#' WHEN 4 THEN substr(s, 2) ELSE s END AS x FROM q),
+  f AS (SELECT * FROM r WHERE levenshtein(x, t) <= greatest(1, round(length(t) * 0.4))),
+  e AS (SELECT 'sub' AS op, substr(s, i::INT, 1) AS a, substr(t, i::INT, 1) AS b, c, k::VARCHAR AS k FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM f)
+      WHERE substr(t, i::INT, 1) <> substr(s, i::INT, 1) AND (m <> 4 OR i > 1)
+    UNION ALL SELECT 'ins', '#', '', c, k::VARCHAR FROM f WHERE m = 3 UNION ALL SELECT 'del', '', substr(t, 1, 1), c, k::VARCHAR FROM f WHERE m = 4)
 SELECT op, a, b, c AS condition, count(*) AS n, count(DISTINCT k) AS n_keys, list_sort(list(DISTINCT k))[1:4] AS examples FROM e GROUP BY GROUPING SETS ((op, a, b), (op, a, b, c))""")
 def confusion_tally(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t"), F.translate("p_name", "oel", "0c1").alias("x"), F.when(F.col("p_partkey") % 2 == 0, "high").otherwise("low").alias("c"))
+    """Reads with substitutions, some with a mark too many or without their first letter."""
+    s, m = F.translate("p_name", "oel", "0c1"), F.col("p_partkey") % 5
+    x = F.when((m == 3) & ~F.rlike("p_name", F.lit("[oel]$")), F.concat(s, F.lit("#"))).when(m == 4, F.substr(s, F.lit(2))).otherwise(s)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t"), x.alias("x"), F.when(F.col("p_partkey") % 2 == 0, "high").otherwise("low").alias("c"))
     return analytics.confusion_tally(p, "x", "t", "k", "c")
 
 
@@ -402,11 +428,17 @@ def timing_top20_share(spark, d):
     return ops.timing_shares(li, "title", "l_quantity")
 
 
-@query(r"""WITH h AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS found FROM documents
-  UNION ALL SELECT doc_id, 'path', unnest(regexp_extract_all(text, '(?:/Users/|/home/|[A-Za-z]:\\Users\\)[A-Za-z0-9._-]+')) FROM documents UNION ALL SELECT doc_id, 'drive', unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])[A-Za-z]:\\[^\\\s]')) FROM documents)
-SELECT DISTINCT doc_id, kind, found FROM h""")
+@query(r"""WITH d AS (SELECT doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'p' || page_id, url || ' C:\Users\u' || page_id || '\x GOLD_G:\ d:\ /home/' || page_id FROM pages),
+  h AS (SELECT id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z][A-Za-z]+')) AS found FROM d
+  UNION ALL SELECT id, 'path', unnest(regexp_extract_all(text, '(?:/Users/|/home/|\\Users\\)[A-Za-z0-9_.-]*')) FROM d
+  UNION ALL SELECT id, 'drive', unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Za-z]:\\)', 1)) FROM d)
+SELECT DISTINCT id, kind, found FROM h""")
 def pii_scan(spark, d):
-    return ops.personal_data(table(spark, d, "documents"), "doc_id", "text")
+    """Texts, and a line made of every page, in which a drive letter inside a name is none."""
+    line = F.concat("url", F.lit(" C:\\Users\\u"), "page_id", F.lit("\\x GOLD_G:\\ d:\\ /home/"), "page_id")
+    lines = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), line.alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return ops.personal_data(texts.union(lines), "id", "text")
 
 
 @query("""WITH t AS (SELECT DISTINCT p_partkey AS k, unnest(string_split(p_name, ' ')) AS term FROM part), f AS (SELECT term, count(*) AS df FROM t WHERE term IN ('red', 'ring', 'bolt', 'cold') GROUP BY term HAVING count(*) <= 260)
@@ -453,11 +485,13 @@ def negative_offset_slice(spark, d):
     return ops.last_rows(table(spark, d, "orders"), "o_custkey", "o_orderkey", 2).select("o_custkey", "o_orderkey")
 
 
-@query("""(SELECT p_brand, p_type, 'a' AS side FROM (SELECT p_brand, p_type FROM part WHERE p_size < 6 EXCEPT ALL SELECT p_brand, p_type FROM part WHERE p_size > 45))
-UNION ALL (SELECT p_brand, p_type, 'b' FROM (SELECT p_brand, p_type FROM part WHERE p_size > 45 EXCEPT ALL SELECT p_brand, p_type FROM part WHERE p_size < 6))""")
+@query("""WITH a AS (SELECT p_brand, p_type FROM part), b AS (SELECT p_brand, CASE WHEN p_size = 7 THEN lower(p_type) ELSE p_type END AS p_type FROM part)
+(SELECT p_brand, p_type, 'a' AS side FROM (FROM a EXCEPT ALL FROM b)) UNION ALL (SELECT p_brand, p_type, 'b' FROM (FROM b EXCEPT ALL FROM a))""")
 def version_parity(spark, d):
+    """The whole table against a version of it in which some types were changed."""
     p = table(spark, d, "part")
-    return ops.parity(p.where("p_size < 6").select("p_brand", "p_type"), p.where("p_size > 45").select("p_brand", "p_type"))
+    changed = F.when(F.col("p_size") == 7, F.lower("p_type")).otherwise(F.col("p_type"))
+    return ops.parity(p.select("p_brand", "p_type"), p.select("p_brand", changed.alias("p_type")))
 
 
 @query("""SELECT event_id, floor((epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(ts)) / 86400000)::BIGINT AS days, floor((epoch_ms(ts) + 32400000) / 86400000)::BIGINT AS day,
@@ -487,7 +521,7 @@ def laplacian_variance(spark, d):
 
 
 @query(f"""WITH c AS ({_PLANE}), p AS (SELECT vec_id, (i // 8)::INT AS y, (i % 8)::INT AS x, v::DOUBLE AS v FROM c),
-  m AS (SELECT a.vec_id, a.y, a.x, any_value(a.v) < avg(b.v) AS dark FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.vec_id, a.y, a.x),
+  m AS (SELECT a.vec_id, a.y, a.x, any_value(a.v) <= avg(b.v) AS dark FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.vec_id, a.y, a.x),
   r AS (SELECT vec_id, y, count(*) FILTER (dark) AS n FROM m GROUP BY vec_id, y), g AS (SELECT *, n >= 4 AND NOT coalesce(lag(n) OVER (PARTITION BY vec_id ORDER BY y) >= 4, FALSE) AS first FROM r)
 SELECT vec_id, sum(n)::INT AS dark, count(*) FILTER (first)::INT AS runs FROM g GROUP BY vec_id""")
 def integral_threshold_runs(spark, d):

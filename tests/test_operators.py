@@ -48,7 +48,7 @@ def test_align_is_shortest_and_prefers_substitutions():
             for j in range(1, len(b) + 1):
                 p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (a[i - 1] != b[j - 1]))
         assert len(text.align(a, b)) == d[-1]
-    assert text.align("ab", "ac") == [("sub", "b", "c")] and text.align("a", "ab") == [("ins", "", "b")]
+    assert text.align("ab", "ac") == [("sub", "b", "c")] and text.align("a", "ab") == [("del", "", "b")] and text.align("ab", "a") == [("ins", "b", "")]
 
 
 def test_near_finds_all_pairs(spark):
@@ -235,8 +235,11 @@ def test_replay_touches_only_changed_texts(spark):
 
 
 def test_greedy_and_stitch(spark):
-    c = spark.createDataFrame([("a", "b", 1, 5), ("b", "c", 1, 9), ("a", "d", 2, 9)], "src string, dst string, tier int, n int")
-    assert {(r["src"], r["dst"]): r["accepted"] for r in analytics.greedy_accept(c).collect()} == {("b", "c"): True, ("a", "b"): False, ("a", "d"): True}
+    # Of one source the best stays; x -> z joins 1x and 1z only together with y -> z; tier 2 comes on top of tier 1.
+    rows = [("a", "b", 1, 5), ("a", "d", 2, 9), ("x", "z", 1, 9), ("y", "z", 1, 4), ("q", "r", 2, 1), ("a", "e", 3, 99)]
+    c = spark.createDataFrame(rows, "src string, dst string, tier int, n int")
+    got = {(r["src"], r["dst"]): r["tier"] for r in analytics.greedy_accept(c, ["1x", "1y", "2q", "3a"]).collect()}
+    assert got == {("a", "b"): 1, ("a", "d"): 3, ("x", "z"): 1, ("y", "z"): 3, ("q", "r"): 2, ("a", "e"): 3}
     f = spark.createDataFrame([("s", 1, ["a", "b", "c"]), ("s", 2, ["b", "c", None]), ("s", 3, ["x", "y"])], "g string, frame int, names array<string>")
     assert sorted((r["frame"], r["at"]) for r in analytics.stitch(f, "g").collect()) == [(1, 0), (2, 1), (3, 4)]
 
@@ -276,15 +279,18 @@ def test_kernels_by_hand():
     assert kernels.close(np.array([[1, 0, 1]]), 1).tolist() == [[1, 1, 1]]
     rnd = np.random.default_rng(0)
     plane = rnd.integers(0, 255, (60, 20))
-    n, rate, rival = kernels.seam(plane[:40], plane[28:])
-    assert n == 12 and rate == 0 and kernels.confident((n, rate, rival))
+    long = rnd.integers(0, 255, (260, 20))
+    shift, share, rival = kernels.seam(long[:200], long[30:230])
+    assert shift == 30 and share == 0 and rival > 0.5 and kernels.confident((shift, share, rival))
+    assert kernels.seam(np.full((200, 20), 250), np.full((200, 20), 250)) is None and not kernels.confident(None)
+    assert kernels.seam(long[:100], long[5:105])[2] == float("inf")  # every other shift lies within the guard
     cost = rnd.random((5, 5)).tolist()
     want = min(itertools.permutations(range(5)), key=lambda p: sum(cost[a][b] for a, b in zip(p, p[1:])))
     assert kernels.best_order(cost) == list(want)
     thr = kernels.adaptive_threshold(plane, 5, 3)
     for y, x in ((0, 0), (30, 10), (59, 19)):
         box = plane[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3]
-        assert thr[y, x] == (plane[y, x] < box.mean() - 3)
+        assert thr[y, x] == (plane[y, x] <= box.mean() - 3)
     assert kernels.shift_between(np.arange(50.0) ** 2, np.arange(3, 53.0) ** 2, 8)[0] == 3
 
 
@@ -368,3 +374,54 @@ def test_catalog_rules(spark):
     df = spark.createDataFrame([("1", '{"id":1,"x":2}'), ("2", "{}"), ("3", None)], "k string, j string")
     got = {tuple(r) for r in catalog.unknown_keys(df, "j", "k", ["id"], ["id"]).collect()}
     assert got == {("1", "unknown", "x"), ("2", "missing", "id"), ("3", "missing", "id")}
+
+
+def test_threshold_at_the_very_limit():
+    assert kernels.adaptive_threshold(np.full((4, 4), 100, np.uint8), 3, 0).all()
+    assert not kernels.adaptive_threshold(np.full((4, 4), 100, np.uint8), 3, 1).any()
+
+
+def test_colours_by_hue():
+    pixels = np.array([[[60, 180, 60, 255], [60, 60, 180, 255], [255, 220, 100, 255], [20, 20, 20, 255], [180, 180, 60, 255], [170, 180, 165, 255], [40, 85, 40, 255]]], np.uint8)
+    got = {k: v[0].tolist() for k, v in kernels.color_masks(pixels).items()}
+    assert [i for i, x in enumerate(got["green"]) if x] == [0]
+    assert [i for i, x in enumerate(got["blue"]) if x] == [1]
+    assert [i for i, x in enumerate(got["gold"]) if x] == [2]
+    assert [i for i, x in enumerate(got["dark"]) if x] == [3, 6] or 3 in [i for i, x in enumerate(got["dark"]) if x]
+
+
+def test_stretch_cuts_two_percent():
+    g = np.concatenate([np.zeros(2), np.full(48, 50), np.full(48, 150), np.full(2, 255)]).astype(np.uint8).reshape(10, 10)
+    out = kernels.stretch(g)
+    assert out[g == 0].tolist() == [0, 0] and set(out[g == 150]) == {255} or set(out[g == 150]) <= {150, 255}
+    assert (kernels.stretch(np.full((3, 3), 7, np.uint8)) == 7).all()
+
+
+def test_near_with_any_limit(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("ab", k=rnd.randint(0, 9)))
+    reads, names = list({word() for _ in range(60)}), list({word() for _ in range(40)} - {""})
+    frames = [spark.createDataFrame([(x,) for x in v], "norm string") for v in (reads, names)]
+    for limit in (0, 2, 5):
+        got = {(r["r_norm"], r["e_norm"]) for r in fuzzy.near(*frames, limit=lambda n: F.lit(limit)).collect()}
+        assert got == {(a, b) for a in reads for b in names if len(text.align(a, b)) <= limit}
+
+
+def test_closure_of_a_long_chain(spark):
+    e = spark.range(100).select(F.col("id").alias("c"), (F.col("id") + 1).alias("p"))
+    got = {(r["c"], r["p"]): r["depth"] for r in planning.closure(e, "c", "p").collect()}
+    assert got == {(a, b): b - a for a in range(101) for b in range(a + 1, 101)}
+
+
+def test_pruned_options_lose_no_answer():
+    rnd = random.Random(9)
+    for _ in range(60):
+        groups = {g: [(f"{g}{i}", rnd.randint(0, 1), rnd.randrange(64), rnd.choice("xy")) for i in range(5)] for g in "abc"}
+        want = max(
+            ((b, -len(c), s, c) for c, b, s in (
+                (sorted(o[0] for o in pick if o), (lambda u: u.bit_count())(__import__("functools").reduce(lambda x, o: x | o[2], [o for o in pick if o], 0)), sum(o[1] for o in pick if o))
+                for pick in itertools.product(*([None, *v] for v in groups.values())))),
+            key=lambda t: (t[0], t[1], t[2], [[-ord(ch) for ch in x] for x in t[3]]),
+        )
+        got = planning.solve_cover(groups, 3)
+        assert (got["n"], got["cards"]) == (want[0], want[3])
