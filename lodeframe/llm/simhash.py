@@ -301,9 +301,10 @@ def _close(pairs: DataFrame, nodes: DataFrame, names: list[str], radius: int, si
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Those of the different ``pairs`` (a, b) whose sets of shingles have the Jaccard similarity.
+    """The different ``pairs`` (a, b) with ``linked``: whether their sets of shingles have the Jaccard similarity.
 
-    Texts are fetched for the nodes in pairs only. Pairs with the same b are dealt into runs of RUN, each with its own
+    ``more`` and ``less`` count the shingles of a that b lacks, and the reverse; ``mask`` has a bit, told by its hash, for
+    each of the former. Texts are fetched for the nodes in pairs only. Pairs with the same b are dealt into runs of RUN, each with its own
     copy of that text, so that a text near very many others meets them in many tasks.
     """
     import pyarrow as pa
@@ -328,23 +329,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
         worker_cache(None)
         last: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for i, (b, x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+            rows = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if last[0] != b:
                     last = b, shingle_hashes(y.as_py(), shingle)
                 h = shingle_hashes(x.as_py(), shingle)
-                shared = len(np.intersect1d(h, last[1], assume_unique=True))
-                if shared >= similarity * (len(h) + len(last[1]) - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                extra = np.setdiff1d(h, last[1], assume_unique=True)
+                shared = len(h) - len(extra)
+                bits = int(np.bitwise_or.reduce(np.uint64(1) << (extra >> np.uint64(58)), initial=np.uint64(0)))
+                linked = shared >= similarity * (len(h) + len(last[1]) - shared)
+                rows.append((linked, len(extra), len(last[1]) - shared, bits - 2**64 if bits >= 2**63 else bits))
+            kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int64())
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["a", "b", "linked", "more", "less", "mask"])
         worker_cache(None)
 
     own = both.select("a", "b", F.col("x").cast("binary").alias("x"), F.col("y").cast("binary").alias("y"))
-    out = cut(own.mapInArrow(run, "a long, b long"), "links", BATCH_ROWS)
+    out = cut(own.mapInArrow(run, "a long, b long, linked boolean, more int, less int, mask long"), "links", BATCH_ROWS)
     release(pairs, ids, found)
     return out
 
 
+def _apart(a: str, b: str) -> Column:
+    """The least number of shingles that only one of two texts has, from how both differ from a third.
+
+    Of the shingles that the third lacks, a has ``more``, at least one for each bit of its mask; at most those whose bit
+    is in both masks are common. Of the third's shingles a and b lack ``less`` each, and at most all of the fewer are
+    lacked by both.
+    """
+    both = F.bit_count(F.col(f"{a}.mask").bitwiseAND(F.col(f"{b}.mask")))
+    most = lambda x: F.col(f"{x}.more") - F.bit_count(F.col(f"{x}.mask")) + both
+    common = F.least(most(a), most(b))
+    return F.col(f"{a}.more") + F.col(f"{b}.more") - 2 * common + F.abs(F.col(f"{a}.less") - F.col(f"{b}.less"))
+
+
 def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, width: int, shingle: int, similarity: float) -> DataFrame:
     """(node, root) for each node that is not the smallest of its component, links being pairs of that similarity.
 
@@ -354,7 +372,9 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     in 15 % of the bits, so a segment brings them together with a chance of a tenth; of all segments, 0.92 do (0.99 from
     similarity 0.85 on). First each node is held against one node of each bucket, that which meets the most others in its
     buckets and so lies in the middle of its group, which joins large groups; then all pairs that meet and lie in
-    different components are verified. The first 64 bits and the sizes are compared while keys are joined.
+    different components are verified. While keys are joined, the first 64 bits and the sizes are compared, and pairs that
+    were measured against the same text are left out if that proves them apart (``_apart``): the many copies of one text
+    that differ from each other too much are told so without being paired.
     """
     names = [f"fp{i}" for i in range(words)]
     segs = [(i * width, width) for i in range(count)]
@@ -367,21 +387,29 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     weighed = shared.select("key", "nid").join(weight, "nid")
     lead = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("nid")).alias("low"))).alias("l"))
     star = shared.join(lead.select("key", (-F.col("l.low")).alias("b")), "key").where("nid <> b").select(F.col("nid").alias("a"), "b")
-    links = _verified(_close(star, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
+    measured = _verified(_close(star, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
+    links = measured.where("linked").select("a", "b")
     first = connected_components(links)
+    # Each node is noted relative to the busiest of the texts that it was measured against, itself included.
+    busy = measured.groupBy("b").agg(F.count("*").alias("pairs"))
+    zero = [F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(0).cast("long").alias("mask")]
+    against = measured.select("a", "b", "more", "less", "mask").union(busy.select(F.col("b").alias("a"), "b", *zero))
+    nearest = F.max(F.struct("pairs", "b", "more", "less", "mask")).alias("m")
+    against = against.join(busy, "b").groupBy(F.col("a").alias("nid")).agg(nearest).select("nid", F.col("m.b").alias("mid"), "m.more", "m.less", "m.mask")
     noted = cut(
-        nodes.select("nid", "size", *names).join(first.withColumnRenamed("node", "nid"), "nid", "left")
-        .select("nid", F.coalesce("root", "nid").alias("comp"), F.col("size").cast("int").alias("size"), *names),
+        nodes.select("nid", "size", *names).join(first.withColumnRenamed("node", "nid"), "nid", "left").join(against, "nid", "left")
+        .select("nid", F.coalesce("root", "nid").alias("comp"), F.col("size").cast("int").alias("size"), "mid", "more", "less", "mask", *names),
         "noted",
     )
 
-    carried = ["nid", "comp", "size", "fp0"]
-    table = _table(noted, names, segs, "comp", "size").select("key", *carried)
+    carried = ["comp", "size", "mid", "more", "less", "mask"]
+    table = _table(noted, names, segs, *carried).select("key", "nid", "fp0", *carried)
     # A key from the ball has a negative nid: such pairs are found once, those of equal keys twice.
-    probe = table.union(_ball(table, segs).select("key", (-F.col("nid") - 1).alias("nid"), "comp", "size", "fp0"))
+    probe = table.union(_ball(table, segs).select("key", (-F.col("nid") - 1).alias("nid"), "fp0", *carried))
     fresh = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.nid") < F.col("y.nid"))
     fresh &= F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size")
     fresh &= F.bit_count(F.col("x.fp0").bitwiseXOR(F.col("y.fp0"))) <= first_radius
+    fresh &= ~F.coalesce((F.col("x.mid") == F.col("y.mid")) & (_apart("x", "y") > F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.size") + F.col("y.size"))), F.lit(False))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         a = F.when(F.col("x.nid") < 0, -F.col("x.nid") - 1).otherwise(F.col("x.nid"))
@@ -395,14 +423,15 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
         on = ["key", "comp"]
         crowd = table.join(dense, on, "left_semi")
         several = dense.groupBy("key").count().where(F.col("count") > 1).select("key")
+        there = probe.join(dense.select("key").distinct(), "key", "left_semi")
         more = (
             pairs(probe, table.join(dense, on, "left_anti"))
-            .union(pairs(probe.join(dense, on, "left_anti"), crowd))
-            .union(pairs(probe.join(dense, on, "left_semi").join(several, "key", "left_semi"), crowd))
+            .union(pairs(there.join(dense, on, "left_anti"), crowd))
+            .union(pairs(there.join(dense, on, "left_semi").join(several, "key", "left_semi"), crowd))
         )
     late = _verified(_close(more, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
-    out = connected_components(links.union(late))
-    release(shared, first, noted, dense, links, late)
+    out = connected_components(links.union(late.where("linked").select("a", "b")))
+    release(shared, measured, first, noted, dense, late)
     return out
 
 
