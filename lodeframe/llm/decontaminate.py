@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.storage import cut
+from lodeframe.storage import cut, holding
 
 #: A word is a run of other characters than these; A-Z are lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,7 +50,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, item_id: str = "it
 
 def hash_set(grams: DataFrame) -> DataFrame:
     """The windows as a hash table: filed under the hash of their longest word (``key``) at place ``offset``, with the
-    hash ``h`` of the whole n-gram."""
+    hash ``h`` of the whole n-gram. Of words of equal length the last in order of text, at its first place; no window, no
+    row. Windows have words, so none is null or empty."""
     w = F.split("gram", " ")
     longest = F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     return grams.select(
@@ -122,7 +123,12 @@ def hit_words(hits: Column) -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """One row per document: n_words, n_hit, n_items, items_sha256 and contaminated.
+
+    Null and empty texts have no words and no hits; texts are read whole; windows that overlap count their words once; a
+    null id is kept; repeated rows stay repeated; without items nothing is contaminated, without documents no row; other
+    columns are ignored.
+    """
     found = scan(docs, items, doc_id, **how)
     return found.select(
         F.col(doc_id),
@@ -138,14 +144,15 @@ def remove_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """``docs``, with all their columns, without those that hold a benchmark window.
 
     Hit documents are told by id and digest, so repeated and null ids do no harm. That list is narrow; Spark broadcasts
-    it where it is small and else shuffles.
+    it where it is small and else shuffles. Null and empty texts stay, repeated rows stay or go together, an empty table
+    stays empty, columns may have any names.
     """
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    own = docs.select(F.col(doc_id).alias("id"), digest.alias("digest"), F.col(text).alias("text"))
+    digest = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    own = docs.select(F.col(doc_id).alias("id"), digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
     found = scan(own, items, "id", "digest", **how).where(F.size("hits") > 0)
-    hit = cut(found.select(F.col("id").alias("__hit_id"), F.col("digest").alias("__hit_digest")).distinct(), "hit")
-    same = F.col(doc_id).eqNullSafe(F.col("__hit_id")) & (digest == F.col("__hit_digest"))
-    return docs.join(hit, same, "left_anti")
+    hit = cut(found.select("id", "digest").distinct(), "hit")
+    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("h.id")) & (digest(F.col(f"d.`{text}`")) == F.col("h.digest"))
+    return holding(docs.alias("d").join(hit.alias("h"), same, "left_anti"), hit)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, *keep: str, text: str = "text", **how) -> DataFrame:

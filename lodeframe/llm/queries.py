@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import decontaminate, lm, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from lodeframe.session import table
-from lodeframe.storage import shared_dir
+from lodeframe.storage import holding, shared_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +69,7 @@ ORACLE["op1_quality_rules"] = _op1_sql()
 
 @query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's hits of the benchmark; null and empty texts have no words, repeated rows stay repeated."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -91,13 +92,17 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN a USING (rid)"""
 
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; texts without words have fingerprint zero and link like any other."""
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what is labelled as of good quality and not toxic, the background every document."""
+    """The target is what is labelled as of good quality and not toxic, the background every document.
+
+    Texts without words score zero; repeated rows stay repeated; without labels the target model is its smoothing alone.
+    """
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     return lm.score(docs, good)
@@ -105,13 +110,15 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written token files say of every document; null and empty texts are one end id, equal ids go by their texts."""
     path = f"{shared_dir(spark)}/lodeframe/tokens-{uuid.uuid4().hex}"
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
-    return tokenfile.read_token_files(spark, path)
+    return holding(tokenfile.read_token_files(spark, path), path)
 
 
 @query
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; a null URL and one without ``://`` have an empty host and path."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), "page_id")
 
 
@@ -138,6 +145,7 @@ SELECT page_id, host, path, rule, CASE
 
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model that learnt outside the held-out third; texts without words have one, too."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, "doc_id")
@@ -146,12 +154,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of pieces, the sums of its ids and of the text they decode to; empty texts have no ids."""
     docs = table(spark, sf_dir, "documents")
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), "doc_id", ids=False, remember=800_000, slice_bytes=6 << 20)
 
 
 @query
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot; equal texts, null and empty ones among them, are one group."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot",
@@ -161,5 +171,6 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records of every page; a null page has an empty body, a null URL no target."""
     made = warc.page_derivatives(table(spark, sf_dir, "pages"), "page_id")
     return made.withColumn("record_crc32", F.crc32("record")).drop("record")

@@ -273,7 +273,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     The lexicon holds word stems that are far more frequent in toxic texts. A training row's features come from the
     lexicon of the other folds, so that the trees do not see a row's own words as entries. Seven tenths of the rows grow
-    the trees, the others calibrate them. With fewer than four rows of either label the model scores 0.
+    the trees, the others calibrate them. With fewer than four rows of either label the model scores 0. Null texts and
+    ids, and labels without a document, teach nothing; equal texts are one row, toxic if one of them is; of an id's
+    several labels the highest counts; long texts are read whole. ``docs`` and ``labels`` may have any further columns.
     """
     import numpy as np
 
@@ -338,7 +340,11 @@ def score(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
+    """The rows of ``docs``, with all their columns, that are not predicted toxic.
+
+    Null and empty texts are scored as texts without words, long ones are read whole, repeated rows stay or go together,
+    an empty table stays empty, and columns may have any names.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -114,3 +114,15 @@ def test_columns_of_any_name(spark):
     got = simhash.near_duplicates(df.withColumn("digest_", F.lit(3)).withColumn("size", F.lit(4)).withColumn("nid", F.lit(5)))
     assert got.columns == ["doc_id", "text", "digest", "digest_", "size", "nid"]
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "None"]
+
+
+def test_decontamination_with_columns_of_any_name(spark):
+    from lodeframe.llm import decontaminate
+
+    words = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, words, 5, "x"), (2, "fine", 6, "y"), (2, "fine", 6, "y"), (None, None, 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, digest string")
+    items = spark.createDataFrame([("i", words)], "item_id string, text string")
+    got = decontaminate.remove_documents(df, items)
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == [6, 6, 7]
+    assert decontaminate.report(df, items).count() == 4
