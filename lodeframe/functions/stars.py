@@ -102,3 +102,10 @@ def fresh(at: Column, now: Column, days: int = 30, hours: int = 9) -> Column:
 
 def iso_local(at: Column, zone: str) -> Column:
     return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def race_label(day: Column, label: Column) -> Column:
+    """M/D of an ISO day, without leading zeros; the label, or nothing, where there is no such day."""
+    iso = r"^\d{4}-(\d{2})-(\d{2})$"
+    part = lambda i: F.regexp_extract(day, iso, i).cast("int").cast("string")
+    return F.when(day.rlike(iso), F.concat(part(1), F.lit("/"), part(2))).otherwise(F.coalesce(label, F.lit("")))

@@ -140,3 +140,11 @@ def abbreviations(names: DataFrame, short: DataFrame, key: str, limit: int) -> D
         .unionByName(short.join(twice, "abbr", "left_semi").select(key, F.lit("repeated").alias("problem")))
         .unionByName(short.join(names.select(key), key, "left_anti").select(key, F.lit("unknown").alias("problem")))
     )
+
+
+def tag_disagreements(df: DataFrame, key: str, tags: str, text: str, words: dict[str, str]) -> DataFrame:
+    """(key, lacking, extra): tags whose word the text has but the row lacks, and the reverse; ``words`` gives each tag's word."""
+    named = F.filter(F.array(*(F.when(F.contains(F.col(text), F.lit(w)), F.lit(t)) for t, w in words.items())), lambda x: x.isNotNull())
+    known = F.array_intersect(tags, F.array(*map(F.lit, words)))
+    out = df.select(key, F.array_sort(F.array_except(named, known)).alias("lacking"), F.array_sort(F.array_except(known, named)).alias("extra"))
+    return out.where((F.size("lacking") > 0) | (F.size("extra") > 0))

@@ -216,3 +216,32 @@ def fill_up(chosen: DataFrame, pool: DataFrame, k: int, key: str, ssr: str) -> D
     n = chosen.count()
     more = pool.join(chosen.select(key), key, "left_anti").orderBy(F.desc(ssr), key).limit(max(0, k - n))
     return chosen.select(key).unionByName(more.select(key))
+
+
+def card_pool(cards: DataFrame, event_rows: DataFrame, card: str, *gone: DataFrame) -> DataFrame:
+    """Cards that may be proposed: of the two upper rarities, no group, with an event row that is done or none, in none of ``gone``.
+
+    ``gone`` are tables of cards: the roster, and those that are excluded; keys that no card has are ignored.
+    """
+    rows = event_rows.where(F.col("state").isin("done", "none")).select(card).distinct()
+    out = cards.where(F.col("rarity").isin("SSR", "SR") & ~F.col("is_group")).join(rows, card, "left_semi")
+    for t in gone:
+        out = out.join(t.select(card).distinct(), card, "left_anti")
+    return out
+
+
+def score(gains: DataFrame, chain: DataFrame, golds: DataFrame, population: DataFrame, card: str, skill: str) -> DataFrame:
+    """(card, whites, golds, score): skills of the population that a card brings, and its golds that count, a point each.
+
+    A gold brings its whole chain (skill, prev) of whites and counts if one of them is in the population.
+    """
+    own = gains.select(card, skill).distinct()
+    gold = own.join(golds.select(skill).distinct(), skill, "left_semi")
+    links = chain.select(skill, F.col("prev").alias("__w")).distinct()
+    pool = population.select(F.col(skill).alias("__w")).distinct()
+    brought = gold.join(links, skill).join(pool, "__w").select(card, skill, "__w")
+    counted = brought.groupBy(card).agg(F.count_distinct(skill).alias("golds"))
+    plain = own.join(golds.select(skill).distinct(), skill, "left_anti").select(card, F.col(skill).alias("__w")).join(pool, "__w", "left_semi")
+    whites = plain.select(card, "__w").union(brought.select(card, "__w")).distinct().groupBy(card).agg(F.count("*").alias("whites"))
+    out = own.select(card).distinct().join(whites, card, "left").join(counted, card, "left").na.fill(0, ["whites", "golds"])
+    return out.withColumn("score", F.col("whites") + F.col("golds"))

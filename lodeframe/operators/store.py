@@ -159,3 +159,26 @@ def register(parents: DataFrame, incoming: DataFrame, pid: str, link: str, star_
 def issues(**checks: Column) -> Column:
     """The names of the checks that a record fails."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))
+
+
+def migrate_bundles(bundles: DataFrame, parents: DataFrame, distances: list[str], other: str = "medium") -> tuple[DataFrame, DataFrame]:
+    """The first schema's bundles as category sets (category, skills), and parents with the ``sets`` their bundles went into.
+
+    Dirt is a category of its own; else the distance is, ``other`` if it is none of the known. ``bundles``: id, surface,
+    dist, want; ``parents`` has bundles, which go. Unknown bundles are dropped and sets are named once.
+    """
+    category = F.when(F.col("surface") == "dirt", "dirt").when(F.col("dist").isin(distances), F.col("dist")).otherwise(other)
+    b = bundles.withColumn("category", category)
+    skills = b.groupBy("category").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("want")))).alias("skills"))
+    each = parents.select("pid", F.explode("bundles").alias("id")).join(b.select("id", "category"), "id")
+    sets = each.groupBy("pid").agg(F.array_sort(F.collect_set("category")).alias("sets"))
+    moved = parents.drop("bundles").join(sets, "pid", "left")
+    return skills, moved.withColumn("sets", F.coalesce("sets", F.array().cast("array<string>")))
+
+
+def edited(cells: DataFrame, read: DataFrame, record: str, keys: list[str], value: str) -> DataFrame:
+    """(record, edited): whether any cell differs from what was read, one that only either side has included."""
+    a = cells.select(record, *keys, F.col(value).alias("__now"), F.lit(True).alias("__a"))
+    b = read.select(record, *keys, F.col(value).alias("__was"), F.lit(True).alias("__b"))
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("__now").eqNullSafe(F.col("__was"))
+    return a.join(b, [record, *keys], "full").groupBy(record).agg((~F.bool_and(same)).alias("edited"))
