@@ -409,7 +409,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     fresh = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.nid") < F.col("y.nid"))
     fresh &= F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size")
     fresh &= F.bit_count(F.col("x.fp0").bitwiseXOR(F.col("y.fp0"))) <= first_radius
-    fresh &= ~F.coalesce((F.col("x.mid") == F.col("y.mid")) & (_apart("x", "y") > F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.size") + F.col("y.size"))), F.lit(False))
+    fresh &= ~F.coalesce((F.col("x.mid") == F.col("y.mid")) & (_apart("x", "y") > F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) + 1e-6), F.lit(False))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         a = F.when(F.col("x.nid") < 0, -F.col("x.nid") - 1).otherwise(F.col("x.nid"))
