@@ -201,12 +201,16 @@ MIN_WIDTH, ROOM = 24, 6
 #: The search radius lies this many standard deviations above the bits at which pairs of the least similarity differ;
 #: the second figure is that of the first 64 bits, which are compared while keys are joined.
 SPREAD, SPREAD_FIRST = 2.3, 3.5
+#: A text is measured against its bucket's middle one if their similarity may be this, so that it can be told from others.
+RELATED = 0.5
 #: Up to so many ids are broadcast to fetch their texts; more are joined by shuffling.
 BROADCAST_IDS = 200_000
 #: Rows of texts that stand in memory at a time.
 BATCH_ROWS = 1000
 #: Pairs that share their second text are dealt into runs of this many.
 RUN = 256
+#: Words of the masks that tell which shingles of a text its middle lacks; so many bits that few shingles share one.
+MASKS = [f"mask{i}" for i in range(4)]
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE):
@@ -303,8 +307,8 @@ def _close(pairs: DataFrame, nodes: DataFrame, names: list[str], radius: int, si
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, limit: int = BROADCAST_IDS) -> DataFrame:
     """The different ``pairs`` (a, b) with ``linked``: whether their sets of shingles have the Jaccard similarity.
 
-    ``more`` and ``less`` count the shingles of a that b lacks, and the reverse; ``mask`` has a bit, told by its hash, for
-    each of the former. Texts are fetched for the nodes in pairs only. Pairs with the same b are dealt into runs of RUN, each with its own
+    ``more`` and ``less`` count the shingles of a that b lacks, and the reverse; the words ``MASKS`` have a bit, told by its
+    hash, for each of the former. Texts are fetched for the nodes in pairs only. Pairs with the same b are dealt into runs of RUN, each with its own
     copy of that text, so that a text near very many others meets them in many tasks.
     """
     import pyarrow as pa
@@ -336,33 +340,51 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
                 h = shingle_hashes(x.as_py(), shingle)
                 extra = np.setdiff1d(h, last[1], assume_unique=True)
                 shared = len(h) - len(extra)
-                bits = int(np.bitwise_or.reduce(np.uint64(1) << (extra >> np.uint64(58)), initial=np.uint64(0)))
+                bits = np.zeros(64 * len(MASKS), bool)
+                bits[extra >> np.uint64(64 - (len(bits) - 1).bit_length())] = True
                 linked = shared >= similarity * (len(h) + len(last[1]) - shared)
-                rows.append((linked, len(extra), len(last[1]) - shared, bits - 2**64 if bits >= 2**63 else bits))
-            kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int64())
+                rows.append((linked, len(extra), len(last[1]) - shared, *np.packbits(bits, bitorder="little").view("<i8").tolist()))
+            kinds = (pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * len(MASKS))
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["a", "b", "linked", "more", "less", "mask"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["a", "b", "linked", "more", "less", *MASKS])
         worker_cache(None)
 
     own = both.select("a", "b", F.col("x").cast("binary").alias("x"), F.col("y").cast("binary").alias("y"))
-    out = cut(own.mapInArrow(run, "a long, b long, linked boolean, more int, less int, mask long"), "links", BATCH_ROWS)
+    schema = ", ".join(["a long, b long, linked boolean, more int, less int", *(f"{m} long" for m in MASKS)])
+    out = cut(own.mapInArrow(run, schema), "links", BATCH_ROWS)
     release(pairs, ids, found)
     return out
 
 
+def _against(measured: DataFrame) -> DataFrame:
+    """(nid, pairs, mid, more, less, masks): how each node differs from the busiest of the texts that it was measured
+    against, itself included; ``pairs`` counts what was measured against that."""
+    busy = measured.groupBy("b").agg(F.count("*").alias("pairs"))
+    zero = [F.lit(0).alias("more"), F.lit(0).alias("less"), *(F.lit(0).cast("long").alias(m) for m in MASKS)]
+    rows = measured.select("a", "b", "more", "less", *MASKS).union(busy.select(F.col("b").alias("a"), "b", *zero))
+    most = F.max(F.struct("pairs", "b", "more", "less", *MASKS)).alias("m")
+    return rows.join(busy, "b").groupBy(F.col("a").alias("nid")).agg(most).select("nid", "m.pairs", F.col("m.b").alias("mid"), "m.more", "m.less", *(f"m.{x}" for x in MASKS))
+
+
 def _apart(a: str, b: str) -> Column:
     """The least number of shingles that only one of two texts has, from how both differ from a third.
 
-    Of the shingles that the third lacks, a has ``more``, at least one for each bit of its mask; at most those whose bit
-    is in both masks are common. Of the third's shingles a and b lack ``less`` each, and at most all of the fewer are
+    Of the shingles that the third lacks, a has ``more``, at least one for each bit of its masks; at most those whose
+    bit is in the masks of both are common. Of the third's shingles a and b lack ``less`` each, and at most all of the fewer are
     lacked by both.
     """
-    both = F.bit_count(F.col(f"{a}.mask").bitwiseAND(F.col(f"{b}.mask")))
-    most = lambda x: F.col(f"{x}.more") - F.bit_count(F.col(f"{x}.mask")) + both
+    total = lambda counts: reduce(lambda x, y: x + y, counts)
+    both = total(F.bit_count(F.col(f"{a}.{m}").bitwiseAND(F.col(f"{b}.{m}"))) for m in MASKS)
+    most = lambda x: F.col(f"{x}.more") - total(F.bit_count(f"{x}.{m}") for m in MASKS) + both
     common = F.least(most(a), most(b))
     return F.col(f"{a}.more") + F.col(f"{b}.more") - 2 * common + F.abs(F.col(f"{a}.less") - F.col(f"{b}.less"))
 
 
+def _too_far(a: str, b: str, similarity: float) -> Column:
+    """Whether ``_apart`` proves a similarity below the least; one that equals it is no proof, however it is rounded."""
+    return _apart(a, b) > F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+
+
 def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, width: int, shingle: int, similarity: float) -> DataFrame:
     """(node, root) for each node that is not the smallest of its component, links being pairs of that similarity.
 
@@ -387,29 +409,31 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     weighed = shared.select("key", "nid").join(weight, "nid")
     lead = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("nid")).alias("low"))).alias("l"))
     star = shared.join(lead.select("key", (-F.col("l.low")).alias("b")), "key").where("nid <> b").select(F.col("nid").alias("a"), "b")
-    measured = _verified(_close(star, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
+    related = radius_of(RELATED, 64 * words)
+    met_star = _verified(_close(star, nodes, names, related, RELATED), nodes, texts, shingle, similarity)
+    # Buckets of one group may have different middles: each node is measured against its middle's middle, too.
+    up = cut(_against(met_star), "up")
+    hop = up.select(F.col("nid").alias("a"), F.col("mid").alias("m")).join(up.select(F.col("nid").alias("m"), F.col("mid").alias("b")), "m")
+    hop = hop.where("b <> m AND a <> b").select("a", "b").join(met_star.select("a", "b"), ["a", "b"], "left_anti")
+    met_hop = _verified(_close(hop, nodes, names, related, RELATED), nodes, texts, shingle, similarity)
+    measured = met_star.union(met_hop)
     links = measured.where("linked").select("a", "b")
     first = connected_components(links)
-    # Each node is noted relative to the busiest of the texts that it was measured against, itself included.
-    busy = measured.groupBy("b").agg(F.count("*").alias("pairs"))
-    zero = [F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(0).cast("long").alias("mask")]
-    against = measured.select("a", "b", "more", "less", "mask").union(busy.select(F.col("b").alias("a"), "b", *zero))
-    nearest = F.max(F.struct("pairs", "b", "more", "less", "mask")).alias("m")
-    against = against.join(busy, "b").groupBy(F.col("a").alias("nid")).agg(nearest).select("nid", F.col("m.b").alias("mid"), "m.more", "m.less", "m.mask")
+    against = _against(measured).drop("pairs")
     noted = cut(
         nodes.select("nid", "size", *names).join(first.withColumnRenamed("node", "nid"), "nid", "left").join(against, "nid", "left")
-        .select("nid", F.coalesce("root", "nid").alias("comp"), F.col("size").cast("int").alias("size"), "mid", "more", "less", "mask", *names),
+        .select("nid", F.coalesce("root", "nid").alias("comp"), F.col("size").cast("int").alias("size"), "mid", "more", "less", *MASKS, *names),
         "noted",
     )
 
-    carried = ["comp", "size", "mid", "more", "less", "mask"]
+    carried = ["comp", "size", "mid", "more", "less", *MASKS]
     table = _table(noted, names, segs, *carried).select("key", "nid", "fp0", *carried)
     # A key from the ball has a negative nid: such pairs are found once, those of equal keys twice.
     probe = table.union(_ball(table, segs).select("key", (-F.col("nid") - 1).alias("nid"), "fp0", *carried))
     fresh = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.nid") < F.col("y.nid"))
     fresh &= F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size")
     fresh &= F.bit_count(F.col("x.fp0").bitwiseXOR(F.col("y.fp0"))) <= first_radius
-    fresh &= ~F.coalesce((F.col("x.mid") == F.col("y.mid")) & (_apart("x", "y") > F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) + 1e-6), F.lit(False))
+    fresh &= ~F.coalesce((F.col("x.mid") == F.col("y.mid")) & _too_far("x", "y", similarity), F.lit(False))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         a = F.when(F.col("x.nid") < 0, -F.col("x.nid") - 1).otherwise(F.col("x.nid"))
@@ -431,7 +455,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
         )
     late = _verified(_close(more, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
     out = connected_components(links.union(late.where("linked").select("a", "b")))
-    release(shared, measured, first, noted, dense, late)
+    release(shared, met_star, up, met_hop, first, noted, dense, late)
     return out
 
 

@@ -126,3 +126,32 @@ def test_decontamination_with_columns_of_any_name(spark):
     got = decontaminate.remove_documents(df, items)
     assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == [6, 6, 7]
     assert decontaminate.report(df, items).count() == 4
+
+
+def test_a_similarity_of_exactly_the_least_is_no_proof(spark):
+    """Two texts of 45 shingles that differ in 10 have a similarity of 0.8, those that differ in 11 a lower one."""
+    def side(name, more, less, size, mask):
+        own = [F.lit(more).alias("more"), F.lit(less).alias("less"), F.lit(size).alias("size")]
+        return F.struct(*own, *(F.lit(mask if i == 0 else 0).cast("long").alias(m) for i, m in enumerate(simhash.MASKS))).alias(name)
+
+    one = spark.range(1)
+    at = one.select(side("x", 5, 5, 45, 31), side("y", 5, 5, 45, 31 << 5))
+    over = one.select(side("x", 6, 5, 45, 63), side("y", 5, 5, 45, 31 << 6))
+    told = simhash._too_far("x", "y", 0.8)
+    assert [at.select(told).first()[0], over.select(told).first()[0]] == [False, True]
+
+
+def test_masks_never_prove_too_much(spark):
+    """What is measured against a third text bounds how two texts differ from below."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(changed(rnd, base, rnd.choice((0.01, 0.05, 0.1)))) for _ in range(40)] + [" ".join(base)]
+    rows = [(i, f"{i}", len(simhash.shingle_hashes(t.encode())), t) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame([(i, i, d, n) for i, d, n, _ in rows], "nid long, doc_id long, digest string, size long")
+    docs = spark.createDataFrame([(i, d, t) for i, d, _, t in rows], "doc_id long, digest string, text string")
+    pairs = spark.createDataFrame([(i, 40) for i in range(40)], "a long, b long")
+    seen = simhash._verified(pairs, nodes, docs, 5, 0.8).drop("linked", "b")
+    both = seen.select("a", F.struct(*[c for c in seen.columns if c != "a"]).alias("x")).join(seen.select(F.col("a").alias("b"), F.struct(*[c for c in seen.columns if c != "a"]).alias("y")))
+    for r in both.where("a < b").select("a", "b", simhash._apart("x", "y").alias("least")).collect():
+        a, b = (set(simhash.shingle_hashes(texts[i].encode()).tolist()) for i in (r["a"], r["b"]))
+        assert r["least"] <= len(a ^ b)
