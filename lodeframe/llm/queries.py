@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import decontaminate, lm, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
+from lodeframe.llm import decontaminate, divergence, lm, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from lodeframe.session import table
 from lodeframe.storage import holding, shared_dir
 
@@ -174,3 +174,34 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two records of every page; a null page has an empty body, a null URL no target."""
     made = warc.page_derivatives(table(spark, sf_dir, "pages"), "page_id")
     return made.withColumn("record_crc32", F.crc32("record")).drop("record")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language against the others, and its own terms; null texts, languages and sources are empty."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT lang, source, rid, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.v)::HUGEINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+a AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (SELECT e.lang, e.source, f.source AS other, sum(abs(e.p - f.p)) AS value FROM e JOIN e f
+      ON e.lang = f.lang AND e.term = f.term AND e.source <> f.source GROUP BY ALL) x
+    ON x.lang = g.lang AND x.source = g.source AND x.other = h.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM e WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *,
+    (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM a)
+WHERE part = 'pair' OR rank <= 50"""
