@@ -132,7 +132,7 @@ def sketch(rows: DataFrame, width_bits: int, least: int = LEAST_DOCS):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "cells"])
 
     parts = rows.select("lang", "text").mapInArrow(fill, "block int, cells binary")
-    blocks = cells // BLOCK
+    blocks = -(-cells // BLOCK)
     out = np.zeros(cells, kind)
     for r in parts.repartition(min(64, blocks), "block").mapInArrow(merge, "block int, cells binary").collect():
         out[r[0] * BLOCK : (r[0] + 1) * BLOCK] = np.frombuffer(bytes(r[1]), kind)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import decontaminate, divergence, lm, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
+from lodeframe.llm import decontaminate, divergence, lm, maintext, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from lodeframe.session import table
 from lodeframe.storage import holding, shared_dir
 
@@ -205,3 +205,20 @@ a AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.valu
 SELECT lang, source, part, item, value, rank FROM (SELECT *,
     (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM a)
 WHERE part = 'pair' OR rank <= 50"""
+
+
+@query
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; a null page has an empty one."""
+    return maintext.extract(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
+#: For pages with one article element, as the tables have: its blocks, without tags and with the references they use.
+ORACLE["op12_html_main_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(replace(t, '<br>', ' '), '</?(p|h[1-6])>', chr(7), 'g'), '</?b>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, list_transform(string_split(t, chr(7)), lambda x: trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '&#x27;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+      '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS bs FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
