@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import decontaminate, divergence, lm, maintext, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
+from lodeframe.llm import align, decontaminate, divergence, lm, maintext, pieces, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from lodeframe.session import table
 from lodeframe.storage import holding, shared_dir
 
@@ -222,3 +222,10 @@ c AS (SELECT page_id, url, list_transform(string_split(t, chr(7)), lambda x: tri
       '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS bs FROM b),
 d AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)) AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of byte-level and sentencepiece tokens; null and empty texts have none."""
+    paths = {"a": tokenizer_path("byte_bpe_50k.json"), "b": tokenizer_path("piece_bpe_32k.model")}
+    return align.align(table(spark, sf_dir, "documents"), "doc_id", **paths)
