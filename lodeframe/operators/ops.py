@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: An address: a local part of word characters and . % + -, then labels that end with a dot, then a domain of letters.
-EMAIL = r"([\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+#: An address is a name, an at sign and a domain. A name is words with single dots between them; a domain is labels with
+#: dots between, of letters, digits and inner hyphens, the last of letters only. Lengths are those that mail allows.
+_NAME_WORD = "[0-9A-Za-z_%+-]{1,64}"
+_LABEL = "[0-9A-Za-z](?:[0-9A-Za-z-]{0,61}[0-9A-Za-z])?"
+EMAIL = f"({_NAME_WORD}(?:[.]{_NAME_WORD})*+@(?:{_LABEL}[.])+[A-Za-z]{{2,63}}(?![0-9A-Za-z]))"
 #: A folder of users, with either kind of slash, and the name below it.
 USER_PATH = r"((?:/Users/|/home/|\\Users\\)[\w.-]*)"
 #: A drive letter that no word character precedes.

@@ -425,3 +425,17 @@ def test_pruned_options_lose_no_answer():
         )
         got = planning.solve_cover(groups, 3)
         assert (got["n"], got["cards"]) == (want[0], want[3])
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("write to a.b+c@x-y.example.org.", ["a.b+c@x-y.example.org"]), ("x..y@host.de", ["y@host.de"]), ("@host.de a@b c@d.e", []),
+        ("a@-x.com a@x-.com a@x.c0m a@x.com9", []), ("<p_q%1@sub.example.museum>, A@B.CO", ["p_q%1@sub.example.museum", "A@B.CO"]),
+        (".a@b.cd b.@c.de", ["a@b.cd"]), ("ä@b.cd aä@b.cd ab@ä.cd", []), ("x@y.com@z.net", ["x@y.com"]),
+    ],
+)
+def test_addresses(text, found):
+    import re
+
+    assert [m[1] for m in re.finditer(ops.EMAIL, text)] == found
