@@ -22,6 +22,8 @@ from lodeframe.storage import cut, holding, release
 
 #: Bytes of text whose words are numbered together; a longer text is a part of its own.
 PART_BYTES = 32 << 20
+#: Bytes of text that are cut at a time.
+SLICE_BYTES = 4 << 20
 #: Different pairs of ids (some 40 bytes each) up to which their counts are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 500_000
 #: Pairs are numbered a * WIDE + b.
@@ -78,25 +80,35 @@ def numbered(docs: DataFrame, *keep: str, text: str = "text", part_bytes: int =
     schema = T.StructType(kinds + [T.StructField(n, t) for n, t in more])
 
     def run(batches):
+        worker_cache(None)
         part = TaskContext.get().partitionId() << 32
         for whole in batches:
             for i, j in slices(whole.column(len(keep)), part_bytes):
                 b = whole.slice(i, j - i)
                 texts = b.column(len(keep)).fill_null("")
-                odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, "^[ \n]|^$"))
-                keys, which, sizes = coded_words(texts, pc.invert(odd), lambda t: _CUT.split(" " + t) if t else [], True)
-                often = np.bincount(which, minlength=len(keys))
-                order = np.argsort(-often, kind="stable")[: int((often > 0).sum())]
-                place = np.zeros(len(keys), np.int64)
-                place[order] = np.arange(len(order))
-                n, m = len(texts), len(order)
+                known: dict[str, int] = {}
+                which, sizes = [], []
+                for p, q in slices(texts, SLICE_BYTES):
+                    some = texts.slice(p, q - p)
+                    odd = pc.or_(pc.match_substring_regex(some, _ODD), pc.match_substring_regex(some, "^[ \n]|^$"))
+                    keys, at, n = coded_words(some, pc.invert(odd), lambda t: _CUT.split(" " + t) if t else [], True)
+                    used = np.flatnonzero(np.bincount(at, minlength=len(keys)))
+                    own = np.zeros(len(keys), np.int32)
+                    own[used] = [known.setdefault(keys[w], len(known)) for w in used.tolist()]
+                    which.append(own[at])
+                    sizes.append(n)
+                which, sizes, m = np.concatenate(which), np.concatenate(sizes), len(known)
+                order = np.argsort(-np.bincount(which, minlength=m), kind="stable")
+                place = np.zeros(m, np.int64)
+                place[order] = np.arange(m)
+                n, words = len(texts), list(known)
                 none = lambda k, t: pa.nulls(k, t)
                 yield pa.RecordBatch.from_arrays([
                     *b.columns[: len(keep)], pa.array(np.full(n, part)), pa.array(np.arange(n)), pack(place[which], sizes),
                     none(n, pa.int64()), none(n, pa.string()),
                 ], names=schema.names)
                 for k in range(0, m, 50_000):
-                    some = [word_of(keys[w]) for w in order[k : k + 50_000].tolist()]
+                    some = [word_of(words[w]) for w in order[k : k + 50_000].tolist()]
                     x = len(some)
                     yield pa.RecordBatch.from_arrays([
                         *(none(x, c.type) for c in b.columns[: len(keep)]), pa.array(np.full(x, part)), none(x, pa.int64()),
@@ -111,39 +123,70 @@ class Library:
     """The tokens of words by one tokenizer, as (ids, byte lengths); none where their bytes are not the word's."""
 
     def __init__(self, path: str):
+        import numpy as np
+
         if path.endswith(".model"):
             import sentencepiece
 
             m = self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.bytes = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.vocab_size())]
+            known = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.vocab_size())]
             self.ids = self._pieces
         else:
-            self.encoder = Encoder(path, plain_specials=True)
-            t = self.encoder.tokenizer
+            self.encoder = Encoder(path, remember=0, plain_specials=True)  # every word comes once
+            names = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
             back = {c: b for b, c in self.encoder.shown.items()}
-            names = t.get_vocab(with_added_tokens=True)
-            self.bytes = [b""] * (max(names.values()) + 1)
+            known = [b""] * (max(names.values()) + 1)
             for name, i in names.items():
-                self.bytes[i] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
-            self.ids = lambda words: [x[:-1] for x in self.encoder.encode(words)]
+                known[i] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
+            self.ids = self._byte_level
+        self.sizes = np.array([len(b) for b in known])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(known), np.uint8)
+
+    def _byte_level(self, words):
+        import numpy as np
+
+        got = self.encoder.encode(words)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum(sizes) - 1] = False  # the encoder ends each with an id of its own
+        return flat[inner], sizes - 1
 
-    def _pieces(self, words: list[str]) -> list[list[int]]:
+    def _pieces(self, words):
         """The library puts a space before a text: that is the word's own, or stands before a line break and is left out."""
-        plain = [w[1:] if len(w) > 1 and w[0] == " " else "\n" + w for w in words]
-        return [x if len(w) > 1 and w[0] == " " else x[2:] for w, x in zip(words, self.model.encode(plain, num_threads=1))]
+        from itertools import chain
 
-    def tokens(self, words: list[str]):
-        """An Arrow array of lists of (id, len)."""
         import numpy as np
-        import pyarrow as pa
 
-        got = self.ids(words)
-        right = [b"".join(map(self.bytes.__getitem__, x)) == w.encode() for x, w in zip(got, words)]
-        got = [x if ok else x[:0] for x, ok in zip(got, right)]
-        flat = np.concatenate([np.zeros(0, np.int64), *map(np.asarray, got)]).astype(np.int64)
-        sizes = np.array([len(b) for b in self.bytes], np.int32)
-        rows = pa.StructArray.from_arrays([pa.array(flat.astype(np.int32)), pa.array(sizes[flat])], names=["id", "len"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), rows)
+        words = words.to_pylist()
+        own = [len(w) > 1 and w[0] == " " for w in words]
+        got = self.model.encode([w[1:] if o else "\n" + w for w, o in zip(words, own)], num_threads=1)
+        got = [x if o else x[2:] for x, o in zip(got, own)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes
+
+    def tokens(self, words):
+        """An Arrow array of lists of (id, len) for one of words."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(words):
+            return pa.array([], pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32())])))
+        ids, sizes = self.ids(words)
+        long = self.sizes[ids]
+        made, ends = joined(self.flat, self.starts[ids], long)
+        of = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        want = pc.binary_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer(pc.binary_join(pa.array([words.to_pylist()]), "")[0].as_py().encode(), np.uint8)
+        right = np.diff(of) == want
+        if not right.all() or not np.array_equal(made, data):
+            right = np.array([made[a:b].tobytes() == w.encode() for a, b, w in zip(of, of[1:], words.to_pylist())])
+            on = np.repeat(right, sizes)
+            ids, long, sizes = ids[on], long[on], np.where(right, sizes, 0)
+        rows = pa.StructArray.from_arrays([pa.array(ids.astype(np.int32)), pa.array(long.astype(np.int32))], names=["id", "len"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows)
 
 
 def tokens_udf(path: str):
@@ -151,7 +194,10 @@ def tokens_udf(path: str):
     import pyarrow as pa
 
     def tokens(words):
-        return worker_cache(("align", path), lambda: Library(path)).tokens(words.to_pylist())
+        held = worker_cache(("align",), dict)
+        if path not in held:
+            held[path] = Library(path)
+        return held[path].tokens(words)
 
     tokens.__annotations__ = {"words": pa.Array, "return": pa.Array}
     return F.arrow_udf(tokens, "array<struct<id:int,len:int>>")
@@ -170,36 +216,31 @@ def _partitioned_by_some_keys(spark):
 
 
 def aligned(words: DataFrame, a: str, b: str) -> DataFrame:
-    """(h, word, groups) of different words: the groups of token ids between two ends that both tokenizers share.
+    """(w, groups, n_a, n_b, n_groups, n_links) of words (w, word): the groups of token ids between two ends that both tokenizers share.
 
     Tokens are exploded with their places, ends are running sums of their lengths, equal ends of a word are joined, and a
     group's number is how many shared ends come before. All rows of a word lie together from the first shuffle on. A
     word that one tokenizer does not give back has no groups.
     """
-    keyed = words.select(F.xxhash64("word").alias("h"), "word").distinct()
-    own = ["h", "word"]
+    keyed = words.repartition("w")
 
     def ends(path: str, name: str) -> DataFrame:
-        spread = keyed.select(*own, F.posexplode(tokens_udf(path)("word")).alias("pos", "t"))
-        upto = Window.partitionBy(*own).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        return spread.select(*own, F.col("t.id").alias(name), F.sum("t.len").over(upto).alias("end"))
+        spread = keyed.select("w", F.posexplode(tokens_udf(path)("word")).alias("pos", "t"))
+        upto = Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        return spread.select("w", F.col("t.id").alias(name), F.sum("t.len").over(upto).alias("end"))
 
-    met = ends(a, "a").join(ends(b, "b"), [*own, "end"], "full_outer")
-    before = Window.partitionBy(*own).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    met = ends(a, "a").join(ends(b, "b"), ["w", "end"], "full_outer")
+    before = Window.partitionBy("w").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     shared = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    placed = met.select(*own, "end", "a", "b", F.coalesce(F.sum(shared).over(before), F.lit(0)).alias("g"))
+    placed = met.select("w", "end", "a", "b", F.coalesce(F.sum(shared).over(before), F.lit(0)).alias("g"))
     ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c]).alias(c)
-    groups = placed.groupBy(*own, "g").agg(ids("a"), ids("b"))
+    groups = placed.groupBy("w", "g").agg(ids("a"), ids("b"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("g", "a", "b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    out = groups.groupBy(*own).agg(listed.alias("groups"))
+    na, nb = F.size("a").cast("long"), F.size("b").cast("long")
+    out = groups.groupBy("w").agg(listed.alias("groups"), F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"), F.count("*").alias("n_groups"), F.sum(na * nb).alias("n_links"))
     return out.where(F.forall("groups", lambda x: (F.size(x["a"]) > 0) & (F.size(x["b"]) > 0)))
 
 
-def _total(f):
-    """The sum of ``f`` over the groups of a word."""
-    return F.aggregate("groups", F.lit(0).cast("long"), lambda s, x: s + f(x))
-
-
 def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_bytes: int = PART_BYTES, limit: int = BROADCAST_PAIRS) -> DataFrame:
     """The columns ``keep`` of each row, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and ``groups_sha256``.
 
@@ -218,16 +259,14 @@ def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_
     own = [f"k{i}" for i in range(len(keep))]
     rows = parts.where("codes IS NOT NULL").select("part", "row", "codes")
     words = parts.where("word IS NOT NULL").select(F.col("part").alias("of"), "code", "word")
+    each = cut(words.select("word").distinct().withColumn("w", F.monotonically_increasing_id()), "words")
     with _partitioned_by_some_keys(spark):
-        known = cut(aligned(words.select("word"), a, b), "aligned")
+        known = cut(aligned(each, a, b).join(each.repartition("w"), "w"), "aligned")
 
     shown = F.array_join(F.transform("groups", lambda x: F.concat(F.array_join(x["a"], ","), F.lit("|"), F.array_join(x["b"], ","))), ";")
     pair = lambda x, y: x.cast("long") * WIDE + y
     pairs = F.array_distinct(F.flatten(F.transform("groups", lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: pair(x, y)))))))
-    facts = known.select(
-        "word", _total(lambda x: F.size(x["a"])).cast("int").alias("n_a"), _total(lambda x: F.size(x["b"])).cast("int").alias("n_b"),
-        F.size("groups").alias("n_groups"), _total(lambda x: F.size(x["a"]).cast("long") * F.size(x["b"])).alias("n_links"), shown.alias("shown"), pairs.alias("pairs"),
-    )
+    facts = known.select("word", "n_a", "n_b", "n_groups", "n_links", shown.alias("shown"), pairs.alias("pairs"))
     first = cut(_first(rows, words.join(facts, "word").drop("word")), "counted")
 
     count = first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("docs").alias("docs"))
@@ -242,7 +281,7 @@ def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_
     found = first.where("row IS NOT NULL").drop("pair", "docs").join(second, ["part", "row"])
     ids = parts.where("codes IS NOT NULL").select("part", "row", *own)
     out = ids.join(found, ["part", "row"]).select(*(F.col(o).alias(k) for o, k in zip(own, keep)), *names)
-    release(known, count)
+    release(each, known, count)
     return holding(out, parts, first, second)
 
 
@@ -286,7 +325,7 @@ def _first(rows: DataFrame, words: DataFrame) -> DataFrame:
             digests.append(hashlib.sha256(b";".join(listed)).hexdigest())
             each = np.unique(d)
             hit = np.zeros(len(met), bool)
-            hit[link[joined(np.arange(len(link)), starts[each], counts[each])[0]]] = True
+            hit[joined(link, starts[each], counts[each])[0]] = True
             seen += hit
         n, on = len(docs), np.flatnonzero(seen)
         m = len(on)

@@ -124,13 +124,12 @@ def test_words_are_cut_where_both_tokenizers_cut(libraries, text):
     whole = tokens(libraries, text)
     words = align._CUT.split(" " + text) if text else []
     assert "".join(words) == (" " + text if text else "")
-    got = [lib.tokens(words).to_pylist() for lib in LIBRARIES()]
+    got = [lib.tokens(pa.array(words, pa.string())).to_pylist() for lib in LIBRARIES()]
     if whole is None:
         assert not words or any(not x for g in got for x in g)
         return
     for g, want in zip(got, whole):
         assert [(t["id"], t["len"]) for w in g for t in w] == [(i, len(x)) for i, x in want]
-    assert pa.array(words, pa.string()).null_count == 0
 
 
 _LIBRARIES = []
