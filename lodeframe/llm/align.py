@@ -22,8 +22,8 @@ from lodeframe.storage import cut, holding, release
 
 #: Bytes of text whose words are numbered together; a longer text is a part of its own.
 PART_BYTES = 32 << 20
-#: Bytes of text that are cut at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are cut at a time, and texts that reach a worker at a time.
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 1000
 #: Different pairs of ids (some 40 bytes each) up to which their counts are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 500_000
 #: Pairs are numbered a * WIDE + b.
@@ -79,42 +79,52 @@ def numbered(docs: DataFrame, *keep: str, text: str = "text", part_bytes: int =
     more = [("part", T.LongType()), ("row", T.LongType()), ("codes", T.BinaryType()), ("code", T.LongType()), ("word", T.StringType())]
     schema = T.StructType(kinds + [T.StructField(n, t) for n, t in more])
 
+    none = lambda n, t: pa.nulls(n, t)
+
+    def written(part: int, known: dict[str, int], held: list):
+        """The rows of one part: ``held`` lists (columns to keep, numbers of words, words in each text)."""
+        m = len(known)
+        often = np.zeros(m, np.int64)
+        for _, which, _ in held:
+            often += np.bincount(which, minlength=m)
+        order = np.argsort(-often, kind="stable")
+        place = np.zeros(m, np.int64)
+        place[order] = np.arange(m)
+        row = 0
+        for cols, which, sizes in held:
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([
+                *cols, pa.array(np.full(n, part)), pa.array(np.arange(row, row + n)), pack(place[which], sizes), none(n, pa.int64()), none(n, pa.string()),
+            ], names=schema.names)
+            row += n
+        words, kinds = list(known), [c.type for c in held[0][0]]
+        for k in range(0, m, 20_000):
+            some = [word_of(words[w]) for w in order[k : k + 20_000].tolist()]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([
+                *(none(n, t) for t in kinds), pa.array(np.full(n, part)), none(n, pa.int64()), none(n, pa.binary()),
+                pa.array(np.arange(k, k + n)), pa.array(some, pa.string()),
+            ], names=schema.names)
+
     def run(batches):
         worker_cache(None)
         part = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for i, j in slices(whole.column(len(keep)), part_bytes):
-                b = whole.slice(i, j - i)
-                texts = b.column(len(keep)).fill_null("")
-                known: dict[str, int] = {}
-                which, sizes = [], []
-                for p, q in slices(texts, SLICE_BYTES):
-                    some = texts.slice(p, q - p)
-                    odd = pc.or_(pc.match_substring_regex(some, _ODD), pc.match_substring_regex(some, "^[ \n]|^$"))
-                    keys, at, n = coded_words(some, pc.invert(odd), lambda t: _CUT.split(" " + t) if t else [], True)
-                    used = np.flatnonzero(np.bincount(at, minlength=len(keys)))
-                    own = np.zeros(len(keys), np.int32)
-                    own[used] = [known.setdefault(keys[w], len(known)) for w in used.tolist()]
-                    which.append(own[at])
-                    sizes.append(n)
-                which, sizes, m = np.concatenate(which), np.concatenate(sizes), len(known)
-                order = np.argsort(-np.bincount(which, minlength=m), kind="stable")
-                place = np.zeros(m, np.int64)
-                place[order] = np.arange(m)
-                n, words = len(texts), list(known)
-                none = lambda k, t: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays([
-                    *b.columns[: len(keep)], pa.array(np.full(n, part)), pa.array(np.arange(n)), pack(place[which], sizes),
-                    none(n, pa.int64()), none(n, pa.string()),
-                ], names=schema.names)
-                for k in range(0, m, 50_000):
-                    some = [word_of(words[w]) for w in order[k : k + 50_000].tolist()]
-                    x = len(some)
-                    yield pa.RecordBatch.from_arrays([
-                        *(none(x, c.type) for c in b.columns[: len(keep)]), pa.array(np.full(x, part)), none(x, pa.int64()),
-                        none(x, pa.binary()), pa.array(np.arange(k, k + x)), pa.array(some, pa.string()),
-                    ], names=schema.names)
-                part += 1
+        known, held, size = {}, [], 0
+        for b in batches:
+            for i, j in slices(b.column(len(keep)), min(SLICE_BYTES, part_bytes)):
+                texts = b.column(len(keep)).slice(i, j - i).fill_null("")
+                odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, "^[ \n]|^$"))
+                keys, at, sizes = coded_words(texts, pc.invert(odd), lambda t: _CUT.split(" " + t) if t else [], True)
+                used = np.flatnonzero(np.bincount(at, minlength=len(keys)))
+                own = np.zeros(len(keys), np.int32)
+                own[used] = [known.setdefault(keys[w], len(known)) for w in used.tolist()]
+                held.append(([pa.concat_arrays([c.slice(i, j - i), c.slice(0, 0)]) for c in b.columns[: len(keep)]], own[at], sizes))
+                size += pc.sum(pc.binary_length(texts)).as_py() or 0
+                if size >= part_bytes:
+                    yield from written(part, known, held)
+                    part, known, held, size = part + 1, {}, [], 0
+        if held:
+            yield from written(part, known, held)
 
     return docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -255,7 +265,7 @@ def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_
     if clash := set(names) & set(keep):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     spark = docs.sparkSession
-    parts = cut(numbered(docs, *keep, text=text, part_bytes=part_bytes), "numbered")
+    parts = cut(numbered(docs, *keep, text=text, part_bytes=part_bytes), "numbered", BATCH_ROWS)
     own = [f"k{i}" for i in range(len(keep))]
     rows = parts.where("codes IS NOT NULL").select("part", "row", "codes")
     words = parts.where("word IS NOT NULL").select(F.col("part").alias("of"), "code", "word")
@@ -304,11 +314,12 @@ def _first(rows: DataFrame, words: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_cache(None)
         docs = [unpack(x.as_buffer()) for x in left["codes"]]
         size = max([int(d.max()) for d in docs if len(d)], default=-1) + 1
         numbers = np.stack([_lookup(right, n, size, np.int64) for n in ("n_a", "n_b", "n_groups", "n_links")], axis=1)
         shown = np.full(size, None, object)
-        shown[right["code"].to_numpy()] = [x.encode() for x in right["shown"].to_pylist()]
+        shown[right["code"].to_numpy()] = right["shown"].cast(pa.binary()).to_pylist()
         lists = right["pairs"].combine_chunks()
         met, link = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         counts = _lookup(right.append_column("n", [pa.compute.list_value_length(lists).cast(pa.int64())]), "n", size, np.int64)
@@ -348,6 +359,7 @@ def _second(rows: DataFrame, words: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_cache(None)
         docs = [unpack(x.as_buffer()) for x in left["codes"]]
         size = max([int(d.max()) for d in docs if len(d)], default=-1) + 1
         known = np.zeros(size, bool)
