@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lodeframe.plans import lineage_queries, recognition_queries, selection_queries  # noqa: F401
+from lodeframe.plans import lineage_queries, recognition_queries, screen_queries, selection_queries  # noqa: F401
 from lodeframe.plans.base import ORACLE, QUERIES  # noqa: F401
