@@ -7,6 +7,7 @@ different ones are aligned by joins and windows, and every part gets the results
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from contextlib import contextmanager
@@ -177,13 +178,13 @@ class Library:
         return np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes
 
     def tokens(self, words):
-        """An Arrow array of lists of (id, len) for one of words."""
+        """An Arrow array of (ids, lens), two lists, for one of words."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         if not len(words):
-            return pa.array([], pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32())])))
+            return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32()))]))
         ids, sizes = self.ids(words)
         long = self.sizes[ids]
         made, ends = joined(self.flat, self.starts[ids], long)
@@ -195,12 +196,13 @@ class Library:
             right = np.array([made[a:b].tobytes() == w.encode() for a, b, w in zip(of, of[1:], words.to_pylist())])
             on = np.repeat(right, sizes)
             ids, long, sizes = ids[on], long[on], np.where(right, sizes, 0)
-        rows = pa.StructArray.from_arrays([pa.array(ids.astype(np.int32)), pa.array(long.astype(np.int32))], names=["id", "len"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids, long)]
+        return pa.StructArray.from_arrays(lists, names=["ids", "lens"])
 
 
 def tokens_udf(path: str):
-    """A column function: the tokens of a word as an array of (id, len)."""
+    """A column function: the ids of a word's tokens and their lengths in bytes."""
     import pyarrow as pa
 
     def tokens(words):
@@ -210,7 +212,7 @@ def tokens_udf(path: str):
         return held[path].tokens(words)
 
     tokens.__annotations__ = {"words": pa.Array, "return": pa.Array}
-    return F.arrow_udf(tokens, "array<struct<id:int,len:int>>")
+    return F.arrow_udf(tokens, "struct<ids:array<int>,lens:array<int>>")
 
 
 @contextmanager
@@ -225,30 +227,42 @@ def _partitioned_by_some_keys(spark):
         spark.conf.set(key, before)
 
 
-def aligned(words: DataFrame, a: str, b: str) -> DataFrame:
-    """(w, groups, n_a, n_b, n_groups, n_links) of words (w, word): the groups of token ids between two ends that both tokenizers share.
+def aligned(words: DataFrame) -> DataFrame:
+    """(w, groups, n_a, n_b, n_groups, n_links) of words (w, a, b), a and b their tokens as ids and lens: the groups of
+    ids between two ends that both tokenizers share.
 
-    Tokens are exploded with their places, ends are running sums of their lengths, equal ends of a word are joined, and a
-    group's number is how many shared ends come before. All rows of a word lie together from the first shuffle on. A
-    word that one tokenizer does not give back has no groups.
+    Tokens are exploded with their places, ends are running sums of their lengths, each side's ends are looked up in the
+    other's by a join, and a token's group is how many shared ends come before it; the two sides' groups are joined. All
+    rows of a word lie together from the first shuffle on. A word that one tokenizer does not give back has no groups.
     """
     keyed = words.repartition("w")
 
-    def ends(path: str, name: str) -> DataFrame:
-        spread = keyed.select("w", F.posexplode(tokens_udf(path)("word")).alias("pos", "t"))
+    def ends(side: str) -> DataFrame:
+        spread = keyed.select("w", F.posexplode(F.arrays_zip(f"{side}.ids", f"{side}.lens")).alias("pos", "t"))
         upto = Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        return spread.select("w", F.col("t.id").alias(name), F.sum("t.len").over(upto).alias("end"))
+        return spread.select("w", F.col("t.ids").alias("id"), F.sum("t.lens").over(upto).alias("end"))
 
-    met = ends(a, "a").join(ends(b, "b"), ["w", "end"], "full_outer")
     before = Window.partitionBy("w").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    shared = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    placed = met.select("w", "end", "a", "b", F.coalesce(F.sum(shared).over(before), F.lit(0)).alias("g"))
-    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c]).alias(c)
-    groups = placed.groupBy("w", "g").agg(ids("a"), ids("b"))
+
+    def groups(side: str, other: str) -> DataFrame:
+        met = ends(side).join(ends(other).select("w", "end", F.lit(1).alias("shared")), ["w", "end"], "left")
+        placed = met.select("w", "end", "id", F.coalesce(F.sum("shared").over(before), F.lit(0)).alias("g"))
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda x: x["id"])
+        return placed.groupBy("w", "g").agg(ids.alias(side))
+
+    both = groups("a", "b").join(groups("b", "a"), ["w", "g"])
     listed = F.transform(F.array_sort(F.collect_list(F.struct("g", "a", "b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
     na, nb = F.size("a").cast("long"), F.size("b").cast("long")
-    out = groups.groupBy("w").agg(listed.alias("groups"), F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"), F.count("*").alias("n_groups"), F.sum(na * nb).alias("n_links"))
-    return out.where(F.forall("groups", lambda x: (F.size(x["a"]) > 0) & (F.size(x["b"]) > 0)))
+    return both.groupBy("w").agg(listed.alias("groups"), F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"), F.count("*").alias("n_groups"), F.sum(na * nb).alias("n_links"))
+
+
+def _cut(df: DataFrame, name: str, *how) -> DataFrame:
+    """``cut``, after which the shuffles that made the table, which nothing reads again, are let go of at once."""
+    out = cut(df, name, *how)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
 
 
 def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_bytes: int = PART_BYTES, limit: int = BROADCAST_PAIRS) -> DataFrame:
@@ -265,19 +279,21 @@ def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_
     if clash := set(names) & set(keep):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     spark = docs.sparkSession
-    parts = cut(numbered(docs, *keep, text=text, part_bytes=part_bytes), "numbered", BATCH_ROWS)
+    parts = _cut(numbered(docs, *keep, text=text, part_bytes=part_bytes), "numbered", BATCH_ROWS)
     own = [f"k{i}" for i in range(len(keep))]
     rows = parts.where("codes IS NOT NULL").select("part", "row", "codes")
     words = parts.where("word IS NOT NULL").select(F.col("part").alias("of"), "code", "word")
-    each = cut(words.select("word").distinct().withColumn("w", F.monotonically_increasing_id()), "words")
+    each = words.select("word").distinct().select(F.monotonically_increasing_id().alias("w"), "word", tokens_udf(a)("word").alias("a"), tokens_udf(b)("word").alias("b"))
+    each = _cut(each, "words")
     with _partitioned_by_some_keys(spark):
-        known = cut(aligned(each, a, b).join(each.repartition("w"), "w"), "aligned")
+        known = _cut(aligned(each).join(each.select("w", "word"), "w"), "aligned")
+    release(each)
 
     shown = F.array_join(F.transform("groups", lambda x: F.concat(F.array_join(x["a"], ","), F.lit("|"), F.array_join(x["b"], ","))), ";")
     pair = lambda x, y: x.cast("long") * WIDE + y
     pairs = F.array_distinct(F.flatten(F.transform("groups", lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: pair(x, y)))))))
     facts = known.select("word", "n_a", "n_b", "n_groups", "n_links", shown.alias("shown"), pairs.alias("pairs"))
-    first = cut(_first(rows, words.join(facts, "word").drop("word")), "counted")
+    first = _cut(_first(rows, words.join(facts, "word").drop("word")), "counted")
 
     count = first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("docs").alias("docs"))
     best = Window.partitionBy(F.shiftright("pair", 31))
@@ -286,12 +302,12 @@ def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_
     spread = spread.select("word", "x", F.explode("ys").alias("y")).select("word", pair(F.col("x"), F.col("y")).alias("pair"))
     scored = spread.join(F.broadcast(count) if count.count() <= limit else count, "pair")
     scores = scored.groupBy("word").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    second = cut(_second(rows, words.join(scores, "word").drop("word")), "scored")
+    second = _cut(_second(rows, words.join(scores, "word").drop("word")), "scored")
 
     found = first.where("row IS NOT NULL").drop("pair", "docs").join(second, ["part", "row"])
     ids = parts.where("codes IS NOT NULL").select("part", "row", *own)
     out = ids.join(found, ["part", "row"]).select(*(F.col(o).alias(k) for o, k in zip(own, keep)), *names)
-    release(each, known, count)
+    release(known, count)
     return holding(out, parts, first, second)
 
 
