@@ -127,21 +127,25 @@ def seams(found: DataFrame, by: list[str]) -> DataFrame:
     Of the offsets at which its cells score above 0 against that list the best is taken, of equals the nearest to the
     screen before, then the smaller; a screen without such an offset begins a new row below (a ``gap``). The list depends
     on the offsets of the screens before, so these are guessed from neighbours, held against the list that they make, and
-    replaced until none changes: then each is what one would find screen by screen, for the first screens are right after
-    one round, and each round carries on from them. Recordings that have settled are not looked at again.
+    replaced until none changes: then each is what one would find screen by screen, for every round sets at least the first
+    screen right that was not. Recordings that have settled are not looked at again.
     """
     cells = cut(numbered(found, by), "cells")
     live, offsets, done, rest = cells, cut(neighbour_offsets(cells, by), "guess"), [], [cells]
+    order = Window.partitionBy(*by).orderBy("n")
     while True:
         new = cut(_rescored(live, offsets, by), "seams")
-        moved = new.alias("a").join(offsets.alias("b"), [*by, "n"]).where("a.k <> b.k").select(*by).distinct()
-        moved = cut(moved, "moved")
+        both = new.select(*by, "n", "k").join(offsets.withColumnRenamed("k", "was"), [*by, "n"])
+        moved = cut(both.where("k <> was").select(*by).distinct(), "moved")
         rest += [offsets, moved]
         done.append((new, moved))
         if moved.isEmpty():
             break
-        live, offsets = live.join(moved, by, "left_semi"), new
-        offsets = holding(offsets.join(moved, by, "left_semi"))
+        # A screen was held against one before that may move itself: its step from there is what is carried on.
+        step = F.col("k") - F.coalesce(F.lag("was").over(order), F.lit(0))
+        both = both.join(moved, by, "left_semi").withColumn("step", step)
+        along = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        live, offsets = live.join(moved, by, "left_semi"), cut(both.select(*by, "n", along.alias("k")), "guess")
     settled = reduce(DataFrame.unionByName, (new.join(moved, by, "left_anti") for new, moved in done))
     names = cells.select(*by, "n", "frame").distinct()
     return holding(names.join(settled, [*by, "n"]), *rest, *(new for new, _ in done))
