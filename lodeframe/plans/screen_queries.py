@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import stitch
+from lodeframe.operators import planes, stitch
 from lodeframe.plans.base import query
 from lodeframe.session import table
 
@@ -87,3 +87,76 @@ def grid_stitch_rows(spark, d):
     found = stitch.entries(cards(spark, d), ["who"])
     listed = stitch.merged(stitch.rows(found, stitch.seams(found, ["who"]), ["who"]), ["who"])
     return listed.withColumn("ids", F.array_join("ids", " "))
+
+
+#: Planes of 64 by 40 pixels, a vector a row, and the runs of their pixels over a level.
+PIXELS = """px AS (SELECT plane, y, i - 1 AS x, v[i]::DOUBLE AS v FROM (SELECT vec_id // 40 AS plane, (vec_id % 40)::INT AS y, embedding AS v, unnest(range(1, 65))::INT AS i FROM embeddings))"""
+
+
+def pixel_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / 40).alias("plane"), (F.col("vec_id") % 40).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, on_ AS (SELECT plane, y, x FROM px WHERE v > 0.14),
+  reach AS (SELECT plane, y, x, y AS ry, x AS rx FROM on_ UNION SELECT o.plane, o.y, o.x, r.ry, r.rx FROM reach r JOIN on_ o ON o.plane = r.plane AND abs(o.x - r.x) + abs(o.y - r.y) = 1),
+  root AS (SELECT plane, y, x, min((ry, rx)) AS r FROM reach GROUP BY ALL)
+SELECT plane, min(x) AS x, min(y) AS y, (max(x) - min(x) + 1)::INT AS w, (max(y) - min(y) + 1)::INT AS h, count(*)::BIGINT AS area FROM root GROUP BY plane, r""")
+def plane_components(spark, d):
+    runs = planes.runs_of(pixel_rows(spark, d), ["plane"], "y", "v", lambda v: v > 0.14)
+    return planes.parts(runs, ["plane"])
+
+
+#: Small planes: what is a row, a block or a column there.
+SMALL = planes.Layout(
+    row_ink=lambda: F.lit(11), row_gap=lambda: F.lit(1), block_gap=lambda: F.lit(2), block_width=lambda: F.lit(4), column_reach=lambda: F.lit(3),
+    least_height=1, heights=(0.3, 2.5), gold_share=0.1, pad=1, least=2,
+)
+
+
+@query(f"""WITH {PIXELS}, ink AS (SELECT plane, y, x FROM px WHERE v > 0.12), gold AS (SELECT plane, y, count(*) AS n FROM px WHERE v < -0.16 GROUP BY ALL),
+  size AS (SELECT plane, max(y) + 1 AS h FROM px GROUP BY plane),
+  rowz AS (SELECT plane, y FROM ink JOIN size USING (plane) WHERE y >= 2 AND y < h - 1 GROUP BY plane, y HAVING count(*) >= 11),
+  g0 AS (SELECT *, sum(CASE WHEN y - p - 1 <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY plane ORDER BY y) AS i FROM (SELECT *, lag(y) OVER (PARTITION BY plane ORDER BY y) AS p FROM rowz)),
+  b0 AS (SELECT plane, min(y) AS a, max(y) AS b FROM g0 GROUP BY plane, i),
+  b1 AS (SELECT * FROM b0 QUALIFY count(*) OVER (PARTITION BY plane) >= 2),
+  md AS (SELECT plane, list_sort(list(b - a + 1))[count(*) // 2 + 1] AS med FROM b1 GROUP BY plane),
+  b2 AS (SELECT b1.* FROM b1 JOIN md USING (plane) WHERE b - a + 1 >= greatest(1, med * 0.3) AND b - a + 1 <= med * 2.5 QUALIFY count(*) OVER (PARTITION BY plane) >= 2),
+  b3 AS (SELECT b2.plane, a, b FROM b2 LEFT JOIN gold ON gold.plane = b2.plane AND y BETWEEN a AND b GROUP BY b2.plane, a, b HAVING coalesce(sum(n), 0) / ((b - a + 1) * 64.0) <= 0.1),
+  b4 AS (SELECT *, row_number() OVER (PARTITION BY plane ORDER BY a) - 1 AS band FROM (SELECT * FROM b3 QUALIFY count(*) OVER (PARTITION BY plane) >= 2)),
+  xs AS (SELECT DISTINCT plane, band, a, b, x FROM b4 JOIN ink USING (plane) WHERE y BETWEEN a AND b),
+  x1 AS (SELECT *, sum(CASE WHEN x - p - 1 <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY plane, band ORDER BY x) AS i FROM (SELECT *, lag(x) OVER (PARTITION BY plane, band ORDER BY x) AS p FROM xs)),
+  bl AS (SELECT * FROM (SELECT plane, band, a, b, min(x) AS x0, max(x) AS x1 FROM x1 GROUP BY plane, band, a, b, i HAVING max(x) - min(x) + 1 >= 4) QUALIFY count(*) OVER (PARTITION BY plane) >= 2),
+  c1 AS (SELECT *, sum(CASE WHEN x0 - p <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY plane ORDER BY x0) AS c FROM (SELECT *, lag(x0) OVER (PARTITION BY plane ORDER BY x0) AS p FROM bl)),
+  co AS (SELECT plane, cx, row_number() OVER (PARTITION BY plane ORDER BY cx) - 1 AS col FROM (SELECT plane, list_sort(list(x0))[count(*) // 2 + 1] AS cx FROM c1 GROUP BY plane, c HAVING count(*) >= 2)),
+  own AS (SELECT plane, band, a, b, x0, x1, min(col) AS col FROM bl JOIN co USING (plane) WHERE abs(x0 - cx) <= 4.5 GROUP BY ALL)
+SELECT plane, band::INT AS band, col::INT AS col, greatest(0, x0 - 1)::INT AS x, greatest(0, a - 1)::INT AS y, least(64 - greatest(0, x0 - 1), x1 - x0 + 3)::INT AS w,
+  least(h - greatest(0, a - 1), b - a + 3)::INT AS h FROM own JOIN size USING (plane) QUALIFY count(*) OVER (PARTITION BY plane) >= 2""")
+def plane_text_rows(spark, d):
+    """Boxes of what stands in rows and columns on small planes; the first two pixel rows and the last are no content."""
+    rows = pixel_rows(spark, d)
+    ink, gold = (planes.runs_of(rows, ["plane"], "y", "v", on) for on in (lambda v: v > 0.12, lambda v: v < -0.16))
+    tall = rows.groupBy("plane").agg((F.max("y") + 1).alias("h"))
+    sizes = tall.select("plane", F.lit(64).alias("w"), "h", F.lit(2).alias("top"), (F.col("h") - 1).alias("bottom"))
+    return planes.text_rows(ink, sizes, ["plane"], SMALL, gold)
+
+
+#: Screens of a customer, one an order: a fixed head, content that scrolls, a pause, and a fixed foot with a lively rim.
+@query("""WITH o AS (SELECT o_custkey AS who, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders),
+  px AS (SELECT who, f, y, x, CASE WHEN y < 5 + who % 4 OR (y >= 24 AND (y < 38 OR who % 5 > 0)) THEN (who * 3 + y * 5 + x) % 200 WHEN who % 11 = 0 THEN 7 ELSE (o_orderkey * 7 + y * 13 + x * f) % 200 END AS v
+    FROM o, (SELECT unnest(range(0, 40))::INT AS y), (SELECT unnest(range(0, 20))::INT AS x)),
+  d AS (SELECT a.who, a.f, a.y, sum(abs(a.v - b.v)) / 6 > 5 AS hit FROM px a JOIN px b ON a.who = b.who AND b.f = a.f + 1 AND a.y = b.y AND a.x = b.x WHERE a.x BETWEEN 4 AND 15 AND (a.x - 4) % 2 = 0 GROUP BY ALL),
+  h AS (SELECT *, lead(y) OVER (PARTITION BY who, f ORDER BY y) AS nx FROM d WHERE hit),
+  p AS (SELECT who, f, min(y) AS first, coalesce(min(CASE WHEN coalesce(nx, 40) - y - 1 >= 8 THEN y END), 39) AS last FROM h GROUP BY who, f),
+  g AS (SELECT who, min(first) AS header, max(last) + 1 AS footer FROM p GROUP BY who),
+  s AS (SELECT who, coalesce(max(y) FILTER (differs), -1) AS seen FROM (SELECT who, y, max(v) - min(v) > 0 AND bool_or(abs(v - v0) > 4) AS differs FROM (SELECT *, first_value(v) OVER (PARTITION BY who, y, x ORDER BY f) AS v0 FROM px WHERE x % 3 = 0) GROUP BY who, y) GROUP BY who)
+SELECT who, header, least(footer, greatest(seen, least(header + 10, 39)) + 1)::INT AS footer FROM g JOIN s USING (who)""")
+def screen_fixed_edges(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("who"), "o_orderkey")
+    o = o.withColumn("frame", F.row_number().over(Window.partitionBy("who").orderBy("o_orderkey"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    y, who = F.col("y"), F.col("who")
+    fixed = (y < 5 + who % 4) | ((y >= 24) & ((y < 38) | (who % 5 > 0)))
+    pixel = lambda x: F.when(fixed, (who * 3 + y * 5 + x) % 200).when(who % 11 == 0, 7).otherwise((F.col("o_orderkey") * 7 + y * 13 + x * F.col("frame")) % 200)
+    rows = o.select("who", "frame", "y", F.transform(F.sequence(F.lit(0), F.lit(19)), pixel).alias("v"))
+    found = planes.scrolled_between(rows, ["who"], quiet=8, step=2)
+    return planes.without_fixed_foot(rows, found, ["who"], step=3, least=10)
