@@ -184,7 +184,7 @@ class Library:
         import pyarrow.compute as pc
 
         if not len(words):
-            return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32()))]))
+            return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("lens", pa.list_(pa.int16()))]))
         ids, sizes = self.ids(words)
         long = self.sizes[ids]
         made, ends = joined(self.flat, self.starts[ids], long)
@@ -197,7 +197,7 @@ class Library:
             on = np.repeat(right, sizes)
             ids, long, sizes = ids[on], long[on], np.where(right, sizes, 0)
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids, long)]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(t))) for x, t in ((ids, np.int32), (long, np.int16))]
         return pa.StructArray.from_arrays(lists, names=["ids", "lens"])
 
 
@@ -212,7 +212,7 @@ def tokens_udf(path: str):
         return held[path].tokens(words)
 
     tokens.__annotations__ = {"words": pa.Array, "return": pa.Array}
-    return F.arrow_udf(tokens, "struct<ids:array<int>,lens:array<int>>")
+    return F.arrow_udf(tokens, "struct<ids:array<int>,lens:array<smallint>>")
 
 
 @contextmanager
@@ -228,7 +228,7 @@ def _partitioned_by_some_keys(spark):
 
 
 def aligned(words: DataFrame) -> DataFrame:
-    """(w, groups, n_a, n_b, n_groups, n_links) of words (w, a, b), a and b their tokens as ids and lens: the groups of
+    """(w, groups) of words (w, a, b), a and b their tokens as ids and lens: the groups of
     ids between two ends that both tokenizers share.
 
     Tokens are exploded with their places, ends are running sums of their lengths, each side's ends are looked up in the
@@ -252,14 +252,12 @@ def aligned(words: DataFrame) -> DataFrame:
 
     both = groups("a", "b").join(groups("b", "a"), ["w", "g"])
     listed = F.transform(F.array_sort(F.collect_list(F.struct("g", "a", "b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    na, nb = F.size("a").cast("long"), F.size("b").cast("long")
-    return both.groupBy("w").agg(listed.alias("groups"), F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"), F.count("*").alias("n_groups"), F.sum(na * nb).alias("n_links"))
+    return both.groupBy("w").agg(listed.alias("groups"))
 
 
-def _cut(df: DataFrame, name: str, *how) -> DataFrame:
-    """``cut``, after which the shuffles that made the table, which nothing reads again, are let go of at once."""
-    out = cut(df, name, *how)
-    del df
+def _cut(made, name: str, *how) -> DataFrame:
+    """``cut`` of what ``made`` returns; the shuffles behind it, which nothing reads again, are let go of at once."""
+    out = cut(made(), name, *how)
     gc.collect()
     out.sparkSession._jvm.System.gc()
     return out
@@ -279,30 +277,29 @@ def align(docs: DataFrame, *keep: str, a: str, b: str, text: str = "text", part_
     if clash := set(names) & set(keep):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     spark = docs.sparkSession
-    parts = _cut(numbered(docs, *keep, text=text, part_bytes=part_bytes), "numbered", BATCH_ROWS)
+    parts = _cut(lambda: numbered(docs, *keep, text=text, part_bytes=part_bytes), "numbered", BATCH_ROWS)
     own = [f"k{i}" for i in range(len(keep))]
     rows = parts.where("codes IS NOT NULL").select("part", "row", "codes")
     words = parts.where("word IS NOT NULL").select(F.col("part").alias("of"), "code", "word")
-    each = words.select("word").distinct().select(F.monotonically_increasing_id().alias("w"), "word", tokens_udf(a)("word").alias("a"), tokens_udf(b)("word").alias("b"))
-    each = _cut(each, "words")
+    both = [tokens_udf(path)("word").alias(side) for path, side in ((a, "a"), (b, "b"))]
+    each = _cut(lambda: words.select("word").distinct().select(F.monotonically_increasing_id().alias("w"), "word", *both), "words")
     with _partitioned_by_some_keys(spark):
-        known = _cut(aligned(each).join(each.select("w", "word"), "w"), "aligned")
+        known = _cut(lambda: aligned(each).join(each.select("w", "word"), "w"), "aligned")
     release(each)
 
-    shown = F.array_join(F.transform("groups", lambda x: F.concat(F.array_join(x["a"], ","), F.lit("|"), F.array_join(x["b"], ","))), ";")
-    pair = lambda x, y: x.cast("long") * WIDE + y
-    pairs = F.array_distinct(F.flatten(F.transform("groups", lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: pair(x, y)))))))
-    facts = known.select("word", "n_a", "n_b", "n_groups", "n_links", shown.alias("shown"), pairs.alias("pairs"))
-    first = _cut(_first(rows, words.join(facts, "word").drop("word")), "counted")
+    marked = lambda ids, end: F.transform(ids, lambda x, i: x * 4 + F.when(i + 1 == F.size(ids), end).otherwise(0))
+    facts = known.select("word", F.flatten(F.transform("groups", lambda g: F.concat(marked(g["a"], 1), marked(g["b"], 2)))).alias("marked"))
+    first = _cut(lambda: _first(rows, words.join(facts, "word").drop("word")), "counted")
 
     count = first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("docs").alias("docs"))
     best = Window.partitionBy(F.shiftright("pair", 31))
+    pair = lambda x, y: x.cast("long") * WIDE + y
     count = cut(count.select("pair", "docs", (F.col("docs") == F.max("docs").over(best)).cast("long").alias("best")), "pairs")
     spread = known.select("word", F.explode("groups").alias("g")).select("word", F.explode("g.a").alias("x"), F.col("g.b").alias("ys"))
     spread = spread.select("word", "x", F.explode("ys").alias("y")).select("word", pair(F.col("x"), F.col("y")).alias("pair"))
     scored = spread.join(F.broadcast(count) if count.count() <= limit else count, "pair")
     scores = scored.groupBy("word").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    second = _cut(_second(rows, words.join(scores, "word").drop("word")), "scored")
+    second = _cut(lambda: _second(rows, words.join(scores, "word").drop("word")), "scored")
 
     found = first.where("row IS NOT NULL").drop("pair", "docs").join(second, ["part", "row"])
     ids = parts.where("codes IS NOT NULL").select("part", "row", *own)
@@ -320,6 +317,44 @@ def _lookup(table, column: str, size: int, kind):
     return out
 
 
+def _facts(codes, lists, size: int):
+    """What a part knows of its words, by their numbers: counts, shown groups, and distinct pairs as places in ``met``.
+
+    A word is a list of id * 4 + mark, the A ids of a group before its B ids; mark 1 ends the A ids, 2 the group.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(lists)
+    flat = lists.flatten().to_numpy().astype(np.int64)
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    word, mark, ids = np.repeat(np.arange(n), sizes), flat & 3, flat >> 2
+    group = np.cumsum(mark == 2) - (mark == 2)
+    is_b = np.cumsum(mark == 1) - (mark == 1) > group
+    of = word[mark == 2]
+    na, nb = (np.bincount(group[on], minlength=len(of)) for on in (~is_b, is_b))
+    numbers = np.zeros((size, 4), np.int64)
+    for k, (w, x) in enumerate(((word[~is_b], None), (word[is_b], None), (of, None), (of, na * nb))):
+        numbers[codes, k] = np.bincount(w, x, n).astype(np.int64)
+    parts = pc.binary_join_element_wise(pa.array(ids).cast(pa.string()), pa.array([",", "|", ";"]).take(pa.array(mark)), "")
+    ends = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1) if n else np.zeros(1, np.int32)
+    data = parts.buffers()[2].to_pybytes() if n else b""
+    stop = np.cumsum(sizes)
+    shown = np.full(size, None, object)
+    shown[codes] = [data[i:j] for i, j in zip(ends[stop - sizes].tolist(), ends[stop].tolist())] if n else []
+    one, two = (np.sort(group[on] * WIDE + ids[on]) for on in (~is_b, is_b))
+    one, two = (x[np.diff(x, prepend=-1) > 0] for x in (one, two))  # an id once in a group
+    go, gt = one // WIDE, two // WIDE
+    each = np.bincount(gt, minlength=len(of))
+    mate = joined(two % WIDE, (np.cumsum(each) - each)[go], each[go])[0] if len(go) else two
+    met, link = np.unique(np.repeat(one % WIDE, each[go]) * WIDE + mate, return_inverse=True)
+    per = np.bincount(of, np.bincount(go, minlength=len(of)) * each, n).astype(np.int64)
+    starts, counts = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    starts[codes], counts[codes] = np.cumsum(per) - per, per
+    return numbers, shown, link, met, starts, counts
+
+
 def _first(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Each document's counts and digest, (part, row, ...), and each part's (pair, docs); one part is one group."""
     import numpy as np
@@ -333,15 +368,7 @@ def _first(rows: DataFrame, words: DataFrame) -> DataFrame:
         worker_cache(None)
         docs = [unpack(x.as_buffer()) for x in left["codes"]]
         size = max([int(d.max()) for d in docs if len(d)], default=-1) + 1
-        numbers = np.stack([_lookup(right, n, size, np.int64) for n in ("n_a", "n_b", "n_groups", "n_links")], axis=1)
-        shown = np.full(size, None, object)
-        shown[right["code"].to_numpy()] = right["shown"].cast(pa.binary()).to_pylist()
-        lists = right["pairs"].combine_chunks()
-        met, link = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        counts = _lookup(right.append_column("n", [pa.compute.list_value_length(lists).cast(pa.int64())]), "n", size, np.int64)
-        starts = np.zeros(size, np.int64)
-        sizes = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
-        starts[right["code"].to_numpy()] = np.cumsum(sizes) - sizes
+        numbers, shown, link, met, starts, counts = _facts(right["code"].to_numpy(), right["marked"].combine_chunks(), size)
         sums, digests, seen = np.zeros((len(docs), 4), np.int64), [], np.zeros(len(met), np.int64)
         for i, d in enumerate(docs):
             listed = shown[d].tolist()
@@ -349,7 +376,7 @@ def _first(rows: DataFrame, words: DataFrame) -> DataFrame:
                 digests.append("")
                 continue
             sums[i] = numbers[d].sum(0)
-            digests.append(hashlib.sha256(b";".join(listed)).hexdigest())
+            digests.append(hashlib.sha256(b"".join(listed)[:-1]).hexdigest())
             each = np.unique(d)
             hit = np.zeros(len(met), bool)
             hit[joined(link, starts[each], counts[each])[0]] = True
