@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeframe.storage import cut, holding, release
+
 
 def first_per_slot(df: DataFrame, by: str, at: str, width: str, order: list[str]) -> DataFrame:
     """The first sample of each tumbling window: ``slot`` and the row."""
@@ -149,6 +153,31 @@ def best_of_group(df: DataFrame, by: list[str], good: Column, sharp: str, pos: s
     return df.groupBy(*by).agg(F.max_by(F.struct(*cols), F.struct(good, F.col(sharp), -F.col(pos))).alias("__b")).select(*by, "__b.*")
 
 
+def refined(dense: DataFrame, by: str, index: str, value: str, step: int, limit: float) -> DataFrame:
+    """(by, index, value): every ``step``-th sample of each key, and between them as many as it takes to measure moves.
+
+    A move of more than ``limit`` between neighbouring samples, or one that has no value, cannot be measured; the sample
+    half way is then taken, too, until the halves can or nothing lies between. Samples are numbered from 0 without
+    gaps. Each round works on the list of halves that are still open, all keys at once, and ends when that is empty.
+    """
+    s = dense.select(by, F.col(index).alias("i"), F.col(value).alias("v"))
+    first = s.where(F.col("i") % step == 0)
+    order = Window.partitionBy(by).orderBy("i")
+    spans = first.select(by, F.col("i").alias("a"), F.col("v").alias("va"), F.lead("i").over(order).alias("b"), F.lead("v").over(order).alias("vb")).where("b IS NOT NULL")
+    bad = (F.col("b") - F.col("a") > 1) & ~F.coalesce(F.abs(F.col("vb") - F.col("va")) <= limit, F.lit(False))
+    found, todo = [first], cut(spans.where(bad), "open")
+    while not todo.isEmpty():
+        mid = todo.withColumn("i", F.floor((F.col("a") + F.col("b")) / 2)).join(s, [by, "i"])
+        mid = cut(mid, "halved")
+        found.append(holding(mid.select(by, "i", "v"), mid))
+        low = mid.select(by, "a", "va", F.col("i").alias("b"), F.col("v").alias("vb"))
+        high = mid.select(by, F.col("i").alias("a"), F.col("v").alias("va"), "b", "vb")
+        release(todo)
+        todo = cut(low.unionByName(high).where(bad), "open")
+    out = reduce(DataFrame.unionByName, found).select(by, F.col("i").alias(index), F.col("v").alias(value))
+    return holding(out, *found[1:], todo)
+
+
 def pick_frames(frames: list[tuple[float, bool]], band: float, target: float) -> list[int]:
     """Which frames to keep so that neighbours overlap: from each the farthest still frame within ``band``, else the farthest
     at all, else the next; ``frames`` are (position, still) in order."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import planes, stitch
+from lodeframe.operators import frames, history, planes, stitch
 from lodeframe.plans.base import query
 from lodeframe.session import table
 
@@ -160,3 +160,50 @@ def screen_fixed_edges(spark, d):
     rows = o.select("who", "frame", "y", F.transform(F.sequence(F.lit(0), F.lit(19)), pixel).alias("v"))
     found = planes.scrolled_between(rows, ["who"], quiet=8, step=2)
     return planes.without_fixed_foot(rows, found, ["who"], step=3, least=10)
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS i FROM events),
+  f AS (SELECT user_id, i AS a, value AS va, lead(i) OVER (PARTITION BY user_id ORDER BY i) AS b, lead(value) OVER (PARTITION BY user_id ORDER BY i) AS vb FROM s WHERE i % 16 = 0),
+  m(user_id, a, va, b, vb) AS (SELECT * FROM f WHERE b IS NOT NULL
+    UNION ALL SELECT h.user_id, h.a, h.va, h.b, h.vb FROM m JOIN s ON s.user_id = m.user_id AND s.i = (m.a + m.b) // 2,
+      LATERAL (SELECT m.user_id, m.a, m.va, s.i AS b, s.value AS vb UNION ALL SELECT m.user_id, s.i, s.value, m.b, m.vb) h
+    WHERE m.b - m.a > 1 AND NOT coalesce(abs(m.vb - m.va) <= 12, FALSE)),
+  e AS (SELECT user_id, a AS i FROM m UNION SELECT user_id, b FROM m UNION SELECT user_id, a FROM f)
+SELECT user_id, i, value FROM e JOIN s USING (user_id, i)""")
+def frames_refined(spark, d):
+    """Samples of a user's events, taken more closely where the value moves too far between two of them."""
+    e = table(spark, d, "events")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return frames.refined(e.select("user_id", "value", i.cast("long").alias("i")), "user_id", "i", "value", 16, 12)
+
+
+#: What customers hold of five goods after each order, as a log: an order is a version; some make a good vanish.
+CHANGES = """lg AS (SELECT who, version, l_partkey % 5 AS good, sum(l_quantity)::BIGINT AS amount, sum(l_linenumber) % 6 = 0 AS gone
+  FROM (SELECT o_custkey AS who, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders) JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"""
+
+
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    v = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("who"), "o_orderkey", v.cast("long").alias("version"))
+    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 5).alias("good"), "l_quantity", "l_linenumber")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("who", "version", "good").agg(F.sum("l_quantity").cast("long").alias("amount"), (F.sum("l_linenumber") % 6 == 0).alias("gone"))
+
+
+@query(f"""WITH {CHANGES}, h AS (SELECT * FROM lg WHERE version <= 4 QUALIFY row_number() OVER (PARTITION BY who, good ORDER BY version DESC) = 1)
+SELECT who, good, version, amount FROM h WHERE NOT gone""")
+def history_as_of(spark, d):
+    return history.as_of(change_log(spark, d), ["who", "good"], ["amount"], F.col("version") <= 4)
+
+
+@query(f"""WITH {CHANGES}, t AS (SELECT who, max(version) - 1 AS t, max(version) + 1 AS version FROM lg GROUP BY who),
+  w AS (SELECT who, good, amount, gone FROM lg JOIN t USING (who) WHERE lg.version = t),
+  n AS (SELECT who, good, amount, gone FROM lg QUALIFY row_number() OVER (PARTITION BY who, good ORDER BY version DESC) = 1),
+  b AS (SELECT who, good, amount, gone FROM lg JOIN t USING (who) WHERE lg.version < t QUALIFY row_number() OVER (PARTITION BY who, good ORDER BY lg.version DESC) = 1),
+  fine AS (SELECT who FROM w JOIN n USING (who, good) GROUP BY who HAVING bool_and((w.gone AND n.gone) OR (w.gone = n.gone AND w.amount = n.amount)))
+SELECT who, t.version, good, CASE WHEN NOT b.gone THEN b.amount END AS amount, coalesce(b.gone, TRUE) AS gone FROM w JOIN fine USING (who) JOIN t USING (who) LEFT JOIN b USING (who, good)""")
+def history_taken_back(spark, d):
+    """The last order but one of each customer is undone where the last did not change what it wrote."""
+    log = change_log(spark, d)
+    targets = log.groupBy("who").agg((F.max("version") - 1).alias("version"))
+    return history.taken_back(log, targets, "who", "good", ["amount"])
