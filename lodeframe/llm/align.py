@@ -317,42 +317,45 @@ def _lookup(table, column: str, size: int, kind):
     return out
 
 
-def _facts(codes, lists, size: int):
+def _facts(codes, lists, size: int, step: int = 40_000):
     """What a part knows of its words, by their numbers: counts, shown groups, and distinct pairs as places in ``met``.
 
-    A word is a list of id * 4 + mark, the A ids of a group before its B ids; mark 1 ends the A ids, 2 the group.
+    A word is a list of id * 4 + mark, the A ids of a group before its B ids; mark 1 ends the A ids, 2 the group. Words
+    are taken ``step`` at a time, which bounds what stands beside the results.
     """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    n = len(lists)
-    flat = lists.flatten().to_numpy().astype(np.int64)
-    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    word, mark, ids = np.repeat(np.arange(n), sizes), flat & 3, flat >> 2
-    group = np.cumsum(mark == 2) - (mark == 2)
-    is_b = np.cumsum(mark == 1) - (mark == 1) > group
-    of = word[mark == 2]
-    na, nb = (np.bincount(group[on], minlength=len(of)) for on in (~is_b, is_b))
-    numbers = np.zeros((size, 4), np.int64)
-    for k, (w, x) in enumerate(((word[~is_b], None), (word[is_b], None), (of, None), (of, na * nb))):
-        numbers[codes, k] = np.bincount(w, x, n).astype(np.int64)
-    parts = pc.binary_join_element_wise(pa.array(ids).cast(pa.string()), pa.array([",", "|", ";"]).take(pa.array(mark)), "")
-    ends = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1) if n else np.zeros(1, np.int32)
-    data = parts.buffers()[2].to_pybytes() if n else b""
-    stop = np.cumsum(sizes)
-    shown = np.full(size, None, object)
-    shown[codes] = [data[i:j] for i, j in zip(ends[stop - sizes].tolist(), ends[stop].tolist())] if n else []
-    one, two = (np.sort(group[on] * WIDE + ids[on]) for on in (~is_b, is_b))
-    one, two = (x[np.diff(x, prepend=-1) > 0] for x in (one, two))  # an id once in a group
-    go, gt = one // WIDE, two // WIDE
-    each = np.bincount(gt, minlength=len(of))
-    mate = joined(two % WIDE, (np.cumsum(each) - each)[go], each[go])[0] if len(go) else two
-    met, link = np.unique(np.repeat(one % WIDE, each[go]) * WIDE + mate, return_inverse=True)
-    per = np.bincount(of, np.bincount(go, minlength=len(of)) * each, n).astype(np.int64)
-    starts, counts = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    starts[codes], counts[codes] = np.cumsum(per) - per, per
-    return numbers, shown, link, met, starts, counts
+    numbers, shown = np.zeros((size, 4), np.int64), np.full(size, None, object)
+    counts, pairs = np.zeros(len(lists), np.int64), [np.zeros(0, np.int64)]
+    for k in range(0, len(lists), step):
+        some = lists.slice(k, step)
+        own, n = codes[k : k + step], len(some)
+        flat = some.flatten().to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(some).to_numpy().astype(np.int64)
+        word, mark, ids = np.repeat(np.arange(n), sizes), flat & 3, flat >> 2
+        group = np.cumsum(mark == 2) - (mark == 2)
+        is_b = np.cumsum(mark == 1) - (mark == 1) > group
+        of = word[mark == 2]
+        na, nb = (np.bincount(group[on], minlength=len(of)) for on in (~is_b, is_b))
+        for c, (w, x) in enumerate(((word[~is_b], None), (word[is_b], None), (of, None), (of, na * nb))):
+            numbers[own, c] = np.bincount(w, x, n).astype(np.int64)
+        parts = pc.binary_join_element_wise(pa.array(ids).cast(pa.string()), pa.array([",", "|", ";"]).take(pa.array(mark)), "")
+        ends = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1)
+        data, stop = parts.buffers()[2].to_pybytes(), np.cumsum(sizes)
+        shown[own] = [data[i:j] for i, j in zip(ends[stop - sizes].tolist(), ends[stop].tolist())]
+        one, two = (np.sort(group[on] * WIDE + ids[on]) for on in (~is_b, is_b))
+        one, two = (x[np.diff(x, prepend=-1) > 0] for x in (one, two))  # an id once in a group
+        go, gt = one // WIDE, two // WIDE
+        each = np.bincount(gt, minlength=len(of))
+        mate = joined(two % WIDE, (np.cumsum(each) - each)[go], each[go])[0]
+        pairs.append(np.repeat(one % WIDE, each[go]) * WIDE + mate)
+        counts[k : k + step] = np.bincount(of, np.bincount(go, minlength=len(of)) * each, n)
+    met, link = np.unique(np.concatenate(pairs), return_inverse=True)
+    starts, per = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    starts[codes], per[codes] = np.cumsum(counts) - counts, counts
+    return numbers, shown, link.astype(np.int32), met, starts, per
 
 
 def _first(rows: DataFrame, words: DataFrame) -> DataFrame:
