@@ -145,6 +145,48 @@ def seam(a: np.ndarray, b: np.ndarray, overlap: int = OVERLAP, guard: int = GUAR
     return shift, share, min((r for r, d in found if abs(d - shift) > guard), default=float("inf"))
 
 
+def seam_search(a: np.ndarray, b: np.ndarray, overlap: int = OVERLAP, guard: int = GUARD, strides: int = 16) -> tuple[tuple[int, float, float] | None, int]:
+    """What ``seam`` finds, and how many pixels had to be compared for it.
+
+    Every shift is first measured on one row in ``strides``. What differs there differs for certain, so the share so far,
+    of all pixels that overlap, is a lower bound; shifts are carried on only while that is not above the best whole
+    share, the most promising first. The rival is looked for in the same way among the shifts that lie far enough off.
+    """
+    x, y = a.astype(np.int32), b.astype(np.int32)
+    h, w = x.shape
+    seen = {d: 0 for d in range(1, h - overlap + 1)}
+    bad, whole, looked = dict.fromkeys(seen, 0), {}, 0
+
+    def go_on(d: int) -> None:
+        nonlocal looked
+        at = slice(seen[d], h - d, strides)
+        bad[d] += int((np.abs(x[d:][at] - y[: h - d][at]) > DIFFERENT).sum())
+        looked += len(range(*at.indices(h - d))) * w
+        seen[d] += 1
+        if seen[d] == min(strides, h - d):
+            inked = ((x[d:] < BLANK) | (y[: h - d] < BLANK)).mean() >= INK
+            whole[d] = bad[d] / ((h - d) * w) if inked else None
+
+    def least(shifts: list[int]) -> tuple[float, int] | None:
+        bound = lambda d: bad[d] / ((h - d) * w)
+        best = None
+        for d in shifts:
+            if not seen[d]:
+                go_on(d)
+        for d in sorted(shifts, key=lambda d: (bad[d] / max(1, seen[d]), d)):
+            while d not in whole and (best is None or bound(d) <= best[0]):
+                go_on(d)
+            if whole.get(d) is not None and (best is None or (whole[d], d) < best):
+                best = whole[d], d
+        return best
+
+    found = least(list(seen))
+    if found is None:
+        return None, looked
+    rival = least([d for d in seen if abs(d - found[1]) > guard])
+    return (found[1], found[0], rival[0] if rival else float("inf")), looked
+
+
 def confident(best: tuple[int, float, float] | None) -> bool:
     """Under 0.03 of the pixels differ, and at least twice as many at the rival's shift."""
     return best is not None and best[1] < 0.03 and best[2] >= 2 * best[1]

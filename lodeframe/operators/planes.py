@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeframe.functions import kernels
 from lodeframe.operators.components import connected
 from lodeframe.storage import cut, holding
 
@@ -212,3 +215,29 @@ def without_fixed_foot(rows: DataFrame, found: DataFrame, by: list[str], frame:
     got = found.join(size, by, "left").join(edge, by, "left")
     stop = F.greatest(F.coalesce("seen", F.lit(-1)), F.least(F.col("header") + least, F.col("end")))
     return got.select(*by, "header", F.when(F.col("end").isNull(), F.col("footer")).otherwise(F.least("footer", stop + 1)).alias("footer"))
+
+
+def seams(pairs: DataFrame, by: list[str], width: str = "w", a: str = "a", b: str = "b", overlap: int = kernels.OVERLAP, guard: int = kernels.GUARD) -> DataFrame:
+    """(by, shift, share, rival, sure): by how many rows plane ``b`` is scrolled on from ``a``, see ``kernels.seam``.
+
+    A pair is one row, its planes lists of pixels; pairs are searched side by side, shifts that cannot win only in part.
+    A pair of different or no sizes has nulls. The rival is null where there is none; ``sure`` is what the share and the
+    rival's allow.
+    """
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by) + ", shift int, share double, rival double, sure boolean"
+
+    def one(x, y, w) -> tuple:
+        if x is None or y is None or not w or len(x) != len(y) or len(x) % w or not len(x):
+            return None, None, None, None
+        found, _ = kernels.seam_search(np.asarray(x).reshape(-1, w), np.asarray(y).reshape(-1, w), overlap, guard)
+        if found is None:
+            return None, None, None, None
+        return found[0], found[1], found[2] if np.isfinite(found[2]) else None, kernels.confident(found)
+
+    def run(frames):
+        for t in frames:
+            got = pd.DataFrame([one(*r) for r in zip(t[a], t[b], t[width])], columns=["shift", "share", "rival", "sure"])
+            got["shift"] = got["shift"].astype("Int32")
+            yield pd.concat([t[by].reset_index(drop=True), got], axis=1)
+
+    return pairs.select(*by, a, b, width).mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from lodeframe.operators import frames, history, planes, stitch
 from lodeframe.plans.base import query
 from lodeframe.session import table
+from lodeframe.storage import holding, shared_dir
+from lodeframe.streaming import frames as streams
 
 #: Screens of a customer's purchases in two columns, five rows each, scrolled on and at times back; some cells are hidden,
 #: some are misread, some not read, and what was bought as the seventh item is gold.
@@ -207,3 +211,42 @@ def history_taken_back(spark, d):
     log = change_log(spark, d)
     targets = log.groupBy("who").agg((F.max("version") - 1).alias("version"))
     return history.taken_back(log, targets, "who", "good", ["amount"])
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events WHERE event_id % 9 = user_id % 9),
+  g AS (SELECT *, coalesce(sum(CASE WHEN nx - t > 4 * 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+  l AS (SELECT user_id, max(t) AS t, count(*) AS writes, count(*) FILTER (nx IS NULL) = 0 AS more FROM g GROUP BY user_id, part)
+SELECT user_id, make_timestamp(t) AS "at", writes::BIGINT AS writes, CASE WHEN more THEN 'write' ELSE 'age' END AS how FROM l
+WHERE more OR t // 1000 + 4 * 86400000 < (SELECT max(t) // 1000 - 3600000 FROM e)""")
+def stream_expired_slots(spark, d):
+    """A stream of writes to one slot a user, drained; every ninth kind of event is a write. State goes with its age."""
+    base = f"{shared_dir(spark)}/lodeframe/stream-{uuid.uuid4().hex}"
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, streams.STATE_STORE)
+    try:
+        seen = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+        writes = seen.where("event_id % 9 = user_id % 9")
+        streams.drain(streams.expired(writes, "user_id", "ts", 4, "1 hour"), f"{base}/out", f"{base}/state")
+    finally:
+        spark.conf.set(key, before)
+    return holding(spark.read.schema("user_id long, at timestamp, writes long, how string").parquet(f"{base}/out"), base)
+
+
+@query(f"""WITH {PIXELS}, lv AS (SELECT plane, y, x, greatest(0, least(255, floor(v * 500 + 200)))::INT AS l FROM px),
+  bb AS (SELECT plane, y, x, l FROM (SELECT plane, y - (plane % 7 + 3) AS y, x, l FROM lv) WHERE y >= 0
+    UNION ALL SELECT plane, y, x, 255 - l FROM lv WHERE y >= (SELECT max(y) FROM lv s WHERE s.plane = lv.plane) + 1 - (plane % 7 + 3)),
+  h AS (SELECT plane, max(y) + 1 AS h FROM lv GROUP BY plane),
+  s AS (SELECT plane, d, avg((abs(a.l - bb.l) > 24)::INT) AS share FROM (SELECT plane, h, unnest(range(1, h - 10 + 1))::INT AS d FROM h) JOIN lv a USING (plane) JOIN bb USING (plane, x)
+    WHERE a.y = bb.y + d GROUP BY plane, d HAVING avg((a.l < 240 OR bb.l < 240)::INT) >= 0.05),
+  m AS (SELECT plane, arg_min(d, (share, d)) AS shift, min(share) AS share FROM s GROUP BY plane),
+  r AS (SELECT plane, min(s.share) AS rival FROM s JOIN m USING (plane) WHERE abs(d - shift) > 5 GROUP BY plane)
+SELECT plane, shift, share, rival, coalesce(share < 0.03 AND coalesce(rival, 1e300) >= 2 * share, FALSE) AS sure FROM m LEFT JOIN r USING (plane)""")
+def plane_seams(spark, d):
+    """Each plane against itself, scrolled on by three rows or more, with other content below."""
+    rows = pixel_rows(spark, d).withColumn("l", F.transform("v", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v * 500 + 200).cast("int")))))
+    whole = rows.groupBy("plane").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "l"))), lambda r: r["l"]).alias("ls"))
+    by = (F.col("plane") % 7 + 3).cast("int")
+    kept = F.slice("ls", by + 1, F.greatest(F.size("ls") - by, F.lit(0)))
+    below = F.transform(F.slice("ls", F.greatest(F.size("ls") - by, F.lit(0)) + 1, by), lambda r: F.transform(r, lambda p: 255 - p))
+    pairs = whole.select("plane", F.flatten("ls").alias("a"), F.flatten(F.concat(kept, below)).alias("b"), F.lit(64).alias("w"))
+    return planes.seams(pairs, ["plane"], overlap=10, guard=5)

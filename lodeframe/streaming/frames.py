@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -50,6 +51,66 @@ def tracked(stream: DataFrame, by: str, order: str, shift: str) -> DataFrame:
     )
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over what is there now, into Parquet, and ends."""
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+class _Kept(StatefulProcessor):
+    """The last write of a slot, until it is older than ``age`` milliseconds; see ``expired``."""
+
+    def __init__(self, slot: str, age: int):
+        self.slot, self.age = slot, age
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, writes long")
+
+    def _gone(self, key: tuple, how: str) -> pd.DataFrame:
+        at, writes = self.last.get()
+        return pd.DataFrame({self.slot: [key[0]], "at": [pd.Timestamp(at, unit="us")], "writes": [writes], "how": [how]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = sorted(t for r in rows for t in r["at"])
+        for at in times:
+            writes = 0
+            if self.last.exists():
+                before, writes = self.last.get()
+                if at < before:
+                    at = before  # a row that came late but in time: the newer write stays
+                elif at - before > 1000 * self.age:
+                    yield self._gone(key, "write")
+                    writes = 0
+            self.last.update((int(at), int(writes + 1)))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if self.last.exists():
+            self.handle.registerTimer(self.last.get()[0] // 1000 + self.age)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield self._gone(key, "age")
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed state with timers needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def expired(stream: DataFrame, slot: str, at: str, days: int, late: str) -> DataFrame:
+    """(slot, at, writes, how): what a store of one image a slot drops: the time of the last write, how many writes there
+    were since the slot was empty, and whether the sweep of a later ``write`` or its ``age`` was the cause.
+
+    A slot's state is two numbers and goes ``days`` after its last write: when the watermark passes that, or when a later
+    write of a batch finds it so old. Rows later than ``late`` count nothing. The session's state store must be
+    ``STATE_STORE``.
+    """
+    kind = stream.schema[slot].dataType.simpleString()
+    rows = stream.select(slot, F.col(at).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    keyed = rows.select(slot, "ts", F.unix_micros("ts").alias("at")).groupBy(slot)
+    return keyed.transformWithStateInPandas(_Kept(slot, days * 86_400_000), f"{slot} {kind}, at timestamp, writes long, how string", "Append", "EventTime")
+
+
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Runs a stream over what is there now, into Parquet, and ends; the query, for its progress."""
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q

@@ -170,3 +170,33 @@ def test_edges_of_scrolled_screens(spark, frames):
     assert got == ([(1, 37, h - 190)] if frames > 1 else [])
     lax = spark.createDataFrame([(1, 37, h)], "k int, header int, footer int")
     assert [r["footer"] for r in planes.without_fixed_foot(df, lax, ["k"]).collect()] == [h - 190 if frames > 1 else h]
+
+
+def test_seam_search_finds_what_all_shifts_give_with_fewer_pixels(spark):
+    rng = np.random.default_rng(8)
+    body = np.where(rng.random((600, 50)) < 0.3, 20, 250)
+    pairs, saved = [], 0
+    for i in range(24):
+        h = int(rng.integers(70, 160))
+        a = body[: h].copy()
+        b = body[int(rng.integers(1, 60)) :][: h].copy()
+        if i % 4 == 1:
+            b = np.where(rng.random(b.shape) < 0.05, 255 - b, b)
+        if i % 4 == 2:
+            a[:], b[:] = 255, 255
+        if i % 4 == 3:
+            a, b = rng.integers(0, 256, a.shape), rng.integers(0, 256, b.shape)
+        want = kernels.seam(a, b, 20, 10)
+        got, looked = kernels.seam_search(a, b, 20, 10)
+        assert got == want
+        every = sum((h - d) * 50 for d in range(1, h - 20 + 1))
+        alone, few = kernels.seam_search(a, b, 20, 1000)  # without a rival to look for
+        assert alone == kernels.seam(a, b, 20, 1000) and few <= looked <= every
+        saved += i % 4 < 2 and few < every / 3
+        pairs.append((i, [int(v) for v in a.ravel()], [int(v) for v in b.ravel()], 50, want))
+    assert saved >= 5
+    df = spark.createDataFrame([p[:4] for p in pairs] + [(99, None, [1], 1), (98, [], [], 5), (97, [1, 2], [1], 1)], "k int, a array<int>, b array<int>, w int")
+    got = {r["k"]: (r["shift"], r["share"], r["rival"], r["sure"]) for r in planes.seams(df, ["k"], overlap=20, guard=10).collect()}
+    for k, _, _, _, want in pairs:
+        assert got[k] == ((None,) * 4 if want is None else (want[0], want[1], want[2] if np.isfinite(want[2]) else None, kernels.confident(want)))
+    assert got[99] == got[98] == got[97] == (None,) * 4
