@@ -181,13 +181,21 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     )
 
 
-def _placed(rows: DataFrame, key: str, size: str, pack) -> DataFrame:
-    """``rows`` with the shard that ``pack``, from [(class, groups)] to [(class, shard, groups)], gives their group."""
+#: Ranges of groups (a class, a shard and its groups; some 40 bytes each) up to which they are broadcast.
+BROADCAST_RANGES = 500_000
+
+
+def _placed(rows: DataFrame, key: str, size: str, pack, most: int | None = None) -> DataFrame:
+    """``rows`` with the shard that ``pack``, from [(class, groups)] to [(class, shard, groups)], gives their group.
+
+    A group of ``most`` bytes or less is in no class above that. A group finds its range by its number in its class:
+    ranges are filed under blocks of their class's mean length, so a class of many ranges does not meet all of them.
+    """
     spark = rows.sparkSession
-    groups = cut(
-        rows.groupBy(key).agg(F.sum(size).alias("bytes")).select(F.col(key).alias("__key"), size_class(F.col("bytes")).alias("__class")),
-        "groups",
-    )
+    own = size_class(F.col("bytes"))
+    if most is not None:
+        own = F.when(F.col("bytes") <= most, F.least(own, F.lit(most).cast("long"))).otherwise(own)
+    groups = cut(rows.groupBy(key).agg(F.sum(size).alias("bytes")).select(F.col(key).alias("__key"), own.alias("__class")), "groups")
     classes = [(r[0], r[1]) for r in groups.groupBy("__class").count().collect()]
     at: dict[int, int] = {}
     ranges = []
@@ -195,10 +203,19 @@ def _placed(rows: DataFrame, key: str, size: str, pack) -> DataFrame:
         lo = at.get(s, 0)
         ranges.append((s, lo, lo + k, b))
         at[s] = lo + k
-    places = spark.createDataFrame(ranges, "__class long, __lo long, __hi long, shard int")
-    rank = numbered(groups, ["__class"], ["__key"], "__rank")
+    many: dict[int, int] = {}
+    for s, *_ in ranges:
+        many[s] = many.get(s, 0) + 1
+    steps = [(s, -(-at[s] // n)) for s, n in many.items() if at[s]]
+    small = len(ranges) <= BROADCAST_RANGES
+    hint = F.broadcast if small else lambda df: df
+    steps = spark.createDataFrame(steps, "__class long, __step long")
+    places = spark.createDataFrame([r for r in ranges if r[2] > r[1]], "__class long, __lo long, __hi long, shard int").join(F.broadcast(steps), "__class")
+    block = lambda c: F.floor(F.col(c) / F.col("__step"))
+    places = places.withColumn("__block", F.explode(F.sequence(block("__lo"), F.floor((F.col("__hi") - 1) / F.col("__step"))))).drop("__step")
+    rank = numbered(groups, ["__class"], ["__key"], "__rank").join(F.broadcast(steps), "__class").withColumn("__block", block("__rank"))
     inside = (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))
-    placed = rank.join(F.broadcast(places), "__class").where(inside).select(F.col("__key").alias(key), "shard")
+    placed = rank.join(hint(places), ["__class", "__block"]).where(inside).select(F.col("__key").alias(key), "shard")
     out = cut(rows.join(placed, key), "placed")
     release(groups)
     return out
@@ -231,7 +248,7 @@ def shard_to_capacity(rows: DataFrame, capacity: int, key: str = "group", size:
             raise ValueError(f"a group is larger than {capacity} bytes")
         return got
 
-    out = _placed(rows, key, size, pack)
+    out = _placed(rows, key, size, pack, capacity)
     return holding(numbered(out, ["shard"], list(order) or [key], "slot"), out)
 
 

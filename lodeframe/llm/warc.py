@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import html
 import re
@@ -39,10 +40,10 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(31).join(map(str, parts)))}>"
 
 
-def build(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+def build(headers: list[tuple[str, str | None]], block: bytes, version: str = VERSION) -> bytes:
     """A record: headers without null values and without line breaks in them, Content-Length, the block."""
     lines = [f"{k}: {' '.join(v.split())}" for k, v in headers if v is not None]
-    head = "\r\n".join([VERSION, *lines, f"Content-Length: {len(block)}"])
+    head = "\r\n".join([version, *lines, f"Content-Length: {len(block)}"])
     return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -65,18 +66,42 @@ def members(data: bytes) -> Iterator[bytes]:
         rest = rest[min(at, len(rest)) - len(d.unused_data) :]
 
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """([(header, value)] in their order, block) of each record in ``data``, plain or of gzip members."""
-    for part in members(data):
+class Damaged(ValueError):
+    """What stands where a record should, or the reason that the rest of a file cannot be read."""
+
+
+def records(data: bytes) -> Iterator[tuple[str, list[tuple[str, str]], bytes]]:
+    """(version, [(header, value)] in their order, block) of each record in ``data``, plain or of gzip members.
+
+    Raises Damaged at the first place that is no whole record: a length that is missing, wrong or beyond the end, or a
+    member that cannot be unpacked.
+    """
+    each = members(data)
+    while True:
+        try:
+            part = next(each)
+        except StopIteration:
+            return
+        except (ValueError, zlib.error) as e:
+            raise Damaged(str(e)) from e
         at = 0
         while at < len(part):
             end = part.find(b"\r\n\r\n", at)
             if end < 0 or not part.startswith(b"WARC/", at):
-                raise ValueError(f"no WARC record at byte {at}")
-            headers = _headers(part[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-            size = int(named(headers)["content-length"])
-            yield headers, part[end + 4 : end + 4 + size]
-            at = end + 4 + size + 4
+                raise Damaged(f"no WARC record at byte {at}")
+            version, *lines = part[at:end].decode("utf-8", "replace").split("\r\n")
+            headers = _headers(lines)
+            size = named(headers).get("content-length", "")
+            if not size.isdecimal() or end + 4 + int(size) > len(part):
+                raise Damaged(f"a record at byte {at} with the length {size or 'missing'}")
+            yield version, headers, part[end + 4 : end + 4 + int(size)]
+            at = end + 4 + int(size) + 4
+
+
+def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """The headers and the block of each record, see ``records``."""
+    for _, headers, block in records(data):
+        yield headers, block
 
 
 def _headers(lines: list[str]) -> list[tuple[str, str]]:
@@ -117,13 +142,59 @@ def decoded(body: bytes, headers: dict[str, str]) -> bytes:
     for coding in reversed(headers.get("content-encoding", "").lower().split(",")):
         for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip(), ()):
             try:
-                body = zlib.decompressobj(bits).decompress(body)
+                body = _inflated(body, bits)
                 break
             except zlib.error:
                 continue
     return body
 
 
+#: Bytes that a body may unpack to; what goes on beyond is taken for a trap, and the body stays as it was sent.
+MOST_UNPACKED = 256 << 20
+
+
+def _inflated(body: bytes, bits: int) -> bytes:
+    """All members of a compressed body; what stands behind the last is left out, a last one that is cut off is not."""
+    out, size, rest = [], 0, body
+    while rest and (not out or bits == 31 and rest[:2] == b"\x1f\x8b"):
+        d = zlib.decompressobj(bits)
+        try:
+            out.append(d.decompress(rest, MOST_UNPACKED + 1 - size))
+        except zlib.error:
+            if not out:
+                raise
+            break
+        size += len(out[-1])
+        if size > MOST_UNPACKED:
+            raise zlib.error("unpacks to too much")
+        rest = d.unused_data
+    return b"".join(out)
+
+
+#: Content types that have a plain text; a response without type is taken for a page.
+_TEXT = re.compile(r"text/|application/(xhtml\+xml|xml|json|[\w.-]+\+xml)", re.I)
+_META = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([A-Za-z0-9._-]+)", re.I)
+
+
+def _letters(body: bytes, kind: str) -> str:
+    """A body as text: by its byte order mark, the charset of its header or of its markup, UTF-8, or else Windows-1252."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return body.decode(name, "replace")
+    said = re.search(r"charset=[\"']?([\w.-]+)", kind, re.I)
+    meta = _META.search(body[:4096])
+    for name in (said and said[1], meta and meta[1].decode("ascii")):
+        if name:
+            try:
+                return body.decode("cp1252" if name.lower() in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii") else name, "replace")
+            except LookupError:
+                continue
+    try:
+        return body.decode("utf-8")
+    except UnicodeDecodeError:
+        return body.decode("cp1252", "replace")
+
+
 def extract(page: str) -> tuple[str, str, list[str]]:
     """(title, plain text, link targets) of an HTML page, in one pass over its tags.
 
@@ -159,8 +230,10 @@ def extract(page: str) -> tuple[str, str, list[str]]:
     return " ".join(clean(title).split()), "\n".join(x for x in lines if x), links
 
 
-def derive(given: list[tuple[str, str]], block: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response, given its WARC headers and its block.
+def derive(given: list[tuple[str, str]], block: bytes, version: str = VERSION) -> list[dict]:
+    """The metadata and the conversion record of one response, given its WARC headers, its block and its version.
+
+    A body that is no text has no conversion record; the metadata record says so.
 
     Both refer to the response by its id and carry its target and date. The metadata record lists the source's status
     line, all its HTTP headers in their order, repeated ones each, its digests, the page's title and its links; the
@@ -171,11 +244,9 @@ def derive(given: list[tuple[str, str]], block: bytes) -> list[dict]:
     status, sent, raw = http_parts(block)
     http = named(sent)
     body = decoded(raw, http)
-    charset = re.search(r"charset=[\"']?([\w.-]+)", http.get("content-type", ""), re.I)
-    try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+    kind = http.get("content-type", "")
+    readable = not kind.strip() or _TEXT.match(kind.strip()) is not None
+    page = _letters(body, kind) if readable else ""
     title, text, links = extract(page)
     payload = source.get("warc-payload-digest") or digest(raw)
     fields = [
@@ -184,26 +255,28 @@ def derive(given: list[tuple[str, str]], block: bytes) -> list[dict]:
         ("source-content-length", str(len(block))),
         ("source-block-digest", source.get("warc-block-digest") or digest(block)),
         ("source-payload-digest", payload),
-        ("title", title or None),
+        ("title", title or None), ("conversion", None if readable else f"none, for {kind} is no text"),
         *(("outlink", x) for x in links),
     ]
     meta_block = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v is not None).encode()
     meta_id, conv_id = record_id("metadata", rid), record_id("conversion", rid)
     out = []
-    for kind, own, other, mime, content in (
+    for what, own, other, mime, content in (
         ("metadata", meta_id, None, "application/warc-fields", meta_block),
         ("conversion", conv_id, meta_id, "text/plain; charset=utf-8", text.encode()),
     ):
+        if what == "conversion" and not readable:
+            continue
         own_digest = digest(content)
         headers = [
-            ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri),
+            ("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri),
             ("WARC-Refers-To", rid), ("WARC-Concurrent-To", other), ("WARC-Block-Digest", own_digest),
             ("WARC-Source-Payload-Digest", payload), ("Content-Type", mime),
         ]
         out.append({
-            "record_type": kind, "record_id": own, "refers_to": rid, "target_uri": uri, "warc_date": date,
+            "record_type": what, "record_id": own, "refers_to": rid, "target_uri": uri, "warc_date": date,
             "block_digest": own_digest, "source_payload_digest": payload, "content_length": len(content),
-            "record": build(headers, content),
+            "record": build(headers, content, version),
         })
     return out
 
@@ -227,27 +300,36 @@ def response(page_id: object, url: str | None, page: str | None) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record) of every record in the WARC files at ``path``, plain or gzip.
+    """(path, record, damage) of every record in the WARC files at ``path``, plain or gzip.
+
+    Where a file cannot be read on, one row has a null record and says why, so that damage is counted and stops nothing;
+    the records before it stay, and so do repeated ones. An empty file has no rows. Records keep their WARC version.
 
     A file is one task's work: it is held as it is stored (Spark's limit for a value is 2 GB), its gzip members are
     opened one after the other, and its records leave one by one.
     """
     import pyarrow as pa
 
+    names = ["path", "record", "damage"]
+
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                for headers, block in parse(content.as_py()):
-                    whole = build([(k, v) for k, v in headers if k.lower() != "content-length"], block)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([whole], pa.binary())], names=["path", "record"])
+                try:
+                    for version, headers, block in records(content.as_py()):
+                        whole = build([(k, v) for k, v in headers if k.lower() != "content-length"], block, version)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([whole], pa.binary()), pa.nulls(1, pa.string())], names=names)
+                except Damaged as e:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.binary()), pa.array([str(e)])], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary, damage string")
 
 
 def derivatives(rows: DataFrame, *keep: str, record: str = "record") -> DataFrame:
     """Two rows, metadata and conversion, for every response in the column ``record``; other record types give none.
 
-    The columns ``keep`` come first. Null records give no rows; repeated responses give repeated records; an empty
+    The columns ``keep`` come first. Null records give no rows, and neither does what stands behind damage in a record;
+    a body that is no text has a metadata row only; repeated responses give repeated records; an empty
     table gives an empty result. No shuffle, one record in memory at a time and task.
     """
     return _run(rows.select(*keep, record), keep, lambda cells: cells[-1])
@@ -281,12 +363,13 @@ def _run(rows: DataFrame, keep: tuple[str, ...], source) -> DataFrame:
 
             for i in range(b.num_rows):
                 raw = source([c[i].as_py() for c in b.columns])
-                for headers, block in parse(raw) if raw else ():
-                    if named(headers).get("warc-type") == "response":
-                        got = derive(headers, block)
-                        held += got
-                        back += [i] * len(got)
-                        size += sum(len(g["record"]) for g in got)
+                with contextlib.suppress(Damaged):
+                    for version, headers, block in records(raw) if raw else ():
+                        if named(headers).get("warc-type") == "response":
+                            got = derive(headers, block, version)
+                            held += got
+                            back += [i] * len(got)
+                            size += sum(len(g["record"]) for g in got)
                 if size > 8 << 20:
                     yield out()
                     held, back, size = [], [], 0

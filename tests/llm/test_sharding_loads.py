@@ -82,3 +82,14 @@ def test_fixed_capacity(spark):
     assert sorted(4000 - x for x in load.values()) == plain_best_fit(sizes.values(), 4000)
     with pytest.raises(ValueError):
         sharding.shard_to_capacity(df, 100)
+
+
+def test_a_group_of_just_the_capacity_fits_and_equal_groups_find_their_shards(spark):
+    rows = [("just", 10_001)] + [(f"g{i}", 5_000) for i in range(301)] + [(f"h{i}", 9_999) for i in range(150)]
+    got = sharding.shard_to_capacity(spark.createDataFrame(rows, "group string, size long"), 10_001).collect()
+    load = {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    assert len(got) == len(rows) and max(load.values()) <= 10_001 and len(load) == 1 + 151 + 150
+    with pytest.raises(ValueError):
+        sharding.shard_to_capacity(spark.createDataFrame([("over", 10_002)], "group string, size long"), 10_001)
