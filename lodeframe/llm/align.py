@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
@@ -258,8 +259,10 @@ def aligned(words: DataFrame) -> DataFrame:
 def _cut(made, name: str, *how) -> DataFrame:
     """``cut`` of what ``made`` returns; the shuffles behind it, which nothing reads again, are let go of at once."""
     out = cut(made(), name, *how)
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plan, the second the shuffles that it held; deleting takes a moment
+        gc.collect()
+        out.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
     return out
 
 
