@@ -66,6 +66,26 @@ def test_recall_at_the_threshold(spark):
     assert len(near - left) >= 0.9 * len(near)
 
 
+def test_recall_of_short_texts(spark):
+    """Pairs of Jaccard 0.8 to 0.9 of each class of lengths: over nine tenths are linked."""
+    rnd, rows, pairs = random.Random(4), [], {}
+    for low, high in ((10, 13), (14, 20), (24, 30)):
+        found = 0
+        while found < 150:
+            base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(low, high))]
+            other = base[rnd.randint(0, 2) :]
+            other = other[: len(other) - rnd.randint(0, 2)] + [f"z{rnd.randrange(10**6)}"] * rnd.randint(0, 1)
+            a, b = shingles(" ".join(base)), shingles(" ".join(other))
+            if 0.8 <= len(a & b) / len(a | b) < 0.9:
+                found += 1
+                pairs.setdefault((low, high), set()).add(len(rows) + 1)
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    left = {r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(0, len(rows), 2)} <= left
+    for of, near in pairs.items():
+        assert len(near - left) >= 0.9 * len(near), of
+
+
 def test_like_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text")
     groups = plain_groups([tuple(r) for r in docs.collect()])
