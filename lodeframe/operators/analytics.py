@@ -130,39 +130,6 @@ def greedy_accept(candidates: DataFrame, names: list[str], by: tuple[str, ...] =
     return candidates.groupBy(F.lit(0).alias("__all")).applyInPandas(run, "src string, dst string, tier int")
 
 
-def stitch_rows(a: list[str | None], b: list[str | None], name: float = 3.0, miss: float = -1.5, gap: float = -1.0) -> int | None:
-    """By how many rows list ``b`` starts after list ``a``: the shift of the best score, the smallest of equals; None if none is positive."""
-    best = None
-    for k in range(len(a) + 1):
-        score = 0.0
-        for i, x in enumerate(b):
-            j = i + k
-            if j < len(a) and x is not None and a[j] is not None:
-                score += name if x == a[j] else miss
-        score += gap if k == len(a) else 0.0
-        if score > 0 and (best is None or score > best[0]):
-            best = score, k
-    return None if best is None else best[1]
-
-
-def stitch(frames: DataFrame, by: str) -> DataFrame:
-    """(by, frame, at): the first row of each frame's list (``names``) in the joined list of its sequence; a fold per sequence."""
-    kind = frames.schema[by].dataType.simpleString()
-
-    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        at, last, out = 0, None, []
-        for r in t.sort_values("frame").itertuples():
-            names = list(r.names)
-            if last is not None:
-                k = stitch_rows(last, names)
-                at += len(last) if k is None else k
-            out.append((key[0], r.frame, at))
-            last = names
-        return pd.DataFrame(out, columns=[by, "frame", "at"])
-
-    return frames.groupBy(by).applyInPandas(run, f"{by} {kind}, frame int, at int")
-
-
 def labels(text: Column, stop: str, patterns: Mapping[str, str], codes: Mapping[str, str]) -> Column:
     """The labels whose pattern a text fits; ``H`` alone if it fits ``stop``, the code patterns if none, else ``?``."""
     which = lambda p: F.array_compact(F.array(*(F.when(F.rlike(text, F.lit(x)), F.lit(n)) for n, x in p.items())))

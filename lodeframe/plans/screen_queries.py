@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import frames, history, planes, stitch
+from lodeframe.operators import effects, frames, history, planes, stitch
 from lodeframe.plans.base import query
 from lodeframe.session import table
 from lodeframe.storage import holding, shared_dir
@@ -250,3 +250,34 @@ def plane_seams(spark, d):
     below = F.transform(F.slice("ls", F.greatest(F.size("ls") - by, F.lit(0)) + 1, by), lambda r: F.transform(r, lambda p: 255 - p))
     pairs = whole.select("plane", F.flatten("ls").alias("a"), F.flatten(F.concat(kept, below)).alias("b"), F.lit(64).alias("w"))
     return planes.seams(pairs, ["plane"], overlap=10, guard=5)
+
+
+#: Samples of a scrolled list, an order of a customer each: places of content, and blocks of it with sparks on some.
+SPARKS = """o AS (SELECT o_custkey AS who, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS n FROM orders),
+  sm AS (SELECT who, n, CASE WHEN o_orderkey % 13 > 0 THEN (60 * n + o_orderkey % 30)::INT END AS pos FROM o),
+  bl AS (SELECT who, n, (pos // 20 + r)::INT AS "row", c::INT AS col, (who * 7 + (pos // 20 + r) * 11 + c * 5) % 90 + CASE WHEN (o_orderkey + r * 3 + c) % 7 = 0 THEN 40 ELSE r % 2 END AS level
+    FROM o JOIN sm USING (who, n), (SELECT unnest(range(0, 24)) AS r), (SELECT unnest(range(0, 3)) AS c) WHERE pos IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {SPARKS},
+  cd AS (SELECT p.who, p.n AS pick, s.n AS other, s.pos AS "at", row_number() OVER (PARTITION BY p.who, p.n ORDER BY CASE WHEN s.n > p.n THEN 0 ELSE 1 END, abs(s.n - p.n)) AS k
+    FROM sm p JOIN sm s ON p.who = s.who AND s.n <> p.n AND abs(s.n - p.n) <= 24 WHERE p.n % 2 = 0 AND abs(s.pos - p.pos) >= 120),
+  tk(who, pick, k, ns, ps) AS (SELECT who, pick, 0, []::INT[], []::INT[] FROM (SELECT DISTINCT who, pick FROM cd)
+    UNION ALL SELECT t.who, t.pick, c.k::INT, CASE WHEN ok THEN list_append(ns, c.other) ELSE ns END, CASE WHEN ok THEN list_append(ps, c.p) ELSE ps END
+    FROM tk t JOIN (SELECT who, pick, k, other, "at" AS p FROM cd) c ON t.who = c.who AND t.pick = c.pick AND c.k = t.k + 1,
+      LATERAL (SELECT len(t.ps) < 3 AND len(list_filter(t.ps, lambda x: abs(x - c.p) < 140)) = 0 AS ok)),
+  wt AS (SELECT who, pick, unnest(ns) AS other, generate_subscripts(ns, 1) AS rank FROM (SELECT * FROM tk QUALIFY row_number() OVER (PARTITION BY who, pick ORDER BY k DESC) = 1)),
+  vt AS (SELECT w.who, w.pick, a."row", a.col, count(*) AS k, max(b.level) - min(b.level) AS spread, min(abs(b.level - a.level)) AS off, arg_min(w.other, w.rank) AS source
+    FROM wt w JOIN bl a ON a.who = w.who AND a.n = w.pick JOIN bl b ON b.who = w.who AND b.n = w.other AND b."row" = a."row" AND b.col = a.col GROUP BY ALL)
+SELECT who, pick, "row", col, source FROM vt WHERE k >= 2 AND spread <= 5 AND off > 5""")
+def screen_effects(spark, d):
+    """Every second sample of a customer is judged by those around it; a block in seven has a spark."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("who"), "o_orderkey", n.alias("n"))
+    o = o.withColumn("pos", F.when(F.col("o_orderkey") % 13 > 0, (60 * F.col("n") + F.col("o_orderkey") % 30).cast("int")))
+    each = o.where("pos IS NOT NULL").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    row, spark_ = F.floor(F.col("pos") / 20).cast("int") + F.col("r"), (F.col("o_orderkey") + F.col("r") * 3 + F.col("col")) % 7 == 0
+    level = (F.col("who") * 7 + row * 11 + F.col("col") * 5) % 90 + F.when(spark_, 40).otherwise(F.col("r") % 2)
+    blocks = each.select("who", "n", row.alias("row"), "col", level.alias("level"))
+    seen = effects.witnesses(o, o.where("n % 2 = 0"), ["who"])
+    return effects.voted_out(blocks, seen, ["who"])

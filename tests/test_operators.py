@@ -234,14 +234,12 @@ def test_replay_touches_only_changed_texts(spark):
     assert seen == [["a8", "cd"], ["a8"]]
 
 
-def test_greedy_and_stitch(spark):
+def test_greedy(spark):
     # Of one source the best stays; x -> z joins 1x and 1z only together with y -> z; tier 2 comes on top of tier 1.
     rows = [("a", "b", 1, 5), ("a", "d", 2, 9), ("x", "z", 1, 9), ("y", "z", 1, 4), ("q", "r", 2, 1), ("a", "e", 3, 99)]
     c = spark.createDataFrame(rows, "src string, dst string, tier int, n int")
     got = {(r["src"], r["dst"]): r["tier"] for r in analytics.greedy_accept(c, ["1x", "1y", "2q", "3a"]).collect()}
     assert got == {("a", "b"): 1, ("a", "d"): 3, ("x", "z"): 1, ("y", "z"): 3, ("q", "r"): 2, ("a", "e"): 3}
-    f = spark.createDataFrame([("s", 1, ["a", "b", "c"]), ("s", 2, ["b", "c", None]), ("s", 3, ["x", "y"])], "g string, frame int, names array<string>")
-    assert sorted((r["frame"], r["at"]) for r in analytics.stitch(f, "g").collect()) == [(1, 0), (2, 1), (3, 4)]
 
 
 def test_shard_plan_query(spark, sf_dir):
