@@ -178,19 +178,6 @@ def refined(dense: DataFrame, by: str, index: str, value: str, step: int, limit:
     return holding(out, *found[1:], todo)
 
 
-def pick_frames(frames: list[tuple[float, bool]], band: float, target: float) -> list[int]:
-    """Which frames to keep so that neighbours overlap: from each the farthest still frame within ``band``, else the farthest
-    at all, else the next; ``frames`` are (position, still) in order."""
-    out, i = [0] if frames else [], 0
-    while i < len(frames) - 1:
-        reach = [j for j in range(i + 1, len(frames)) if 0 < frames[j][0] - frames[i][0] <= band]
-        calm = [j for j in reach if frames[j][1]]
-        far = [j for j in reach if frames[j][0] - frames[i][0] <= target]
-        i = max(calm or far or reach or [i + 1])
-        out.append(i)
-    return out
-
-
 def clip(df: DataFrame, cut: float) -> DataFrame:
     """Intervals (a, b) cut off at ``cut``; those that begin there or later go."""
     return df.where(F.col("a") < cut).withColumn("b", F.least(F.col("b"), F.lit(cut)))

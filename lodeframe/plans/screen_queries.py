@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import effects, frames, history, planes, stitch
+from lodeframe.operators import effects, frames, history, picking, planes, stitch
 from lodeframe.plans.base import query
 from lodeframe.session import table
 from lodeframe.storage import holding, shared_dir
@@ -281,3 +281,24 @@ def screen_effects(spark, d):
     blocks = each.select("who", "n", row.alias("row"), "col", level.alias("level"))
     seen = effects.witnesses(o, o.where("n % 2 = 0"), ["who"])
     return effects.voted_out(blocks, seen, ["who"])
+
+
+def walked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A user's events as samples of a scrolled list, and the seams of those that lie within a screen of 100."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("n", F.row_number().over(order))
+    e = e.withColumn("pos", F.round(F.sum(F.col("value") % 23 - 2).over(order.rowsBetween(Window.unboundedPreceding, 0)), 3))
+    s = e.select(F.col("user_id").alias("who"), "n", "pos", (F.col("event_id") % 3 == 0).alias("still"), (F.col("event_id") % 17 == 0).alias("anchor"))
+    ahead = s.select("who", F.col("n").alias("b"), F.col("pos").alias("to"))
+    near = s.select("who", F.col("n").alias("a"), "pos", F.explode(F.sequence(F.col("n") + 1, F.col("n") + 30)).alias("b")).join(ahead, ["who", "b"])
+    mix = F.pmod(F.xxhash64("who", "a", "b"), F.lit(10))
+    near = near.where((F.abs(F.col("to") - F.col("pos")) < 100) & (mix < 9))
+    bad = F.when(mix < 5, 0.001).when(mix < 7, 0.03).otherwise(0.2)
+    return s, near.select("who", "a", "b", (F.col("to") - F.col("pos")).alias("shift"), bad.alias("bad"), F.when(mix % 2 == 0, 4.0).otherwise(1.7).alias("ratio"))
+
+
+@query()
+def frames_picked(spark, d):
+    """A walk that depends on each of its steps, which SQL does not express; a test holds it against the plain walk."""
+    samples, seams = walked(spark, d)
+    return picking.picked(samples, seams, "who", 100)

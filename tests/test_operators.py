@@ -198,8 +198,6 @@ def test_anchored_groups_and_picks(spark, sf_dir):
             last = (who, v, last[2] + 1)
         want[who, pos] = last[2]
     assert {(r["who"], r["pos"]): r["grp"] for r in frames_anchored_groups(spark, sf_dir).collect()} == want
-    assert frames.pick_frames([(0, True), (0.5, True), (0.8, False), (1.2, True)], 0.85, 0.6) == [0, 1, 3]
-    assert frames.pick_frames([], 1, 1) == []
 
 
 def test_nearest_is_brute_force(spark):
