@@ -82,6 +82,7 @@ def _int_div(a: Column, b: int) -> Column:
 
 
 def distance_class(metres: Column) -> Column:
+    # The longest race of each class.
     return F.when(metres <= 1400, "short").when(metres <= 1800, "mile").when(metres <= 2400, "middle").when(metres.isNotNull(), "long")
 
 

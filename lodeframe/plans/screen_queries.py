@@ -213,20 +213,19 @@ def history_taken_back(spark, d):
     return history.taken_back(log, targets, "who", "good", ["amount"])
 
 
-@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events WHERE event_id % 9 = user_id % 9),
-  g AS (SELECT *, coalesce(sum(CASE WHEN nx - t > 4 * 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events),
+  g AS (SELECT *, coalesce(sum(CASE WHEN nx - t > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
   l AS (SELECT user_id, max(t) AS t, count(*) AS writes, count(*) FILTER (nx IS NULL) = 0 AS more FROM g GROUP BY user_id, part)
 SELECT user_id, make_timestamp(t) AS "at", writes::BIGINT AS writes, CASE WHEN more THEN 'write' ELSE 'age' END AS how FROM l
-WHERE more OR t // 1000 + 4 * 86400000 < (SELECT max(t) // 1000 - 3600000 FROM e)""")
+WHERE more OR t // 1000 + 86400000 < (SELECT max(t) // 1000 - 3600000 FROM e)""")
 def stream_expired_slots(spark, d):
-    """A stream of writes to one slot a user, drained; every ninth kind of event is a write. State goes with its age."""
+    """A stream of writes to one slot a user, drained: every event is a write, and a slot's state goes after a day."""
     base = f"{shared_dir(spark)}/lodeframe/stream-{uuid.uuid4().hex}"
     key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(key, streams.STATE_STORE)
     try:
         seen = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-        writes = seen.where("event_id % 9 = user_id % 9")
-        streams.drain(streams.expired(writes, "user_id", "ts", 4, "1 hour"), f"{base}/out", f"{base}/state")
+        streams.drain(streams.expired(seen, "user_id", "ts", 1, "1 hour"), f"{base}/out", f"{base}/state")
     finally:
         spark.conf.set(key, before)
     return holding(spark.read.schema("user_id long, at timestamp, writes long, how string").parquet(f"{base}/out"), base)
@@ -261,7 +260,7 @@ SPARKS = """o AS (SELECT o_custkey AS who, o_orderkey, (row_number() OVER (PARTI
 
 @query(f"""WITH RECURSIVE {SPARKS},
   cd AS (SELECT p.who, p.n AS pick, s.n AS other, s.pos AS "at", row_number() OVER (PARTITION BY p.who, p.n ORDER BY CASE WHEN s.n > p.n THEN 0 ELSE 1 END, abs(s.n - p.n)) AS k
-    FROM sm p JOIN sm s ON p.who = s.who AND s.n <> p.n AND abs(s.n - p.n) <= 24 WHERE p.n % 2 = 0 AND abs(s.pos - p.pos) >= 120),
+    FROM sm p JOIN sm s ON p.who = s.who AND s.n <> p.n AND abs(s.n - p.n) <= 24 WHERE abs(s.pos - p.pos) >= 120),
   tk(who, pick, k, ns, ps) AS (SELECT who, pick, 0, []::INT[], []::INT[] FROM (SELECT DISTINCT who, pick FROM cd)
     UNION ALL SELECT t.who, t.pick, c.k::INT, CASE WHEN ok THEN list_append(ns, c.other) ELSE ns END, CASE WHEN ok THEN list_append(ps, c.p) ELSE ps END
     FROM tk t JOIN (SELECT who, pick, k, other, "at" AS p FROM cd) c ON t.who = c.who AND t.pick = c.pick AND c.k = t.k + 1,
@@ -271,7 +270,7 @@ SPARKS = """o AS (SELECT o_custkey AS who, o_orderkey, (row_number() OVER (PARTI
     FROM wt w JOIN bl a ON a.who = w.who AND a.n = w.pick JOIN bl b ON b.who = w.who AND b.n = w.other AND b."row" = a."row" AND b.col = a.col GROUP BY ALL)
 SELECT who, pick, "row", col, source FROM vt WHERE k >= 2 AND spread <= 5 AND off > 5""")
 def screen_effects(spark, d):
-    """Every second sample of a customer is judged by those around it; a block in seven has a spark."""
+    """Every sample of a customer is judged by those around it; a block in seven has a spark."""
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("who"), "o_orderkey", n.alias("n"))
     o = o.withColumn("pos", F.when(F.col("o_orderkey") % 13 > 0, (60 * F.col("n") + F.col("o_orderkey") % 30).cast("int")))
@@ -279,7 +278,7 @@ def screen_effects(spark, d):
     row, spark_ = F.floor(F.col("pos") / 20).cast("int") + F.col("r"), (F.col("o_orderkey") + F.col("r") * 3 + F.col("col")) % 7 == 0
     level = (F.col("who") * 7 + row * 11 + F.col("col") * 5) % 90 + F.when(spark_, 40).otherwise(F.col("r") % 2)
     blocks = each.select("who", "n", row.alias("row"), "col", level.alias("level"))
-    seen = effects.witnesses(o, o.where("n % 2 = 0"), ["who"])
+    seen = effects.witnesses(o, o, ["who"])
     return effects.voted_out(blocks, seen, ["who"])
 
 

@@ -79,13 +79,13 @@ def visible_rows(spark, d):
     return ranking.visible_rows(p, "p_name", " i ", chosen, "new", F.col("p_size") <= 20).select(F.col("p_partkey").alias("k"))
 
 
-_CELLS = """cells AS (SELECT l_partkey AS skill, l_suppkey AS candidate, l_linenumber - 1 AS star FROM lineitem WHERE l_returnflag = 'R'),
+_CELLS = """cells AS (SELECT l_partkey AS skill, l_suppkey AS candidate, CASE WHEN l_returnflag = 'R' THEN l_linenumber - 1 ELSE 0 END AS star FROM lineitem),
   sums AS (SELECT skill, coalesce(sum(star) FILTER (s_suppkey % 3 = 0), 0)::BIGINT AS total FROM cells LEFT JOIN supplier ON s_suppkey = candidate GROUP BY skill)"""
 
 
 def _sums(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    cells = li.select(F.col("l_partkey").alias("skill"), F.col("l_suppkey").alias("candidate"), (F.col("l_linenumber") - 1).alias("star"))
+    star = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber") - 1).otherwise(0)
+    cells = table(spark, d, "lineitem").select(F.col("l_partkey").alias("skill"), F.col("l_suppkey").alias("candidate"), star.alias("star"))
     c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("candidate"), (F.col("s_suppkey") % 3 == 0).alias("enabled"))
     return ranking.enabled_sums(cells, c, "skill", "candidate", "star")
 
@@ -105,10 +105,10 @@ def row_filter_nonzero(spark, d):
     return ranking.row_filter(_sums(spark, d), "nonzero")
 
 
-@query("""SELECT s_suppkey AS key, count(DISTINCT o_custkey) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 7) ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
+@query("""SELECT s_suppkey AS key, count(DISTINCT o_custkey) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def set_membership_counts(spark, d):
     """How many records are in each set; a set may be named twice by one, and sets may be empty."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 7").select("l_orderkey", "l_suppkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pid"))
     p = li.join(o, "l_orderkey").groupBy("pid").agg(F.collect_list("l_suppkey").alias("sets"))
     return ranking.set_counts(p, table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")), "pid", "sets", "key")
@@ -382,19 +382,19 @@ def _bundles(spark, d):
     s, li = table(spark, d, "supplier"), table(spark, d, "lineitem")
     at = F.col("s_nationkey") % 4
     dist = F.when(at == 0, "short").when(at == 1, "mile").when(at == 2, "long").otherwise("else")
-    want = li.where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_partkey").alias("want"))
+    want = li.groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_partkey").alias("want"))
     b = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 == 0, "dirt").otherwise("turf").alias("surface"), dist.alias("dist"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pid"))
-    named = li.where("l_linenumber = 2").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").groupBy("pid").agg(F.collect_list("l_suppkey").alias("bundles"))
+    named = li.select("l_orderkey", "l_suppkey").join(o, "l_orderkey").groupBy("pid").agg(F.collect_list("l_suppkey").alias("bundles"))
     return store.migrate_bundles(b.join(want, "id", "left"), named, ["short", "mile", "medium", "long"])
 
 
-@query(f"""WITH {_BUNDLES} SELECT category, list_sort(list(DISTINCT l_partkey) FILTER (l_partkey IS NOT NULL)) AS skills FROM b LEFT JOIN lineitem ON l_suppkey = id AND l_linenumber = 1 GROUP BY category""")
+@query(f"""WITH {_BUNDLES} SELECT category, list_sort(list(DISTINCT l_partkey) FILTER (l_partkey IS NOT NULL)) AS skills FROM b LEFT JOIN lineitem ON l_suppkey = id GROUP BY category""")
 def migrate_sets(spark, d):
     return _bundles(spark, d)[0]
 
 
-@query(f"""WITH {_BUNDLES} SELECT o_custkey AS pid, list_sort(list(DISTINCT category)) AS sets FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN b ON id = l_suppkey WHERE l_linenumber = 2 GROUP BY o_custkey""")
+@query(f"""WITH {_BUNDLES} SELECT o_custkey AS pid, list_sort(list(DISTINCT category)) AS sets FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN b ON id = l_suppkey GROUP BY o_custkey""")
 def migrate_parents(spark, d):
     return _bundles(spark, d)[1]
 
