@@ -123,14 +123,8 @@ def bands(ink: DataFrame, sizes: DataFrame, by: list[str], layout: Layout = Layo
     return found.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("a")) - 1).alias("band"), "a", "b", "w", "h")
 
 
-def text_rows(ink: DataFrame, sizes: DataFrame, by: list[str], layout: Layout = Layout(), gold: DataFrame | None = None) -> DataFrame:
-    """(by, band, col, x, y, w, h): boxes of the texts that stand in columns, padded.
-
-    In each band the columns of pixels with ink are joined into blocks; left edges that lie close together, enough of
-    them, make a column at their (upper) median; a block belongs to the first column within one and a half times that
-    distance, and others are dropped. Planes with too few of anything have no rows.
-    """
-    band = bands(ink, sizes, by, layout, gold)
+def _blocks(ink: DataFrame, band: DataFrame, by: list[str], layout: Layout) -> DataFrame:
+    """(by, band, a, b, w, h, x0, x1, col, cx, next): the blocks of text that stand in a column, ``next`` the next one's place."""
     inside = band.withColumn("y", F.explode(F.sequence("a", "b"))).join(ink, [*by, "y"])
     keys = [*by, "band", "a", "b", "w", "h"]
     blocks = islands(inside.select(*keys, "x0", "x1"), keys, "x0", "x1", layout.block_gap())
@@ -140,16 +134,59 @@ def text_rows(ink: DataFrame, sizes: DataFrame, by: list[str], layout: Layout =
     new = F.coalesce(F.col("x0") - F.lag("x0").over(order) > reach, F.lit(True)).cast("int")
     marked = blocks.withColumn("__new", new).withColumn("__c", F.sum("__new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     cols = marked.groupBy(*by, "__c").agg(_upper_median(F.col("x0")).alias("cx"), F.count("*").alias("n")).where(F.col("n") >= layout.least)
-    cols = cols.select(*by, "cx", (F.row_number().over(Window.partitionBy(*by).orderBy("cx")) - 1).alias("col"))
+    left = Window.partitionBy(*by).orderBy("cx")
+    cols = cols.select(*by, "cx", F.lead("cx").over(left).alias("next"), (F.row_number().over(left) - 1).alias("col"))
     near = blocks.join(cols, by).where(F.abs(F.col("x0") - F.col("cx")) <= reach * 1.5)
-    own = near.groupBy(*keys, "x0", "x1").agg(F.min("col").alias("col"))
+    best = near.groupBy(*keys, "x0", "x1").agg(F.min(F.struct("col", "cx", "next")).alias("c"))
+    return _enough(best.select(*keys, "x0", "x1", "c.*"), by, layout.least)
+
+
+def text_rows(ink: DataFrame, sizes: DataFrame, by: list[str], layout: Layout = Layout(), gold: DataFrame | None = None) -> DataFrame:
+    """(by, band, col, x, y, w, h): boxes of the texts that stand in columns, padded.
+
+    In each band the columns of pixels with ink are joined into blocks; left edges that lie close together, enough of
+    them, make a column at their (upper) median; a block belongs to the first column within one and a half times that
+    distance, and others are dropped. Planes with too few of anything have no rows.
+    """
+    own = _blocks(ink, bands(ink, sizes, by, layout, gold), by, layout)
     pad = F.lit(layout.pad)
     x, y = F.greatest(F.lit(0), F.col("x0") - pad), F.greatest(F.lit(0), F.col("a") - pad)
-    out = own.select(
+    return own.select(
         *by, "band", "col", x.alias("x"), y.alias("y"), F.least(F.col("w") - x, F.col("x1") - F.col("x0") + 1 + 2 * pad).alias("w"),
         F.least(F.col("h") - y, F.col("b") - F.col("a") + 1 + 2 * pad).alias("h"),
     )
-    return _enough(out, by, layout.least)
+
+
+#: A row has at most so many stars, a hole of one column is inside a star, and stars end this share of the
+#: width before the next column.
+STARS, HOLE, MARGIN = 3, 1, 0.03
+
+
+def star_counts(ink: DataFrame, gold: DataFrame, sizes: DataFrame, by: list[str], layout: Layout = Layout()) -> DataFrame:
+    """(by, band, col, x0, stars, reliable): the stars below each text of ``text_rows``, which begins at ``x0``.
+
+    They are the stretches of gold columns between a band and the next, from the text's column to the next one's. Below
+    the last band an area of the (upper) median distance is searched, or of twice the band's height where there is one
+    band alone; its count is not reliable, for the screen may end there. An area of no height has none, unreliably.
+    """
+    band = cut(bands(ink, sizes, by, layout, gold), "bands")
+    order = Window.partitionBy(*by).orderBy("band")
+    band_next = band.withColumn("below", F.lead("a").over(order))
+    gaps = band_next.groupBy(*by).agg(_upper_median(F.col("below") - F.col("b")).alias("gap"))
+    far = F.col("b") + F.when(F.coalesce("gap", F.lit(0)) > 0, F.col("gap")).otherwise(2 * (F.col("b") - F.col("a") + 1))
+    reach = band_next.join(gaps, by).select(*by, "band", "below", F.coalesce(F.col("below") - 1, F.least(far, F.col("h"))).alias("stop"))
+    rows = _blocks(ink, band, by, layout).join(reach, [*by, "band"])
+    rows = rows.select(
+        *by, "band", "col", "x0", F.greatest(F.lit(0), F.col("cx")).alias("left"), F.least(F.coalesce(F.col("next") - _near(F.col("w") * MARGIN), F.col("w")), F.col("w")).alias("right"),
+        (F.col("b") + 1).alias("start"), "stop", (F.col("below").isNotNull() & (F.col("stop") > F.col("b") + 1)).alias("reliable"),
+    )
+    area = rows.where("stop > start AND right > left").withColumn("y", F.explode(F.sequence("start", F.col("stop") - 1)))
+    lit = area.join(gold.select(*by, "y", F.col("x0").alias("g0"), F.col("x1").alias("g1")), [*by, "y"]).where("g1 >= left AND g0 < right")
+    keys = [*by, "band", "col", "x0"]
+    spans = lit.select(*keys, F.greatest("g0", "left").alias("a"), F.least("g1", F.col("right") - 1).alias("b"))
+    found = islands(spans, keys, "a", "b", F.lit(HOLE)).groupBy(*keys).agg(F.least(F.count("*"), F.lit(STARS)).cast("int").alias("stars"))
+    out = rows.select(*keys, "reliable").join(found, keys, "left")
+    return holding(out.select(*keys, F.coalesce("stars", F.lit(0)).alias("stars"), "reliable"), band)
 
 
 def parts(runs: DataFrame, by: list[str]) -> DataFrame:

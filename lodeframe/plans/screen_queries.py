@@ -118,7 +118,8 @@ SMALL = planes.Layout(
 )
 
 
-@query(f"""WITH {PIXELS}, ink AS (SELECT plane, y, x FROM px WHERE v > 0.12), gold AS (SELECT plane, y, count(*) AS n FROM px WHERE v < -0.16 GROUP BY ALL),
+#: The texts in rows and columns of small planes, step by step.
+TEXT_ROWS = f"""WITH {PIXELS}, ink AS (SELECT plane, y, x FROM px WHERE v > 0.12), gold AS (SELECT plane, y, count(*) AS n FROM px WHERE v < -0.16 GROUP BY ALL),
   size AS (SELECT plane, max(y) + 1 AS h FROM px GROUP BY plane),
   rowz AS (SELECT plane, y FROM ink JOIN size USING (plane) WHERE y >= 2 AND y < h - 1 GROUP BY plane, y HAVING count(*) >= 11),
   g0 AS (SELECT *, sum(CASE WHEN y - p - 1 <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY plane ORDER BY y) AS i FROM (SELECT *, lag(y) OVER (PARTITION BY plane ORDER BY y) AS p FROM rowz)),
@@ -132,17 +133,38 @@ SMALL = planes.Layout(
   x1 AS (SELECT *, sum(CASE WHEN x - p - 1 <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY plane, band ORDER BY x) AS i FROM (SELECT *, lag(x) OVER (PARTITION BY plane, band ORDER BY x) AS p FROM xs)),
   bl AS (SELECT * FROM (SELECT plane, band, a, b, min(x) AS x0, max(x) AS x1 FROM x1 GROUP BY plane, band, a, b, i HAVING max(x) - min(x) + 1 >= 4) QUALIFY count(*) OVER (PARTITION BY plane) >= 2),
   c1 AS (SELECT *, sum(CASE WHEN x0 - p <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY plane ORDER BY x0) AS c FROM (SELECT *, lag(x0) OVER (PARTITION BY plane ORDER BY x0) AS p FROM bl)),
-  co AS (SELECT plane, cx, row_number() OVER (PARTITION BY plane ORDER BY cx) - 1 AS col FROM (SELECT plane, list_sort(list(x0))[count(*) // 2 + 1] AS cx FROM c1 GROUP BY plane, c HAVING count(*) >= 2)),
-  own AS (SELECT plane, band, a, b, x0, x1, min(col) AS col FROM bl JOIN co USING (plane) WHERE abs(x0 - cx) <= 4.5 GROUP BY ALL)
+  co AS (SELECT plane, cx, lead(cx) OVER (PARTITION BY plane ORDER BY cx) AS nx, row_number() OVER (PARTITION BY plane ORDER BY cx) - 1 AS col FROM (SELECT plane, list_sort(list(x0))[count(*) // 2 + 1] AS cx FROM c1 GROUP BY plane, c HAVING count(*) >= 2)),
+  ow AS (SELECT plane, band, a, b, x0, x1, min((col, cx, nx)) AS c FROM bl JOIN co USING (plane) WHERE abs(x0 - cx) <= 4.5 GROUP BY ALL),
+  own AS (SELECT plane, band, a, b, x0, x1, c[1] AS col, c[2] AS cx, c[3] AS nx FROM ow QUALIFY count(*) OVER (PARTITION BY plane) >= 2)"""
+
+
+@query(TEXT_ROWS + """
 SELECT plane, band::INT AS band, col::INT AS col, greatest(0, x0 - 1)::INT AS x, greatest(0, a - 1)::INT AS y, least(64 - greatest(0, x0 - 1), x1 - x0 + 3)::INT AS w,
-  least(h - greatest(0, a - 1), b - a + 3)::INT AS h FROM own JOIN size USING (plane) QUALIFY count(*) OVER (PARTITION BY plane) >= 2""")
+  least(h - greatest(0, a - 1), b - a + 3)::INT AS h FROM own JOIN size USING (plane)""")
 def plane_text_rows(spark, d):
     """Boxes of what stands in rows and columns on small planes; the first two pixel rows and the last are no content."""
+    ink, gold, sizes = masks(spark, d)
+    return planes.text_rows(ink, sizes, ["plane"], SMALL, gold)
+
+
+@query(TEXT_ROWS + """, nb AS (SELECT plane, band, lead(a) OVER (PARTITION BY plane ORDER BY band) AS below, a, b FROM b4),
+  gp AS (SELECT plane, list_sort(list(below - b) FILTER (below IS NOT NULL))[(count(below)) // 2 + 1] AS gap FROM nb GROUP BY plane),
+  ar AS (SELECT o.plane, o.band, o.col, o.x0, cx AS l, least(coalesce(nx - floor(64 * 0.03 + 0.5), 64), 64) AS r, o.b + 1 AS y0,
+      CASE WHEN below IS NOT NULL THEN below - 1 ELSE least(o.b + CASE WHEN gap > 0 THEN gap ELSE 2 * (o.b - o.a + 1) END, h) END AS y1, below IS NOT NULL AS more
+    FROM own o JOIN nb USING (plane, band) JOIN gp USING (plane) JOIN size USING (plane)),
+  gx AS (SELECT DISTINCT ar.plane, band, col, x0, px.x FROM ar JOIN px ON px.plane = ar.plane AND v < -0.16 AND y >= y0 AND y < y1 AND x >= l AND x < r),
+  st AS (SELECT plane, band, col, x0, count(*) FILTER (coalesce(x - p, 9) > 2) AS stars FROM (SELECT *, lag(x) OVER (PARTITION BY plane, band, col, x0 ORDER BY x) AS p FROM gx) GROUP BY ALL)
+SELECT plane, band::INT AS band, col::INT AS col, x0::INT AS x0, least(3, coalesce(stars, 0))::INT AS stars, more AND y1 > y0 AS reliable FROM ar LEFT JOIN st USING (plane, band, col, x0)""")
+def plane_star_counts(spark, d):
+    ink, gold, sizes = masks(spark, d)
+    return planes.star_counts(ink, gold, sizes, ["plane"], SMALL)
+
+
+def masks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = pixel_rows(spark, d)
     ink, gold = (planes.runs_of(rows, ["plane"], "y", "v", on) for on in (lambda v: v > 0.12, lambda v: v < -0.16))
     tall = rows.groupBy("plane").agg((F.max("y") + 1).alias("h"))
-    sizes = tall.select("plane", F.lit(64).alias("w"), "h", F.lit(2).alias("top"), (F.col("h") - 1).alias("bottom"))
-    return planes.text_rows(ink, sizes, ["plane"], SMALL, gold)
+    return ink, gold, tall.select("plane", F.lit(64).alias("w"), "h", F.lit(2).alias("top"), (F.col("h") - 1).alias("bottom"))
 
 
 #: Screens of a customer, one an order: a fixed head, content that scrolls, a pause, and a fixed foot with a lively rim.

@@ -88,8 +88,8 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "a int, b int")).collect() == []
 
 
-def plain_rows(p, dark, top, bottom, gold):
-    """Rows, blocks and columns of one plane by profiles of its pixels."""
+def plain_rows(p, dark, top, bottom, gold, stars=False):
+    """Rows, blocks and columns of one plane by profiles of its pixels, or the stars below each."""
     h, w = p.shape
     near = lambda x: int(np.floor(x + 0.5))
     median = lambda xs: sorted(xs)[len(xs) // 2]
@@ -118,6 +118,15 @@ def plain_rows(p, dark, top, bottom, gold):
         col = next((c for c, x in enumerate(columns) if abs(x0 - x) <= tol * 1.5), None)
         if col is not None:
             x, y = max(0, x0 - 4), max(0, bands[i][0] - 4)
+            if stars:
+                a, b = bands[i]
+                gaps = [q[0] - o[1] for o, q in zip(bands, bands[1:])]
+                last = i + 1 == len(bands)
+                stop = min(h, b + (median(gaps) if gaps and median(gaps) > 0 else 2 * (b - a + 1))) if last else bands[i + 1][0] - 1
+                right = columns[col + 1] - near(w * 0.03) if col + 1 < len(columns) else w
+                seen = gold[b + 1 : stop, columns[col] : right].any(0)
+                out.append((i, col, x0, min(3, len(kernels.find_runs(seen, 1, 1))) if stop > b + 1 else 0, not last and stop > b + 1))
+                continue
             out.append((i, col, x, y, min(w - x, x1 - x0 + 9), min(h - y, bands[i][1] - bands[i][0] + 9)))
     return sorted(out) if len(out) >= 3 else []
 
@@ -139,6 +148,25 @@ def test_text_rows_are_those_of_pixel_profiles(spark):
     assert sum(map(bool, want.values())) > 5 and not all(want.values())
 
 
+def test_stars_below_the_texts(spark):
+    rng = random.Random(12)
+    drawn = {i: draw(rng, 260, 400, 10) for i in range(6)}
+    for p in drawn.values():
+        for _ in range(40):
+            y, x, n = rng.randrange(12, 250), rng.randrange(390), rng.randrange(1, 4)
+            for k in range(n):
+                p[y : y + 3, x + 5 * k : x + 5 * k + rng.choice([2, 3, 4])] = 200
+    rows = table(spark, drawn)
+    ink, gold = (planes.runs_of(rows, ["k"], "y", "v", on) for on in (lambda v: v < 80, lambda v: v == 200))
+    sizes = spark.createDataFrame([(k, 400, 260, 9, 255) for k in drawn], "k int, w int, h int, top int, bottom int")
+    got = {k: [] for k in drawn}
+    for r in planes.star_counts(ink, gold, sizes, ["k"]).collect():
+        got[r["k"]].append((r["band"], r["col"], r["x0"], r["stars"], r["reliable"]))
+    want = {k: plain_rows(p, 80, 9, 255, p == 200, stars=True) for k, p in drawn.items()}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert {s for v in want.values() for *_, s, _ in v} == {0, 1, 2, 3}
+
+
 def test_colour_masks_are_those_of_the_kernel(spark):
     rng = np.random.default_rng(3)
     rgba = rng.integers(0, 256, (6, 300, 4), dtype=np.uint8)
