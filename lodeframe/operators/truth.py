@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import fuzzy
+from lodeframe.operators import consensus, fuzzy
 
 
 def four_way(reads: DataFrame, entries: DataFrame, key: str, strict: str = "strict", full: str = "full", name: str = "name") -> DataFrame:
@@ -95,3 +95,29 @@ def overlap_sample(members: DataFrame, row: str, order: str, k: int) -> DataFram
 def conflicts(df: DataFrame, key: str, value: str, order: list) -> DataFrame:
     """``kept`` and ``clash``: a key's first value in the order, and whether a row gives the key another one."""
     return df.withColumn("kept", F.first(value).over(Window.partitionBy(key).orderBy(*order))).withColumn("clash", F.col("kept") != F.col(value))
+
+
+def draft_rows(listed: DataFrame, reads: DataFrame, overrides: DataFrame, by: list[str], least: float = 0.4) -> DataFrame:
+    """(by, index, gold, name, status, reads, votes, exact_votes, share, tied) for each row of a stitched list.
+
+    ``listed``: by, grid, side, ids and gold_count, total, as ``stitch.merged`` gives; ``reads``: id, name (null where a
+    read gave none) and exact; ``overrides``: id, name, what a person has decided, one a card. A row of which more than half the
+    cards are gold is excluded. Else the first override of its cards in their order decides; else the name with the most
+    votes, if it stands alone, was read exactly at least once and has that share of the reads; every other row is to be
+    checked, with the name that leads. Rows are numbered from the top. Cards without reads count for nothing.
+    """
+    place = Window.partitionBy(*by).orderBy("grid", "side")
+    key = F.struct(*by, "grid", "side")
+    rows = listed.withColumn("index", (F.row_number().over(place) - 1).cast("int")).withColumn("gold", F.col("gold_count") * 2 > F.col("total"))
+    rows = rows.withColumn("row", F.to_json(key)).select(*by, "index", "gold", "row", "ids")
+    cards = rows.select("row", "gold", F.posexplode("ids").alias("at", "id"))
+    told = cards.join(overrides.select("id", F.col("name").alias("own")), "id").groupBy("row").agg(F.min_by("own", "at").alias("own"))
+    tally = consensus.vote_tally(cards.where("NOT gold").select("row", "id").join(reads, "id"), "row", "name", "exact")
+    met = rows.join(told, "row", "left").join(tally, "row", "left")
+    sure = F.col("top").isNotNull() & ~F.col("tied") & (F.col("exact_votes") > 0) & (F.col("share") >= least)
+    status = F.when(F.col("gold"), "excluded").when(F.col("own").isNotNull(), "override").when(F.coalesce(sure, F.lit(False)), "voted").otherwise("check")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return met.select(
+        *by, "index", "gold", F.when(~F.col("gold"), F.coalesce("own", "top")).alias("name"), status.alias("status"), none("reads"), none("votes"),
+        none("exact_votes"), F.when(~F.col("gold"), F.col("share")).alias("share"), F.coalesce("tied", F.lit(False)).alias("tied"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import effects, frames, history, picking, planes, stitch
+from lodeframe.operators import effects, frames, history, picking, planes, stitch, truth
 from lodeframe.plans.base import query
 from lodeframe.session import table
 from lodeframe.storage import holding, shared_dir
@@ -83,9 +83,13 @@ def grid_stitch_offsets(spark, d):
     return stitch.seams(found, ["who"]).select("who", "n", "k", "matched", "gap")
 
 
-@query(STITCHED + """, placed AS (SELECT who, n, pos, band + k AS grid, side, key, item, gold FROM en JOIN st USING (who, n)),
+#: The rows of the list, those of one name as one.
+LISTED = STITCHED + """, placed AS (SELECT who, n, pos, band + k AS grid, side, key, item, gold FROM en JOIN st USING (who, n)),
   rw AS (SELECT who, grid, side, arg_min(key, (n, pos)) FILTER (key IS NOT NULL) AS key, list(item ORDER BY n, pos) AS ids, sum(gold::INT) AS golds, count(*) AS total FROM placed GROUP BY ALL),
-  mg AS (SELECT who, key, CASE WHEN key IS NULL OR key = ' GOLD' THEN (grid, side) END AS apart, min((grid, side)) AS p, flatten(list(ids ORDER BY grid, side)) AS ids, sum(golds) AS golds, sum(total) AS total FROM rw GROUP BY ALL)
+  mg AS (SELECT who, key, CASE WHEN key IS NULL OR key = ' GOLD' THEN (grid, side) END AS apart, min((grid, side)) AS p, flatten(list(ids ORDER BY grid, side)) AS ids, sum(golds) AS golds, sum(total) AS total FROM rw GROUP BY ALL)"""
+
+
+@query(LISTED + """
 SELECT who, p[1] AS grid, p[2] AS side, key, array_to_string(ids, ' ') AS ids, golds::BIGINT AS gold_count, total::BIGINT AS total FROM mg""")
 def grid_stitch_rows(spark, d):
     found = stitch.entries(cards(spark, d), ["who"])
@@ -93,6 +97,30 @@ def grid_stitch_rows(spark, d):
     return listed.withColumn("ids", F.array_join("ids", " "))
 
 
+#: A read of each card on each screen; what cannot be read gives no name, and every third item is read exactly.
+@query(LISTED + """, rn AS (SELECT *, (row_number() OVER (PARTITION BY who ORDER BY p) - 1)::INT AS index, golds * 2 > total AS gold FROM mg),
+  cd AS (SELECT who, index, gold, unnest(ids) AS item, generate_subscripts(ids, 1) AS pos FROM rn),
+  ov AS (SELECT who, index, arg_min('set ' || item, pos) AS own FROM cd WHERE item % 29 = 0 GROUP BY ALL),
+  rd AS (SELECT item, CASE WHEN name <> '' THEN name END AS name, item % 3 > 0 AS exact FROM cards),
+  vt AS (SELECT who, index, rd.name, count(*) AS votes, count(*) FILTER (exact) AS ex FROM cd JOIN rd USING (item) WHERE NOT gold GROUP BY ALL),
+  tp AS (SELECT *, sum(votes) OVER (PARTITION BY who, index) AS reads, lead(name) OVER w AS n2, lead(votes) OVER w AS v2, lead(ex) OVER w AS e2, row_number() OVER w AS k FROM vt
+    WINDOW w AS (PARTITION BY who, index ORDER BY name IS NULL, votes DESC, ex DESC, name)),
+  tl AS (SELECT who, index, name AS top, CASE WHEN name IS NULL THEN 0 ELSE votes END AS votes, CASE WHEN name IS NULL THEN 0 ELSE ex END AS ex, reads,
+    CASE WHEN name IS NULL THEN 0 ELSE votes / reads END AS share, name IS NOT NULL AND n2 IS NOT NULL AND votes = v2 AND ex = e2 AS tied FROM tp WHERE k = 1)
+SELECT who, index, gold, CASE WHEN NOT gold THEN coalesce(own, top) END AS name, CASE WHEN gold THEN 'excluded' WHEN own IS NOT NULL THEN 'override'
+  WHEN coalesce(top IS NOT NULL AND NOT tied AND ex > 0 AND share >= 0.4, FALSE) THEN 'voted' ELSE 'check' END AS status, coalesce(reads, 0)::BIGINT AS reads,
+  coalesce(votes, 0)::BIGINT AS votes, coalesce(ex, 0)::BIGINT AS exact_votes, CASE WHEN NOT gold THEN share::DOUBLE END AS share, coalesce(tied, FALSE) AS tied
+FROM rn LEFT JOIN ov USING (who, index) LEFT JOIN tl USING (who, index)""")
+def truth_draft_rows(spark, d):
+    """The truth of a whole recording: the list of its screens with what the reads of each row agree on."""
+    shown = cards(spark, d)
+    found = stitch.entries(shown, ["who"])
+    listed = stitch.merged(stitch.rows(found, stitch.seams(found, ["who"]), ["who"]), ["who"])
+    reads = shown.select("id", F.when(F.col("name") != "", F.col("name")).alias("name"), (F.col("id") % 3 > 0).alias("exact"))
+    decided = shown.where("id % 29 = 0").select("id", F.concat(F.lit("set "), "id").alias("name")).distinct()
+    return truth.draft_rows(listed, reads, decided, ["who"])
+
+
 #: Planes of 64 by 40 pixels, a vector a row, and the runs of their pixels over a level.
 PIXELS = """px AS (SELECT plane, y, i - 1 AS x, v[i]::DOUBLE AS v FROM (SELECT vec_id // 40 AS plane, (vec_id % 40)::INT AS y, embedding AS v, unnest(range(1, 65))::INT AS i FROM embeddings))"""
 
