@@ -37,6 +37,15 @@ def fuzzy_ambiguous_ties(spark, d):
     return found.withColumn("k", k).where("k = 1").groupBy(F.col("r_id").alias("id")).agg(F.array_sort(F.collect_list("e_name")).alias("candidates")).where(F.size("candidates") > 1)
 
 
+@query(f"""WITH {READS}, m AS (SELECT id, name, levenshtein(norm, name) AS dist, lim FROM reads, limits WHERE levenshtein(norm, name) <= lim + 2),
+  b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist > lim, dist, length(name) DESC, name) AS k FROM m)
+SELECT reads.id, CASE WHEN name IS NULL THEN 'other' WHEN dist <= lim THEN 'fuzzy' ELSE 'typo' END AS log, name AS best, dist::INT AS distance
+FROM reads LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (id) WHERE dist IS NULL OR dist > 0""")
+def fuzzy_near_misses(spark, d):
+    """What a person should see of the matching: inexact matches, typing errors just out of reach, and the rest."""
+    return fuzzy.near_misses(reads(spark, d), names(spark, d), "id")
+
+
 @query(f"WITH {_NEAR} SELECT id FROM reads WHERE id NOT IN (SELECT id FROM near)")
 def fuzzy_anti_unmatched(spark, d):
     r = reads(spark, d)
