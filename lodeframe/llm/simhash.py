@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from functools import reduce
 from itertools import repeat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -314,6 +316,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     import pyarrow as pa
 
     pairs = cut(pairs, "pairs")
+    _let_go(nodes.sparkSession)
     runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     ids = cut(wanted.join(nodes.select("nid", "doc_id", "digest"), "nid"), "wanted")
@@ -385,6 +388,15 @@ def _too_far(a: str, b: str, similarity: float) -> Column:
     return _apart(a, b) > F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Lets go of the shuffles behind tables that are written: nothing reads them again, but they would stay on disk until
+    the driver happens to collect its garbage. The first round frees their plans, the second the shuffles."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, width: int, shingle: int, similarity: float) -> DataFrame:
     """(node, root) for each node that is not the smallest of its component, links being pairs of that similarity.
 
@@ -412,6 +424,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     star = shared.join(lead.select("key", (-F.col("l.low")).alias("b")), "key").where("nid <> b").select(F.col("nid").alias("a"), "b")
     related = radius_of(RELATED, 64 * words)
     met_star = _verified(_close(star, nodes, names, related, RELATED), nodes, texts, shingle, similarity)
+    _let_go(nodes.sparkSession)
     # Buckets of one group may have different middles: each node is measured against its middle's middle, too.
     up = cut(_against(met_star), "up")
     hop = up.select(F.col("nid").alias("a"), F.col("mid").alias("m")).join(up.select(F.col("nid").alias("m"), F.col("mid").alias("b")), "m")
@@ -420,6 +433,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     measured = met_star.union(met_hop)
     links = measured.where("linked").select("a", "b")
     first = connected_components(links)
+    _let_go(nodes.sparkSession)
     against = _against(measured).drop("pairs")
     noted = cut(
         nodes.select("nid", "size", *names).join(first.withColumnRenamed("node", "nid"), "nid", "left").join(against, "nid", "left")
@@ -442,6 +456,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
         return met.select(F.greatest(a, "y.nid").alias("a"), F.least(a, "y.nid").alias("b"))
 
     dense = cut(table.groupBy("key", "comp").count().where(F.col("count") > DENSE).select("key", "comp"), "dense")
+    _let_go(nodes.sparkSession)
     if dense.isEmpty():
         more = pairs(probe, table)
     else:
@@ -455,6 +470,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
             .union(pairs(there.join(dense, on, "left_semi").join(several, "key", "left_semi"), crowd))
         )
     late = _verified(_close(more, nodes, names, radius, similarity), nodes, texts, shingle, similarity)
+    _let_go(nodes.sparkSession)
     out = connected_components(links.union(late.where("linked").select("a", "b")))
     release(shared, met_star, up, met_hop, first, noted, dense, late)
     return out
