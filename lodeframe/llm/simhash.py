@@ -197,12 +197,12 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
 
 
 #: Near copies: the words a shingle, the least Jaccard similarity, and the least recall of the segments at it.
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
 #: A segment has at least MIN_WIDTH bits, and at least ROOM more than the logarithm of the number of texts.
 MIN_WIDTH, ROOM = 24, 6
 #: The search radius lies this many standard deviations above the bits at which pairs of the least similarity differ;
 #: the second figure is that of the first 64 bits, which are compared while keys are joined.
-SPREAD, SPREAD_FIRST = 3.5, 3.5
+SPREAD, SPREAD_FIRST = 2.8, 3.5
 #: A text is measured against its bucket's middle one if their similarity may be this, so that it can be told from others.
 RELATED = 0.5
 #: Up to so many ids are broadcast to fetch their texts; more are joined by shuffling.
@@ -403,9 +403,9 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int, count: int, wid
     ``nodes`` holds nid (unique), doc_id and digest of a text in ``texts``, size and the words of *different*
     fingerprints. Multi-index hashing, as in ``link``, over ``count`` segments of ``width`` bits; a pair found is held
     against the complete distance and then, exactly, against the sets of shingles. Pairs of the least similarity differ
-    in 15 % of the bits, so a segment brings them together with a chance of a tenth; of all segments, 0.99 do. Sets of few
-    shingles differ in more bits than that formula says, for an even number of them is often split evenly: 0.97 of pairs of
-    12 to 15 shingles meet, but only some 0.6 of those of 5, texts of nine words or fewer. First each node is held against one node of each bucket, that which meets the most others in its
+    in 15 % of the bits, so a segment brings them together with a chance of a tenth; of all segments, 0.97 do. Sets of few
+    shingles differ in more bits than that formula says, for an even number of them is often split evenly: 0.93 of pairs of
+    12 to 15 shingles meet, but only some 0.5 of those of 5, texts of nine words or fewer. First each node is held against one node of each bucket, that which meets the most others in its
     buckets and so lies in the middle of its group, which joins large groups; then all pairs that meet and lie in
     different components are verified. While keys are joined, the first 64 bits and the sizes are compared, and pairs that
     were measured against the same text are left out if that proves them apart (``_apart``): the many copies of one text
