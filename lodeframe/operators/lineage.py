@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.functions.stars import ok, triple
+from lodeframe.session import spread
 
 
 def members(parents: DataFrame, skills: DataFrame, pid: str, links: dict[str, str], skill: str, star: str) -> DataFrame:
@@ -96,17 +97,107 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ > 0, F.floor(100 * both / all_ + 0.5)).otherwise(0).cast("int")
 
 
+#: So many records of a block are held against as many at a time, and so many of these in one array.
+CHUNK, ROWS = 8192, 128
+
+
+def _bitmaps(lists, universe):
+    """(words, records) of 64-bit words: which of ``universe`` each list has."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    at = pc.index_in(lists.flatten(), value_set=universe).to_numpy(zero_copy_only=False)
+    out = np.zeros((max(1, -(-len(universe) // 64)), len(sizes)), np.uint64)
+    np.bitwise_or.at(out, (at >> 6, np.repeat(np.arange(len(sizes)), sizes)), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
 def candidates(new: DataFrame, old: DataFrame, key: list[str], skills: str, stars: str, k: int = 5) -> DataFrame:
     """For each new record up to ``k`` old ones with the same ``key``: exact before near, then the more alike, the newer.
 
-    ``exact``: no star known to both differs. (new_id, old_id, score, exact, place)
+    ``exact``: no star known to both differs. (new_id, old_id, score, exact, place). Records of one key are dealt into
+    chunks of about CHUNK; each pair of chunks is a group of its own, compared as bitmaps, which keeps k rows of each
+    new record, so memory is bounded, the work spreads, and pairs are never rows. Ids are whole numbers.
     """
-    n = new.select(*key, F.col("id").alias("new_id"), F.col(skills).alias("ns"), F.col(stars).alias("nm"))
-    o = old.select(*key, F.col("id").alias("old_id"), F.col(skills).alias("os"), F.col(stars).alias("om"))
-    clash = F.exists(F.map_keys("nm"), lambda s: F.coalesce((F.try_element_at("nm", s) > 0) & (F.try_element_at("om", s) > 0) & (F.try_element_at("nm", s) != F.try_element_at("om", s)), F.lit(False)))
-    pairs = n.join(o, key).where("new_id <> old_id").select("new_id", "old_id", jaccard(F.col("ns"), F.col("os")).alias("score"), (~clash).alias("exact"))
+    import pyarrow as pa
+
+    largest = old.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    most = new.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    parts, others = (-(-n // CHUNK) or 1 for n in (most, largest))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cols = ["id", F.col(skills).alias("skills"), F.map_keys(stars).alias("known"), F.map_values(stars).alias("stars")]
+    left = new.select(*key, *cols).withColumn("__i", dealt(parts)).withColumn("__j", every(others))
+    right = old.select(*key, *cols).withColumn("__j", dealt(others)).withColumn("__i", every(parts))
+    names = ["new_id", "old_id", "score", "exact"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        a, b = (t.rename_columns([c[2:] for c in t.column_names]) for t in (a, b))
+        b = b.sort_by("id")
+        if not len(a) or not len(b):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.bool_())], names=names)
+        flat = lambda t, c: t[c].combine_chunks() if not isinstance(t[c].combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(t[c].chunks)
+        both = lambda c: pc.unique(pa.concat_arrays([flat(a, c).flatten(), flat(b, c).flatten()]))
+        held, known = both("skills"), both("known")
+        # A star is told by its skill and its number, a skill with a known one by itself.
+        count = max(1, len(known))
+
+        def marks(t):
+            ks, vs = flat(t, "known"), flat(t, "stars")
+            code = pc.index_in(ks.flatten(), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = pc.fill_null(vs.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(t)), pc.fill_null(pc.list_value_length(ks), 0).to_numpy(zero_copy_only=False))
+            return code[value > 0], value[value > 0], of[value > 0]
+
+        (ca, va, oa), (cb, vb, ob) = marks(a), marks(b)
+
+        def at(code, of, n):
+            out = np.zeros((-(-count // 64), n), np.uint64)
+            np.bitwise_or.at(out, (code >> 6, of), np.uint64(1) << (code & 63).astype(np.uint64))
+            return out
+
+        values = np.intersect1d(va, vb)
+        ka, kb = at(ca, oa, len(a)), at(cb, ob, len(b))
+        alike = [(at(ca[va == v], oa[va == v], len(a)), at(cb[vb == v], ob[vb == v], len(b))) for v in values]
+        sa, sb = _bitmaps(flat(a, "skills"), held), _bitmaps(flat(b, "skills"), held)
+        na, nb = (np.bitwise_count(x).sum(0).astype(np.int32) for x in (sa, sb))
+        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+        out = []
+        for i in range(0, len(a), ROWS):
+            r = slice(i, i + ROWS)
+            common = np.zeros((len(ia[r]), len(ib)), np.int32)
+            for x, y in zip(sa, sb):
+                common += np.bitwise_count(x[r, None] & y)
+            all_ = na[r, None] + nb - common
+            score = (200 * common + all_) // np.maximum(2 * all_, 1)
+            clash = np.zeros(common.shape, bool)
+            for w in range(len(ka)):
+                same = np.zeros(common.shape, np.uint64)
+                for x, y in alike:
+                    same |= x[w, r, None] & y[w]
+                clash |= (ka[w, r, None] & kb[w] & ~same) != 0
+            rank = (np.where(clash, 0, 128) + score).astype(np.int64) * len(ib) + np.arange(len(ib))
+            rank[ia[r, None] == ib] = -1
+            if len(ib) > k:
+                top = np.argpartition(rank, len(ib) - k, axis=1)[:, -k:]
+            else:
+                top = np.broadcast_to(np.arange(len(ib)), rank.shape)
+            row = np.repeat(np.arange(len(rank)), top.shape[1])
+            col = top.ravel()
+            row, col = row[rank[row, col] >= 0], col[rank[row, col] >= 0]
+            out.append((ia[r][row], ib[col], score[row, col].astype(np.int32), ~clash[row, col]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+    on = [*key, "__i", "__j"]
+    # The sides may be one table, whose columns would have two meanings without other names.
+    tasks = lambda df, s: spread(df.toDF(*(f"{s}{c}" for c in df.columns)), *(f"{s}{c}" for c in on)).groupBy(*(f"{s}{c}" for c in on))
+    found = tasks(left, "n_").cogroup(tasks(right, "o_")).applyInArrow(run, "new_id long, old_id long, score int, exact boolean")
     order = Window.partitionBy("new_id").orderBy(F.desc("exact"), F.desc("score"), F.desc("old_id"))
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def plan_match(plans: DataFrame) -> Column:
