@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.operators.frames import runs
+from lodeframe.session import spread
 
 
 def _half_up(c: Column) -> Column:
@@ -113,6 +114,7 @@ def rectangles_meet(left: DataFrame, right: DataFrame, by: str, width: float, he
     """Pairs (lk, rk) of rectangles (k, x0, y0, x1, y1) that overlap; touching ones do not.
 
     Rectangles are filed under the cells that they cover; a pair is reported in the cell of the corner of its common part.
+    The pairs can be many times the rectangles, so cells are spread over as many tasks as shuffles have.
     """
     across = lambda c, size: F.floor(c / size)
 
@@ -121,7 +123,8 @@ def rectangles_meet(left: DataFrame, right: DataFrame, by: str, width: float, he
         out = df.withColumn("cx", F.explode(cells[0])).withColumn("cy", F.explode(cells[1]))
         return out.select(by, "cx", "cy", *(F.col(c).alias(f"{s}{c}") for c in ("k", "x0", "y0", "x1", "y1")))
 
-    m = filed(left, "l").join(filed(right, "r"), [by, "cx", "cy"])
+    cell = [by, "cx", "cy"]
+    m = spread(filed(left, "l"), *cell).join(spread(filed(right, "r"), *cell), cell)
     here = (F.col("cx") == across(F.greatest("lx0", "rx0"), width)) & (F.col("cy") == across(F.greatest("ly0", "ry0"), height))
     meet = (F.col("lx0") < F.col("rx1")) & (F.col("rx0") < F.col("lx1")) & (F.col("ly0") < F.col("ry1")) & (F.col("ry0") < F.col("ly1"))
     return m.where(here & meet).select(by, "lk", "rk")

@@ -39,3 +39,9 @@ def test_shared_defaults_are_those_of_each_owner(spark):
     want = planning.evolution_defaults(owners.join(options, "m"), F.col("styled"), F.col("known"))
     got = planning.shared_defaults(owners, options, "m", F.col("styled"), F.col("known"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cells_of_rectangles_are_spread(spark):
+    box = spark.range(2000).select(F.lit(1).alias("who"), F.col("id").alias("k"), *((F.col("id") % 100 * 10.0 + d).alias(c) for c, d in (("x0", 0), ("x1", 15), ("y0", 0), ("y1", 15))))
+    met = selection.rectangles_meet(box, box, "who", 20.0, 20.0)
+    assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
