@@ -113,9 +113,9 @@ def overlapping(left: DataFrame, right: DataFrame, by: str, width: float) -> Dat
 
 
 def next_start(left: DataFrame, right: DataFrame, by: str, limit: float) -> DataFrame:
-    """For each left interval (k, b) the first right one (k, a) that starts within ``limit`` after its end."""
+    """For each left interval (k, b) the first right one (k, a) that starts within ``limit`` after its end, of equals the smaller k."""
     a = left.select(by, F.col("b").alias("x"), F.col("k").alias("lk"), F.lit(None).cast(right.schema["k"].dataType).alias("rk"))
-    b = right.select(by, F.col("a").alias("x"), F.lit(None).cast(left.schema["k"].dataType).alias("lk"), F.col("k").alias("rk"))
+    b = right.groupBy(by, F.col("a").alias("x")).agg(F.min("k").alias("rk")).select(by, "x", F.lit(None).cast(left.schema["k"].dataType).alias("lk"), "rk")
     spot = F.when(F.col("rk").isNotNull(), F.struct("x", "rk"))
     w = Window.partitionBy(by).orderBy("x").rangeBetween(0, Window.unboundedFollowing)
     met = a.unionByName(b).withColumn("n", F.first(spot, True).over(w)).where("lk IS NOT NULL")

@@ -45,3 +45,9 @@ def test_cells_of_rectangles_are_spread(spark):
     box = spark.range(2000).select(F.lit(1).alias("who"), F.col("id").alias("k"), *((F.col("id") % 100 * 10.0 + d).alias(c) for c, d in (("x0", 0), ("x1", 15), ("y0", 0), ("y1", 15))))
     met = selection.rectangles_meet(box, box, "who", 20.0, 20.0)
     assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_of_equal_starts_the_smaller_key(spark):
+    left = spark.createDataFrame([(1, 10, 5)], "u int, k int, b int")
+    right = spark.createDataFrame([(1, k, 8) for k in (9, 4, 7, 2, 6)] + [(1, 1, 9)], "u int, k int, a int")
+    assert [tuple(r) for r in frames.next_start(left, right, "u", 10).collect()] == [(1, 10, 2)]
