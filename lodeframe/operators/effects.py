@@ -20,7 +20,7 @@ def witnesses(samples: DataFrame, picks: DataFrame, by: list[str], reach: int =
     """
     s = samples.select(*by, F.col("n").alias("other"), F.col("pos").alias("at")).where("at IS NOT NULL")
     own = picks.select(*by, F.col("n").alias("pick")).join(samples.select(*by, F.col("n").alias("pick"), "pos"), [*by, "pick"]).where("pos IS NOT NULL")
-    near = own.withColumn("other", F.explode(F.sequence(F.col("pick") - reach, F.col("pick") + reach))).where("other <> pick").join(s, [*by, "other"])
+    near = own.withColumn("other", F.explode(F.sequence(F.col("pick") - reach, F.col("pick") + reach))).where("other <> pick").join(s.hint("merge"), [*by, "other"])
     near = near.where(F.abs(F.col("at") - F.col("pos")) >= moved)
     later = F.when(F.col("other") > F.col("pick"), 0).otherwise(1)
     one = F.struct(later.alias("side"), F.abs(F.col("other") - F.col("pick")).alias("far"), "other", "at")
@@ -40,9 +40,10 @@ def voted_out(blocks: DataFrame, seen: DataFrame, by: list[str], different: floa
     from the pick by more. The first witness that shows it is the source. Blocks without a level count for nothing.
     """
     b = blocks.where("level IS NOT NULL")
-    own = seen.select(*by, "pick").distinct().join(b.withColumnRenamed("n", "pick"), [*by, "pick"])
-    theirs = seen.join(b.select(*by, F.col("n").alias("other"), "row", "col", F.col("level").alias("v")), [*by, "other"])
-    both = own.join(theirs, [*by, "pick", "row", "col"])
+    # Blocks are many to a sample, which the planner does not know; unless told, it broadcasts them.
+    own = seen.select(*by, "pick").distinct().join(b.withColumnRenamed("n", "pick").hint("merge"), [*by, "pick"])
+    theirs = seen.join(b.select(*by, F.col("n").alias("other"), "row", "col", F.col("level").alias("v")).hint("merge"), [*by, "other"])
+    both = own.join(theirs.hint("merge"), [*by, "pick", "row", "col"])
     vote = both.groupBy(*by, "pick", "row", "col").agg(
         F.count("*").alias("k"), (F.max("v") - F.min("v")).alias("spread"), F.min(F.abs(F.col("v") - F.col("level"))).alias("off"), F.min_by("other", "rank").alias("source"),
     )

@@ -51,3 +51,9 @@ def test_of_equal_starts_the_smaller_key(spark):
     left = spark.createDataFrame([(1, 10, 5)], "u int, k int, b int")
     right = spark.createDataFrame([(1, k, 8) for k in (9, 4, 7, 2, 6)] + [(1, 1, 9)], "u int, k int, a int")
     assert [tuple(r) for r in frames.next_start(left, right, "u", 10).collect()] == [(1, 10, 2)]
+
+
+def test_blocks_are_not_broadcast(spark):
+    seen = spark.createDataFrame([(w, p, p + 3 * r, r) for w in range(4) for p in range(9) for r in (1, 2, 3)], "who long, pick long, other long, rank int")
+    blocks = spark.range(40).select((F.col("id") % 4).alias("who"), F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(50))).alias("row"), F.lit(0).alias("col"), F.lit(1).alias("level"))
+    assert "Broadcast" not in plan(effects.voted_out(blocks, seen, ["who"]))
