@@ -57,3 +57,11 @@ def test_blocks_are_not_broadcast(spark):
     seen = spark.createDataFrame([(w, p, p + 3 * r, r) for w in range(4) for p in range(9) for r in (1, 2, 3)], "who long, pick long, other long, rank int")
     blocks = spark.range(40).select((F.col("id") % 4).alias("who"), F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(50))).alias("row"), F.lit(0).alias("col"), F.lit(1).alias("level"))
     assert "Broadcast" not in plan(effects.voted_out(blocks, seen, ["who"]))
+
+
+def test_screens_are_compared_without_joins_of_pixels(spark):
+    rows = spark.range(30).select((F.col("id") % 3).alias("who"), F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("y"))
+    rows = rows.withColumn("v", F.array(*(F.col("y") * F.col("frame") % 50 for _ in range(20))))
+    found = planes.scrolled_between(rows, ["who"], quiet=8, step=2)
+    assert "Join" not in plan(found)
+    assert plan(planes.without_fixed_foot(rows, spark.createDataFrame([(0, 0, 40)], "who long, header int, footer int"), ["who"], step=3, least=10)).count("Join") == 1
