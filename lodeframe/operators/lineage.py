@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodeframe.functions.stars import ok, triple
 from lodeframe.session import spread
+from lodeframe.storage import cut, holding
 
 
 def members(parents: DataFrame, skills: DataFrame, pid: str, links: dict[str, str], skill: str, star: str) -> DataFrame:
@@ -51,27 +52,41 @@ def _ones(a: str, b: str) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def best_pairs(maps: DataFrame, pid: str, score: str, k: int = 10) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, pid: str, score: str, fits: Column | None = None) -> DataFrame:
+    """(a, b, n, score) of the pairs a < b that may fit; ``fits`` reads aones, ascore, bones and bscore."""
+    side = lambda df, s: df.select(F.col(pid).alias(s), F.col("bits").alias(f"{s}bits"), F.col(score).alias(f"{s}score"), F.col("ones").alias(f"{s}ones"))
+    on = F.col("a") < F.col("b")
+    pairs = spread(side(left, "a"), "a").join(side(right, "b"), on if fits is None else on & fits)
+    return pairs.select("a", "b", _ones("abits", "bbits").alias("n"), (F.col("ascore") + F.col("bscore")).alias("score"))
+
+
+def best_pairs(maps: DataFrame, pid: str, score: str, k: int = 10, seed: int = 1500) -> DataFrame:
     """The ``k`` pairs a < b that cover most, then have the largest sum of ``score``, then come first.
 
     Of records with one bitmap only the k + 1 of the largest score, then the first, can be in an answer, so pairs are made
-    of those. Records that no pair could reach the k-th best with are dropped too: what all records reach with the
-    widest one is a lower bound for that, and the widest bitmap an upper bound for any partner's share. Only k rows are
-    kept per task.
+    of those. The k-th best pair among the ``seed`` records of the largest scores and as many of the widest bitmaps is a
+    lower bound for the k-th best of all. A record goes if it cannot reach that bound even with the widest bitmap and the
+    largest score of all beside it, none covering more than all records together; so does a pair of what is left. Where
+    the bound covers everything, only sums of scores decide, and few records stay. Only k rows are kept per task.
     """
     best = Window.partitionBy("bits").orderBy(F.desc(score), pid)
-    maps = maps.withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= k + 1).drop("__k")
-    m = maps.withColumn("ones", F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x)))
-    top = m.orderBy(F.desc("ones"), pid).limit(1).select(F.col(pid).alias("t"), F.col("bits").alias("tbits"), F.col("ones").alias("tones"))
-    reach = m.join(F.broadcast(top), F.col(pid) != F.col("t")).select(_ones("bits", "tbits").alias("n")).orderBy(F.desc("n")).limit(k)
-    bound = reach.agg(F.min("n").alias("low"), F.count("*").alias("cnt"))
-    floor = F.when(F.col("cnt") >= k, F.col("low")).otherwise(F.lit(0))
-    fit = m.join(F.broadcast(bound)).join(F.broadcast(top.select("tones"))).where(F.col("ones") + F.col("tones") >= floor)
-    one = fit.select(F.col(pid).alias("a"), F.col("bits").alias("abits"), F.col(score).alias("ascore"), "ones", floor.alias("floor"))
-    two = fit.select(F.col(pid).alias("b"), F.col("bits").alias("bbits"), F.col(score).alias("bscore"), F.col("ones").alias("bones"))
-    pairs = one.join(two, (F.col("a") < F.col("b")) & (F.col("ones") + F.col("bones") >= F.col("floor")))
-    scored = pairs.select("a", "b", _ones("abits", "bbits").alias("n"), (F.col("ascore") + F.col("bscore")).alias("score"))
-    return scored.orderBy(F.desc("n"), F.desc("score"), "a", "b").limit(k)
+    maps = maps.where(F.col(score).isNotNull()).withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= k + 1).drop("__k")
+    m = cut(maps.select(pid, "bits", score, F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones")), "maps")
+    words = len((m.select("bits").first() or [[]])[0])
+    most = m.agg(F.max("ones").alias("ones"), F.max(score).alias("score"), F.array(*(F.bit_or(F.get("bits", F.lit(i))) for i in range(words))).alias("all")).first()
+    if most["ones"] is None:
+        return holding(_pairs(m, m, pid, score).limit(k), m)
+    every = sum(bin(w & (2**64 - 1)).count("1") for w in most["all"])
+    first = m.orderBy(F.desc(score), pid).limit(seed).union(m.orderBy(F.desc("ones"), F.desc(score), pid).limit(seed)).distinct()
+    reached = _pairs(first, first, pid, score).orderBy(F.desc("n"), F.desc("score")).limit(k).select("n", "score").collect()
+    if len(reached) < k:
+        fit, fits = m, None
+    else:
+        n, total = min((r["n"], r["score"]) for r in reached)
+        can = lambda ones, sums: (F.least(F.lit(every), ones) > n) | ((F.least(F.lit(every), ones) == n) & (sums >= F.lit(total)))
+        fit = m.where(can(F.col("ones") + most["ones"], F.col(score) + F.lit(most["score"])))
+        fits = can(F.col("aones") + F.col("bones"), F.col("ascore") + F.col("bscore"))
+    return holding(_pairs(fit, fit, pid, score, fits).orderBy(F.desc("n"), F.desc("score"), "a", "b").limit(k), m)
 
 
 def recommend(family: DataFrame, first: DataFrame, pid: str, skill: str, roles: list[str], threshold: int = 1, gene: DataFrame | None = None) -> DataFrame:

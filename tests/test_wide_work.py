@@ -65,3 +65,14 @@ def test_screens_are_compared_without_joins_of_pixels(spark):
     found = planes.scrolled_between(rows, ["who"], quiet=8, step=2)
     assert "Join" not in plan(found)
     assert plan(planes.without_fixed_foot(rows, spark.createDataFrame([(0, 0, 40)], "who long, header int, footer int"), ["who"], step=3, least=10)).count("Join") == 1
+
+
+@pytest.mark.parametrize("skills", [6, 70])
+@pytest.mark.parametrize("seed", [3, 50])
+def test_best_pairs_by_a_bound(spark, skills, seed):
+    rng = random.Random(skills + seed)
+    rows = [(i, sum(1 << s for s in range(skills) if rng.random() < 0.4), rng.randrange(30)) for i in range(150)]
+    word = lambda b, w: (x := b >> 64 * w & (2**64 - 1)) - (2**64 if x >= 2**63 else 0)
+    df = spark.createDataFrame([(i, [word(b, 0), word(b, 1)], s) for i, b, s in rows], "pid long, bits array<long>, score long")
+    every = sorted((-(x[1] | y[1]).bit_count(), -(x[2] + y[2]), x[0], y[0]) for x, y in combinations(rows, 2))[:10]
+    assert [(-r["n"], -r["score"], r["a"], r["b"]) for r in lineage.best_pairs(df, "pid", "score", 10, seed).collect()] == every
