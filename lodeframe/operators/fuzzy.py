@@ -167,12 +167,13 @@ def near_misses(reads: DataFrame, entries: DataFrame, key: str, read: str = "nor
 
     ``log`` is fuzzy where an entry lies within its limit; else typo where one lies at most ``beyond`` further off; else
     other, without a best one. The best is the nearest, then the longest, then the first by name. Null and empty reads
-    are other.
+    are other. Equal reads have the same best, so it is found once for each different one.
     """
-    found = near(reads.select(key, read), entries.select(name, entry), read, entry, lambda n: limit(n) + beyond)
+    words = reads.select(F.col(read).alias("word")).where("word IS NOT NULL").distinct()
+    found = near(words, entries.select(name, entry), "word", entry, lambda n: limit(n) + beyond)
     within = F.col("distance") <= limit(F.length(f"e_{entry}"))
     order = F.struct((~within).cast("int").alias("out"), "distance", (-F.length(f"e_{name}")).alias("short"), F.col(f"e_{name}").alias("best"))
-    best = found.groupBy(F.col(f"r_{key}").alias(key)).agg(F.min(order).alias("b"))
-    out = reads.select(key).join(best, key, "left").where("b IS NULL OR b.distance > 0")
+    best = found.groupBy("r_word").agg(F.min(order).alias("b"))
+    out = reads.select(key, read).join(best, F.col(read) == F.col("r_word"), "left").where("b IS NULL OR b.distance > 0")
     log = F.when(F.col("b").isNull(), "other").when(F.col("b.out") == 0, "fuzzy").otherwise("typo")
     return out.select(key, log.alias("log"), F.col("b.best").alias("best"), F.col("b.distance").cast("int").alias("distance"))

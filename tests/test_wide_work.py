@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.operators import effects, frames, lineage, planes, planning, selection, stitch
+from lodeframe.operators import effects, frames, fuzzy, lineage, planes, planning, selection, stitch
 
 
 def plan(df):
@@ -85,3 +85,13 @@ def test_two_cards_of_a_screen_in_one_cell(spark):
     found = spark.createDataFrame(first + then, "who int, frame int, pos int, id int, gold boolean, band int, side int, key string")
     k = lambda apart: [(r["k"], r["gap"]) for r in stitch.seams(found, ["who"], apart).orderBy("n").collect()]
     assert k(False) == [(0, False), (2, True)] and k(True) == [(0, False), (-1, False)]
+
+
+def test_equal_reads_are_matched_once(spark, monkeypatch):
+    given, near = [], fuzzy.near
+    monkeypatch.setattr(fuzzy, "near", lambda r, *a: given.append(r.count()) or near(r, *a))
+    reads = spark.createDataFrame([(i, ["ivory lace", "ivorx lace", "ivory zzzz", "", None, "qqqqqqqqqqqqq"][i % 6]) for i in range(60)], "id int, norm string")
+    names = spark.createDataFrame([("ivory lace",) * 2, ("ivory lame",) * 2], "name string, norm string")
+    got = {tuple(r) for r in fuzzy.near_misses(reads, names, "id").collect()}
+    kind = {1: ("fuzzy", "ivory lace", 1), 2: ("typo", "ivory lace", 4), 3: ("other", None, None), 4: ("other", None, None), 5: ("other", None, None)}
+    assert got == {(i, *kind[i % 6]) for i in range(60) if i % 6} and given[0] <= 5
