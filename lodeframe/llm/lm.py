@@ -120,7 +120,7 @@ def score(docs: DataFrame, target_ids: DataFrame, limit: int = BROADCAST_IDS) ->
         if rows:
             yield row(rows, size)
 
-    packed = cut(_marked(docs, target_ids, limit).mapInArrow(gather, held), "batches")
+    packed = cut(_marked(docs, target_ids, limit).mapInArrow(gather, held), "batches", group_bytes=BATCH)
     ranges = -(-(packed.agg(F.sum("size")).first()[0] or 0) // RANGE) or 1
 
     def send(batches):

@@ -24,11 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame, name: str = "cut", batch_rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", batch_rows: int | None = None, group_bytes: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns the table read back.
 
     One pass over the plan, replicated by the file system, and later readers neither recompute it nor depend on the
     executors that made it. ``release`` deletes it. While it is written, Arrow batches hold ``batch_rows`` rows, if given.
+    Row groups end after ``group_bytes``, if given: else Parquet first looks after 100 rows, and a task that writes or reads
+    rows of megabytes holds all of these at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeframe/{name}-{uuid.uuid4().hex}"
@@ -37,7 +39,8 @@ def cut(df: DataFrame, name: str = "cut", batch_rows: int | None = None) -> Data
     if batch_rows:
         spark.conf.set(key, str(batch_rows))
     try:
-        df.write.parquet(path)
+        sized = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+        df.write.options(**sized).parquet(path)
     finally:
         if batch_rows:
             spark.conf.set(key, before)

@@ -2,8 +2,10 @@
 
 import math
 import random
+import urllib.parse
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from lodeframe.llm import lm
@@ -72,3 +74,12 @@ def test_exact_awkward(spark):
     listed = spark.createDataFrame([(1,), (1,), (None,), (6,)], "doc_id long")
     same(lm.score(df, listed).collect(), plain_scores([r[:2] for r in AWKWARD], {1, 6}))
     assert lm.score(df.limit(0), listed).count() == 0
+
+
+def test_a_batch_of_texts_is_a_row_group(spark, monkeypatch):
+    made, whole = [], lm.cut
+    monkeypatch.setattr(lm, "BATCH", 1 << 12)
+    monkeypatch.setattr(lm, "cut", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    docs = spark.createDataFrame([(i, f"w{i} " * 1000) for i in range(30)], "doc_id long, text string").coalesce(1)
+    lm.score(docs, docs.limit(3).select("doc_id"))
+    assert [pq.ParquetFile(f.removeprefix("file:")).num_row_groups >= 15 for f in (urllib.parse.unquote(x.replace("file://", "file:")) for x in made[0].inputFiles())] == [True]
