@@ -61,30 +61,32 @@ class _Kept(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, writes long")
 
-    def _gone(self, key: tuple, how: str) -> pd.DataFrame:
-        at, writes = self.last.get()
-        return pd.DataFrame({self.slot: [key[0]], "at": [pd.Timestamp(at, unit="us")], "writes": [writes], "how": [how]})
+    def _gone(self, key: tuple, rows: list[tuple[int, int, str]]) -> pd.DataFrame:
+        at, writes, how = zip(*rows)
+        return pd.DataFrame({self.slot: [key[0]] * len(rows), "at": pd.to_datetime(list(at), unit="us"), "writes": writes, "how": how})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(t for r in rows for t in r["at"])
-        for at in times:
-            writes = 0
-            if self.last.exists():
-                before, writes = self.last.get()
-                if at < before:
-                    at = before  # a row that came late but in time: the newer write stays
-                elif at - before > 1000 * self.age:
-                    yield self._gone(key, "write")
-                    writes = 0
-            self.last.update((int(at), int(writes + 1)))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if self.last.exists():
-            self.handle.registerTimer(self.last.get()[0] // 1000 + self.age)
+        # Every call of the state is a way to the JVM and back, so a batch's writes of a slot read and set it once.
+        held = self.last.get()
+        before, writes = held or (None, 0)
+        gone = []
+        for at in sorted(t for r in rows for t in r["at"].tolist()):
+            if before is not None and at - before > 1000 * self.age:
+                gone.append((before, writes, "write"))
+                writes = 0
+            # A row that came late but in time: the newer write stays.
+            before, writes = at if before is None else max(at, before), writes + 1
+        if gone:
+            yield self._gone(key, gone)
+        self.last.update((before, writes))
+        if held:
+            self.handle.deleteTimer(held[0] // 1000 + self.age)
+        self.handle.registerTimer(before // 1000 + self.age)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            yield self._gone(key, "age")
+        held = self.last.get()
+        if held:
+            yield self._gone(key, [(*held, "age")])
             self.last.clear()
 
     def close(self) -> None:

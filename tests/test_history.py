@@ -100,3 +100,40 @@ def test_state_expires_and_late_rows_count_nothing(spark, tmp_path):
         (1, day(0), 1, "write"), (1, day(3.5), 1, "age"), (2, day(2), 3, "age"), (3, day(0), 1, "age"), (4, day(5.5), 2, "age"),
     ]
     assert kept[-1] <= kept[0] + kept[0]  # the store holds the living slots, not all that ever were
+
+
+def test_writes_of_a_batch_read_and_set_the_state_once():
+    import pandas as pd
+
+    class Fake:
+        def __init__(self):
+            self.held, self.calls, self.timers = None, 0, set()
+
+        def getValueState(self, *a):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def update(self, x):
+            self.calls, self.held = self.calls + 1, x
+
+        def listTimers(self):  # noqa: N802
+            return iter(set(self.timers))
+
+        def deleteTimer(self, t):  # noqa: N802
+            self.timers.discard(t)
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers.add(t)
+
+    f, kept = Fake(), streams._Kept("slot", 10)
+    kept.init(f)
+    got = [g for at in ([[0, 9_000]], [[5_000], [30_000, 20_000]]) for g in kept.handleInputRows((1,), iter(pd.DataFrame({"at": x}) for x in at), None)]
+    assert [tuple(r) for g in got for r in g.itertuples(index=False)] == [(1, pd.Timestamp(9_000, unit="us"), 3, "write")]
+    assert f.held == (30_000, 2) and f.timers == {40} and f.calls == 4
