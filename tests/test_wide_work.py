@@ -108,3 +108,19 @@ def test_closure_has_no_round_that_finds_nothing(spark, monkeypatch):
 
 def test_seams_ahead_need_no_join(spark, sf_dir):
     assert "Join" not in plan(screen_queries.walked(spark, sf_dir)[1])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grids_are_voted_out_like_blocks_without_their_shuffle(spark, seed):
+    rng, rows = random.Random(seed), []
+    for w in range(12):
+        for n in rng.sample(range(1, 40), rng.randrange(30)):
+            top = rng.choice([None, 3 * n + rng.randrange(3)])
+            rows.append((w, n, None if top is None else 20 * top, top, None if top is None else [rng.choice([None, 0, 0, 0, 3, 30]) for _ in range(24 * 2 + rng.randrange(2))]))
+    samples = spark.createDataFrame(rows, "who int, n int, pos int, top int, levels array<int>").repartition(3, "who")
+    blocks = [(w, n, top + i // 2, i % 2, v) for w, n, _, top, levels in rows if top is not None for i, v in enumerate(levels)]
+    blocks = spark.createDataFrame(blocks, "who int, n int, row int, col int, level int")
+    want = effects.voted_out(blocks, effects.witnesses(samples, samples, ["who"]), ["who"])
+    got = effects.grids_voted_out(samples, ["who"], 2)
+    assert "Join" not in plan(got) and plan(got).count("Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
