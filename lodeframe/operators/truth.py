@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.operators import consensus, fuzzy
+from lodeframe.storage import cut, holding
 
 
 def four_way(reads: DataFrame, entries: DataFrame, key: str, strict: str = "strict", full: str = "full", name: str = "name") -> DataFrame:
@@ -109,7 +110,8 @@ def draft_rows(listed: DataFrame, reads: DataFrame, overrides: DataFrame, by: li
     place = Window.partitionBy(*by).orderBy("grid", "side")
     key = F.struct(*by, "grid", "side")
     rows = listed.withColumn("index", (F.row_number().over(place) - 1).cast("int")).withColumn("gold", F.col("gold_count") * 2 > F.col("total"))
-    rows = rows.withColumn("row", F.to_json(key)).select(*by, "index", "gold", "row", "ids")
+    # Read three times below; without the cut the whole list would be made for each.
+    rows = cut(rows.withColumn("row", F.to_json(key)).select(*by, "index", "gold", "row", "ids"), "rows")
     cards = rows.select("row", "gold", F.posexplode("ids").alias("at", "id"))
     told = cards.join(overrides.select("id", F.col("name").alias("own")), "id").groupBy("row").agg(F.min_by("own", "at").alias("own"))
     tally = consensus.vote_tally(cards.where("NOT gold").select("row", "id").join(reads, "id"), "row", "name", "exact")
@@ -117,7 +119,8 @@ def draft_rows(listed: DataFrame, reads: DataFrame, overrides: DataFrame, by: li
     sure = F.col("top").isNotNull() & ~F.col("tied") & (F.col("exact_votes") > 0) & (F.col("share") >= least)
     status = F.when(F.col("gold"), "excluded").when(F.col("own").isNotNull(), "override").when(F.coalesce(sure, F.lit(False)), "voted").otherwise("check")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return met.select(
+    out = met.select(
         *by, "index", "gold", F.when(~F.col("gold"), F.coalesce("own", "top")).alias("name"), status.alias("status"), none("reads"), none("votes"),
         none("exact_votes"), F.when(~F.col("gold"), F.col("share")).alias("share"), F.coalesce("tied", F.lit(False)).alias("tied"),
     )
+    return holding(out, rows)

@@ -124,3 +124,7 @@ def test_grids_are_voted_out_like_blocks_without_their_shuffle(spark, seed):
     got = effects.grids_voted_out(samples, ["who"], 2)
     assert "Join" not in plan(got) and plan(got).count("Exchange") == 1
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_drafts_walk_through_the_screens_once(spark, sf_dir):
+    assert "MapInArrow" not in plan(screen_queries.truth_draft_rows(spark, sf_dir))
